@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,3 +46,11 @@ def running_total(df: DataFrame, order: list[Column], value: Column, out: str) -
         .withColumn(out, F.sum(val).over(inside) + F.col(before))
         .drop(at, before, val)
     )
+
+
+def per_worker(key: tuple, make: Callable[[], Any]) -> Any:
+    """``make()`` once per Python worker process, kept for its later tasks."""
+    store = sys.modules.setdefault("_tessera_worker", types.ModuleType("_tessera_worker")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]

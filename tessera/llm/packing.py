@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut
 
-from .common import table
+from .common import per_worker, table
 
 CAPACITY = 1024
 EOS = 2
@@ -31,21 +31,33 @@ RANKS = "byte_bpe_50k.tiktoken"
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
 
 
-def _encoder(tokenizer: str, ranks: str):
-    """text -> ids, as the ``tokenizers`` file gives them."""
+def _slow(tokenizer: str):
     import public_tokenizers
-    import tiktoken
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(public_tokenizers.path(tokenizer))
-    specials = [t.content for t in slow.get_added_tokens_decoder().values()]
+    return Tokenizer.from_file(public_tokenizers.path(tokenizer))
+
+
+def _fast(ranks: str):
+    import public_tokenizers
+    import tiktoken
+
     with open(public_tokenizers.path(ranks), "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
+
+def _encoder(tokenizer: str, ranks: str, specials: tuple[str, ...]):
+    """text -> ids, as the ``tokenizers`` file gives them.
+
+    Both libraries hold the same merges and give the same ids for ordinary
+    text; a text with a special token's string goes to ``tokenizers`` itself.
+    """
+    fast = per_worker(("ranks", ranks), lambda: _fast(ranks))
 
     def encode(text: str) -> list[int]:
         if any(s in text for s in specials):
-            return slow.encode(text, add_special_tokens=False).ids
+            return per_worker(("tokenizer", tokenizer), lambda: _slow(tokenizer)).encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
@@ -60,10 +72,12 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, capacity: int, eos: int, tokenizer: str, ranks: str) -> DataFrame:
     """Tokenise, cut and count: one row per piece, with its rank in (part, length)."""
 
+    specials = tuple(t.content for t in _slow(tokenizer).get_added_tokens_decoder().values())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = _encoder(tokenizer, ranks)
+        encode = _encoder(tokenizer, ranks, specials)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
