@@ -35,8 +35,8 @@ WINDOW = 5
 MAX_REPEAT_PERCENT = 20
 #: Largest distances that are kept, and the fewest characters or words judged.
 MAX_CLASS_DISTANCE = 0.25
-MAX_WORD_DISTANCE = 0.70
-MIN_CLASS_CHARS = 200
+MAX_WORD_DISTANCE = 0.30
+MIN_CLASS_CHARS = 400
 MIN_HISTOGRAM_WORDS = 80
 
 
@@ -112,11 +112,15 @@ def measures(docs: DataFrame) -> DataFrame:
         classes.alias("classes"),
         spaced.alias("spaced"),
     )
-    counts = F.lit(None).cast("array<long>")
+    listed = F.lit(None).cast("array<string>")
     for lang, common in COMMON_WORDS.items():
-        hits = [((F.length("spaced") - F.length(F.replace(F.col("spaced"), F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long") for w in common]
-        counts = F.when(F.col("lang") == lang, F.array(*hits)).otherwise(counts)
-    return out.withColumn("common", counts).drop("spaced")
+        listed = F.when(F.col("lang") == lang, F.array(*map(F.lit, common))).otherwise(listed)
+
+    def hits(w: Column) -> Column:
+        without = F.replace(F.col("spaced"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit(""))
+        return ((F.length("spaced") - F.length(without)) / (F.length(w) + 2)).cast("long")
+
+    return out.withColumn("listed", listed).withColumn("common", F.transform("listed", hits)).drop("spaced", "listed")
 
 
 def references(measured: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
@@ -140,15 +144,17 @@ def references(measured: DataFrame) -> dict[str, tuple[list[float], list[float]]
     return out
 
 
-def js_distance(shares: list[Column], reference: list[float]) -> Column:
-    """Jensen-Shannon distance of a row's shares from a fixed reference."""
-    total = F.lit(0.0)
-    for p, q in zip(shares, reference, strict=True):
-        m = (p + F.lit(q)) / 2
-        total = total + F.when(p > 0, p * F.log2(p / m)).otherwise(F.lit(0.0))
-        if q > 0:
-            total = total + F.lit(q) * (F.lit(math.log2(q)) - F.log2(m))
-    return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
+def js_distance(shares: Column, reference: list[float]) -> Column:
+    """Jensen-Shannon distance of a row's array of shares from a fixed reference."""
+
+    def term(p: Column, q: Column) -> Column:
+        m = (p + q) / 2
+        own = F.when(p > 0, p * F.log2(p / m)).otherwise(F.lit(0.0))
+        other = F.when(q > 0, q * F.log2(q / m)).otherwise(F.lit(0.0))
+        return own + other
+
+    terms = F.zip_with(shares, F.array(*map(F.lit, reference)), term)
+    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
 def judge(
@@ -173,12 +179,12 @@ def judge(
     by_word = F.lit(None).cast("double")
     for lang, (shares, common) in sorted(known.items()):
         here = F.col("lang") == lang
-        own = [F.get("classes", F.lit(i)) / F.col("chars") for i in range(len(CLASSES))]
+        own = F.transform("classes", lambda c: c / F.col("chars"))
         by_class = F.when(here & (F.col("chars") >= min_class_chars), js_distance(own, shares)).otherwise(by_class)
         if common:
-            words = [F.get("common", F.lit(i)) / F.col("n_words") for i in range(len(common) - 1)]
-            rest = F.greatest(F.lit(0.0), F.lit(1.0) - sum(words[1:], words[0]))
-            by_word = F.when(here & (F.col("n_words") >= min_histogram_words), js_distance([*words, rest], common)).otherwise(by_word)
+            share = F.transform("common", lambda c: c / F.col("n_words"))
+            rest = F.greatest(F.lit(0.0), F.lit(1.0) - F.aggregate(share, F.lit(0.0), lambda a, x: a + x))
+            by_word = F.when(here & (F.col("n_words") >= min_histogram_words), js_distance(F.concat(share, F.array(rest)), common)).otherwise(by_word)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return (
         measured.withColumn("chars", n_chars)
@@ -191,4 +197,63 @@ def judge(
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"))
+    return judge(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
+def _oracle() -> str:
+    """The same rules in DuckDB SQL, from the same constants."""
+    word = r"[^\x20\x09-\x0D]+"
+    removed, chain = "regexp_replace(text, '[a-z]+', '', 'g')", []
+    for i, p in enumerate([r"[\x20\x09-\x0D]+", "[A-Z]+", r"\p{L}+", r"\p{N}+", SYMBOLS, r"\p{P}+"], 1):
+        chain.append(f"x{i} as (select *, regexp_replace(r{i}, '{p}', '', 'g') as r{i + 1} from {'w' if i == 1 else f'x{i - 1}'})")
+    parts = ["length(text) - length(r1)", *(f"length(r{i}) - length(r{i + 1})" for i in range(1, 7)), "length(r7)"]
+    lists = " ".join(f"when '{lang}' then {words!r}" for lang, words in COMMON_WORDS.items())
+    return rf"""
+with d as (
+  select doc_id, coalesce(text, '') as text,
+         case when lang in ({", ".join(map(repr, COMMON_WORDS))}) then lang else '' end as lang
+  from documents),
+w as (
+  select row_number() over () as id, *, regexp_extract_all(text, '{word}') as ws, {removed} as r1,
+         list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{word}')) as ls
+  from d),
+{", ".join(chain)},
+m as (
+  select id, doc_id, lang, len(ws)::bigint as n_words,
+         list_sum(list_transform(ws, lambda x: length(x)))::bigint as wc,
+         (length(r5) - length(r6))::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
+         [{", ".join(parts)}]::bigint[] as classes,
+         list_transform(case lang {lists} else null end,
+           lambda c: len(list_filter(list_transform(ws, lambda x: lower(x)), lambda x: x = c)))::bigint[] as common
+  from x6),
+g as (
+  select id, unnest(range(1, len(ws) - 3)) as i, ws from w where len(ws) > 5),
+h as (select id, i, count(*) over (partition by id, ws[i], ws[i + 1], ws[i + 2], ws[i + 3], ws[i + 4]) as n from g),
+k as (select id, sum(least(5, i - before))::bigint as n_repeat_words
+      from (select id, i, lag(i, 1, i - 5) over (partition by id order by i) as before from h where n > 1) group by id),
+rc as (select lang, j, sum(c)::double / sum(sum(c)) over (partition by lang) as q
+       from (select lang, unnest(classes) as c, unnest(range(1, 9)) as j from m) group by lang, j),
+rw as (select a.lang, a.j, a.s::double / b.n as q
+       from (select lang, j, sum(c) as s from (select lang, unnest(common) as c, unnest(range(1, len(common) + 1)) as j from m where common is not null) group by lang, j) a
+       join (select lang, sum(n_words) as n from m group by lang) b using (lang)),
+rws as (select lang, j, q from rw union all select lang, max(j) + 1, greatest(0, 1 - sum(q)) from rw group by lang),
+dc as (select m.id, rc.q, m.classes[rc.j]::double / nullif(list_sum(m.classes), 0) as p from m join rc using (lang) where list_sum(m.classes) >= {MIN_CLASS_CHARS}),
+dw as (select m.id, r.q, case when r.j <= len(m.common) then m.common[r.j]::double / m.n_words
+         else greatest(0, 1 - list_sum(m.common)::double / m.n_words) end as p
+       from m join rws r using (lang) where m.n_words >= {MIN_HISTOGRAM_WORDS}),
+js as (select id, t, sqrt(greatest(0, sum((case when p > 0 then p * log2(2 * p / (p + q)) else 0 end)
+         + (case when q > 0 then q * log2(2 * q / (p + q)) else 0 end)) / 2)) as dist
+       from (select id, 'c' as t, p, q from dc union all select id, 'w', p, q from dw) group by id, t),
+f as (
+  select m.*, coalesce(k.n_repeat_words, 0) as n_repeat_words,
+         coalesce((select dist from js where js.id = m.id and t = 'c') > {MAX_CLASS_DISTANCE}, false)
+         or coalesce((select dist from js where js.id = m.id and t = 'w') > {MAX_WORD_DISTANCE}, false) as far
+  from m left join k using (id))
+select doc_id, n_words, coalesce(wc, 0)::bigint as word_chars, n_symbols, n_dup_lines, n_repeat_words::bigint as n_repeat_words,
+       (n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) as base_failed,
+       not (n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) and not far as kept
+from f
+"""
+
+
+ORACLE_OP2 = _oracle()

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from .mixing import ORACLE_OP5, op5_mixing
 from .packing import op6_packing
+from .quality import ORACLE_OP2, op2_quality
+from .secrets import op4_secrets
 from .simhash import op1_simhash
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_quality": op2_quality,
+    "op4_secrets": op4_secrets,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
+    "op8_toxicity": op8_toxicity,
 }
-ORACLES = {"op5_mixing": ORACLE_OP5}
+ORACLES = {"op2_quality": ORACLE_OP2, "op5_mixing": ORACLE_OP5}
