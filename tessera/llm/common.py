@@ -48,6 +48,16 @@ def running_total(df: DataFrame, order: list[Column], value: Column, out: str) -
     )
 
 
+def row_key() -> Column:
+    """16 bytes that tell rows apart by id and text; equal rows share theirs."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col("text"), F.lit("")))))
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` packed in one, out of the way of any other name."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
+
+
 def per_worker(key: tuple, make: Callable[[], Any]) -> Any:
     """``make()`` once per Python worker process, kept for its later tasks."""
     store = sys.modules.setdefault("_tessera_worker", types.ModuleType("_tessera_worker")).__dict__

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut
 
-from .common import WORD, running_total, table
+from .common import WORD, row_key, running_total, table, whole_row
 
 EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -67,12 +67,13 @@ def mix(
     Null text has size 0; documents of size 0 take 0. A null source is a
     source of its own. Repeated ids stay separate rows. Empty input gives no
     rows. Extra columns are dropped. Returns doc_id, size, source_size,
-    target, taken, and the integer ``copies``.
+    target, taken, and the integer ``copies``; ``key`` is the row's key.
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)) if size is None else size
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
     slim = docs.select(
         "doc_id",
+        row_key().alias("key"),
         F.coalesce(F.col("source"), F.lit("")).alias("src"),
         F.col("source").isNull().alias("src_null"),
         size.cast("long").alias("size"),
@@ -91,7 +92,7 @@ def mix(
     inside = W.partitionBy("src", "src_null", "part").orderBy("shuffle_key", "doc_id", "size")
     inside = inside.rowsBetween(W.unboundedPreceding, 0)
     queued = slim.join(queue, ["src", "src_null", "part"]).withColumn("upto", F.col("ahead") + F.sum("size").over(inside))
-    queued = cut(queued.select("doc_id", "size", "source_size", "target", "src_rank", "upto"))
+    queued = cut(queued.select("doc_id", "key", "size", "source_size", "target", "src_rank", "upto"))
 
     def finish(epoch: Column) -> Column:
         return (epoch * F.col("source_size") + F.col("upto")).cast("double") / F.col("target")
@@ -108,11 +109,19 @@ def mix(
             hit = (f < F.lit(last["finish"])) | ((f == F.lit(last["finish"])) & (F.col("src_rank") <= F.lit(last["src_rank"])))
             taken = taken + F.when(hit, F.lit(1)).otherwise(F.lit(0))
     n = F.when(live, taken).otherwise(F.lit(0)).cast("int")
-    return queued.select("doc_id", "size", "source_size", "target", (F.col("size") * n).alias("taken"), n.alias("copies"))
+    return queued.select("doc_id", "size", "source_size", "target", (F.col("size") * n).alias("taken"), n.alias("copies"), "key")
+
+
+def repeat_taken(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it (not at all, or up to three times)."""
+    taken = mix(docs).groupBy("key").agg(F.sum("copies").alias("n")).filter("n > 0").withColumnRenamed("key", "__key")
+    keyed = docs.select(whole_row(docs), row_key().alias("__key")).dropDuplicates(["__key"])
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
+    return keyed.join(taken, "__key").withColumn("__copy", copies).select("__row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("copies")
+    return mix(table(spark, sf_dir, "documents")).drop("copies", "key")
 
 
 ORACLE_OP5 = r"""

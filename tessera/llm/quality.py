@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut
 
-from .common import table
+from .common import table, whole_row
 
 # Frequent function words of each language.
 COMMON_WORDS = {
@@ -77,9 +77,12 @@ def _repeated_words(words: Column) -> Column:
     return _let(words, run)
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """One slim row per document: base counts, class counts, common-word counts."""
+def measures(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """One slim row per document: base counts, class counts, common-word counts; ``carry`` adds the row itself."""
+    row = [whole_row(docs)] if carry else []
+    carried = ["__row"] if carry else []
     kept = docs.select(
+        *row,
         F.col("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
         F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise(F.lit("")).alias("lang"),
@@ -88,6 +91,7 @@ def measures(docs: DataFrame) -> DataFrame:
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: F.btrim(x, F.lit(_BLANKS)) != "")
     step = kept.select(
+        *carried,
         "doc_id",
         "lang",
         words.alias("words"),
@@ -102,6 +106,7 @@ def measures(docs: DataFrame) -> DataFrame:
     classes = F.array(F.col("n_chars") - F.length("r1"), *sizes, F.length("r7")).cast("array<long>")
     spaced = F.lower(F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" ")))
     out = left.select(
+        *carried,
         "doc_id",
         "lang",
         F.size("words").cast("long").alias("n_words"),
@@ -174,6 +179,28 @@ def judge(
     """
     measured = cut(measures(docs))
     known = references(measured)
+    limits = (max_class_distance, max_word_distance, min_class_chars, min_histogram_words)
+    return _verdicts(measured, known, *limits).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"
+    )
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns unchanged.
+
+    The references are gathered first; the verdict is then found again row by
+    row, so texts are read twice but never shuffled.
+    """
+    known = references(measures(docs))
+    # The row number keeps the filter above the measures: pushed below, it would
+    # find every one of them anew inside its lambdas.
+    measured = measures(docs, carry=True).withColumn("__nth", F.monotonically_increasing_id())
+    judged = _verdicts(measured, known, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MIN_CLASS_CHARS, MIN_HISTOGRAM_WORDS)
+    return judged.filter(F.col("kept") & (F.col("__nth") >= 0)).select("__row.*")
+
+
+def _verdicts(measured: DataFrame, known: dict, max_class_distance: float, max_word_distance: float, min_class_chars: int, min_histogram_words: int) -> DataFrame:
+    """Add the distances, ``base_failed`` and ``kept``."""
     n_chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     by_class = F.lit(None).cast("double")
     by_word = F.lit(None).cast("double")
@@ -192,7 +219,6 @@ def judge(
         .withColumn("word_distance", by_word)
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("class_distance") > max_class_distance, F.lit(False)) & ~F.coalesce(F.col("word_distance") > max_word_distance, F.lit(False)))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
     )
 
 

@@ -9,6 +9,7 @@ from .packing import op6_packing
 from .quality import ORACLE_OP2, op2_quality
 from .secrets import op4_secrets
 from .simhash import op1_simhash
+from .substrings import op10_substrings
 from .toxicity import op8_toxicity
 from .urls import op7_urls
 
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_urls": op7_urls,
     "op8_toxicity": op8_toxicity,
     "op9_html": op9_html,
+    "op10_substrings": op10_substrings,
 }
 ORACLES = {"op2_quality": ORACLE_OP2, "op5_mixing": ORACLE_OP5}

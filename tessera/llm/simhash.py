@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut
 
-from .common import shuffle_partitions, table
+from .common import row_key, shuffle_partitions, table, whole_row
 from .components import components
 
 SHINGLE = 4
@@ -54,14 +54,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (signed 64-bit) of whole texts; null text has no words."""
+    """doc_id, key (of the row), fp (signed 64-bit) of whole texts; null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t or b"", shingle, seed) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t or b"", shingle, seed) for t in b.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), F.col("text").cast("binary"))
+    return slim.mapInArrow(run, "doc_id long, key binary, fp long")
 
 
 def grid_points(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,13 +239,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     unless all are null. Empty input gives no rows; extra columns are dropped.
     """
     marks = cut(fingerprints(docs, shingle, seed))
+    groups = _groups(marks, radius).select("fp", F.col("first.doc_id").alias("component_id"))
+    return marks.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _groups(marks: DataFrame, radius: int) -> DataFrame:
+    """fp -> ``first``, the row (doc_id, key) with the smallest id of its component."""
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     # Exact copies collapse here, before anything is compared.
-    distinct = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    distinct = cut(marks.groupBy("fp").agg(F.min(row).alias("first")))
     roots = cut(components(links(distinct, radius)))
-    named = distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = named.join(first, "root").select("fp", "component_id")
-    return marks.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    first = named.groupBy("root").agg(F.min("first").alias("first"))
+    return named.select("fp", "root").join(first, "root").select("fp", "first")
+
+
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of each near-duplicate component, all columns unchanged.
+
+    Of rows equal in id and text one stays.
+    """
+    groups = _groups(cut(fingerprints(docs, shingle, seed)), radius)
+    stay = groups.select(F.col("first.key").alias("__key")).distinct()
+    keyed = docs.select(whole_row(docs), row_key().alias("__key"))
+    return keyed.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).select("__row.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
