@@ -77,6 +77,10 @@ def _repeated_words(words: Column) -> Column:
     return _let(words, run)
 
 
+def _one_of(words: list[str]):
+    return lambda w: w.isin(*words)
+
+
 def measures(docs: DataFrame, carry: bool = False) -> DataFrame:
     """One slim row per document: base counts, class counts, common-word counts; ``carry`` adds the row itself."""
     row = [whole_row(docs)] if carry else []
@@ -99,12 +103,19 @@ def measures(docs: DataFrame, carry: bool = False) -> DataFrame:
         F.length("text").alias("n_chars"),
         F.regexp_replace("text", "[a-z]+", "").alias("r1"),
     )
-    left, sizes = step, []
+    listed = F.lit(None).cast("array<string>")
+    for lang, common in COMMON_WORDS.items():
+        listed = F.when(F.col("lang") == lang, F.array(*map(F.lit, common))).otherwise(listed)
+    left, sizes = step.withColumn("listed", listed), []
     for i, pattern in enumerate([SPACE, "[A-Z]+", r"\p{L}+", r"\p{N}+", SYMBOLS, r"\p{P}+"], 1):
         left = left.withColumn(f"r{i + 1}", F.regexp_replace(f"r{i}", pattern, ""))
         sizes.append(F.length(f"r{i}") - F.length(f"r{i + 1}"))
     classes = F.array(F.col("n_chars") - F.length("r1"), *sizes, F.length("r7")).cast("array<long>")
-    spaced = F.lower(F.concat(F.lit(" "), F.array_join("words", "  "), F.lit(" ")))
+    lower = F.transform("words", F.lower)
+    found = F.array().cast("array<string>")
+    for lang, common in COMMON_WORDS.items():
+        found = F.when(F.col("lang") == lang, F.filter(lower, _one_of(common))).otherwise(found)
+    spaced = F.concat(F.lit(" "), F.array_join(found, "  "), F.lit(" "))
     out = left.select(
         *carried,
         "doc_id",
@@ -115,17 +126,15 @@ def measures(docs: DataFrame, carry: bool = False) -> DataFrame:
         F.col("n_dup_lines").cast("long").alias("n_dup_lines"),
         _repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
         classes.alias("classes"),
+        "listed",
         spaced.alias("spaced"),
     )
-    listed = F.lit(None).cast("array<string>")
-    for lang, common in COMMON_WORDS.items():
-        listed = F.when(F.col("lang") == lang, F.array(*map(F.lit, common))).otherwise(listed)
 
     def hits(w: Column) -> Column:
         without = F.replace(F.col("spaced"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit(""))
-        return ((F.length("spaced") - F.length(without)) / (F.length(w) + 2)).cast("long")
+        return ((F.octet_length("spaced") - F.octet_length(without)) / (F.octet_length(w) + 2)).cast("long")
 
-    return out.withColumn("listed", listed).withColumn("common", F.transform("listed", hits)).drop("spaced", "listed")
+    return out.withColumn("common", F.transform("listed", hits)).drop("spaced", "listed")
 
 
 def references(measured: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
