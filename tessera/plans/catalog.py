@@ -6,14 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import evaluation_queries, relation_queries, series_queries, strategy_queries
+from .sql import Text, to_oracle, to_spark
+
+
+def texts() -> dict[str, Text]:
+    out: dict[str, Text] = {}
+    for module in (series_queries, relation_queries, evaluation_queries, strategy_queries):
+        clash = out.keys() & module.TEXTS.keys()
+        if clash:
+            raise ValueError(f"defined twice: {sorted(clash)}")
+        out |= module.TEXTS
+    return out
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["backtest_stats"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: to_spark(text) for name, text in texts().items()}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {name: to_oracle(text) for name, text in texts().items()}
