@@ -6,6 +6,7 @@ from itertools import combinations
 
 from tessera.functions import series as S
 from tessera.operators import evaluation as E
+from tessera.operators import expression as X
 from tessera.operators.features import family_of, price_features
 from tessera.sources import panel as P
 
@@ -237,3 +238,27 @@ def _bar(c: Chain) -> str:
     c.add("t", "select strategy, avg(x) / nullif(stddev_samp(x), 0) * sqrt(count(*)) as t from var group by strategy")
     c.add("b", "select sqrt(2 * ln(count(*))) as bar from t")
     return c.select(f"select strategy, {rounded('t')}, t > bar as clears from t, b")
+
+
+# ---- expressions --------------------------------------------------------------
+
+
+def expressions(name: str, **trees) -> None:
+    """A query with one column per tree over a few price features."""
+
+    def text(c: Chain) -> str:
+        price_features(c)
+        X.compile_population(c, "feats", trees)
+        return c.select(f"select symbol, t_idx, {rounded(*trees, digits=5)} from scored where tradable")
+
+    TEXTS[name] = text
+
+
+_a, _b, _v = X.feat("mom_5"), X.feat("clv"), X.feat("vol_10")
+expressions("expr_unary_pointwise", **{op: X.un(op, _a) for op in X.UNARY}, deep=X.un("sigmoid", X.un("square", _b)))
+expressions("expr_unary_cross", **{f"{op}_": X.un(op, _a) for op in X.CROSS})
+expressions("expr_unary_time", **{f"{op}_10": X.un(op, _b, 10) for op in X.TIMED})
+expressions("expr_binary", **{f"{op}_": X.bi(op, _a, X.feat("intraday_range")) for op in X.BINARY})
+expressions("expr_ite", pick=X.ite(_a, _b, X.un("neg", _v)), nested=X.ite(X.bi("sub", _a, _b), X.const(1), X.const(-1)))
+expressions("expr_nested_rank_mean", deep=X.un("rank", X.un("tsmean", X.un("rank", _a), 5)), other=X.bi("mul", X.un("zscore", _v), X.un("tsmean", X.un("rank", _a), 5)))
+expressions("expr_simplified_equivalence", long_form=X.un("neg", X.un("neg", X.un("rank", X.un("rank", _a)))), short_form=X.un("rank", _a))

@@ -66,9 +66,9 @@ def facts(c: Chain) -> str:
     c.add("qtr", f"""select o_custkey as symbol, cast(date_trunc('quarter', o_orderdate) as date) as q,
         sum(o_totalprice) as val, max(cast(case when shipped >= o_orderdate then shipped end as date)) as shipped
         from {o} o left join ship s on o_orderkey = l_orderkey group by 1, 2""")
-    c.add("filed", f"select symbol, q as start_date, {c.d.add_days('q', '90')} as end_date, round(val, 2) as val, greatest({c.d.add_days('q', '91')}, shipped) as filed from qtr")
+    c.add("filed", f"select symbol, q as start_date, {c.d.add_days('q', '90')} as end_date, round(val + 1.7e-4, 2) as val, greatest({c.d.add_days('q', '91')}, shipped) as filed from qtr")
     c.add("facts", f"""select symbol, start_date, end_date, filed, val, 'first' as form from filed
-        union all select symbol, start_date, end_date, {c.d.add_days('filed', '60')}, round(val * 1.1, 2), 'restated' from filed where symbol % 7 = 0""")
+        union all select symbol, start_date, end_date, {c.d.add_days('filed', '60')}, round(val * 1.1 + 1.7e-4, 2), 'restated' from filed where symbol % 7 = 0""")
     return "facts"
 
 
