@@ -7,10 +7,17 @@ the plan that Catalyst optimises and its oracle cannot drift apart.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import cut
+
+#: Relations worth writing once when a query reads them twice or more.
+KEPT = frozenset("panel rets feats rl score bt net fold var known er pr sg bk fic cs_d fs_d st_d curves".split())
+
 
 class Dialect:
     """Spelling of what differs between engines. This one is Spark's."""
@@ -135,12 +142,19 @@ class Chain:
     def __init__(self, d: Dialect) -> None:
         self.d = d
         self.parts: dict[str, str] = {}
+        self.final = ""
 
     def add(self, name: str, sql: str) -> Chain:
         self.parts.setdefault(name, sql)
         return self
 
+    def uses(self, name: str) -> int:
+        """How often later relations and the result read ``name``."""
+        read = re.compile(rf"(?:from|join|,)\s+{name}\b")
+        return sum(len(read.findall(sql)) for sql in (*self.parts.values(), self.final))
+
     def select(self, sql: str) -> str:
+        self.final = sql
         if not self.parts:
             return sql
         return "with " + ",\n".join(f"{n} as ({s})" for n, s in self.parts.items()) + "\n" + sql
@@ -150,7 +164,34 @@ Text = Callable[[Chain], str]
 
 
 def to_spark(text: Text) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: spark.sql(text(Chain(Dialect(sf_dir))))
+    """The query as a DataFrame.
+
+    Spark inlines named relations, so one that is read several times would be
+    computed each time. Those of KEPT are written to the checkpoint folder
+    once, and the rest of the plan starts from there.
+    """
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = Chain(Dialect(sf_dir))
+        text(c)
+        final, parts = c.final, dict(c.parts)
+        for name in [n for n in parts if n in KEPT and c.uses(n) > 1]:
+            before = Chain(c.d)
+            for n, sql in parts.items():
+                before.add(n, sql)
+                if n == name:
+                    break
+            view = f"{name}_{uuid.uuid4().hex[:12]}"
+            cut(spark.sql(before.select(f"select * from {name}"))).createOrReplaceTempView(view)
+            parts[name] = f"select * from {view}"
+        c.parts = parts
+        df = spark.sql(c.select(final))
+        for sql in parts.values():
+            if m := re.fullmatch(r"select \* from (\w+_[0-9a-f]{12})", sql):
+                spark.catalog.dropTempView(m[1])
+        return df
+
+    return run
 
 
 def to_oracle(text: Text) -> str:
