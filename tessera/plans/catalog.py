@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation_queries, relation_queries, series_queries, strategy_queries
+from . import driver_queries, evaluation_queries, relation_queries, series_queries, strategy_queries
 from .sql import Text, to_oracle, to_spark
 
 
@@ -25,7 +25,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: to_spark(text) for name, text in texts().items()}
+    return {name: to_spark(text) for name, text in texts().items()} | driver_queries.QUERIES
 
 
 def oracles() -> dict[str, str]:

@@ -262,3 +262,63 @@ expressions("expr_binary", **{f"{op}_": X.bi(op, _a, X.feat("intraday_range")) f
 expressions("expr_ite", pick=X.ite(_a, _b, X.un("neg", _v)), nested=X.ite(X.bi("sub", _a, _b), X.const(1), X.const(-1)))
 expressions("expr_nested_rank_mean", deep=X.un("rank", X.un("tsmean", X.un("rank", _a), 5)), other=X.bi("mul", X.un("zscore", _v), X.un("tsmean", X.un("rank", _a), 5)))
 expressions("expr_simplified_equivalence", long_form=X.un("neg", X.un("neg", X.un("rank", X.un("rank", _a)))), short_form=X.un("rank", _a))
+
+
+# ---- composite studies ----------------------------------------------------------
+
+
+@query("walk_forward")
+def _walk(c: Chain) -> str:
+    """In every segment, the variant that was best before it (with an embargo), and what it made in it."""
+    variants(c)
+    c.add("seg", "select distinct cast(floor(t_idx / 60) as int) as s from var where t_idx >= 60")
+    c.add("tr", "select g.s, v.strategy, round(avg(v.x) / nullif(stddev_samp(v.x), 0), 9) as q from seg g join var v on v.t_idx < g.s * 60 - 5 group by g.s, v.strategy having count(*) >= 20")
+    c.add("won", "select s, strategy, row_number() over (partition by s order by q desc, strategy) as rn from tr")
+    c.add("o", "select w.s, w.strategy, avg(v.x) as oos, count(*) as n from won w join var v on v.strategy = w.strategy and cast(floor(v.t_idx / 60) as int) = w.s where w.rn = 1 group by w.s, w.strategy")
+    return c.select(f"select s, strategy, n, {rounded('oos', digits=8)} from o")
+
+
+@query("ensemble_select_test")
+def _select_test(c: Chain) -> str:
+    """The three best variants of the first three quarters, averaged, in both parts."""
+    variants(c)
+    c.add("cutoff", "select max(t_idx) * 0.75 as t from var")
+    c.add("q", "select strategy, round(avg(x) / nullif(stddev_samp(x), 0), 9) as q from var, cutoff where t_idx < t group by strategy")
+    c.add("best", "select strategy from (select strategy, row_number() over (order by q desc, strategy) as rn from q) z where rn <= 3")
+    c.add("e", "select v.t_idx, case when v.t_idx < k.t then 'select' else 'test' end as part, avg(v.x) as x from var v join best b on v.strategy = b.strategy cross join cutoff k group by v.t_idx, k.t")
+    c.add("o", "select part, count(*) as n, avg(x) / nullif(stddev_samp(x) / sqrt(count(*)), 0) as t from e group by part")
+    return c.select(f"select part, n, {rounded('t')} from o")
+
+
+@query("power_designs")
+def _power(c: Chain) -> str:
+    """Tracking error and least detectable excess of top-k books of several sizes, long only and long/short."""
+    E.score_momentum(c)
+    c.add("nx", f"select symbol, t_idx, score, {S.shift('ret', -1)} as nxt from score")
+    c.add("rk2", "select *, row_number() over (partition by t_idx order by score desc, symbol) as up, row_number() over (partition by t_idx order by score, symbol desc) as dn from nx where score is not null and nxt is not null")
+    c.add("ks", " union all ".join(f"select {k} as k" for k in (2, 5, 25)))
+    c.add("bkk", "select k, t_idx, avg(case when up <= k then nxt end) - avg(nxt) as lo, avg(case when up <= k then nxt end) - avg(case when dn <= k then nxt end) as ls from rk2 cross join ks group by k, t_idx")
+    c.add("o", "select k, stddev_samp(lo) * sqrt(52e0) as te_long, stddev_samp(ls) * sqrt(52e0) as te_ls, count(*) / 52e0 as yrs from bkk group by k")
+    c.add("p", "select k, te_long, te_ls, 2 * te_long / sqrt(yrs) as mde_long from o")
+    return c.select(f"select k, {rounded('te_long', 'te_ls', 'mde_long')} from p")
+
+
+@query("disclosure_book")
+def _disclosure_book(c: Chain) -> str:
+    """Net disclosed buying as weights for 13 sessions, normalised, earning from the next session, with costs."""
+    P.disclosures(c)
+    P.returns(c)
+    c.add("da", "select d.event_id, d.symbol, d.side, d.amount_mid, min(s.t_idx) as t0 from disclosures d join sessions s on s.date >= d.filing_date group by d.event_id, d.symbol, d.side, d.amount_mid")
+    c.add("dw", "select r.symbol, r.t_idx, sum((case when a.side = 'buy' then 1 else -1 end) * ln(1 + a.amount_mid / 1e4)) as raw from da a join rets r on r.symbol = a.symbol and r.t_idx >= a.t0 and r.t_idx < a.t0 + 13 group by r.symbol, r.t_idx")
+    c.add("dg", "select r.symbol, r.t_idx, r.ret, coalesce(d.raw, 0) / nullif(sum(abs(coalesce(d.raw, 0))) over (partition by r.t_idx), 0) as w from rets r left join dw d on d.symbol = r.symbol and d.t_idx = r.t_idx")
+    c.add("dl", f"select t_idx, ret, coalesce(w, 0) as w, coalesce({S.shift('w', 1)}, 0) as w0 from dg")
+    c.add("o", "select t_idx, sum(w0 * ret) - sum(abs(w - w0)) * 5e-4 as ret, sum(abs(w - w0)) as turnover from dl group by t_idx")
+    return c.select(f"select t_idx, {rounded('ret', 'turnover', digits=8)} from o")
+
+
+@query("book_overlap_by_design")
+def _overlap(c: Chain) -> str:
+    """How much of each block's book was in the book before it."""
+    E.score_momentum(c)
+    E.top_k(c, 25, 21)
+    return c.select("select a.blk, count(*) as n, count(b.symbol) as kept from w a left join w b on b.symbol = a.symbol and b.blk = a.blk - 1 group by a.blk")

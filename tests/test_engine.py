@@ -8,7 +8,7 @@ import pytest
 from tessera.functions import metrics
 from tessera.operators import expression as X
 from tessera.operators import search, trading
-from tessera.plans import catalog, strategy_queries
+from tessera.plans import catalog, driver_queries, strategy_queries
 from tessera.plans.sql import Chain, Dialect
 from tessera.sources import readers
 from tessera.streaming import operators as streaming
@@ -48,6 +48,11 @@ def test_query_matches_its_sql(spark, small, con, name):
         assert canonical(a) == canonical(b)
 
 
+@pytest.mark.parametrize("name", sorted(driver_queries.QUERIES))
+def test_driver_query_runs(spark, small, name):
+    assert driver_queries.QUERIES[name](spark, small).count() > 0
+
+
 def test_features_do_not_read_the_future(spark, small):
     """Cutting the sessions after a day leaves every feature before it as it was."""
     from tessera.operators.features import PRICE_FEATURES, price_features
