@@ -264,38 +264,52 @@ def _resolve(docs: DataFrame, span: int, gram: int, shard: int, finish, schema:
     shared = spark.sparkContext.broadcast(seen)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of two kinds: where an owner has a segment, and (owner null) how often this task met it, with its bytes."""
         known, mask = shared.value, (1 << bits) - 1
-        given: set[bytes] = set()
+        met: dict[bytes, list] = {}
+        out: list[tuple] = []
+
+        def give() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            out.clear()
+            types = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["h", "sd", "owner", "starts", "n", "seg"])
+
+        def total() -> None:
+            out.extend((h, sd, None, None, n, seg) for sd, (h, n, seg) in met.items())
+            met.clear()
+
         for b in batches:
-            out: list[tuple] = []
             for text, owner in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                mine: dict[bytes, list] = {}
+                mine: dict[bytes, tuple[int, list]] = {}
                 for h, first, last in anchors(np.frombuffer(text, np.uint8), span, gram):
                     at = h & mask
                     hit = (known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
                     for x, a, z in zip(h[hit].tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
                         seg = text[a : z + span]
                         sd = xxhash.xxh128_digest(seg)
-                        mine.setdefault(sd, [x, sd, owner, [], seg])[3].append(a)
-                for row in mine.values():
-                    if row[1] in given:  # this task has given the bytes before
-                        row[4] = None
-                    elif len(given) < 500_000:
-                        given.add(row[1])
-                    out.append(tuple(row))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            types = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["h", "sd", "owner", "starts", "seg"])
+                        mine.setdefault(sd, (x, []))[1].append(a)
+                        met.setdefault(sd, [x, 0, seg])[1] += 1
+                out.extend((x, sd, owner, starts, None, None) for sd, (x, starts) in mine.items())
+                if len(met) > 30_000:
+                    total()
+                if len(out) > 5_000:
+                    yield give()
+        total()
+        yield give()
 
     at = f"{checkpoint_dir(spark)}/segments-{uuid.uuid4().hex}"
     try:
-        keyed.select("text", "owner").mapInArrow(segments, "h long, sd binary, owner binary, starts array<int>, seg binary").write.parquet(at)
+        keyed.select("text", "owner").mapInArrow(segments, "h long, sd binary, owner binary, starts array<int>, n long, seg binary").write.parquet(at)
         stored = spark.read.parquet(at)
-        distinct = stored.groupBy("sd").agg(F.min("h").alias("h"), F.sum(F.size("starts")).alias("n"), F.max("seg").alias("seg"))
-        ordered = distinct.select("h", "sd", "n", "seg").repartition(n_parts, "h").sortWithinPartitions("h")
+        # Each task has counted its own, so a row per task and segment travels
+        # to the shard of the anchor, and is added up there without a further shuffle.
+        met = stored.filter("owner is null").select("h", "sd", "n", "seg").repartition(n_parts, "h")
+        distinct = met.groupBy("h", "sd").agg(F.sum("n").alias("n"), F.max("seg").alias("seg"))
+        ordered = distinct.select("h", "sd", "n", "seg").sortWithinPartitions("h")
         solved = cut(ordered.mapInArrow(_resolver(shard, span), _FLAGGED))
         flagged = solved.filter("seg is null").select("sd", "spans").union(_across(solved.filter("seg is not null").select("sd", "n", "seg"), span))
-        single = stored.select("sd", "owner", "starts").join(copies, "owner", "left_anti")
+        single = stored.filter("owner is not null").select("sd", "owner", "starts").join(copies, "owner", "left_anti")
         spans = single.join(flagged, "sd").groupBy("owner").agg(F.collect_list(F.struct("starts", "spans")).alias("found"))
         marks = spans.withColumn("copied", F.lit(False)).unionByName(copies.withColumn("copied", F.lit(True)), allowMissingColumns=True)
 
