@@ -29,7 +29,7 @@ from .common import shuffle_partitions, table
 SPAN = 200
 GRAM = 32
 #: Bytes of segments in one suffix array; an anchor with more is over-full.
-SHARD = 1 << 21
+SHARD = 1 << 20
 #: Windows hashed at once; positions inside take the low bits of a hash.
 _CHUNK = 1 << 17
 _LOW = np.uint64((1 << 18) - 1)
