@@ -65,7 +65,7 @@ def _summary(c: Chain) -> str:
 def _asof(c: Chain) -> str:
     change_log(c)
     P.sessions(c)
-    return c.select("select s.t_idx, l.symbol from sessions s join log l on s.date >= l.valid_from and s.date < l.valid_to where s.t_idx % 10 = 0")
+    return c.select("select s.t_idx, l.symbol from sessions s join log l on s.date >= l.valid_from and s.date < l.valid_to")
 
 
 @query("active_between")
@@ -110,7 +110,7 @@ def _backward(c: Chain) -> str:
     P.sessions(c)
     c.add("k", "select symbol, filed, max(val) as val from facts group by symbol, filed")
     c.add("iv", f"select *, coalesce(lead(filed) over (partition by symbol order by filed), {c.d.add_days('filed', '36500')}) as until from k")
-    return c.select("select i.symbol, s.t_idx, i.val, i.filed from iv i join sessions s on s.date >= i.filed and s.date < i.until where s.t_idx % 20 = 0")
+    return c.select("select i.symbol, s.t_idx, i.val, i.filed from iv i join sessions s on s.date >= i.filed and s.date < i.until")
 
 
 @query("asof_forward")
@@ -146,7 +146,7 @@ def _days_since(c: Chain) -> str:
     P.facts(c)
     P.sessions(c)
     age = c.d.days("s.date", "max(f.filed)")
-    return c.select(f"select f.symbol, s.t_idx, least({age}, 50) as days from facts f join sessions s on s.date >= f.filed where s.t_idx % 20 = 0 group by f.symbol, s.t_idx, s.date")
+    return c.select(f"select f.symbol, s.t_idx, least({age}, 50) as days from facts f join sessions s on s.date >= f.filed group by f.symbol, s.t_idx, s.date")
 
 
 @query("features_fundamental")

@@ -286,3 +286,35 @@ def test_streams(spark, tmp_path):
 
     got = streaming.liveness(spark.table("beats"), F.timestamp_seconds(F.lit(200))).collect()
     assert {r["worker"]: r["state"] for r in got} == {"a": "stale", "b": "stale"}
+
+
+def test_asof_joins_return_every_session(spark, tmp_path):
+    """Three queries on a small fixture against brute force over every session, not only every tenth or twentieth."""
+    import datetime as dt
+
+    first = dt.datetime(2000, 1, 3)
+    last = {1: 44, 2: 30}  # weeks of each supplier's bars
+    lines = [(w, s, first + dt.timedelta(weeks=w)) for s, n in last.items() for w in range(n + 1)]
+    li = [(k, s, 0.05, 0.04, 1.0, d) for k, (_, s, d) in enumerate(lines)]
+    ship = {k: d.date() for k, (_, _, d) in enumerate(lines)}
+    od = [(k, 7, 100.0 + k, dt.datetime(2000, 1, 3)) for k in (3, 11)] + [(27, 8, 50.0, dt.datetime(2000, 4, 3))]
+    spark.createDataFrame(li, "l_orderkey long, l_suppkey long, l_discount double, l_tax double, l_quantity double, l_shipdate timestamp").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame(od, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+    days = sorted({d.date() for _, _, d in lines})
+
+    def got(name, *cols):
+        return sorted(tuple(r[x] for x in cols) for r in catalog.queries()[name](spark, str(tmp_path)).collect())
+
+    assert got("membership_asof", "symbol", "t_idx") == sorted((s, t) for s, n in last.items() for t in range(n + 1))
+    q1, q2 = max(dt.date(2000, 1, 1) + dt.timedelta(91), ship[3], ship[11]), max(dt.date(2000, 4, 1) + dt.timedelta(91), ship[27])
+    versions = [(7, q1, 214.0), (7, q1 + dt.timedelta(60), 235.4), (8, q2, 50.0)]
+    backward, age = [], []
+    for t, day in enumerate(days):
+        for s in (7, 8):
+            seen = [v for v in versions if v[0] == s and v[1] <= day]
+            if seen:
+                backward.append((s, t, seen[-1][2], seen[-1][1]))
+                age.append((s, t, min((day - seen[-1][1]).days, 50)))
+    assert got("asof_backward", "symbol", "t_idx", "val", "filed") == sorted(backward)
+    assert got("days_since_filing", "symbol", "t_idx", "days") == sorted(age)
+    assert {t for _, t, *_ in age} == set(range(min(t for _, t, _ in age), len(days)))
