@@ -105,8 +105,11 @@ class Evolver:
         return best
 
 
-def replay(world: dict[str, list[float]], policy: str, budget: int, rng: np.random.Generator, price: float = 0.0008) -> dict:
-    """Run a choice policy over recorded outcomes by method; value is the best found less the cost of looking."""
+def replay(world: dict[str, list[float]], policy: str, budget: int, rng: np.random.Generator, price: float = 0.0008, top: float | None = None) -> dict:
+    """Run a choice policy over recorded outcomes by method; value is the best found less the cost of looking.
+
+    ``top`` is the best possible outcome, where ``world`` holds only what the budget can reach.
+    """
     at, seen = dict.fromkeys(world, 0), []
     sums: dict[str, list[float]] = {m: [] for m in world}
     for k in range(budget):
@@ -126,7 +129,8 @@ def replay(world: dict[str, list[float]], policy: str, budget: int, rng: np.rand
         sums[m].append(x)
         seen.append(x)
     best = max(seen, default=0.0)
-    top = max((x for v in world.values() for x in v), default=0.0)
+    if top is None:
+        top = max((x for v in world.values() for x in v), default=0.0)
     return {"policy": policy, "best": best, "value": best - price * len(seen), "regret": top - best}
 
 

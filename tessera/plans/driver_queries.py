@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from tessera.functions import metrics
 from tessera.operators import evaluation as E
@@ -118,19 +119,29 @@ def settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "blk int, symbol string, side string, qty double, price double")
 
 
-def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Choice policies replayed over the recorded outcomes of every method, by policy and seed in parallel."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("ts", "event_id").select("event_type", "value").limit(400).collect()
+def recorded(spark: SparkSession, sf_dir: str, budget: int) -> tuple[dict[str, list[float]], float]:
+    """The first ``budget`` outcomes of every method, all that a policy can reach, and the best of all outcomes."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    best = e.agg(F.max("value")).first()[0]
+    k = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
+    rows = e.withColumn("k", k).filter(F.col("k") <= budget).select("event_type", "k", "value").collect()
     world: dict[str, list[float]] = {}
-    for r in rows:
+    for r in sorted(rows, key=lambda r: (r["event_type"], r["k"])):
         world.setdefault(r["event_type"], []).append(r["value"] / 100 - 0.5)
+    return world, 0.0 if best is None else best / 100 - 0.5
+
+
+def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Choice policies replayed over the recorded outcomes of every method, by policy and seed in parallel."""
+    budget = 20
+    world, top = recorded(spark, sf_dir, budget)
     runs = [(p, s) for p in ("round_robin", "greedy", "thompson", "random") for s in range(5)]
 
     def play(pdf):
         import pandas as pd
 
         p, s = pdf["policy"].iloc[0], int(pdf["seed"].iloc[0])
-        return pd.DataFrame([{"seed": s, **search.replay(world, p, 20, np.random.default_rng(s))}])
+        return pd.DataFrame([{"seed": s, **search.replay(world, p, budget, np.random.default_rng(s), top=top)}])
 
     return spark.createDataFrame(runs, "policy string, seed int").groupBy("policy", "seed").applyInPandas(play, "seed int, policy string, best double, value double, regret double")
 

@@ -318,3 +318,21 @@ def test_asof_joins_return_every_session(spark, tmp_path):
     assert got("asof_backward", "symbol", "t_idx", "val", "filed") == sorted(backward)
     assert got("days_since_filing", "symbol", "t_idx", "days") == sorted(age)
     assert {t for _, t, *_ in age} == set(range(min(t for _, t, _ in age), len(days)))
+
+
+def test_replay_policies_know_every_event(spark, tmp_path):
+    """A hot type fills the first 400 events; the best value and two more types come after them."""
+    import datetime as dt
+
+    t0 = dt.datetime(2020, 1, 1)
+    rows = [(i, t0 + dt.timedelta(seconds=i), "hot" if i < 450 else ("late", "rare")[i % 2], float(i % 37)) for i in range(520)]
+    rows.append((520, t0 + dt.timedelta(days=9), "hot", 99.0))
+    spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    world = {}
+    for *_, kind, value in rows:
+        world.setdefault(kind, []).append(value / 100 - 0.5)
+    got = {(r["policy"], r["seed"]): (r["best"], r["value"], r["regret"]) for r in driver_queries.policies(spark, str(tmp_path)).collect()}
+    assert len(got) == 20
+    for (p, s), have in got.items():
+        want = search.replay(world, p, 20, np.random.default_rng(s))
+        assert have == pytest.approx((want["best"], want["value"], want["regret"]))
