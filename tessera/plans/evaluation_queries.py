@@ -75,11 +75,20 @@ def _nw(c: Chain) -> str:
     return c.select(f"select n, {rounded('mean', 't', digits=7)} from nw")
 
 
+def block_folds(c: Chain, n_splits: int = 7, embargo: int = 2) -> str:
+    """Relation ``fold``: ``bt`` with its fold ``f``, equal blocks of the whole calendar less the embargo at inner edges."""
+    c.add("fold_n", "select max(t_idx) + 1 as n from bt")
+    edges = [(i, embargo if i > 0 else 0, embargo if i < n_splits - 1 else 0) for i in range(n_splits)]
+    c.add("fold_e", " union all ".join(f"select {i} as f, floor({i} * n / {n_splits}e0) + {a} as lo, floor({i + 1} * n / {n_splits}e0) - {z} as hi from fold_n" for i, a, z in edges))
+    c.add("fold", "select b.*, e.f from bt b join fold_e e on b.t_idx >= e.lo and b.t_idx < e.hi")
+    return "fold"
+
+
 @query("cv_folds_stats")
 def _cv(c: Chain) -> str:
     """Folds of sessions with an embargo inside, each judged alone, then together."""
     daily(c)
-    c.add("fold", "select *, cast(floor(t_idx / 45) as int) as f from bt where t_idx % 45 >= 2 and t_idx % 45 < 43 and t_idx < 315")
+    block_folds(c)
     E.stats(c, "fold", "f", "fs")
     c.add("o", f"select count(*) as folds, avg(case when alpha_ann > 0 then 1e0 else 0e0 end) as frac_positive, avg(alpha_ann) as mean_alpha, {c.d.percentile('alpha_ann', 0.5)} as median_alpha, min(alpha_ann) as worst_alpha from fs")
     return c.select(f"select folds, {rounded('frac_positive', 'mean_alpha', 'median_alpha', 'worst_alpha')} from o")

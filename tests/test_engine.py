@@ -8,7 +8,7 @@ import pytest
 from tessera.functions import metrics
 from tessera.operators import expression as X
 from tessera.operators import search, trading
-from tessera.plans import catalog, driver_queries, strategy_queries
+from tessera.plans import catalog, driver_queries, evaluation_queries, strategy_queries
 from tessera.plans.sql import Chain, Dialect
 from tessera.sources import readers
 from tessera.streaming import operators as streaming
@@ -336,3 +336,29 @@ def test_replay_policies_know_every_event(spark, tmp_path):
     for (p, s), have in got.items():
         want = search.replay(world, p, 20, np.random.default_rng(s))
         assert have == pytest.approx((want["best"], want["value"], want["regret"]))
+
+
+def folds_by_hand(n, n_splits=7, embargo=2):
+    edges = [i * n // n_splits for i in range(n_splits + 1)]
+    return [(edges[i] + embargo * (i > 0), edges[i + 1] - embargo * (i < n_splits - 1)) for i in range(n_splits)]
+
+
+@pytest.mark.parametrize("n", [100, 357, 520])
+def test_folds_cover_the_whole_calendar(spark, n):
+    c = Chain(Dialect())
+    c.add("bt", f"select cast(id as int) as t_idx from range({n})")
+    evaluation_queries.block_folds(c)
+    got = sorted((r["f"], r["t_idx"]) for r in spark.sql(c.select("select f, t_idx from fold")).collect())
+    assert got == [(f, t) for f, (lo, hi) in enumerate(folds_by_hand(n)) for t in range(lo, hi)]
+    assert got[0] == (0, 0) and got[-1] == (6, n - 1)
+
+
+def test_cv_folds_stats_judge_every_fold(spark, small):
+    d = catalog.queries()["backtest_daily"](spark, small).toPandas().sort_values("t_idx").reset_index(drop=True)
+    alphas = []
+    for lo, hi in folds_by_hand(len(d)):
+        x = d[lo:hi]
+        alphas.append(252 * (x["ret"] - x["ret"].cov(x["bench"]) / x["bench"].var() * x["bench"]).mean())
+    r = catalog.queries()["cv_folds_stats"](spark, small).first()
+    assert r["folds"] == 7 and r["frac_positive"] == pytest.approx(np.mean(np.array(alphas) > 0), abs=1e-5)
+    assert [r["mean_alpha"], r["median_alpha"], r["worst_alpha"]] == pytest.approx([np.mean(alphas), np.median(alphas), min(alphas)], abs=2e-5)
