@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,27 +98,47 @@ def _fold(p):
     return pd.DataFrame([(p["event_type"].iloc[0], mu, kappa, alpha, beta)], columns=["arm", "mu", "kappa", "alpha", "beta"])
 
 
+def settle_books(books: dict[int, dict[str, float]], opens: dict[int, dict[str, float]], rb: int) -> list[tuple]:
+    """(blk, symbol, side, qty, price) of every fill of the books (blk -> symbol -> weight) at the opens (t_idx -> symbol -> price).
+
+    A book is ordered at the session after its rebalance row, held names at their last known
+    open. What has no open there rests until it has one, or until the next book's orders replace it;
+    an exit that rests stays a full one.
+    """
+    broker, out = trading.PaperBroker(), []
+    last: dict[str, float] = {}
+    blk = None
+    for t in range(max(opens, default=-1) + 1):
+        last |= opens.get(t, {})
+        if t % rb == 1 and (t // rb in books or blk is not None):
+            blk = t // rb
+            held = {s: q * last[s] for s, q in broker.shares.items()}
+            broker.pending = []
+            for o in trading.orders({s: w * 0.95 for s, w in books.get(blk, {}).items()}, held, broker.cash + sum(held.values())):
+                broker.submit(o, t - 1)
+        gone = {o.symbol for o in broker.pending} - books.get(blk, {}).keys()
+        broker.pending = [replace(o, notional=broker.shares[o.symbol] * last[o.symbol]) if o.symbol in gone else o for o in broker.pending]
+        out += [(blk, f["symbol"], f["side"], round(f["qty"], 6), round(f["price"], 6)) for f in broker.settle(t, opens.get(t, {}))]
+    return out
+
+
 def settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship's first books sent through the paper broker, in order."""
+    """The flagship's books sent through the paper broker, in order."""
+    rb = 21
 
     def text(c: sql.Chain) -> str:
         E.score_momentum(c)
-        E.top_k(c, 5, 21)
-        c.add("pp", "select symbol, t_idx, open, close from panel")
-        return c.select("select w.blk, w.symbol, w.w, p.open, p.close from w join pp p on p.symbol = w.symbol and p.t_idx = w.blk * 21 + 1 where w.blk between 2 and 9 and p.open is not null order by w.blk, w.symbol")
-
-    broker, out = trading.PaperBroker(), []
-    books: dict[int, list] = {}
+        E.top_k(c, 5, rb)
+        c.add("ever", "select symbol, min(blk) as b0 from w group by symbol")
+        c.add("lines", f"""select 'book' as kind, blk as at, symbol, w as x from w union all select 'open', p.t_idx, p.symbol, p.open
+            from panel p join ever e on e.symbol = p.symbol and p.t_idx > e.b0 * {rb} where p.open is not null""")
+        return c.select("select * from lines")
+
+    books: dict[int, dict[str, float]] = {}
+    opens: dict[int, dict[str, float]] = {}
     for r in sql.to_spark(text)(spark, sf_dir).collect():
-        books.setdefault(r["blk"], []).append(r)
-    for blk, rows in sorted(books.items()):
-        opens = {str(r["symbol"]): r["open"] for r in rows}
-        held = {s: q * opens.get(s, 0.0) for s, q in broker.shares.items() if s in opens}
-        equity = broker.cash + sum(held.values())
-        for o in trading.orders({str(r["symbol"]): r["w"] * 0.95 for r in rows}, held, equity):
-            broker.submit(o, blk)
-        out += [(blk, f["symbol"], f["side"], round(f["qty"], 6), round(f["price"], 6)) for f in broker.settle(blk + 1, opens)]
-    return spark.createDataFrame(out, "blk int, symbol string, side string, qty double, price double")
+        (books if r["kind"] == "book" else opens).setdefault(r["at"], {})[str(r["symbol"])] = r["x"]
+    return spark.createDataFrame(settle_books(books, opens, rb), "blk int, symbol string, side string, qty double, price double")
 
 
 def recorded(spark: SparkSession, sf_dir: str, budget: int) -> tuple[dict[str, list[float]], float]:

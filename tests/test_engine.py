@@ -362,3 +362,50 @@ def test_cv_folds_stats_judge_every_fold(spark, small):
     r = catalog.queries()["cv_folds_stats"](spark, small).first()
     assert r["folds"] == 7 and r["frac_positive"] == pytest.approx(np.mean(np.array(alphas) > 0), abs=1e-5)
     assert [r["mean_alpha"], r["median_alpha"], r["worst_alpha"]] == pytest.approx([np.mean(alphas), np.median(alphas), min(alphas)], abs=2e-5)
+
+
+def test_books_settle_every_block_and_every_exit():
+    """A name that leaves is sold, later if it has no open that day, and counts in equity until then."""
+    books = {0: {"a": 1.0}, 1: {"b": 1.0}, 2: {"b": 1.0}}
+    full = {t: {"a": 10.0, "b": 20.0} for t in range(1, 10)}
+    for gone, sold_in in (((), 1), ((4,), 1), ((4, 5, 6), 2)):
+        opens = {t: {s: p for s, p in x.items() if s != "a" or t not in gone} for t, x in full.items()}
+        if gone == (4,):
+            opens[5]["a"] = 12.0  # sold later and higher, and still in full
+        got = driver_queries.settle_books(books, opens, 3)
+        sides = {(blk, s, side): qty for blk, s, side, qty, _ in got}
+        assert sides[0, "a", "buy"] == sides[sold_in, "a", "sell"] == pytest.approx(95_000 / 10.005, abs=1e-5)
+        assert sum(s == "a" for _, s, *_ in got) == 2
+        equity = 100_000 - 95_000 / 10.005 * 0.005
+        if not gone:
+            assert sides[1, "b", "buy"] * 20 * 1.0005 == pytest.approx(equity * 0.95, abs=1)
+    assert driver_queries.settle_books({}, {}, 3) == []
+
+
+def test_paper_settle_sells_what_left_the_book(spark, small):
+    def text(c):
+        from tessera.operators import evaluation as E
+
+        E.score_momentum(c)
+        E.top_k(c, 5, 21)
+        return c.select("select blk, symbol from w")
+
+    from tessera.plans.sql import to_spark
+
+    books = {}
+    for r in to_spark(text)(spark, small).collect():
+        books.setdefault(r["blk"], set()).add(str(r["symbol"]))
+    fills = driver_queries.settlement(spark, small).toPandas()
+    assert max(books) > 9 and set(fills["blk"]) == set(books)
+    shares, exits = {}, 0
+    for blk, got in fills.groupby("blk", sort=True):
+        before = set(shares)
+        for r in got.itertuples():
+            shares[r.symbol] = shares.get(r.symbol, 0.0) + (r.qty if r.side == "buy" else -r.qty)
+            assert shares[r.symbol] > -1e-4
+            if shares[r.symbol] < 1e-4:
+                del shares[r.symbol]
+        left = before - books[blk]
+        exits += len(left)
+        assert left.isdisjoint(shares)
+    assert exits > 5
