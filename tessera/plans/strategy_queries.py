@@ -260,7 +260,7 @@ def _rename(sql: str, name: str, to: str) -> str:
 
 
 def _table(c: Chain) -> str:
-    all_curves(c, ("stk_lowvol", "stk_mom121", "stk_strev", "cry_xmom", "fx_trend"))
+    all_curves(c, tuple(REGISTRY))
     c.add("sq", "select id, t_idx, ret, exp(sum(ln(1 + ret)) over (partition by id order by t_idx rows between unbounded preceding and current row)) as eq from curves")
     c.add("sd", "select *, eq / max(eq) over (partition by id order by t_idx rows between unbounded preceding and current row) - 1 as dd from sq")
     c.add("o", """select id, count(*) as n, exp(sum(ln(1 + ret))) - 1 as total, count(case when ret > 0 then 1 end) / nullif(cast(count(case when ret <> 0 then 1 end) as double), 0) as win_rate,
@@ -269,9 +269,10 @@ def _table(c: Chain) -> str:
 
 
 def _tests(c: Chain) -> str:
-    all_curves(c, ("stk_lowvol", "stk_mom121", "stk_strev", "cry_xmom", "fx_trend"))
+    all_curves(c, tuple(REGISTRY))
     c.add("ts_", "select id, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(count(*)) as t from curves group by id")
-    return c.select("select count(*) as n, round(sqrt(2 * ln(count(*))), 6) as bar, count(case when t > sqrt(2 * ln(5)) then 1 end) as clears from ts_")
+    c.add("bar_", "select greatest(2e0, sqrt(2 * ln(count(*)))) as bar from ts_")
+    return c.select("select count(*) as n, round(max(bar), 6) as bar, count(case when abs(t) >= bar then 1 end) as clears from ts_, bar_")
 
 
 TEXTS |= {"strategy_stats_table": _table, "multiple_testing_summary": _tests}

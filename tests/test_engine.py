@@ -409,3 +409,14 @@ def test_paper_settle_sells_what_left_the_book(spark, small):
         exits += len(left)
         assert left.isdisjoint(shares)
     assert exits > 5
+
+
+def test_multiple_testing_counts_the_whole_registry(spark, small):
+    """Every registered strategy is measured, against the bar of that many trials and by size of t."""
+    t = catalog.queries()["strategy_stats_table"](spark, small).toPandas().set_index("id")["t_stat"]
+    assert set(t.index) == set(strategy_queries.REGISTRY)
+    r = catalog.queries()["multiple_testing_summary"](spark, small).first()
+    bar = max(2.0, np.sqrt(2 * np.log(29)))
+    assert (r["n"], r["bar"], r["clears"]) == (29, pytest.approx(bar, abs=1e-6), int((t.abs() >= bar).sum()))
+    own = catalog.queries()["cry_trend"](spark, small).toPandas()["ret"]
+    assert t["cry_trend"] == pytest.approx(own.mean() / own.std() * len(own) ** 0.5, abs=1e-3)
