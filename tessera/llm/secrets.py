@@ -78,12 +78,38 @@ def candidates(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, z) for a, z in runs if any(c in string.digits for c in text[a:z])]
 
 
-def encode(text: str, start: int, end: int) -> np.ndarray:
-    """Character classes of the window: 0 padding, 1 other, 2.. printable ASCII; a token longer than its place shows head and tail."""
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """Overlapping parts of a run, which together hold all of it; a run that fits the network is its only part."""
+    size = HEAD + TAIL
+    if end - start <= size:
+        return [(start, end)]
+    return [(a, a + size) for a in (*range(start, end - size, TAIL), end - size)]
+
+
+def parts(text: str, start: int, end: int) -> Iterator[np.ndarray]:
+    """What the network reads of a run: all of it and, where it does not fit, its windows and its parts between separators.
+
+    The windows have the context of the run: the network knows tokens in prose, and takes
+    letters on both sides for a part of a key.
+    """
+    yield encode(text, start, end)
+    if end - start > HEAD + TAIL:
+        yield from (encode(text, x, y, (start, end)) for x, y in windows(start, end))
+        for m in re.finditer(r"[^/.=]+", text[start:end]):
+            if m.end() - m.start() >= MIN_CANDIDATE:
+                yield from (encode(text, x, y) for x, y in windows(start + m.start(), start + m.end()))
+
+
+def encode(text: str, start: int, end: int, around: tuple[int, int] | None = None) -> np.ndarray:
+    """Character classes of the window: 0 padding, 1 other, 2.. printable ASCII; a token longer than its place shows head and tail.
+
+    The context is that of the span ``around``, of the token itself by default.
+    """
+    first, last = around or (start, end)
     token = text[start:end]
     if len(token) > HEAD + TAIL:
         token = token[:HEAD] + token[-TAIL:]
-    left, right = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+    left, right = text[max(0, first - CONTEXT) : first], text[last : last + CONTEXT]
     row = np.zeros(LENGTH, np.int64)
 
     def put(s: str, at: int) -> None:
@@ -235,25 +261,47 @@ def train(n: int = TRAIN_FINDINGS, seed: int = SEED, recall: float = RECALL) ->
 
 
 def scan(text: str, net: Net) -> list[tuple[int, int, str]]:
-    """All findings of one text: the base rules' and, where none overlaps, the network's."""
+    """All findings of one text: the base rules' and, where these do not cover the whole run, the network's."""
     return scan_many([text], net)[0]
 
 
+def _covered(start: int, end: int, spans: list) -> bool:
+    """Whether the spans, in order of their starts, hold all of start to end."""
+    for a, z, _ in spans:
+        if a > start:
+            break
+        start = max(start, z)
+    return start >= end
+
+
 def scan_many(texts: list[str], net: Net) -> list[list[tuple[int, int, str]]]:
+    """The findings of every text. A run is marked by the highest score of its ``parts``."""
     found, rows, owner = [], [], []
+    best: dict[tuple[int, int, int], float] = {}
+
+    def score() -> None:
+        for k, p in zip(owner, net.scores(np.array(rows)) if rows else (), strict=True):
+            best[k] = max(best.get(k, 0.0), float(p))
+        rows.clear()
+        owner.clear()
+
     for i, text in enumerate(texts):
         runs = token_runs(text)
         found.append(base_findings(text, runs))
         for a, z in candidates(text, runs):
-            rows.append(encode(text, a, z))
-            owner.append((i, a, z))
-    if rows:
-        base = [list(f) for f in found]
-        for (i, a, z), p in zip(owner, net.scores(np.array(rows)), strict=True):
-            if p >= net.threshold and not any(x < z and a < y for x, y, _ in base[i]):
-                found[i].append((a, z, "model"))
-        for f in found:
-            f.sort(key=lambda s: (s[0], KINDS.index(s[2])))
+            if _covered(a, z, found[i]):
+                continue
+            for row in parts(text, a, z):
+                rows.append(row)
+                owner.append((i, a, z))
+                if len(rows) >= 8 * _BATCH:
+                    score()
+    score()
+    for (i, a, z), p in best.items():
+        if p >= net.threshold:
+            found[i].append((a, z, "model"))
+    for f in found:
+        f.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     return found
 
 

@@ -216,6 +216,25 @@ def test_secrets_base_spans(spark, docs):
             assert base == brute_secrets(r["text"])
 
 
+def test_secrets_reads_the_middle_of_long_runs(spark):
+    net = secrets.train()
+    key = "q7Xz9LmP2vK8sWd4RtY6bN1cH3jF5gTa"
+    path = "/opt/data/reports/archive/year/summary/tables/", "/pages/index/common/static/output/final.html"
+    runs = [(0, 16), (3, 51), (0, 49), (5, 400)]
+    for a, z in runs:
+        w = secrets.windows(a, z)
+        assert w[0][0] == a and w[-1][1] == z and all(y - x <= 48 for x, y in w)
+        assert all(v[0] <= u[1] - 32 for u, v in zip(w, w[1:]))
+    plain, planted = f"see {path[0]}v2{path[1]} now", f"see {path[0]}{key}{path[1]} now"
+    assert not [f for f in secrets.scan(plain, net) if f[2] == "model"]
+    assert [f for f in secrets.scan(planted, net) if f[2] == "model"] == [(4, len(planted) - 4, "model")]
+    # A base match of the tail alone leaves the rest to the network.
+    run = f"{key}.token=abc123"
+    assert [k for *_, k in secrets.scan(f"see {run} now", net)] == ["model", "assign"]
+    df = spark.createDataFrame([(1, f"see {run} now"), (2, planted)], "doc_id long, text string")
+    assert [r["text"] for r in secrets.redact(df).orderBy("doc_id").collect()] == ["see [secret] now"] * 2
+
+
 def test_secrets_network_on_held_out_findings():
     net = secrets.train()
     rows = secrets.labelled_findings(600, 991)
