@@ -7,7 +7,7 @@ from itertools import combinations
 from tessera.functions import series as S
 from tessera.operators import evaluation as E
 from tessera.operators import expression as X
-from tessera.operators.features import family_of, price_features
+from tessera.operators.features import PRICE_FEATURES, family_of, price_features
 from tessera.sources import panel as P
 
 from .sql import Chain, Text, rounded
@@ -128,7 +128,7 @@ def _ic_summary(c: Chain) -> str:
 
 def feature_ic(c: Chain) -> str:
     price_features(c)
-    c.add("fl", " union all ".join(f"select '{n}' as feature, symbol, t_idx, round({n}, 8) as x from feats" for n in SCORED))
+    c.add("fl", " union all ".join(f"select '{n}' as feature, symbol, t_idx, round({n}, 8) as x from feats" for n in PRICE_FEATURES))
     E.ic_series(c, "fl", "x", "fic", key="feature")
     c.add("ficm", "select g as feature, avg(ic) as mean_ic, avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(count(*) / 5e0) as t_stat, count(*) as n from fic group by g")
     return "ficm"
@@ -143,7 +143,7 @@ def _feature_ic(c: Chain) -> str:
 @query("family_ic_rollup")
 def _rollup(c: Chain) -> str:
     feature_ic(c)
-    cases = " ".join(f"when '{n}' then '{family_of(n)}'" for n in SCORED)
+    cases = " ".join(f"when '{n}' then '{family_of(n)}'" for n in PRICE_FEATURES)
     c.add("o", f"select case feature {cases} end as family, avg(abs(mean_ic)) as avg_ic, max(abs(mean_ic)) as max_ic, count(*) as n from ficm group by 1")
     return c.select(f"select family, n, {rounded('avg_ic', 'max_ic')} from o")
 
@@ -151,7 +151,7 @@ def _rollup(c: Chain) -> str:
 def variants(c: Chain) -> str:
     """Long relation ``var``: (strategy, t_idx, x), the mean next return of the upper half by several features."""
     price_features(c)
-    names = SCORED[:8]
+    names = PRICE_FEATURES
     c.add("rl", f"select symbol, t_idx, {S.shift('coalesce(r1, 0)', -1)} as nxt, {', '.join(names)} from feats where tradable")
     c.add("vl", " union all ".join(f"select '{n}' as strategy, symbol, t_idx, nxt, round({n}, 8) as x from rl" for n in names))
     c.add("vr", f"select *, {S.cs_rank_avg('x', 'strategy, t_idx')} as rk from vl")

@@ -420,3 +420,14 @@ def test_multiple_testing_counts_the_whole_registry(spark, small):
     assert (r["n"], r["bar"], r["clears"]) == (29, pytest.approx(bar, abs=1e-6), int((t.abs() >= bar).sum()))
     own = catalog.queries()["cry_trend"](spark, small).toPandas()["ret"]
     assert t["cry_trend"] == pytest.approx(own.mean() / own.std() * len(own) ** 0.5, abs=1e-3)
+
+
+def test_every_price_feature_is_scored(spark, small):
+    from tessera.operators.features import PRICE_FEATURES, family_of
+
+    ic = catalog.queries()["feature_ic_table"](spark, small).toPandas().set_index("feature")["mean_ic"].abs()
+    assert len(PRICE_FEATURES) == 40 and set(ic.index) == set(PRICE_FEATURES)
+    got = {r["family"]: (r["n"], r["avg_ic"], r["max_ic"]) for r in catalog.queries()["family_ic_rollup"](spark, small).collect()}
+    want = {f: (len(x), pytest.approx(x.mean(), abs=3e-6), pytest.approx(x.max(), abs=3e-6)) for f, x in ic.groupby(family_of)}
+    assert got == want and {"oscillator", "market_relative"} <= set(got)
+    assert catalog.queries()["effective_trials"](spark, small).first()["m"] == pytest.approx(40, abs=1e-4)
