@@ -401,26 +401,40 @@ def brute_repeats(texts, span=200):
     return out
 
 
-@pytest.mark.parametrize("shard", [2000, substrings.SHARD])
-def test_substrings_match_brute_force(spark, docs, awkward, shard):
+@pytest.mark.parametrize("shard, frequent", [(2000, 2), (2000, 10), (substrings.SHARD, substrings.FREQUENT)])
+def test_substrings_match_brute_force(spark, docs, awkward, shard, frequent):
     for df in (docs.limit(60), awkward):
         rows = df.collect()
         expect = Counter((r["doc_id"], *x) for r, x in zip(rows, brute_repeats([r["text"] for r in rows]), strict=True))
-        assert Counter(map(tuple, substrings.remove_repeats(df, shard=shard).collect())) == expect
+        assert Counter(map(tuple, substrings.remove_repeats(df, shard=shard, frequent=frequent).collect())) == expect
 
 
-def test_suffix_ranks_order_and_ties():
+@pytest.mark.parametrize("low, high, n", [(97, 99, 900), (0, 2, 700), (97, 98, 500), (97, 98, 1)])
+def test_suffix_array_and_common_prefixes(low, high, n):
     rng = np.random.default_rng(2)
-    text = rng.integers(97, 99, 900).astype(np.uint8)
-    text[500:800] = text[100:400]
-    rank = substrings.ranks(text, 200)
-    keys = [text[i : i + 200].tobytes().ljust(200, b"\0") for i in range(len(text))]
-    order = sorted(set(keys))
-    place = {k: i for i, k in enumerate(order)}
-    pairs = {}
-    for k, r in zip(keys, rank.tolist(), strict=True):
-        assert pairs.setdefault(r, k) == k
-    assert [place[pairs[r]] for r in sorted(pairs)] == list(range(len(order)))
+    text = rng.integers(low, high, n).astype(np.uint8)
+    text[n // 2 : n // 2 + 150] = text[10:160] if n > 400 else text[n // 2 : n // 2 + 150]
+    raw, order = text.tobytes(), substrings.suffix_array(text)
+    assert order.tolist() == sorted(range(n), key=lambda i: raw[i:])
+
+    def common(a: int, b: int) -> int:
+        return next((k for k in range(200) if raw[a + k : a + k + 1] != raw[b + k : b + k + 1] or max(a, b) + k >= n), 200)
+
+    assert substrings.common_prefixes(text, order, 200).tolist() == [0, *(common(a, b) for a, b in zip(order[:-1], order[1:], strict=True))]
+
+
+def test_blocks_merge_by_binary_search():
+    rng = np.random.default_rng(3)
+    blocks = []
+    for _ in range(7):
+        keys = np.unique(rng.integers(0, 60, rng.integers(0, 30)))
+        blocks.append((np.array([b"%016d" % k for k in keys], "S16"), rng.integers(1, 3, len(keys))))
+    total = Counter()
+    for k, n in blocks:
+        for x, c in zip(k.tolist(), n.tolist(), strict=True):
+            total[x] += c
+    for (k, _), twice in zip(blocks, substrings.merge(blocks), strict=True):
+        assert twice.tolist() == [total[x] > 1 for x in k.tolist()]
 
 
 # ---- all ----------------------------------------------------------------------
