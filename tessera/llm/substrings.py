@@ -10,8 +10,9 @@ Larsson and Sadakane, common prefixes of its neighbours come from Kasai's pass,
 and windows of one class are neighbours with a common prefix of 200 or more.
 
 The segments of one anchor meet in one shard, unless the anchor is frequent.
-Those are dealt to blocks, each with its own suffix array; the blocks' sorted
-windows are then merged range by range by binary search.
+Those are dealt to blocks, each with its own suffix array. What a block finds
+twice is settled there; its sorted windows are then merged with those of the
+other blocks, range by range, by binary search.
 
 Digests are keyed anew in every run, so no text can be made to collide.
 """
@@ -38,8 +39,8 @@ GRAM = 32
 SHARD = 1 << 20
 #: An anchor met more often is frequent; the text of any other fits a shard.
 FREQUENT = 2048
-#: Blocks of a frequent anchor; a block with more text than a shard becomes several.
-BLOCKS = 4096
+#: An anchor met more than FREQUENT * SPREAD ** k times is dealt to SPREAD ** (k + 1) blocks.
+SPREAD = 4
 #: Windows merged in one range, about.
 RANGE = 1 << 19
 #: Windows hashed at once; positions inside take the low bits of a hash.
@@ -232,18 +233,30 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 
 
 def _spread(block: list[tuple], span: int, secret: bytes, ranges: int) -> Iterator[tuple]:
-    """A block's windows by range of their digests: (range, sorted distinct keys, counts, refs), packed."""
+    """A block's windows: (h, d, spans) of what occurs twice in it, then by range of their digests (range, sorted distinct keys, counts, refs), packed.
+
+    All keys go to the merge, but only windows that occur once here go with them.
+    """
     seg, place, kind = classes([r[3] for r in block], span)
+    times = np.array([r[2] for r in block])
     kind = np.cumsum(np.concatenate([[0], np.diff(kind) != 0]))
+    twice = np.bincount(kind, weights=times[seg])[kind] > 1
+    o = np.lexsort((place[twice], seg[twice]))
+    here, at = seg[twice][o], place[twice][o]
+    cuts = np.searchsorted(here, np.arange(len(block) + 1))
+    for (h, d, _, _), a, z in zip(block, cuts[:-1], cuts[1:], strict=True):
+        if z > a:
+            yield h, d, _runs(at[a:z]), None, None, None, None
     lead = np.flatnonzero(np.concatenate([[True], np.diff(kind) != 0]))
     keys = np.array([hashlib.blake2b(block[s][3][p : p + span], digest_size=16, key=secret).digest() for s, p in zip(seg[lead].tolist(), place[lead].tolist(), strict=True)], "S16")
     by = np.argsort(keys)
     rank = np.empty(len(by), np.int64)
     rank[by] = np.arange(len(by))
     keys, kind = keys[by], rank[kind]
-    counts = np.bincount(kind, weights=np.array([r[2] for r in block])[seg], minlength=len(keys)).astype(np.int64)
+    counts = np.bincount(kind, weights=times[seg], minlength=len(keys)).astype(np.int64)
     high = np.frombuffer(keys.tobytes(), ">u4")[::4].astype(np.int64)
     part = (high * ranges) >> 32
+    seg, place, kind = seg[~twice], place[~twice], kind[~twice]
     refs = np.empty(len(kind), _REF)
     refs["key"], refs["at"] = kind, place
     refs["h"], refs["d"] = np.array([r[0] for r in block])[seg], np.array([r[1] for r in block])[seg]
@@ -253,7 +266,7 @@ def _spread(block: list[tuple], span: int, secret: bytes, ranges: int) -> Iterat
     for a, z, x, y in zip(edge[:-1], edge[1:], cut_refs[:-1], cut_refs[1:], strict=True):
         mine = refs[x:y].copy()
         mine["key"] -= a
-        yield int(part[a]), keys[a:z].tobytes(), counts[a:z].tobytes(), mine.tobytes()
+        yield None, None, None, int(part[a]), keys[a:z].tobytes(), counts[a:z].tobytes(), mine.tobytes()
 
 
 def _resolver(shard: int, span: int, secret: bytes, ranges: int):
@@ -273,10 +286,10 @@ def _resolver(shard: int, span: int, secret: bytes, ranges: int):
             pool.clear()
             pooled = 0
 
-        def close(often: bool) -> None:
+        def close(often: int) -> None:
             nonlocal size, pooled
             if often and group:
-                out.extend((None, None, None, *packed) for packed in _spread(group, span, secret, ranges))
+                out.extend(_spread(group, span, secret, ranges))
             elif group:
                 pool.extend(group)
                 pooled += size
@@ -285,7 +298,7 @@ def _resolver(shard: int, span: int, secret: bytes, ranges: int):
             group.clear()
             size = 0
 
-        frequent = False
+        frequent = 0
         for b in batches:
             for route, often, h, d, n, seg in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if route != now or (often and size > shard):
@@ -400,17 +413,22 @@ def _resolve(docs: DataFrame, span: int, gram: int, shard: int, frequent: int, f
     met_often = keyed.select("text").mapInArrow(heads, "h long, d long").groupBy("h").agg(F.count("*").alias("n"), F.min("d").alias("d"), F.max("d").alias("e")).filter("n > 1")
     counted = cut(met_often.select("h", "n", "d", (F.col("d") != F.col("e")).alias("mixed")))
     often = (F.col("n") > frequent) & F.col("mixed")
-    n = counted.agg(F.count("*").alias("all"), F.count_if("mixed").alias("mixed"), F.count_if(often).alias("often"), F.coalesce(F.sum(F.when(often, F.col("n"))), F.lit(0)).alias("times")).first()
-    filters = {"all": _filter(counted, n["all"]), "mixed": _filter(counted.filter("mixed"), n["mixed"]), "often": _filter(counted.filter(often), n["often"])}
+    n = counted.agg(F.count("*").alias("all"), F.count_if("mixed").alias("mixed"), F.max(F.when(often, F.col("n"))).alias("most"), F.coalesce(F.sum(F.when(often, F.col("n"))), F.lit(0)).alias("times")).first()
+    filters = [_filter(counted, n["all"]), _filter(counted.filter("mixed"), n["mixed"])]
+    least = frequent
+    while (n["most"] or 0) > least:  # one small filter for each power of SPREAD
+        level = counted.filter("mixed").filter(F.col("n") > least)
+        filters.append(_filter(level, level.count()))
+        least *= SPREAD
     shared = spark.sparkContext.broadcast(filters)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of two kinds: where an owner has a segment, and (owner null) how often this task met one whose text is needed, with that."""
-        known = shared.value
+        repeats, mixes, *levels = shared.value
         met: dict[tuple, list] = {}
         out: list[tuple] = []
         names = ["h", "d", "owner", "starts", "length", "often", "n", "seg"]
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
 
         def total() -> None:
             out.extend((h, d, None, None, None, x, k, seg) for (h, d), (x, k, seg) in met.items())
@@ -420,10 +438,12 @@ def _resolve(docs: DataFrame, span: int, gram: int, shard: int, frequent: int, f
             for text, owner in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 mine: dict[tuple, tuple[int, list]] = {}
                 for h, first, last in anchors(np.frombuffer(text, np.uint8), span, gram):
-                    hit = _inside(known["all"], h)
+                    hit = _inside(repeats, h)
                     h, first, last = h[hit], first[hit], last[hit]
-                    needed, frequent_ones = _inside(known["mixed"], h), _inside(known["often"], h)
-                    for x, a, z, need, o in zip(h.tolist(), first.tolist(), (last + span).tolist(), needed.tolist(), frequent_ones.tolist(), strict=True):
+                    needed, level = _inside(mixes, h), np.zeros(len(h), np.int32)
+                    for f in levels:
+                        level += _inside(f, h)
+                    for x, a, z, need, o in zip(h.tolist(), first.tolist(), (last + span).tolist(), needed.tolist(), level.tolist(), strict=True):
                         seg = text[a:z]
                         k = (x, int.from_bytes(digest(seg), "little", signed=True))
                         mine.setdefault(k, (z - a, []))[1].append(a)
@@ -467,11 +487,12 @@ def _resolve(docs: DataFrame, span: int, gram: int, shard: int, frequent: int, f
     names = [c.split()[0] for c in schema.split(", ")]
     kinds = [{"long": pa.int64(), "string": pa.string()}[c.split()[1]] for c in schema.split(", ")]
     with scratch(spark, "segments") as at:
-        found = "h long, d long, owner binary, starts array<int>, length int, often boolean, n long, seg binary"
+        found = "h long, d long, owner binary, starts array<int>, length int, often int, n long, seg binary"
         keyed.select("text", "owner").mapInArrow(segments, found).write.parquet(at)
         stored = spark.read.parquet(at)
         # The segments of an anchor meet in one task, those of a frequent one in many.
-        route = F.when(F.col("often"), F.xxhash64("h", F.pmod("d", F.lit(BLOCKS)))).otherwise(F.col("h"))
+        block = F.pmod("d", F.pow(F.lit(SPREAD), "often").cast("long"))
+        route = F.when(F.col("often") > 0, F.xxhash64("h", block)).otherwise(F.col("h"))
         met = stored.filter("owner is null").select(route.alias("route"), "often", "h", "d", "n", "seg").repartition(n_parts, "route")
         # Each task has counted its own, so a row per task and segment travels and is added up without a further shuffle.
         distinct = met.groupBy("route", "often", "h", "d").agg(F.sum("n").alias("n"), F.max("seg").alias("seg"))
