@@ -1,9 +1,11 @@
 """Main-text extraction: flat text blocks, judged by a decision tree.
 
 A page is cut into blocks at block-level tags. A block is described by its
-word count and link density and those of its neighbours, and by what its open
-elements say about it. The tree is grown here on a small labelled table of
-blocks.
+word count and link density and those of its neighbours, by what kind of block
+it is, and by raw marks of its open elements. None of these marks decides
+alone: the labelled table holds pages whose article has no element of its own
+and pages whose boilerplate has no telling name. The tree is grown here on
+that small table, pages written out as html and read like any other.
 """
 
 from __future__ import annotations
@@ -41,7 +43,10 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-FEATURES = ("words", "words_before", "words_after", "links", "links_before", "links_after", "boiler", "inside", "has_main", "heading")
+FEATURES = ("words", "words_before", "words_after", "links", "links_before", "links_after", "kind", "kind_before", "kind_after", "landmark", "hint", "inside", "marked_page")
+TRAIN_PAGES = 400
+#: Kinds of blocks by the tag that opened them; anything else is 0.
+KINDS = {**dict.fromkeys(("p", "blockquote", "pre"), 1), **dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), 2), **dict.fromkeys(("li", "dt", "dd"), 3), **dict.fromkeys(("td", "th", "caption"), 4)}
 
 
 @dataclass
@@ -49,14 +54,15 @@ class Block:
     text: str
     words: int
     linked: int
-    boiler: bool
+    kind: int
+    landmark: bool
+    hint: bool
     inside: bool
-    heading: bool
 
 
 def _attributes(raw: str, inside: bool) -> tuple[bool, bool]:
-    """(the element is boilerplate by its name or role, the element is hidden)."""
-    boiler = hidden = False
+    """(the element's name or role is one that boilerplate often has, the element is hidden)."""
+    hint = hidden = False
     for m in _ATTR.finditer(raw):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
@@ -64,29 +70,29 @@ def _attributes(raw: str, inside: bool) -> tuple[bool, bool]:
         elif name == "style":
             hidden |= "display:none" in value.replace(" ", "").lower()
         elif name == "role":
-            boiler |= value.lower() in ROLES
+            hint |= value.lower() in ROLES
         elif name in ("class", "id"):
             words = {w.lower() for w in _PIECES.findall(value)}
-            boiler |= bool(words & HINTS) or (not inside and bool(words & OUTER_HINTS))
-    return boiler, hidden
+            hint |= bool(words & HINTS) or (not inside and bool(words & OUTER_HINTS))
+    return hint, hidden
 
 
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page in order. Unclosed and stray tags are tolerated."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, boilerplate, inside the article, hidden
+    stack: list[tuple[str, tuple]] = []  # tag, (landmark, hint, inside the article, hidden)
     parts: list[str] = []
-    linked = 0
-    link = heading = False
+    linked = kind = 0
+    link = False
     hide: str | None = None  # the innermost open element that shows nothing
-    state = (False, False, False)
+    state = outer = (False, False, False, False)
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
-            if text and not state[2]:
-                out.append(Block(text, text.count(" ") + 1, linked, state[0], state[1], heading))
+            if text and not state[3]:
+                out.append(Block(text, text.count(" ") + 1, linked, kind, *state[:3]))
             parts.clear()
             linked = 0
 
@@ -121,15 +127,13 @@ def blocks(html: str) -> list[Block]:
             continue
         if tag in ("br", "img", "wbr", "input"):
             parts.append(" ")
-            if tag != "input" or hide:
-                continue
-        if tag in BLOCK_TAGS:
-            flush()
-            link = False
-            heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6") and not closing
-        boiler = hidden = False
-        if not closing and m[3]:
-            boiler, hidden = _attributes(m[3], state[1])
+            continue
+        if tag not in BLOCK_TAGS:
+            continue
+        flush()
+        link = False
+        kind = 0 if closing else KINDS.get(tag, 0)
+        hint, hidden = _attributes(m[3], outer[2]) if not closing and m[3] else (False, False)
         if tag in NESTING:
             if closing:
                 for i in range(len(stack) - 1, -1, -1):
@@ -137,83 +141,133 @@ def blocks(html: str) -> list[Block]:
                         del stack[i:]
                         break
             elif not m[3].endswith("/"):
-                inside = state[1] or tag in MAIN
-                by_tag = tag in BOILER or (tag == "header" and not state[1])
-                if tag in MAIN and not state[1]:
-                    stack.append((tag, boiler or state[0], True, hidden or state[2]))
-                else:
-                    stack.append((tag, boiler or by_tag or state[0], inside, hidden or state[2]))
-            state = stack[-1][1:] if stack else (False, False, False)
-        elif tag in BLOCK_TAGS and (boiler or hidden):
-            # A marked paragraph or heading: it ends at the next block boundary.
-            state = (state[0] or boiler, state[1], state[2] or hidden)
-            continue
-        if tag in BLOCK_TAGS and tag not in NESTING:
-            state = stack[-1][1:] if stack else (False, False, False)
+                first = tag in MAIN and not outer[2]
+                landmark = outer[0] or tag in BOILER or (tag == "header" and not outer[2])
+                stack.append((tag, (landmark, hint or outer[1], outer[2] or first, hidden or outer[3])))
+            state = outer = stack[-1][1] if stack else (False, False, False, False)
+        else:  # a marked paragraph or heading: it ends at the next block boundary
+            state = (outer[0], outer[1] or hint, outer[2], outer[3] or hidden)
     flush()
     return out
 
 
 def describe(page: list[Block]) -> np.ndarray:
-    """One feature row per block, see FEATURES."""
+    """One feature row per block, see FEATURES; there is an empty block before the first and after the last."""
     n = len(page)
     words = np.array([0, *(b.words for b in page), 0], float)
     links = np.array([0, *(min(1.0, b.linked / b.words) for b in page), 0], float)
-    has_main = float(any(b.inside for b in page))
-    flags = np.array([(b.boiler, b.inside, has_main, b.heading) for b in page], float).reshape(n, 4)
-    return np.column_stack([words[1:-1], words[:-2], words[2:], links[1:-1], links[:-2], links[2:], flags])
+    kinds = np.array([0, *(b.kind for b in page), 0], float)
+    flags = np.array([(b.landmark, b.hint, b.inside, any(x.inside for x in page)) for b in page], float).reshape(n, 4) if n else np.zeros((0, 4))
+    around = [c[k : k + n] for c in (words, links, kinds) for k in (1, 0, 2)]
+    return np.column_stack([*around, flags])
 
 
-def labelled_blocks(n: int = 120, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """The small labelled table: blocks of ``n`` invented page outlines, 1 for main text."""
-    rng = np.random.default_rng(seed)
-    rows, labels = [], []
-    for k in range(n):
-        marked = k % 4 != 0  # the page marks its article
-        page: list[tuple[Block, int]] = []
+# What the labelled pages are made of (fixed values).
+_NAMES = "ad cookie-notice newsletter share-bar sidebar comments related promo subscribe banner".split()
+_NEUTRAL = "box row c1 wrap inner col unit x7 block part".split()
 
-        def add(lo: int, hi: int, density: float, label: int, boiler: bool = False, inside: bool = False, heading: bool = False, page=page) -> None:
-            w = int(rng.integers(lo, hi))
-            page.append((Block("", w, round(w * density), boiler, inside, heading), label))
 
-        for _ in range(rng.integers(2, 8)):
-            add(1, 4, 1.0, 0, boiler=bool(rng.integers(0, 2)))
+def labelled_page(rng: np.random.Generator, article: str | None = None, named: float | None = None, landmarks: float | None = None) -> tuple[str, set[str]]:
+    """An invented page and the texts of its main blocks.
+
+    ``article`` is the element around the main text ("" for none); ``named`` and
+    ``landmarks`` are the shares of boilerplate with a telling class name or in
+    an element made for it. Left open, they are drawn for the page.
+    """
+    article = str(rng.choice(["article", "main", "div", "", "article"])) if article is None else article
+    named = float(rng.choice([0, 0.5, 1])) if named is None else named
+    landmarks = float(rng.choice([0, 0.5, 1])) if landmarks is None else landmarks
+    main: set[str] = set()
+    count = 0
+
+    def words(lo: int, hi: int) -> str:
+        nonlocal count
+        count += 1
+        return " ".join([f"w{count}"] + ["lorem"] * (int(rng.integers(lo, hi)) - 1))
+
+    def around(tag: str, inner: str) -> str:
+        own = tag if rng.random() < landmarks else "div"
+        name = str(rng.choice(_NAMES)) if rng.random() < named else str(rng.choice(_NEUTRAL))
+        return f'<{own} class="{name}">{inner}</{own}>' if own == "div" or rng.integers(0, 2) else f"<{own}>{inner}</{own}>"
+
+    def links(lo: int, hi: int) -> str:
+        items = [f'<a href="/{k}">{words(1, 4)}</a>' for k in range(rng.integers(lo, hi))]
+        return "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>" if rng.integers(0, 3) else "<p>" + " | ".join(items) + "</p>"
+
+    def aside() -> str:
+        """Boilerplate with running text: a notice, an advert, a reader's comment, a form."""
+        tag = str(rng.choice(["aside", "form", "div", "aside"]))
+        text = words(3, 60)
         if rng.integers(0, 2):
-            add(2, 40, 0.0, 0, boiler=True)
-        add(2, 15, 0.0, 1, inside=marked, heading=True)
-        for _ in range(rng.integers(1, 9)):
-            add(*((1, 160) if marked else (16, 160)), float(rng.choice([0, 0, 0, 0.1, 0.2])), 1, inside=marked)
-            if rng.integers(0, 6) == 0:
-                add(3, 60, float(rng.choice([0, 0.5])), 0, boiler=True, inside=marked)
-        for _ in range(rng.integers(0, 4)):
-            add(3, 80, 0.0, 0, boiler=True)
-        if marked:
-            add(3, 60, float(rng.choice([0, 1.0])), 0)
-        for _ in range(rng.integers(1, 5)):
-            add(1, 8, float(rng.choice([0.6, 1.0])), 0, boiler=bool(rng.integers(0, 2)))
-        add(4, 30, 0.0, 0, boiler=True)
-        rows.append(describe([b for b, _ in page]))
-        labels += [y for _, y in page]
+            text += f' <a href="/more">{words(2, 12)}</a>'
+        return around(tag, text if rng.integers(0, 2) else f"<p>{text}</p>")
+
+    def content() -> str:
+        # Without an element of its own main text is told by its length and its neighbours alone.
+        short = article in ("article", "main")
+        parts = [f"<h1>{words(3, 14)}</h1>"] if rng.integers(0, 3) else []
+        tag = str(rng.choice(["p", "p", "p", "div", "td", "blockquote", ""] if short else ["p", "p", "div"]))
+        for _ in range(rng.integers(2, 9)):
+            text = words(*((1, 140) if short else (25, 140)))
+            if rng.integers(0, 4) == 0:
+                text += f' <a href="/x">{words(1, 4)}</a>' if len(text) > 120 else ""
+            parts.append(f"<{tag}>{text}</{tag}>" if tag else f"<section>{text}</section>")
+            if rng.integers(0, 7) == 0:
+                parts.append(f"<h2>{words(2, 9)}</h2>")
+        if short and rng.integers(0, 4) == 0:
+            parts.append("<ul>" + "".join(f"<li>{words(2, 25)}</li>" for _ in range(3)) + "</ul>")
+        main.update(b.text for b in blocks("".join(parts)))
+        if rng.integers(0, 3) == 0:  # boilerplate among the paragraphs, which only shows by a mark
+            own = str(rng.choice(["aside", "form", "nav"]))
+            inner = f"<p>{words(3, 40)}</p>"
+            at = int(rng.integers(1, len(parts) + 1))
+            parts.insert(at, f"<{own}>{inner}</{own}>" if rng.integers(0, 2) or not short else f'<div class="{rng.choice(_NAMES)}">{inner}</div>')
+        body = "".join(parts)
+        return f"<{article}>{body}</{article}>" if article else body
+
+    before = [around("nav", links(2, 9))] + [aside() for _ in range(rng.integers(0, 2))]
+    if rng.integers(0, 6) == 0:
+        before = []
+    elif rng.integers(0, 2):
+        before.insert(0, around("header", f'<a href="/">{words(1, 4)}</a>'))
+    marked = article in ("article", "main")
+    after = [aside() if marked or rng.integers(0, 2) else around("aside", links(3, 8)) for _ in range(rng.integers(0, 4))]
+    after.append(around("footer", f"&copy; {words(2, 40 if marked else 12)}" if rng.integers(0, 2) else links(2, 6)))
+    if rng.integers(0, 4) == 0:
+        after = []
+    return "<html><body>" + "".join([*before, content(), *after]) + "</body></html>", main
+
+
+def labelled_blocks(n: int = TRAIN_PAGES, seed: int = 7, **made) -> tuple[np.ndarray, np.ndarray]:
+    """The small labelled table: the blocks of ``n`` invented pages, 1 for main text."""
+    rng = np.random.default_rng(seed)
+    rows, labels = [], []
+    for _ in range(n):
+        page, main = labelled_page(rng, **made)
+        found = blocks(page)
+        rows.append(describe(found))
+        labels += [int(b.text in main) for b in found]
     return np.concatenate(rows), np.array(labels)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 3):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 9, least: int = 3):
     """A Gini tree: (feature, cut, low side, high side), or a leaf's share of main text."""
     share = float(y.mean())
     if depth == 0 or len(y) < 2 * least or share in (0.0, 1.0):
         return share
     best = (2 * share * (1 - share) * len(y) - 1e-9, None, None)
     for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        for cut in (values[1:] + values[:-1]) / 2:
-            low = x[:, f] <= cut
-            k = int(low.sum())
-            if k < least or len(y) - k < least:
-                continue
-            a, b = y[low].mean(), y[~low].mean()
-            loss = 2 * a * (1 - a) * k + 2 * b * (1 - b) * (len(y) - k)
-            if loss < best[0]:
-                best = (loss, f, float(cut))
+        order = np.argsort(x[:, f], kind="stable")
+        v, hits = x[order, f], np.cumsum(y[order])
+        k = np.flatnonzero(v[1:] > v[:-1]) + 1  # rows on the low side of every cut
+        k = k[(k >= least) & (len(y) - k >= least)]
+        if not len(k):
+            continue
+        a, b = hits[k - 1] / k, (hits[-1] - hits[k - 1]) / (len(y) - k)
+        loss = 2 * a * (1 - a) * k + 2 * b * (1 - b) * (len(y) - k)
+        i = int(loss.argmin())
+        if loss[i] < best[0]:
+            best = (float(loss[i]), f, float((v[k[i]] + v[k[i] - 1]) / 2))
     if best[1] is None:
         return share
     low = x[:, best[1]] <= best[2]
