@@ -1,18 +1,18 @@
 """Secret scans: fixed rules, and a character convolutional network over every candidate token.
 
-The network reads a window of characters (context, token, context), is trained
-on the driver from labelled findings made by a seeded generator, and its
-threshold is the highest that keeps a set recall on findings held back from
-training.
+The network reads a window of characters (context, token, context) and is
+trained on the driver from labelled findings made by a seeded generator. Its
+scores are calibrated, and for every class of token the threshold is the
+highest that keeps a set recall on findings held back from training.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
 import string
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -29,14 +29,20 @@ HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "model")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
-#: A candidate is a maximal run of these characters, of this length at least, with a digit.
+#: Runs of these characters, of this length at least, are candidates unless they are plain words (see ``candidates``).
 TOKEN_CHARS = string.ascii_letters + string.digits + "+/_.=-"
-MIN_CANDIDATE = 16
+MIN_CANDIDATE = 8
+#: From this length on a plain word is a candidate too.
+LONG_WORD = 20
+#: Classes of tokens, each with its own threshold.
+CLASSES = ("numeric", "word", "hex", "plain", "marked")
 CONTEXT, HEAD, TAIL = 24, 32, 16
 LENGTH = 2 * CONTEXT + HEAD + TAIL
 EMBED, WIDTH, FILTERS = 10, 5, 24
 RECALL = 0.97
-TRAIN_FINDINGS = 3000
+TRAIN_FINDINGS = 6000
+#: Held-back secrets that a class needs for a threshold of its own.
+LEAST_HELD = 20
 SEED = 11
 _ASSIGN_STEMS = (b"passw", b"secret", b"token", b"api")
 #: Most texts scored against the network at once.
@@ -47,21 +53,53 @@ def _spans(pattern: re.Pattern, text: str, least: int, group: int = 0) -> list[t
     return [m.span() for m in pattern.finditer(text) if len(m[group]) >= least]
 
 
-def token_runs(text: str) -> list[tuple[int, int]]:
-    """Maximal runs of token characters of candidate length (code points, end exclusive)."""
+_SORT = np.zeros(129, np.int8)
+_SORT[[ord(c) for c in "/.-"]] = 1
+_SORT[[ord(c) for c in "+_="]] = 2
+_SORT[[ord(c) for c in string.ascii_lowercase]] = 3
+_SORT[[ord(c) for c in string.ascii_uppercase]] = 4
+_SORT[[ord(c) for c in string.digits]] = 5
+
+
+def token_runs(text: str) -> tuple[list[tuple[int, int]], list[bool]]:
+    """Maximal runs of token characters of candidate length (code points, end exclusive), and which are candidates.
+
+    A candidate holds a digit, or one of ``+ _ =`` between letters, or a capital behind a
+    small letter, or is longer than words are. What is left out are plain words,
+    capitalised or not, with hyphens, dots and slashes.
+    """
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    lut = np.zeros(129, bool)
-    lut[[ord(c) for c in TOKEN_CHARS]] = True
-    inside = np.zeros(len(codes) + 2, bool)
-    inside[1:-1] = lut[np.minimum(codes, 128)]
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    sort = np.zeros(len(codes) + 2, np.int8)
+    sort[1:-1] = _SORT[np.minimum(codes, 128)]
+    edge = np.flatnonzero((sort[1:] > 0) != (sort[:-1] > 0))
     runs = edge.reshape(-1, 2)
-    return [tuple(r) for r in runs[runs[:, 1] - runs[:, 0] >= MIN_CANDIDATE].tolist()]
+    runs = runs[runs[:, 1] - runs[:, 0] >= MIN_CANDIDATE]
+    if not len(runs):
+        return [], []
+    sort = sort[1:-1]
+    mark = sort == 5
+    mark[1:] |= (sort[1:] == 4) & (sort[:-1] == 3)
+    mark[1:-1] |= (sort[1:-1] == 2) & (sort[:-2] > 2) & (sort[2:] > 2)
+    upto = np.concatenate([[0], np.cumsum(mark)])
+    odd = (upto[runs[:, 1]] > upto[runs[:, 0]]) | (runs[:, 1] - runs[:, 0] >= LONG_WORD)
+    return [tuple(r) for r in runs.tolist()], odd.tolist()
+
+
+def token_class(token: str) -> int:
+    """Index in CLASSES."""
+    letters = [c for c in token if c.isalpha()]
+    if not letters:
+        return 0
+    if not any(c in string.digits for c in token):
+        return 1
+    if all(c in "0123456789abcdef" or c in "+/_.=-" for c in token):
+        return 2
+    return 4 if any(c in "+/_.=-" for c in token.strip("+/_.=-")) else 3
 
 
 def base_findings(text: str, runs: list[tuple[int, int]] | None = None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the fixed rules, leftmost and non-overlapping within each kind."""
-    runs = token_runs(text) if runs is None else runs
+    runs = token_runs(text)[0] if runs is None else runs
     found = []
     low = text.encode("utf-8", "surrogatepass").lower()
     if any(s in low for s in _ASSIGN_STEMS):
@@ -74,10 +112,6 @@ def base_findings(text: str, runs: list[tuple[int, int]] | None = None) -> list[
     return sorted(found, key=lambda f: (f[0], KINDS.index(f[2])))
 
 
-def candidates(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    return [(a, z) for a, z in runs if any(c in string.digits for c in text[a:z])]
-
-
 def windows(start: int, end: int) -> list[tuple[int, int]]:
     """Overlapping parts of a run, which together hold all of it; a run that fits the network is its only part."""
     size = HEAD + TAIL
@@ -130,7 +164,7 @@ class Net:
     out_bias: np.ndarray
     scale: float = 1.0
     shift: float = 0.0
-    threshold: float = 0.5
+    thresholds: np.ndarray = field(default_factory=lambda: np.full(len(CLASSES), 0.5))
 
     def forward(self, rows: np.ndarray) -> tuple[np.ndarray, tuple]:
         n = len(rows)
@@ -159,6 +193,7 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
     pools = [string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "_-", "0123456789abcdef", string.ascii_uppercase + string.digits]
     lead = ["key ", "key: ", "auth ", "Bearer ", "credential=", "pwd: ", "access key ", "private ", "Authorization: ", "signature ", "", "", "secret ", "token "]
     prefixes = ["sk_live_", "ghx_", "xox-", "pk-", "", "", "", "", "eyJ"]
+    strong = lead[:10] + ["password ", "login ", "api-key ", "client_secret ", "pass ", "auth_token "]
 
     def draw(pool: str, k: int) -> str:
         return "".join(rng.choice(list(pool), k))
@@ -174,45 +209,62 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
     def digits(k: int) -> str:
         return draw(string.digits, k)
 
+    def camel() -> str:
+        return word() + "".join(word().capitalize() for _ in range(rng.integers(1, 4)))
+
     def harmless() -> str:
-        kind = rng.integers(0, 10)
-        if kind <= 1:
-            return digits(int(rng.integers(16, 24)))
-        if kind == 2:
-            return f"{word()}.{word()}.{digits(2)}-{word()}{word()}.com"
-        if kind == 3:
-            return f"{digits(4)}-{digits(2)}-{digits(2)}_{digits(2)}.{digits(2)}.{digits(2)}"
-        if kind == 4:
-            return f"/{word()}/{word()}/{word()}{digits(1)}/{word()}.html"
-        if kind == 5:
-            return "=" * int(rng.integers(12, 30)) + digits(int(rng.integers(4, 6)))
-        if kind == 6:
-            return f"{word()}-{word()}-{word()}-{digits(4)}{word()}"
-        if kind == 7:
-            return ".".join(digits(int(rng.integers(1, 4))) for _ in range(7))
-        if kind == 8:
-            return f"{word()}{word()}{word()}{word()}{word()}{digits(1)}."
-        return f"+{digits(2)}-{digits(3)}-{digits(4)}-{digits(6)}"
+        return str(
+            [
+                lambda: digits(int(rng.integers(8, 24))),
+                lambda: f"{word()}.{word()}.{digits(2)}-{word()}{word()}.com",
+                lambda: f"{digits(4)}-{digits(2)}-{digits(2)}_{digits(2)}.{digits(2)}.{digits(2)}",
+                lambda: f"/{word()}/{word()}/{word()}{digits(1)}/{word()}.html",
+                lambda: "=" * int(rng.integers(12, 30)) + digits(int(rng.integers(4, 6))),
+                lambda: f"{word()}-{word()}-{word()}-{digits(4)}{word()}",
+                lambda: ".".join(digits(int(rng.integers(1, 4))) for _ in range(rng.integers(4, 8))),
+                lambda: f"{word()}{word()}{word()}{word()}{word()}{digits(1)}.",
+                lambda: f"+{digits(2)}-{digits(3)}-{digits(4)}-{digits(6)}",
+                lambda: f"{digits(3)}-{digits(4)}",
+                lambda: f"{word()}{digits(int(rng.integers(1, 3)))}.{word()}.{rng.choice(['com', 'org', 'net'])}",
+                lambda: f"{word()}.{digits(2)}",
+                lambda: f"{digits(4)}-{digits(2)}-{digits(2)}",
+                lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}-{word()}{digits(1)}",
+                camel,
+                lambda: f"{word()}_{word()}_{word()}",
+                lambda: f"{word()}_{word()}.{word()[:3]}",
+                lambda: f"{word()}{word()}{word()}{word()}{word()}{word()}",
+                lambda: f"{word()}-{word()}-{word()}-{word()}-{word()}".upper(),
+                lambda: f"{word().capitalize()}{word()}{digits(int(rng.integers(1, 5)))}",
+                lambda: "-" * int(rng.integers(8, 40)),
+                lambda: f"{word()}/{word()}/{word()}={digits(2)}",
+                lambda: f"{word().upper()}-{digits(3)}.{digits(2)}",
+            ][rng.integers(0, 23)]()
+        )
 
     out = []
     while len(out) < n:
         label = int(len(out) % 2 == 0)
         if label:
-            before = f"{prose()} {rng.choice(lead)}"
-            token = str(rng.choice(prefixes)) + draw(str(rng.choice(pools)), int(rng.integers(20, 64)))
+            prefix, size = str(rng.choice(prefixes)), int(rng.integers(10, 64))
+            # Without a telling prefix a short secret needs telling words before it.
+            before = f"{prose()} {rng.choice(lead if size >= 20 or prefix else strong)}"
+            token = prefix + draw(str(rng.choice(pools)), size)
+            if size >= 20:  # some stand in a longer run
+                inside = [token] * 8 + [f"{token}.{word()}={word()}{digits(2)}", f"/{word()}/{word()}/{token}/{word()}.{word()}"]
+                token = str(rng.choice(inside))
         else:
-            before, token = f"{prose()} ", harmless()
+            before, token = f"{prose()} {rng.choice([*[''] * 9, 'key ', 'see ', 'at '])}", harmless()
         quote = str(rng.choice(["", "", '"', "'"]))
-        if len(token) >= MIN_CANDIDATE and any(c in string.digits for c in token):
-            text = f"{before}{quote}{token}{quote} {prose()}"
-            start = len(before) + len(quote)
+        text = f"{before}{quote}{token}{quote} {prose()}"
+        start = len(before) + len(quote)
+        if len(token) >= MIN_CANDIDATE:
             out.append((text, start, start + len(token), label))
     return out
 
 
 @lru_cache(maxsize=4)
 def train(n: int = TRAIN_FINDINGS, seed: int = SEED, recall: float = RECALL) -> Net:
-    """Fit on four fifths of ``n`` labelled findings; calibrate and set the threshold on the rest."""
+    """Fit on four fifths of ``n`` labelled findings; calibrate and set the thresholds on the rest."""
     rows = labelled_findings(n, seed)
     x = np.array([encode(t, a, z) for t, a, z, _ in rows])
     y = np.array([r[3] for r in rows], np.float32)
@@ -255,8 +307,15 @@ def train(n: int = TRAIN_FINDINGS, seed: int = SEED, recall: float = RECALL) ->
         p = 1 / (1 + np.exp(-np.clip(net.scale * logits + net.shift, -30, 30)))
         net.scale -= 0.1 * float(np.mean((p - y[held]) * logits))
         net.shift -= 0.1 * float(np.mean(p - y[held]))
-    positive = np.sort(net.scores(x[held])[y[held] == 1])
-    net.threshold = float(min(0.9, positive[int((1 - recall) * len(positive))]))
+    scores = net.scores(x[held])
+    sort = np.array([token_class(t[a:z]) for t, a, z, _ in rows])[held]
+    for c in range(len(CLASSES)):
+        mine = (y[held] == 1) & (sort == c)
+        if not any(r[3] and token_class(r[0][r[1] : r[2]]) == c for r in rows):
+            net.thresholds[c] = math.inf  # no labelled finding of this class is a secret
+            continue
+        positive = np.sort(scores[mine if mine.sum() >= LEAST_HELD else y[held] == 1])
+        net.thresholds[c] = min(0.9, positive[int((1 - recall) * len(positive))])
     return net
 
 
@@ -286,10 +345,10 @@ def scan_many(texts: list[str], net: Net) -> list[list[tuple[int, int, str]]]:
         owner.clear()
 
     for i, text in enumerate(texts):
-        runs = token_runs(text)
+        runs, odd = token_runs(text)
         found.append(base_findings(text, runs))
-        for a, z in candidates(text, runs):
-            if _covered(a, z, found[i]):
+        for (a, z), candidate in zip(runs, odd, strict=True):
+            if not candidate or _covered(a, z, found[i]):
                 continue
             for row in parts(text, a, z):
                 rows.append(row)
@@ -298,7 +357,7 @@ def scan_many(texts: list[str], net: Net) -> list[list[tuple[int, int, str]]]:
                     score()
     score()
     for (i, a, z), p in best.items():
-        if p >= net.threshold:
+        if p >= net.thresholds[token_class(texts[i][a:z])]:
             found[i].append((a, z, "model"))
     for f in found:
         f.sort(key=lambda s: (s[0], KINDS.index(s[2])))
@@ -309,7 +368,8 @@ def find_secrets(docs: DataFrame, net: Net | None = None) -> DataFrame:
     """doc_id and ``findings``, an array of (start, end, kind) in code points of the whole text.
 
     Null text counts as empty. Ids may be null or repeated: every row is
-    scanned on its own. Empty input gives no rows; extra columns are dropped.
+    scanned on its own. Findings may overlap; they come by start, then by kind
+    in the order of KINDS. Empty input gives no rows; extra columns are dropped.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net or train())
 
@@ -325,7 +385,11 @@ def find_secrets(docs: DataFrame, net: Net | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", net: Net | None = None) -> DataFrame:
-    """The same rows and columns with every finding in ``text`` replaced by ``mark``."""
+    """The same rows and columns with every finding in ``text`` replaced by ``mark``.
+
+    Findings that overlap share one mark. Null and empty texts stay as they
+    are, repeated rows are treated alike, an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net or train())
     at = docs.columns.index("text")
 
