@@ -48,9 +48,11 @@ def running_total(df: DataFrame, order: list[Column], value: Column, out: str) -
     )
 
 
-def row_key() -> Column:
-    """16 bytes that tell rows apart by id and text; equal rows share theirs."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.col("text"), F.lit("")))))
+def row_key(df: DataFrame) -> Column:
+    """32 bytes that tell the rows of ``df`` apart by all their columns; only rows equal in every column share theirs."""
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "text"]))
+    text = F.coalesce(F.concat(F.lit("t"), F.col("text")), F.lit("n"))
+    return F.unhex(F.sha2(F.concat(rest, text).cast("binary"), 256))
 
 
 def whole_row(df: DataFrame) -> Column:

@@ -67,13 +67,15 @@ def mix(
     Null text has size 0; documents of size 0 take 0. A null source is a
     source of its own. Repeated ids stay separate rows. Empty input gives no
     rows. Extra columns are dropped. Returns doc_id, size, source_size,
-    target, taken, and the integer ``copies``; ``key`` is the row's key.
+    target, taken, and the integer ``copies``; ``key`` is the row's key. Rows
+    equal in id and text are put in order by their other columns, rows equal in
+    all columns may be swapped freely.
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)) if size is None else size
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
     slim = docs.select(
         "doc_id",
-        row_key().alias("key"),
+        row_key(docs).alias("key"),
         F.coalesce(F.col("source"), F.lit("")).alias("src"),
         F.col("source").isNull().alias("src_null"),
         size.cast("long").alias("size"),
@@ -89,7 +91,7 @@ def mix(
     earlier = W.partitionBy("src", "src_null").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     queue = parts.withColumn("ahead", F.coalesce(F.sum("part_size").over(earlier), F.lit(0)))
     queue = queue.join(targets, ["src", "src_null"]).drop("part_size", "weight")
-    inside = W.partitionBy("src", "src_null", "part").orderBy("shuffle_key", "doc_id", "size")
+    inside = W.partitionBy("src", "src_null", "part").orderBy("shuffle_key", "doc_id", "size", "key")
     inside = inside.rowsBetween(W.unboundedPreceding, 0)
     queued = slim.join(queue, ["src", "src_null", "part"]).withColumn("upto", F.col("ahead") + F.sum("size").over(inside))
     queued = cut(queued.select("doc_id", "key", "size", "source_size", "target", "src_rank", "upto"))
@@ -113,9 +115,14 @@ def mix(
 
 
 def repeat_taken(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it (not at all, or up to three times)."""
+    """The rows of ``docs``, each as often as the mix takes it (not at all, or up to three times).
+
+    Null and blank texts have no words and are left out. Rows equal in every
+    column count together, any other difference keeps rows apart. An empty
+    table stays empty; all columns are kept.
+    """
     taken = mix(docs).groupBy("key").agg(F.sum("copies").alias("n")).filter("n > 0").withColumnRenamed("key", "__key")
-    keyed = docs.select(whole_row(docs), row_key().alias("__key")).dropDuplicates(["__key"])
+    keyed = docs.select(whole_row(docs), row_key(docs).alias("__key")).dropDuplicates(["__key"])
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
     return keyed.join(taken, "__key").withColumn("__copy", copies).select("__row.*")
 

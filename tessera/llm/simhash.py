@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             fps = np.array([fingerprint(t or b"", shingle, seed) for t in b.column(2).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    slim = docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), F.col("text").cast("binary"))
+    slim = docs.select(F.col("doc_id").cast("long"), row_key(docs).alias("key"), F.col("text").cast("binary"))
     return slim.mapInArrow(run, "doc_id long, key binary, fp long")
 
 
@@ -257,11 +257,14 @@ def _groups(marks: DataFrame, radius: int) -> DataFrame:
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` with the smallest id of each near-duplicate component, all columns unchanged.
 
-    Of rows equal in id and text one stays.
+    Null, empty and blank texts are near each other. Of rows with equal ids the
+    one with the smallest key stays (see ``row_key``), of rows equal in every
+    column one. An empty table stays empty; rows without an id stay only where
+    their whole component has none.
     """
     groups = _groups(cut(fingerprints(docs, shingle, seed)), radius)
     stay = groups.select(F.col("first.key").alias("__key")).distinct()
-    keyed = docs.select(whole_row(docs), row_key().alias("__key"))
+    keyed = docs.select(whole_row(docs), row_key(docs).alias("__key"))
     return keyed.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).select("__row.*")
 
 
