@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 from .common import table
 from .quality import COMMON_WORDS
 
@@ -29,9 +31,11 @@ WIDTHS = (1, 2, 3)
 FILTERS = 16
 #: Most labelled documents of either class that are fetched for training.
 MAX_TRAIN = {1: 4000, 0: 6000}
-#: Words of a longer clean document that train; toxic ones train whole.
-PIECE = 4000
+#: Most characters of them; a document that does not fit what is left is passed over, none is cut.
+MAX_CHARS = {1: 10_000_000, 0: 16_000_000}
+#: Documents and words of one training step, about.
 BATCH = 64
+BATCH_WORDS = 100_000
 MIN_STEPS = 500
 SEED = 5
 _WORD = re.compile(r"\w+")
@@ -132,15 +136,8 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> TextNet
     step, rounds = 0, max(3, -(-MIN_STEPS * BATCH // len(use)))
     for _ in range(rounds):
         rng.shuffle(use)
-        for i in range(0, len(use), BATCH):
-            rows = use[i : i + BATCH]
-            picked = []
-            for r in rows:  # a random piece of a very long training document that is not toxic
-                d = docs[r]
-                if len(d) > PIECE and labels[r] == 0:
-                    a = int(rng.integers(0, len(d) - PIECE))
-                    d = d[a : a + PIECE]
-                picked.append(np.concatenate([d, np.zeros((max(WIDTHS), FEATURES), np.int32)]))
+        for rows in _batches(use, docs):
+            picked = [np.concatenate([docs[r], np.zeros((max(WIDTHS), FEATURES), np.int32)]) for r in rows]
             ends = np.cumsum([len(d) for d in picked])
             begins = ends - [len(d) for d in picked]
             ids = np.concatenate(picked)
@@ -152,9 +149,12 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> TextNet
                 conv = x[:n] @ net.kernels[k][0]
                 for j in range(1, w):
                     conv += x[j : n + j] @ net.kernels[k][j]
-                top = np.array([a + conv[a : z - max(WIDTHS)].argmax(axis=0) if z - a > max(WIDTHS) else np.full(FILTERS, a) for a, z in zip(begins, ends, strict=True)])
+                # Only windows of real words, as in scoring; a text that is too short for any gives zero.
+                last = [z - max(WIDTHS) - w + 1 for z in ends]
+                top = np.array([a + conv[a:z].argmax(axis=0) if z > a else np.full(FILTERS, a) for a, z in zip(begins, last, strict=True)])
                 tops.append(top)
-                pooled[:, k * FILTERS : (k + 1) * FILTERS] = conv[top, np.arange(FILTERS)] + net.biases[k]
+                some = np.array([z > a for a, z in zip(begins, last, strict=True)])[:, None]
+                pooled[:, k * FILTERS : (k + 1) * FILTERS] = (conv[top, np.arange(FILTERS)] + net.biases[k]) * some
             live = pooled > 0
             act = pooled * live
             logit = act @ net.out + net.out_bias[0]
@@ -184,6 +184,15 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> TextNet
     return net
 
 
+def _batches(use: np.ndarray, docs: list[np.ndarray]) -> Iterator[np.ndarray]:
+    a = words = 0
+    for z in range(len(use)):
+        words += len(docs[use[z]])
+        if z + 1 - a == BATCH or words >= BATCH_WORDS or z + 1 == len(use):
+            yield use[a : z + 1]
+            a, words = z + 1, 0
+
+
 def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
     """The cut with the best F1, in the middle of the gap above it."""
     order = np.argsort(-z, kind="stable")
@@ -194,25 +203,30 @@ def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
     return float((z[order][k] + below) / 2)
 
 
-def calibrate(net: TextNet, docs: list[np.ndarray], labels: np.ndarray, least: int = 10) -> None:
-    """Set the shift of every language, so that score 0.5 is its own best cut."""
+def calibrate(net: TextNet, docs: list[np.ndarray], labels: np.ndarray, prior: float = 10) -> None:
+    """Set the shift of every language, so that score 0.5 is its own best cut.
+
+    The cut of a language with few toxic documents leans to that of all, which counts as ``prior`` documents.
+    """
     if not len(docs) or not labels.any():
         return
     tables = net.tables()
     z = np.array([net.logit(d, tables) for d in docs])
     langs = np.array([language_of(d) for d in docs])
-    net.shifts[:] = _best_cut(z, labels)
+    every = _best_cut(z, labels)
+    net.shifts[:] = every
     for lang in range(len(_LANGS) + 1):
         here = langs == lang
-        if labels[here].sum() >= least:
-            net.shifts[lang] = _best_cut(z[here], labels[here])
+        if toxic := float(labels[here].sum()):
+            net.shifts[lang] = (toxic * _best_cut(z[here], labels[here]) + prior * every) / (toxic + prior)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashed words and labels of at most MAX_TRAIN labelled documents that are not held out.
+    """Hashed words and labels of labelled documents that are not held out, whole texts.
 
-    Chosen by a hash of the id. Only the chosen ids, of which there are at
-    most MAX_TRAIN, are sent to the scan of the texts.
+    A sample bounded by MAX_TRAIN documents and MAX_CHARS characters a class,
+    in the order of a hash of the id. Only chosen ids are sent to the scans of
+    the texts, and only what fits the bounds comes back.
     """
     ok = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     ok = ok.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
@@ -222,17 +236,21 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Hasher()
         for b in batches:
-            ids = []
-            for doc_id, toxic, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                words = hashed(t or "")
-                if toxic == 0 and len(words) > PIECE:  # any piece of a clean text is clean
-                    at = zlib.crc32(str(doc_id).encode()) % (len(words) - PIECE)
-                    words = words[at : at + PIECE]
-                ids.append(words.tobytes())
+            ids = [hashed(t or "").tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["doc_id", "toxic", "ids"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen.select(F.col("doc_id").cast("long"), "toxic")), "doc_id")
-    rows = texts.select("doc_id", F.col("toxic").cast("int"), "text").mapInArrow(run, "doc_id long, toxic int, ids binary").collect()
+    # At most the sum of MAX_TRAIN ids go out, and as many sizes come back (rows that repeat an id count as one).
+    chosen = cut(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")))
+    asked = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
+    sizes = asked.groupBy("doc_id", "toxic").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).collect()
+    left, fits = dict(MAX_CHARS), []
+    for r in sorted(sizes, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"])):
+        if r["n"] <= left[r["toxic"]]:
+            left[r["toxic"]] -= r["n"]
+            fits.append((r["doc_id"], r["toxic"]))
+    few = docs.sparkSession.createDataFrame(fits, "doc_id long, toxic int")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(few), "doc_id")
+    rows = texts.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, ids binary").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], bytes(r["ids"])))
     return [np.frombuffer(r["ids"], np.int32).reshape(-1, FEATURES) for r in rows], np.array([r["toxic"] for r in rows], np.float32)
 
