@@ -31,8 +31,7 @@ DIRECTIONS = 8
 CONFIDENCE = 0.98
 K = 10
 #: Rows on which the upper tree is fitted; the index holds every row.
-SAMPLE = 8192
-MAX_LEAVES = 256
+SAMPLE = 65_536
 #: Most vectors of one searched shard; a fuller leaf is dealt to several.
 SHARD = 16_384
 BUCKET = 64
@@ -104,7 +103,7 @@ class UpperTree:
 class Shard:
     """A kd-tree over the projections of one shard: buckets in a row, with their boxes."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray) -> None:
+    def __init__(self, ids: np.ndarray, own: np.ndarray, vectors: np.ndarray, points: np.ndarray) -> None:
         order, bounds = np.arange(len(ids)), []
         todo = [(0, len(ids))]
         while todo:
@@ -119,13 +118,13 @@ class Shard:
             todo += [(a, a + mid), (a + mid, z)]
         bounds.sort()
         self.starts = np.array([a for a, _ in bounds])
-        self.ids, self.vectors, points = ids[order], vectors[order], points[order]
+        self.ids, self.rows, self.vectors, points = ids[order], own[order], vectors[order], points[order]
         self.ends = np.array([z for _, z in bounds])
         self.low = np.minimum.reduceat(points, self.starts, axis=0)
         self.high = np.maximum.reduceat(points, self.starts, axis=0)
 
     def search(self, me: int, q: np.ndarray, p: np.ndarray, k: int, limit: float, stop: float) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest here (ids, distances), given that k others lie within ``limit``."""
+        """The k nearest here (ids, distances) but row ``me``, given that k others lie within ``limit``."""
         gap = np.maximum(np.maximum(self.low - p, p - self.high), 0)
         far = (gap * gap).sum(axis=1)
         order = np.argsort(far, kind="stable")
@@ -138,7 +137,7 @@ class Shard:
             take = order[at : at + step]
             at, step = at + step, min(step * 2, 64)
             rows = np.concatenate([np.arange(self.starts[b], self.ends[b]) for b in take])
-            rows = rows[self.ids[rows] != me]
+            rows = rows[self.rows[rows] != me]
             diff = self.vectors[rows] - q
             ids = np.concatenate([ids, self.ids[rows]])
             dist = np.concatenate([dist, np.sqrt((diff * diff).sum(axis=1))])
@@ -148,8 +147,8 @@ class Shard:
         return ids[near], dist[near]
 
 
-_ROW = "shard long, kind int, id long, dim int, v binary, p binary, bound double"
-_HIT = "query_id long, vec_id long, score double"
+_ROW = "shard long, kind int, id long, row long, dim int, v binary, p binary, bound double"
+_HIT = "query_row long, query_id long, vec_id long, score double"
 
 
 def _search(rows: DataFrame, k: int, stop: float) -> DataFrame:
@@ -160,8 +159,8 @@ def _search(rows: DataFrame, k: int, stop: float) -> DataFrame:
         held: list[tuple] = []
         for b in batches:
             shard, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
-            ids, bound = b.column(2).to_numpy(), b.column(6).to_numpy(zero_copy_only=False)
-            v, p = b.column(4).to_pylist(), b.column(5).to_pylist()
+            ids, own, bound = b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(7).to_numpy(zero_copy_only=False)
+            v, p = b.column(5).to_pylist(), b.column(6).to_pylist()
             out: list[tuple] = []
             edges = np.flatnonzero((np.diff(shard) != 0) | (np.diff(kind) != 0)) + 1
             for a, z in zip([0, *edges], [*edges, len(shard)], strict=True):
@@ -170,17 +169,17 @@ def _search(rows: DataFrame, k: int, stop: float) -> DataFrame:
                 if shard[a] != now:
                     now, index, held = shard[a], None, []
                 if kind[a] == 0:
-                    held.append((ids[a:z], np.array([np.frombuffer(x) for x in v[a:z]]), np.array([np.frombuffer(x) for x in p[a:z]])))
+                    held.append((ids[a:z], own[a:z], np.array([np.frombuffer(x) for x in v[a:z]]), np.array([np.frombuffer(x) for x in p[a:z]])))
                 elif held or index:
                     if index is None:
                         index = Shard(*(np.concatenate(c) for c in zip(*held, strict=True)))
                         held = []
                     for i in range(a, z):
-                        got, dist = index.search(int(ids[i]), np.frombuffer(v[i]), np.frombuffer(p[i]), k, float(bound[i]), stop)
-                        out += zip([int(ids[i])] * len(got), got.tolist(), dist.tolist(), strict=True)
-            cols = list(zip(*out, strict=True)) or [()] * 3
-            types = [pa.int64(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["query_id", "vec_id", "score"])
+                        got, dist = index.search(int(own[i]), np.frombuffer(v[i]), np.frombuffer(p[i]), k, float(bound[i]), stop)
+                        out += zip([int(own[i])] * len(got), [int(ids[i])] * len(got), got.tolist(), dist.tolist(), strict=True)
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["query_row", "query_id", "vec_id", "score"])
 
     n = shuffle_partitions(rows.sparkSession)
     return rows.repartition(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(run, _HIT)
@@ -199,9 +198,10 @@ def nearest(vectors: DataFrame, is_query: Column | None = None, k: int = K, conf
 
     Vectors that are null, empty, zero or hold null or non-finite components
     take no part, nor do rows without an id. Only vectors of the query's own
-    length are compared. A row never finds its own id; rows that repeat an id
-    are candidates each, and ask once. Ties go to the smaller id. Fewer than k
-    candidates give all of them; empty input gives no rows.
+    length are compared. A row never finds itself; rows that repeat an id are
+    candidates and queries each, so such an id has each of its ranks more than
+    once. Ties go to the smaller id. Fewer than k candidates give all of them;
+    empty input gives no rows; extra columns are dropped.
     """
     spark = vectors.sparkSession
     stop = chi2_quantile(confidence, DIRECTIONS)
@@ -218,15 +218,15 @@ def nearest(vectors: DataFrame, is_query: Column | None = None, k: int = K, conf
             cols = [b.column(0), pa.array([len(x) for x in vs], pa.int32()), pa.array([x.tobytes() for x in vs], pa.binary()), pa.array(ps, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "dim", "v", "p"])
 
-    placed = cut(usable(vectors).mapInArrow(project, "id long, dim int, v binary, p binary"))
-    sample = placed.select("dim", "p", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE).collect()
+    placed = cut(usable(vectors).mapInArrow(project, "id long, dim int, v binary, p binary").withColumn("row", F.monotonically_increasing_id()))
+    sample = placed.select("dim", "p", F.xxhash64("id").alias("h"), "id", "v").orderBy("h", "id", "v").select("dim", "p").limit(SAMPLE).collect()
     total = placed.count()
     trees: dict[int, UpperTree] = {}
     first = 1
     for dim in sorted({r["dim"] for r in sample}):
         points = np.array([np.frombuffer(r["p"]) for r in sample if r["dim"] == dim])
         share = math.ceil(total * len(points) / max(1, len(sample)) / (SHARD / 2))
-        trees[dim] = UpperTree(points, max(1, min(MAX_LEAVES, share)), first)
+        trees[dim] = UpperTree(points, max(1, share), first)
         first += trees[dim].count
     shared = spark.sparkContext.broadcast(trees)
 
@@ -240,14 +240,14 @@ def nearest(vectors: DataFrame, is_query: Column | None = None, k: int = K, conf
                     leaf[rows] = shared.value[int(dim)].leaf(np.array([np.frombuffer(ps[i]) for i in rows]))
                 else:  # a length that the sample did not meet: one leaf of its own
                     leaf[rows] = -dim
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf)], names=["id", "dim", "v", "p", "leaf"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf)], names=["id", "dim", "v", "p", "row", "leaf"])
 
-    leaved = cut(placed.mapInArrow(to_leaf, "id long, dim int, v binary, p binary, leaf long"))
+    leaved = cut(placed.mapInArrow(to_leaf, "id long, dim int, v binary, p binary, row long, leaf long"))
 
     def box(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         boxes: dict[tuple[int, int], list] = {}
         for b in batches:
-            leaf, dim = b.column(4).to_numpy(), b.column(1).to_numpy()
+            leaf, dim = b.column(5).to_numpy(), b.column(1).to_numpy()
             points = np.array([np.frombuffer(x) for x in b.column(3).to_pylist()]).reshape(-1, DIRECTIONS)
             for key in set(zip(leaf.tolist(), dim.tolist(), strict=True)):
                 here = points[(leaf == key[0]) & (dim == key[1])]
@@ -260,7 +260,7 @@ def nearest(vectors: DataFrame, is_query: Column | None = None, k: int = K, conf
 
     per_part = leaved.mapInArrow(box, "leaf long, dim int, n long, lo array<double>, hi array<double>")
     ends = [f(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, f in (("lo", F.min), ("hi", F.max)) for i in range(DIRECTIONS)]
-    # One row per leaf: at most MAX_LEAVES for every length of vector.
+    # One row per leaf: bounded by the sample.
     found = per_part.groupBy("leaf", "dim").agg(F.sum("n").alias("n"), *ends).collect()
     leaves: dict[int, dict] = {}
     number = 0
@@ -280,26 +280,26 @@ def nearest(vectors: DataFrame, is_query: Column | None = None, k: int = K, conf
     def to_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for dim, leaf, h in zip(b.column(1).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+            for dim, leaf, h in zip(b.column(1).to_pylist(), b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True):
                 at, salts = top.value[1][dim, leaf]
                 out.append(at + h % salts)
             n = b.num_rows
-            cols = [pa.array(out, pa.int64()), pa.array(np.zeros(n, np.int32)), b.column(0), b.column(1), b.column(2), b.column(3), pa.array(np.full(n, np.inf))]
-            yield pa.RecordBatch.from_arrays(cols, names=["shard", "kind", "id", "dim", "v", "p", "bound"])
+            cols = [pa.array(out, pa.int64()), pa.array(np.zeros(n, np.int32)), b.column(0), b.column(4), b.column(1), b.column(2), b.column(3), pa.array(np.full(n, np.inf))]
+            yield pa.RecordBatch.from_arrays(cols, names=["shard", "kind", "id", "row", "dim", "v", "p", "bound"])
 
-    stored = leaved.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 30))).mapInArrow(to_shard, _ROW)
+    stored = leaved.withColumn("h", F.pmod(F.xxhash64("row"), F.lit(1 << 30))).mapInArrow(to_shard, _ROW)
     asks = (F.col("id") % QUERY_STEP == 0) if is_query is None else is_query
-    asked = leaved.filter(asks).groupBy("id").agg(F.min(F.struct("dim", "v", "p", "leaf")).alias("q")).select("id", "q.*")
+    asked = leaved.filter(asks)
 
     def visits(home: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 out: list[tuple] = []
-                limits = [math.inf] * b.num_rows if home else b.column(5).to_pylist()
-                for i, dim, v, p, leaf, limit in zip(*(b.column(c).to_pylist() for c in range(5)), limits, strict=True):
+                limits = [math.inf] * b.num_rows if home else b.column(6).to_pylist()
+                for i, dim, v, p, row, leaf, limit in zip(*(b.column(c).to_pylist() for c in range(6)), limits, strict=True):
                     own, _ = top.value[1][dim, leaf]
                     if home:
-                        out.append((own, 1, i, dim, v, p, limit))
+                        out.append((own, 1, i, row, dim, v, p, limit))
                         continue
                     at = top.value[0][dim]
                     x = np.frombuffer(p)
@@ -308,26 +308,26 @@ def nearest(vectors: DataFrame, is_query: Column | None = None, k: int = K, conf
                     for j in reach:
                         for s in range(at["first"][j], at["first"][j] + at["salts"][j]):
                             if s != own:
-                                out.append((int(s), 1, i, dim, v, p, limit))
+                                out.append((int(s), 1, i, row, dim, v, p, limit))
                     if len(out) >= 5000:
                         yield rows(out)
                         out = []
                 yield rows(out)
 
         def rows(out: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.float64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["shard", "kind", "id", "dim", "v", "p", "bound"])
+            cols = list(zip(*out, strict=True)) or [()] * 8
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["shard", "kind", "id", "row", "dim", "v", "p", "bound"])
 
         return run
 
     asked = cut(asked)
     home = cut(_search(stored.union(asked.mapInArrow(visits(True), _ROW)), k, stop))
-    reached = home.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("m"))
+    reached = home.groupBy("query_row").agg(F.count("*").alias("n"), F.max("score").alias("m"))
     limit = F.when(F.col("n") >= k, F.col("m")).otherwise(F.lit(float("inf")))
-    bounded = asked.join(reached, asked["id"] == reached["query_id"], "left").select("id", "dim", "v", "p", "leaf", F.coalesce(limit, F.lit(float("inf"))).alias("bound"))
+    bounded = asked.join(reached, asked["row"] == reached["query_row"], "left").select("id", "dim", "v", "p", "row", "leaf", F.coalesce(limit, F.lit(float("inf"))).alias("bound"))
     rest = _search(stored.union(bounded.mapInArrow(visits(False), _ROW)), k, stop)
-    order = W.partitionBy("query_id").orderBy("score", "vec_id")
+    order = W.partitionBy("query_row").orderBy("score", "vec_id")
     return home.union(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
