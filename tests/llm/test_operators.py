@@ -1,7 +1,10 @@
 """Every text operator against a brute-force version, and on awkward rows."""
 
+import base64
+import dataclasses
 import hashlib
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -157,6 +160,8 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     rows = [r for r in quality.judge(d).collect() if r["doc_id"] in labels and not r["base_failed"]]
     clean = [r["kept"] for r in rows if labels[r["doc_id"]] == 1]
     assert np.mean(clean) > 0.98
+    junk = [r["kept"] for r in rows if labels[r["doc_id"]] == 0]
+    assert len(junk) >= 20 and np.mean(junk) < 0.35
     kept = [r["doc_id"] for r in quality.keep_good(d).collect()]
     assert sorted(kept) == sorted(r["doc_id"] for r in quality.judge(d).collect() if r["kept"])
 
@@ -185,6 +190,40 @@ def test_neighbours_recall_and_scores(spark, small):
     assert hit / total >= 0.9
 
 
+def test_neighbours_recall_over_many_shards(spark, monkeypatch):
+    """Two hundred queries over leaves of the upper tree, leaves in several shards, and the second pass."""
+    monkeypatch.setattr(neighbours, "SHARD", 300)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16))
+    x = (centres[rng.integers(0, 40, 20_000)] + 0.3 * rng.normal(size=(20_000, 16))).astype(np.float32)
+    x[5000:5400] = x[0]  # more equal vectors than a shard holds
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    found = {}
+    for r in neighbours.nearest(df).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert sorted(found) == list(range(0, 20_000, 100))
+    x = x.astype(float)
+    recall = []
+    for q, mine in found.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        order = [i for i in np.lexsort((np.arange(len(x)), d)) if i != q][:10]
+        assert [k for k, _, _ in sorted(mine)] == list(range(1, 11))
+        recall.append(len({i for _, i, _ in mine} & set(order)) / 10)
+        if d[order].max() == 0:
+            assert [i for _, i, _ in sorted(mine)] == order
+    assert np.mean(recall) >= 0.95
+
+
+def test_neighbours_count_rows_not_ids(spark):
+    """A row with the query's id is a candidate like any other; each of them asks."""
+    rows = [(100, [1.0, 0.0]), (100, [0.0, 2.0]), (5, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in neighbours.nearest(df).collect())
+    assert got == [(100, 1, 5, 1.0), (100, 1, 5, 1.414214), (100, 2, 100, 2.236068), (100, 2, 100, 2.236068)]
+    more = df.withColumns({c: neighbours.F.lit("x") for c in ("id", "row", "v", "p", "dim", "leaf", "shard")})
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in neighbours.nearest(more).collect()) == got
+
+
 def test_neighbours_of_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 1.0]), (8, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (9, [1.0, 0.0]), (9, [1.0, 0.0])]
@@ -237,10 +276,39 @@ def test_secrets_reads_the_middle_of_long_runs(spark):
 
 def test_secrets_network_on_held_out_findings():
     net = secrets.train()
-    rows = secrets.labelled_findings(600, 991)
-    p = net.scores(np.array([secrets.encode(t, a, z) for t, a, z, _ in rows])) >= net.threshold
+    rows = secrets.labelled_findings(1500, 991)
+    sort = np.array([secrets.token_class(t[a:z]) for t, a, z, _ in rows])
+    p = net.scores(np.array([secrets.encode(t, a, z) for t, a, z, _ in rows])) >= net.thresholds[sort]
     y = np.array([r[3] for r in rows], bool)
-    assert p[y].mean() > 0.9 and p[~y].mean() < 0.05
+    assert p[y].mean() > 0.93 and p[~y].mean() < 0.02
+    for c in ("hex", "plain", "marked"):
+        assert p[y & (sort == secrets.CLASSES.index(c))].mean() > 0.85
+
+
+def planted_secrets(n=300):
+    """Keys of formats that the labelled findings do not have, none of which a base rule finds."""
+    rng = np.random.default_rng(77)
+    alnum = np.array(list(string.ascii_letters + string.digits))
+
+    def draw(k):
+        return "".join(rng.choice(alnum, k))
+
+    forms = [lambda: f"ghp_{draw(36)}", lambda: f"AIza{draw(35)}", lambda: f"glpat-{draw(20)}", lambda: f"SG.{draw(22)}.{draw(43)}", lambda: base64.b64encode(rng.bytes(32)).decode(), lambda: f"npm_{draw(36)}", lambda: f"rk_test_{draw(24)}"]
+    before = ["use ", "Authorization: Bearer ", "export KEY ", "set the credential to ", "login with "]
+    return [(i, f"the small house stands there. {before[i % len(before)]}", forms[i % len(forms)]()) for i in range(n)]
+
+
+def test_secrets_network_finds_planted_keys_through_the_query(spark, docs):
+    planted = planted_secrets()
+    df = spark.createDataFrame([(i, f"{b}{k} and then it went on as before.") for i, b, k in planted], "doc_id long, text string")
+    got = {r["doc_id"]: {(f["start"], f["end"]) for f in r["findings"] if f["kind"] == "model"} for r in secrets.find_secrets(df).collect()}
+    whole = sum((len(b), len(b) + len(k)) in got[i] for i, b, k in planted)
+    assert whole >= 0.95 * len(planted)
+    # Without the network's verdict nothing of them is found, and clean texts are left alone with it.
+    silent = dataclasses.replace(secrets.train(), thresholds=np.full(len(secrets.CLASSES), np.inf))
+    assert not any(r["findings"] for r in secrets.find_secrets(df, silent).collect())
+    added = sum(f["kind"] == "model" for r in secrets.find_secrets(docs).collect() for f in r["findings"])
+    assert added <= 0.01 * docs.count()
 
 
 def test_redact_replaces_every_finding(spark, awkward):
@@ -323,10 +391,30 @@ def test_url_rules_and_parts(spark):
         assert r["verdict"] == c[4] if c[4] else r["verdict"] in ("allow", "block")
 
 
-def test_url_model_on_new_hosts():
-    m = urls.train()
-    assert all(m.score(h, "/en/9") >= 0.5 for h in ("big-casino.example.org", "free-pills.example.net", "adult-x.example.org"))
-    assert all(m.score(h, "/en/9") < 0.5 for h in ("oldbridge.example.org", "green-garden.example.net", "theren.example.org"))
+def test_url_model_on_held_out_sites_through_the_query(spark, small):
+    held = urls.labelled_urls(held=True)
+    names = {h for h, _, _ in urls.labelled_urls()}
+    assert not names & {h for h, _, _ in held}
+    # No evaluated host of the tables trains the model either.
+    assert not names & {urls.host_and_path(r["url"])[0] for r in spark.read.parquet(f"{small}/pages.parquet").select("url").collect()}
+    df = spark.createDataFrame([(i, f"https://{h}{p}") for i, (h, p, _) in enumerate(held)], "page_id long, url string")
+    blocked = {r["page_id"] for r in urls.judge_urls(df, rules=()).filter("verdict = 'block'").collect()}
+    real = {i for i, r in enumerate(held) if r[2]}
+    assert len(blocked & real) >= 0.95 * len(real) and len(blocked & real) >= 0.97 * len(blocked)
+    nothing = urls.UrlModel(np.zeros(urls.BUCKETS), -1.0)
+    assert urls.judge_urls(df, rules=(), model=nothing).filter("verdict = 'block'").count() == 0
+
+
+def test_urls_on_awkward_tables(spark):
+    long = "https://my-casino.example.org/" + "a/" * 50_000
+    rows = [(1, long), (1, long), (2, ""), (None, "https://city-library.example.org/"), (3, "HTTP://EXAMPLE.COM/en/?q"), (3, "HTTP://EXAMPLE.COM/en/?q")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = sorted(map(str, urls.judge_urls(df).collect()))
+    assert len(got) == len(rows)
+    more = df.withColumns({c: urls.F.lit("x") for c in ("host", "path", "rule", "verdict", "score")})
+    assert sorted(map(str, urls.judge_urls(more).collect())) == got
+    assert urls.judge_urls(df.limit(0)).count() == 0
+    assert {r["verdict"] for r in urls.judge_urls(df).filter("page_id = 1").collect()} == {"block"}
 
 
 # ---- 8 ------------------------------------------------------------------------
@@ -382,6 +470,45 @@ def test_html_leaves_out_everything_around_the_article(spark):
     assert [r["text"] for r in html.extract(df).orderBy("page_id").collect()][:2] == ["", ""]
 
 
+@pytest.mark.parametrize("made, least", [({}, 0.98), ({"named": 0.0}, 0.97), ({"named": 0.0, "landmarks": 0.0}, 0.95), ({"article": ""}, 0.97), ({"article": "", "named": 0.0, "landmarks": 0.0}, 0.93)])
+def test_html_tree_on_held_out_pages(made, least):
+    """With and without class names, elements made for boilerplate, and an element around the article."""
+    x, y = html.labelled_blocks(200, seed=991, **made)
+    p = np.array([html.is_main(html.train(), r) for r in x])
+    assert (p & (y == 1)).sum() >= least * max(p.sum(), (y == 1).sum())
+
+
+def test_html_tree_needs_word_counts_and_link_densities():
+    made = {"article": "", "named": 0.0, "landmarks": 0.0}
+    x, y = html.labelled_blocks(200, seed=991, **made)
+    blind_x, blind_y = html.labelled_blocks()
+    blind_x, x_blind = blind_x.copy(), x.copy()
+    blind_x[:, :6] = x_blind[:, :6] = 0
+    tree = html.grow(blind_x, blind_y)
+    wrong = np.mean([html.is_main(html.train(), r) != bool(k) for r, k in zip(x, y, strict=True)])
+    blind = np.mean([html.is_main(tree, r) != bool(k) for r, k in zip(x_blind, y, strict=True)])
+    assert wrong < 0.03 and 2 * wrong < blind
+
+
+def test_html_pages_of_the_table_without_their_marks(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    bare = pages.withColumn("html", html.F.regexp_replace("html", r"</?article>| class=\"[^\"]*\"", ""))
+    with_marks = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    same = [r["text"] == with_marks[r["page_id"]] for r in html.extract(bare).collect()]
+    assert np.mean(same) > 0.9
+
+
+def test_html_on_awkward_tables(spark):
+    long = "<article>" + "<p>" + "word " * 200_000 + "</p></article>"
+    rows = [(1, "u", long), (1, "u", long), (None, None, "<p>text"), (2, "u", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(map(str, html.extract(df).collect()))
+    assert len(got) == 4 and sum("word word" in r for r in got) == 2
+    more = df.withColumns({c: html.F.lit("x") for c in ("text", "n_chars")})
+    assert sorted(map(str, html.extract(more).collect())) == got
+    assert html.extract(df.limit(0)).count() == 0
+
+
 # ---- 10 -----------------------------------------------------------------------
 
 
@@ -445,8 +572,10 @@ def test_empty_tables_and_clashing_names(op, awkward, empty):
     module = next(m for m in (simhash, quality, secrets, mixing, packing, substrings) if hasattr(m, op))
     f = getattr(module, op)
     assert f(empty).count() == 0
-    plain, extra = f(awkward).count(), f(clashing(awkward)).count()
-    assert plain == extra
+    plain = f(awkward)
+    shown = [c for c in plain.columns if c not in ("sequence_id", "offset", "key")]
+    extra = f(clashing(awkward)).select(shown)
+    assert sorted(map(str, plain.select(shown).collect())) == sorted(map(str, extra.collect()))
     assert f(clashing(empty)).count() == 0
 
 
@@ -457,3 +586,69 @@ def test_oracles(spark, small, name):
     ours = queries.QUERIES[name](spark, small).toPandas()
     theirs = con.execute(queries.ORACLES[name]).df()[list(ours.columns)]
     assert sorted(map(tuple, ours.values.tolist())) == sorted(map(tuple, theirs.values.tolist()))
+
+
+# ---- pipeline -----------------------------------------------------------------
+
+
+def test_pipeline_stage_by_stage(spark, awkward, docs, tmp_path):
+    """Every stage against its operator's plain results, over real and awkward rows; nothing is lost between."""
+    import corpus_pipeline as pipeline
+
+    prose = " ".join(f"the {w} of a {w}" for w in "river garden house music bridge window letter market".split())
+    twins = [(900, prose + " twin", "en", s, n) for s, n in (("a", 1), ("b", 1), ("b", 2), ("b", 2))]
+    key = "ghp_" + "q7Xz9LmP2vK8sWd4RtY6bN1cH3jF5gTa9bQ1"
+    more = [(901, prose + " login with " + key + " and password=hunter22 done", "en", "c", 3), (902, prose.upper() + " other words here now", None, None, None)]
+    base = docs.limit(120).select(*DOCS.fieldNames()).union(awkward).union(spark.createDataFrame(twins + more, DOCS))
+
+    def stage(name, df):
+        out = dict(pipeline.STAGES)[name](spark, df, "")
+        out.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    def bag(df):
+        return Counter(map(str, df.collect()))
+
+    first = stage("quality", base)
+    kept = Counter((r["doc_id"], r["n_words"]) for r in quality.judge(base).collect() if r["kept"])
+    assert Counter((r["doc_id"], len(WORD.findall(r["text"] or ""))) for r in first.collect()) == kept
+    assert not bag(first) - bag(base)
+
+    second = stage("near_dedup", first)
+    parts = Counter(r["component_id"] for r in simhash.near_duplicates(first).collect())
+    ids = Counter(r["doc_id"] for r in second.collect())
+    assert set(ids) == set(parts) and max(ids.values()) == 1 and not bag(second) - bag(first)
+
+    third = stage("secrets", second)
+    net = secrets.train()
+    for a, b in zip(second.orderBy("doc_id").collect(), third.orderBy("doc_id").collect(), strict=True):
+        assert (a["doc_id"], a["lang"], a["source"]) == (b["doc_id"], b["lang"], b["source"]) and b["n_chars"] == len(b["text"])
+        assert a["text"] == b["text"] or (secrets.scan(a["text"], net) and "[secret]" in b["text"])
+        assert not [f for f in secrets.scan(b["text"], net) if f[2] != "model"]
+    assert not [r for r in third.collect() if key in r["text"] or "hunter22" in r["text"]]
+
+    # Rows equal in id and text but not in all columns are documents of their own.
+    rows = third.union(spark.createDataFrame(twins, DOCS))
+    fourth = stage("mixing", rows)
+    taken = Counter()
+    for r in mixing.mix(rows).collect():
+        taken[r["doc_id"]] += r["copies"]
+    assert Counter(r["doc_id"] for r in fourth.collect()) == +taken
+    assert not set(bag(fourth)) - set(bag(rows))
+    twin = Counter((r["source"], r["n_chars"]) for r in fourth.collect() if r["doc_id"] == 900)
+    assert all(n <= 3 * k for (_, n), k in zip(sorted(twin.items()), (1, 1, 2), strict=False))
+    assert {s for s, _ in twin} <= {"a", "b"}
+
+    last = dict(pipeline.STAGES)["packing"](spark, fourth, "").collect()
+    used = Counter()
+    for r in last:
+        used[r["sequence_id"]] += r["length"]
+    assert max(used.values()) <= packing.CAPACITY
+    assert Counter(r["doc_id"] for r in last if r["start"] == 0) == Counter(r["doc_id"] for r in fourth.collect())
+
+
+def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
+    import corpus_pipeline as pipeline
+
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
