@@ -1,8 +1,11 @@
-"""A corpus from raw documents to packed training sequences, stage by stage."""
+"""A corpus from raw documents to packed training sequences, stage by stage.
 
-from __future__ import annotations
+Every stage takes null, empty and repeated rows as its operator's docstring
+says, and an empty table gives an empty table. Rows that differ in any column
+are documents of their own.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +15,7 @@ from tessera.llm.packing import pack
 from tessera.llm.quality import keep_good
 from tessera.llm.secrets import redact
 from tessera.llm.simhash import keep_first
-from tessera.session import checkpoint_dir
+from tessera.session import scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,13 +59,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; each stage's rows are written before the next reads them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    try:
+    with scratch(spark, "pipeline") as base:
         for name, stage in STAGES[:-1]:
             stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
             docs = spark.read.parquet(f"{base}/{name}")
         # Packing cuts its own lineage before it returns.
         return STAGES[-1][1](spark, docs, sf_dir)
-    finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(base)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
