@@ -317,8 +317,10 @@ def _disclosure_book(c: Chain) -> str:
     """Net disclosed buying as weights for 13 sessions, normalised, earning from the next session, with costs."""
     P.disclosures(c)
     P.returns(c)
-    c.add("da", "select d.event_id, d.symbol, d.side, d.amount_mid, min(s.t_idx) as t0 from disclosures d join sessions s on s.date >= d.filing_date group by d.event_id, d.symbol, d.side, d.amount_mid")
-    c.add("dw", "select r.symbol, r.t_idx, sum((case when a.side = 'buy' then 1 else -1 end) * ln(1 + a.amount_mid / 1e4)) as raw from da a join rets r on r.symbol = a.symbol and r.t_idx >= a.t0 and r.t_idx < a.t0 + 13 group by r.symbol, r.t_idx")
+    P.at_session(c, "disclosures", "filing_date", "da", keep="")
+    c.add("dn", "select symbol, side, amount_mid, t0, t0 + 12 as t1 from da")
+    P.expand(c, "dn", "t0", "t1", "dx")
+    c.add("dw", "select symbol, t_idx, sum((case when side = 'buy' then 1 else -1 end) * ln(1 + amount_mid / 1e4)) as raw from dx group by symbol, t_idx")
     c.add("dg", "select r.symbol, r.t_idx, r.ret, coalesce(d.raw, 0) / nullif(sum(abs(coalesce(d.raw, 0))) over (partition by r.t_idx), 0) as w from rets r left join dw d on d.symbol = r.symbol and d.t_idx = r.t_idx")
     c.add("dl", f"select t_idx, ret, coalesce(w, 0) as w, coalesce({S.shift('w', 1)}, 0) as w0 from dg")
     c.add("o", "select t_idx, sum(w0 * ret) - sum(abs(w - w0)) * 5e-4 as ret, sum(abs(w - w0)) as turnover from dl group by t_idx")

@@ -8,6 +8,8 @@ from tessera.sources import panel as P
 from .sql import Chain, Text, rounded
 
 TEXTS: dict[str, Text] = {}
+#: Quarters back that anything reads of what is known at a day: this one and the four before it.
+QUARTERS = 5
 
 
 def query(name: str):
@@ -63,9 +65,15 @@ def _summary(c: Chain) -> str:
 
 @query("membership_asof")
 def _asof(c: Chain) -> str:
+    """Whether a symbol is a member at every session of the calendar, those before its first change included."""
     change_log(c)
-    P.sessions(c)
-    return c.select("select s.t_idx, l.symbol from sessions s join log l on s.date >= l.valid_from and s.date < l.valid_to")
+    P.at_session(c, "log", "valid_from", "log_in")
+    c.add("log_v", "select symbol, t0 as t_in, valid_to from log_in")
+    P.at_session(c, "log_v", "valid_to", "log_out")
+    n = "(select max(t_idx) from sessions)"
+    c.add("log_t", f"select symbol, t_in, coalesce(t0, {n} + 1) as t_out, {n} as n from log_out")
+    P.expand(c, "log_t", "0", "n", "lx")
+    return c.select("select symbol, t_idx, t_idx >= t_in and t_idx < t_out as member from lx")
 
 
 @query("active_between")
@@ -104,28 +112,44 @@ def _sets(c: Chain) -> str:
 # ---- as-of and bitemporal ----------------------------------------------------
 
 
-@query("asof_backward")
-def _backward(c: Chain) -> str:
+def filing_sessions(c: Chain) -> str:
+    """Relation ``fs``: for every session from a symbol's first filing on, the last filing known at it."""
     P.facts(c)
-    P.sessions(c)
     c.add("k", "select symbol, filed, max(val) as val from facts group by symbol, filed")
-    c.add("iv", f"select *, coalesce(lead(filed) over (partition by symbol order by filed), {c.d.add_days('filed', '36500')}) as until from k")
-    return c.select("select i.symbol, s.t_idx, i.val, i.filed from iv i join sessions s on s.date >= i.filed and s.date < i.until")
+    P.at_session(c, "k", "filed", "kt", keep="")
+    c.add("iv", "select symbol, filed, val, t0, coalesce(lead(t0) over (partition by symbol order by filed) - 1, (select max(t_idx) from sessions)) as t1 from kt")
+    return P.expand(c, "iv", "t0", "t1", "fs")
+
+
+@query("asof_backward")
+def _backward(c: Chain) -> str:
+    filing_sessions(c)
+    return c.select("select symbol, t_idx, val, filed from fs")
 
 
 @query("asof_forward")
 def _forward(c: Chain) -> str:
     P.disclosures(c)
-    P.sessions(c)
-    return c.select("select d.event_id, min(s.t_idx) as t_idx from disclosures d join sessions s on s.date >= d.filing_date group by d.event_id")
+    P.at_session(c, "disclosures", "filing_date", "da", keep="")
+    return c.select("select event_id, t0 as t_idx from da")
 
 
 def known(c: Chain) -> str:
-    """What is known of every quarter at every filing day of its symbol: the latest version filed by then."""
+    """What is known of the last quarters at every filing day of its symbol: the latest version filed by then."""
+    # A version counts from its own filing day to the next version's, and no longer than until
+    # ``QUARTERS`` later quarters are all known, so a version meets a bounded number of days.
     P.facts(c)
-    c.add("evd", "select distinct symbol, filed as known_on from facts")
-    c.add("ver", "select e.symbol, e.known_on, f.end_date, f.val, row_number() over (partition by e.symbol, e.known_on, f.end_date order by f.filed desc, f.form desc) as v from evd e join facts f on f.symbol = e.symbol and f.filed <= e.known_on")
-    c.add("known", "select symbol, known_on, end_date, val, row_number() over (partition by symbol, known_on order by end_date desc) as q from ver where v = 1")
+    c.add("days_", "select symbol, filed as known_on, cast(row_number() over (partition by symbol order by filed) as int) as k from (select distinct symbol, filed from facts) q")
+    c.add("firsts", "select symbol, end_date, min(filed) as first_filed from facts group by symbol, end_date")
+    ahead = f"over (partition by symbol order by end_date rows between 1 following and {QUARTERS} following)"
+    c.add("later", f"select symbol, end_date, case when count(*) {ahead} = {QUARTERS} then max(first_filed) {ahead} end as gone from firsts")
+    c.add("ver0", "select symbol, end_date, filed, val, row_number() over (partition by symbol, end_date, filed order by form desc) as v from facts")
+    c.add("ver1", "select symbol, end_date, filed, val, lead(filed) over (partition by symbol, end_date order by filed) as next_filed from ver0 where v = 1")
+    c.add("ver2", "select v.symbol, v.end_date, v.val, v.filed, least(coalesce(v.next_filed, l.gone), coalesce(l.gone, v.next_filed)) as until from ver1 v join later l on l.symbol = v.symbol and l.end_date = v.end_date")
+    c.add("lastk", "select symbol, max(k) as n from days_ group by symbol")
+    c.add("ver3", "select v.symbol, v.end_date, v.val, a.k as k0, cast(coalesce(b.k - 1, n.n) as int) as k1 from ver2 v join days_ a on a.symbol = v.symbol and a.known_on = v.filed join lastk n on n.symbol = v.symbol left join days_ b on b.symbol = v.symbol and b.known_on = v.until")
+    P.expand(c, "ver3", "k0", "k1", "ver4")
+    c.add("known", "select v.symbol, d.known_on, v.end_date, v.val, row_number() over (partition by v.symbol, d.known_on order by v.end_date desc) as q from ver4 v join days_ d on d.symbol = v.symbol and d.k = v.t_idx")
     return "known"
 
 
@@ -143,10 +167,8 @@ def _ttm(c: Chain) -> str:
 
 @query("days_since_filing")
 def _days_since(c: Chain) -> str:
-    P.facts(c)
-    P.sessions(c)
-    age = c.d.days("s.date", "max(f.filed)")
-    return c.select(f"select f.symbol, s.t_idx, least({age}, 50) as days from facts f join sessions s on s.date >= f.filed group by f.symbol, s.t_idx, s.date")
+    filing_sessions(c)
+    return c.select(f"select f.symbol, f.t_idx, least({c.d.days('s.date', 'f.filed')}, 50) as days from fs f join sessions s on s.t_idx = f.t_idx")
 
 
 @query("features_fundamental")
@@ -164,9 +186,10 @@ def _fundamental(c: Chain) -> str:
 def _decay(c: Chain) -> str:
     """Each disclosed trade counts from its filing on, less every session, for 13 sessions."""
     P.disclosures(c)
-    P.sessions(c)
-    c.add("ev_at", "select d.event_id, d.symbol, d.side, d.amount_mid, min(s.t_idx) as t0 from disclosures d join sessions s on s.date >= d.filing_date group by d.event_id, d.symbol, d.side, d.amount_mid")
-    c.add("x", "select a.symbol, s.t_idx, sum((case when a.side = 'buy' then 1 else -1 end) * (1 - (s.t_idx - a.t0) / 13e0) * ln(1 + a.amount_mid / 1e4)) as signal, max(a.t0) as last_t from ev_at a join sessions s on s.t_idx >= a.t0 and s.t_idx < a.t0 + 13 group by a.symbol, s.t_idx")
+    P.at_session(c, "disclosures", "filing_date", "da", keep="")
+    c.add("dn", "select symbol, side, amount_mid, t0, least(t0 + 12, (select max(t_idx) from sessions)) as t1 from da")
+    P.expand(c, "dn", "t0", "t1", "dx")
+    c.add("x", "select symbol, t_idx, sum((case when side = 'buy' then 1 else -1 end) * (1 - (t_idx - t0) / 13e0) * ln(1 + amount_mid / 1e4)) as signal, max(t0) as last_t from dx group by symbol, t_idx")
     return c.select(f"select symbol, t_idx, {rounded('signal', digits=8)}, t_idx - last_t as since from x")
 
 
@@ -179,7 +202,7 @@ def _disclosed(c: Chain) -> str:
 def event_returns(c: Chain) -> str:
     P.disclosures(c)
     P.returns(c)
-    c.add("ev_at", "select d.event_id, d.member, d.symbol, d.side, min(s.t_idx) as t0 from disclosures d join sessions s on s.date >= d.filing_date group by d.event_id, d.member, d.symbol, d.side")
+    P.at_session(c, "disclosures", "filing_date", "ev_at", keep="")
     c.add("f5", f"select symbol, t_idx, {S.shift('close', -6)} / nullif({S.shift('close', -1)}, 0) - 1 as fwd from panel")
     c.add("f5x", "select *, fwd - avg(fwd) over (partition by t_idx) as excess from f5")
     c.add("er", "select a.event_id, a.member, a.t0, (case when a.side = 'buy' then 1 else -1 end) * f.excess as x from ev_at a join f5x f on f.symbol = a.symbol and f.t_idx = a.t0 where f.excess is not null")
@@ -346,7 +369,7 @@ def _stall(c: Chain) -> str:
     experience(c)
     c.add("gen", "select day, max(fwd_alpha) as best from xp group by day")
     c.add("k", "select *, row_number() over (order by day) as g from gen")
-    return c.select(f"select max(g) - {c.d.argmax('g', 'best * 100000 + g * 0.0001')} as stalled from k")
+    return c.select(f"select max(g) - {c.d.argmax('g', c.d.pair('best', 'g'))} as stalled from k")
 
 
 @query("business_days")

@@ -80,6 +80,10 @@ class Dialect:
     def argmax(self, x: str, by: str) -> str:
         return f"max_by({x}, {by})"
 
+    def pair(self, a: str, b: str) -> str:
+        """Two values that compare in order."""
+        return f"struct({a} as a, {b} as b)"
+
     def string_list(self, s: str, sep: str) -> str:
         return f"split({s}, '{sep}')"
 
@@ -132,6 +136,9 @@ class Duck(Dialect):
     def argmax(self, x: str, by: str) -> str:
         return f"arg_max({x}, {by})"
 
+    def pair(self, a: str, b: str) -> str:
+        return f"row({a}, {b})"
+
     def string_list(self, s: str, sep: str) -> str:
         return f"string_split({s}, '{sep}')"
 

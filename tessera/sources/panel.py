@@ -31,6 +31,33 @@ def sessions(c: Chain) -> str:
     return "sessions"
 
 
+def day_sessions(c: Chain) -> str:
+    """Every calendar day with the first session at or after it: as-of joins become joins of equal days.
+
+    Days before the first session are to be clamped to it, see ``at_session``; those after the last have none.
+    """
+    sessions(c)
+    c.add("sess_gap", f"select t_idx, date, cast(coalesce({c.d.days('date', 'lag(date) over (order by date)')}, 1) as int) as gap from sessions")
+    c.add("fwd_day", f"select t_idx, {c.d.add_days('date', '-k')} as day from sess_gap {c.d.explode(c.d.sequence('0', 'gap - 1'), 'k')}")
+    return "fwd_day"
+
+
+def at_session(c: Chain, frm: str, day: str, name: str, keep: str = "left") -> str:
+    """Relation ``name``: ``frm`` with ``t0``, the first session at or after ``day``; without one it is missing (or the row is, if ``keep`` is empty)."""
+    day_sessions(c)
+    c.add(f"{name}_d", f"select q.*, greatest({day}, (select min(date) from sessions)) as at_day from {frm} q")
+    c.add(name, f"select q.*, y.t_idx as t0 from {name}_d q {keep} join fwd_day y on y.day = q.at_day")
+    return name
+
+
+def expand(c: Chain, frm: str, first: str, last: str, name: str) -> str:
+    """Relation ``name``: a row of ``frm`` for every session ``t_idx`` from ``first`` to ``last``, none if that is before it."""
+    seq = c.d.sequence(first, f"greatest({last}, {first})")
+    c.add(f"{name}_e", f"select * from {frm} {c.d.explode(seq, 't_idx')}")
+    c.add(name, f"select * from {name}_e where t_idx <= {last}")
+    return name
+
+
 def panel(c: Chain) -> str:
     """Dense sessions x symbols with membership, the tradable mask and the one-session return."""
     sessions(c)
@@ -77,12 +104,11 @@ def disclosures(c: Chain) -> str:
     e = c.d.table("events")
     sessions(c)
     c.add("syms", "select symbol, row_number() over (order by symbol) - 1 as k, count(*) over () as n from (select distinct symbol from bars) q")
-    c.add("lastday", "select max(date) as d1 from sessions")
-    c.add("lastev", f"select max(cast(ts as date)) as e1 from {e}")
     gap = c.d.days("e1", "cast(ts as date)")
     c.add("disclosures", f"""select event_id, user_id as member, y.symbol, case when event_type = 'purchase' then 'buy' else 'sell' end as side,
         tx as transaction_date, {c.d.add_days('tx', 'user_id % 46')} as filing_date, user_id % 46 as lag_days, value as amount_mid
-        from (select *, {c.d.add_days('d1', f'-8 * {gap} - 60')} as tx from {e}, lastday, lastev where event_type in ('purchase', 'error')) q
+        from (select *, {c.d.add_days('d1', f'-8 * {gap} - 60')} as tx
+            from (select *, (select max(date) from sessions) as d1, (select max(cast(ts as date)) from {e}) as e1 from {e} where event_type in ('purchase', 'error')) r) q
         join syms y on q.user_id % y.n = y.k""")
     return "disclosures"
 
