@@ -8,6 +8,8 @@ may not hold a window.
 from __future__ import annotations
 
 EPS = "1e-12"
+#: Sessions a year, whatever their real spacing: annualised figures are by convention.
+YEAR = 252
 _BY = "partition by symbol order by t_idx"
 
 
@@ -96,6 +98,18 @@ def cs_demean(x: str, by: str = "t_idx") -> str:
     return f"(({x}) - avg({x}) over (partition by {by}))"
 
 
+def residual_std(y: str, x: str, w: int) -> str:
+    """Deviation of what a regression of ``y`` on ``x`` leaves, over the ``w`` sessions before this one."""
+    f = before(w)
+    left = f"var_pop({y}) over {f} - pow(covar_pop({y}, {x}) over {f}, 2) / nullif(var_pop({x}) over {f}, 0)"
+    return f"case when t_idx >= {w} then sqrt(greatest({left}, 0)) end"
+
+
+def roll_least(agg: str, x: str, w: int, least: int) -> str:
+    """``agg`` over a trailing frame once it holds ``least`` values."""
+    return f"case when count({x}) over {trailing(w)} >= {least} then {agg}({x}) over {trailing(w)} end"
+
+
 def corr(x: str, y: str) -> str:
     """Correlation; missing where either side does not vary."""
     return f"covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"

@@ -10,7 +10,7 @@ from tessera.functions import series as S
 from tessera.plans.sql import Chain
 from tessera.sources import panel as P
 
-TRADING_DAYS = 252.0
+TRADING_DAYS = float(S.YEAR)
 SLIPPAGE = 5e-4
 
 

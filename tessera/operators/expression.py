@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
@@ -228,49 +229,68 @@ def compile_population(c: Chain, frm: str, trees: dict[str, Node], name: str = "
             return stored[key]
         return render(n, c, [text(a, at) for a in n.args])
 
-    last = frm
-    for at in range(1, max(level.values(), default=0) + 1):
-        cols = []
-        for key, n in nodes.items():
-            if level[key] == at:
-                cols.append(f"{text(n, at)} as e_{n.fingerprint()}")
-        for key, n in nodes.items():
-            if level[key] == at:
-                stored[key] = f"e_{n.fingerprint()}"
-        c.add(f"{name}_l{at}", f"select *, {', '.join(cols)} from {last}")
-        last = f"{name}_l{at}"
+    used = {"symbol", "t_idx", "tradable"}.union(*(t.features() for t in trees.values()))
     top = max(level.values(), default=0) + 1
-    scores = ", ".join(f"case when tradable then {text(t, top)} end as {k}" for k, t in trees.items())
-    c.add(name, f"select symbol, t_idx, tradable, {scores} from {last}")
+    texts: list[list[str]] = []
+    for at in range(1, top):
+        here = [n for key, n in nodes.items() if level[key] == at]
+        texts.append([f"{text(n, at)} as e_{n.fingerprint()}" for n in here])
+        stored.update({n.canonical(): f"e_{n.fingerprint()}" for n in here})
+    scores = [f"case when tradable then {text(t, top)} end as {k}" for k, t in trees.items()]
+    # Every level passes on only what some later one reads.
+    last, ready = frm, sorted(used)
+    for at, cols in enumerate(texts, 1):
+        later = " ".join(x for part in [*texts[at:], scores] for x in part)
+        read = set(re.findall(r"\w+", later)) | {"symbol", "t_idx", "tradable"}
+        ready = [x for x in ready if x in read]
+        c.add(f"{name}_l{at}", f"select {', '.join([*ready, *cols])} from {last}")
+        ready += [col.rsplit(" as ", 1)[1] for col in cols]
+        last = f"{name}_l{at}"
+    c.add(name, f"select symbol, t_idx, tradable, {', '.join(scores)} from {last}")
     return name
 
 
 # ---- random trees and edits ------------------------------------------------------
 
 
+#: Operators by shape: their inputs, and how often the shape is drawn relative to the others.
+SHAPES = {"pointwise": (UNARY, 1, 3), "across": (CROSS, 1, 4), "timed": (TIMED, 1, 3), "pair": (BINARY, 2, 6), "choice": (("ite",), 3, 1)}
+#: One leaf in so many is a number.
+CONSTANTS = 10
+
+
 class Grammar:
-    """Draws and edits trees over given features; every draw comes from the generator passed in."""
+    """Draws and edits trees over given features; every draw comes from the generator passed in.
+
+    A tree is drawn by size: a budget of nodes is dealt out from the root down,
+    so sizes are spread evenly and no branch is starved by the depth of another.
+    """
 
-    def __init__(self, features: Iterable[str], max_depth: int = 5) -> None:
+    def __init__(self, features: Iterable[str], max_depth: int = 5, max_size: int = 24) -> None:
         self.features = tuple(features)
         self.max_depth = max_depth
+        self.max_size = max_size
 
     def terminal(self, rng: np.random.Generator) -> Node:
-        return feat(str(rng.choice(self.features))) if rng.random() < 0.88 else const(round(float(rng.normal(0, 1.5)), 3))
+        if rng.integers(CONSTANTS) == 0:
+            return const(round(float(rng.uniform(-3, 3)), 2))
+        return feat(self.features[rng.integers(len(self.features))])
 
     def tree(self, rng: np.random.Generator, depth: int = 0) -> Node:
-        if depth >= self.max_depth - 1 or (depth and rng.random() < 0.18 + 0.62 * depth / self.max_depth):
+        """A tree that fits below ``depth`` levels."""
+        return self._grow(rng, int(rng.integers(2, self.max_size + 1)), self.max_depth - depth)
+
+    def _grow(self, rng: np.random.Generator, size: int, levels: int) -> Node:
+        shapes = [s for s in SHAPES.values() if s[1] < size]
+        if levels <= 1 or not shapes:
             return self.terminal(rng)
-        u, sub = rng.random(), lambda: self.tree(rng, depth + 1)
-        if u < 0.40:
-            return bi(str(rng.choice(BINARY)), sub(), sub())
-        if u < 0.62:
-            return un(str(rng.choice(CROSS)), sub())
-        if u < 0.80:
-            return un(str(rng.choice(UNARY)), sub())
-        if u < 0.92:
-            return un(str(rng.choice(TIMED)), sub(), int(rng.choice(WINDOWS)))
-        return ite(sub(), sub(), sub())
+        odds = np.array([s[2] for s in shapes], float)
+        ops, inputs, _ = shapes[rng.choice(len(shapes), p=odds / odds.sum())]
+        # The rest of the budget falls on the inputs at random, one node each at least.
+        shares = 1 + rng.multinomial(size - 1 - inputs, np.full(inputs, 1 / inputs))
+        args = tuple(self._grow(rng, int(k), levels - 1) for k in shares)
+        op = ops[rng.integers(len(ops))]
+        return Node(op, args, window=int(WINDOWS[rng.integers(len(WINDOWS))]) if op in TIMED else 0)
 
     def paths(self, n: Node, at: tuple[int, ...] = ()) -> list[tuple[int, ...]]:
         return [at] + [p for i, a in enumerate(n.args) for p in self.paths(a, (*at, i))]

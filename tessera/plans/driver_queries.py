@@ -12,9 +12,8 @@ from tessera.functions import metrics
 from tessera.operators import evaluation as E
 from tessera.operators import search, trading
 from tessera.operators import expression as X
-from tessera.streaming.operators import decayed_posterior
 
-from . import evaluation_queries, sql
+from . import evaluation_queries, sql, strategy_queries
 
 FEATURES = ("mom_5", "mom_21", "vol_21", "clv", "ma_ratio_10")
 
@@ -39,15 +38,15 @@ def deflated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship's returns against six spread factors of the test table's variants."""
+    """The flagship's returns against the spreads of features that it does not rank by."""
 
     def text(c: sql.Chain) -> str:
         evaluation_queries.variants(c)
-        cols = ", ".join(f"max(case when strategy = '{s}' then x end) as f_{s}" for s in evaluation_queries.SCORED[:6])
+        cols = ", ".join(f"max(case when strategy = '{s}' then x end) as f_{s}" for s in evaluation_queries.SPREADS)
         return c.select(f"select t_idx, {cols} from var group by t_idx")
 
     factors = sql.to_spark(text)(spark, sf_dir)
-    names = [f"f_{s}" for s in evaluation_queries.SCORED[:6] if s != "rev_5"]
+    names = [f"f_{s}" for s in evaluation_queries.SPREADS]
     r = metrics.hac_ols(_daily(spark, sf_dir).join(factors, "t_idx"), "ret", names)
     rows = [(n, round(r["beta"][n], 6), round(r["t"][n], 4)) for n in r["beta"]] if r else []
     return spark.createDataFrame(rows, "factor string, beta double, t double")
@@ -82,20 +81,15 @@ def caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thompson weights of the event types from their decayed posteriors."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").applyInPandas(
-        lambda p: p.sort_values(["ts", "event_id"]).pipe(lambda q: _fold(q)), "arm string, mu double, kappa double, alpha double, beta double"
-    )
-    arms = {r["arm"]: (r["mu"], r["kappa"], r["alpha"], r["beta"]) for r in e.collect()}
-    w = trading.thompson_weights(arms, np.random.default_rng(11))
-    return spark.createDataFrame(sorted((k, round(v, 6)) for k, v in w.items()), "arm string, weight double")
-
+    """Thompson weights of the event types from their decayed posteriors; five rows reach the driver."""
 
-def _fold(p):
-    import pandas as pd
+    def text(c: sql.Chain) -> str:
+        strategy_queries.posteriors(c)
+        return c.select("select arm, mu, kappa, alpha, beta from post")
 
-    mu, kappa, alpha, beta, _ = decayed_posterior((0.0, 1.0, 2.0, 1.0, 0), p["value"] / 100 - 0.5)
-    return pd.DataFrame([(p["event_type"].iloc[0], mu, kappa, alpha, beta)], columns=["arm", "mu", "kappa", "alpha", "beta"])
+    arms = {r["arm"]: (r["mu"], r["kappa"], r["alpha"], r["beta"]) for r in sql.to_spark(text)(spark, sf_dir).collect()}
+    w = trading.thompson_weights(arms, np.random.default_rng(11))
+    return spark.createDataFrame(sorted((k, round(v, 6)) for k, v in w.items()), "arm string, weight double")
 
 
 def settle_books(books: dict[int, dict[str, float]], opens: dict[int, dict[str, float]], rb: int) -> list[tuple]:

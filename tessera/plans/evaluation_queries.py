@@ -13,7 +13,10 @@ from tessera.sources import panel as P
 from .sql import Chain, Text, rounded
 
 TEXTS: dict[str, Text] = {}
-SCORED = ("mom_5", "mom_21", "rev_5", "vol_21", "vol_63", "ma_ratio_10", "vol_surge", "amihud_21", "bollinger_z", "clv", "gap", "intraday_range")
+#: Sessions with a coefficient that a feature needs to be scored.
+LEAST_IC_DAYS = 60
+#: Features whose spreads stand in for published factors: none of them is a momentum.
+SPREADS = ("vol_63", "amihud_21", "clv", "vol_surge", "beta_126", "dollar_vol_21")
 
 
 def query(name: str):
@@ -75,23 +78,52 @@ def _nw(c: Chain) -> str:
     return c.select(f"select n, {rounded('mean', 't', digits=7)} from nw")
 
 
-def block_folds(c: Chain, n_splits: int = 7, embargo: int = 2) -> str:
-    """Relation ``fold``: ``bt`` with its fold ``f``, equal blocks of the whole calendar less the embargo at inner edges."""
-    c.add("fold_n", "select max(t_idx) + 1 as n from bt")
-    edges = [(i, embargo if i > 0 else 0, embargo if i < n_splits - 1 else 0) for i in range(n_splits)]
-    c.add("fold_e", " union all ".join(f"select {i} as f, floor({i} * n / {n_splits}e0) + {a} as lo, floor({i + 1} * n / {n_splits}e0) - {z} as hi from fold_n" for i, a, z in edges))
-    c.add("fold", "select b.*, e.f from bt b join fold_e e on b.t_idx >= e.lo and b.t_idx < e.hi")
+#: Sessions between the calendars of two folds: more than any has, and a multiple of every rebalance interval used.
+FOLD_STEP = 1_000_000
+
+
+def fold_edges(n: str, f: str, n_splits: int, embargo: int) -> tuple[str, str]:
+    """First and end session of fold ``f``: equal blocks of the whole calendar less the embargo at inner edges."""
+    lo = f"floor({f} * {n} / {n_splits}e0) + case when {f} > 0 then {embargo} else 0 end"
+    return lo, f"floor(({f} + 1) * {n} / {n_splits}e0) - case when {f} < {n_splits - 1} then {embargo} else 0 end"
+
+
+def block_folds(c: Chain, n_splits: int = 7, embargo: int = 2, least: int = 20) -> str:
+    """Relation ``score`` cut into folds that start flat: each on a calendar of its own, ``t_src`` is the session meant.
+
+    A fold's rows are numbered from its own start, so its first rebalance is its
+    first session and no book crosses an edge. Folds below ``least`` sessions are left out.
+    """
+    E.score_momentum(c)
+    c.parts["score_all"] = c.parts.pop("score")
+    c.add("fold_n", "select max(t_idx) + 1 as n from score_all")
+    lo, hi = fold_edges("n", "f", n_splits, embargo)
+    c.add("fold_of", f"select t_idx, n, cast(floor(((t_idx + 1) * {n_splits} - 1) / cast(n as double)) as int) as f from (select distinct t_idx from score_all) q cross join fold_n")
+    c.add("fold_t", f"select t_idx, f, {lo} as lo, {hi} as hi from fold_of")
+    c.add("fold_ok", f"select t_idx, f, cast(f * {FOLD_STEP} + t_idx - lo as int) as t_new, t_idx = hi - 1 as is_last from fold_t where t_idx >= lo and t_idx < hi and hi - lo >= {least}")
+    # Nothing is bought on a fold's last session.
+    c.add("score", "select s.symbol, k.t_new as t_idx, s.tradable and not k.is_last as tradable, s.ret, s.score, k.t_idx as t_src from score_all s join fold_ok k on k.t_idx = s.t_idx")
+    E.benchmark(c)
+    c.parts["bench_all"] = c.parts.pop("bench")
+    c.add("bench", "select k.t_new as t_idx, b.bench from fold_ok k join bench_all b on b.t_idx = k.t_idx")
+    E.backtest(c)
+    c.add("fold", f"select b.*, cast(floor(b.t_idx / {FOLD_STEP}e0) as int) as f from bt b")
     return "fold"
 
 
 @query("cv_folds_stats")
 def _cv(c: Chain) -> str:
-    """Folds of sessions with an embargo inside, each judged alone, then together."""
-    daily(c)
+    """Every fold backtested alone from a flat book; then their spread, and the alpha of the folds in one series."""
     block_folds(c)
     E.stats(c, "fold", "f", "fs")
-    c.add("o", f"select count(*) as folds, avg(case when alpha_ann > 0 then 1e0 else 0e0 end) as frac_positive, avg(alpha_ann) as mean_alpha, {c.d.percentile('alpha_ann', 0.5)} as median_alpha, min(alpha_ann) as worst_alpha from fs")
-    return c.select(f"select folds, {rounded('frac_positive', 'mean_alpha', 'median_alpha', 'worst_alpha')} from o")
+    c.add("all_beta", "select covar_samp(ret, bench) / nullif(var_samp(bench), 0) as beta, corr(ret, bench) as corr_bench from fold")
+    c.add("stitched", "select t_idx, ret - beta * bench as resid from fold cross join all_beta")
+    E.newey_west(c, "stitched", "resid", "snw")
+    c.add("tr_n", "select sum(trades) as trades from turn")
+    c.add("o", f"select count(*) as folds, avg(case when alpha_ann > 0 then 1e0 else 0e0 end) as frac_positive, avg(alpha_ann) as mean_alpha, {c.d.percentile('alpha_ann', 0.5)} as median_alpha, min(alpha_ann) as worst_alpha, avg(ir) as mean_ir, avg(ann_turnover) as ann_turnover from fs")
+    names = ("frac_positive", "mean_alpha", "median_alpha", "worst_alpha", "mean_ir", "ann_turnover", "alpha_tstat", "corr_bench")
+    c.add("p", "select o.*, w.t as alpha_tstat, b.corr_bench, cast(n.trades as bigint) as n_trades from o cross join snw w cross join all_beta b cross join tr_n n")
+    return c.select(f"select folds, n_trades, {rounded(*names)} from p")
 
 
 @query("cost_stress")
@@ -106,7 +138,7 @@ def _stress(c: Chain) -> str:
 @query("tracking_error_mde")
 def _mde(c: Chain) -> str:
     daily(c)
-    c.add("o", "select stddev_samp(ret - bench) * sqrt(252e0) as te, count(*) / 252e0 as yrs from bt")
+    c.add("o", f"select stddev_samp(ret - bench) * sqrt({S.YEAR}e0) as te, count(*) / {S.YEAR}e0 as yrs from bt")
     return c.select("select round(te, 6) as te, round(2 * te / sqrt(yrs), 6) as mde from o")
 
 
@@ -122,30 +154,43 @@ def _ic_summary(c: Chain) -> str:
     E.score_momentum(c)
     E.ic_series(c, "score", "score", "ic")
     E.newey_west(c, "ic", "ic", "icn", lags="5")
-    c.add("o", "select count(*) as n, avg(ic) as mean, avg(ic) / nullif(stddev_samp(ic), 0) as ir, avg(case when ic > 1e-9 then 1e0 else 0e0 end) as hit, max(w.t) as t from ic, icn w")
-    return c.select(f"select n, {rounded('mean', 'ir', 'hit', 't')} from o")
+    c.add("o", f"select count(*) as n, avg(ic) as mean, avg(ic) / nullif(stddev_samp(ic), 0) as ir, avg(case when ic > 1e-9 then 1e0 else 0e0 end) as hit, max(w.t) as t, count(*) >= {LEAST_IC_DAYS} as ok from ic cross join icn w")
+    return c.select(f"select n, ok, {rounded('mean', 'ir', 'hit', 't')} from o")
+
 
+def long_features(c: Chain, frm: str, names: tuple[str, ...], keep: str, key: str, name: str) -> str:
+    """Relation ``name``: one row for every feature of a row of ``frm``, from one pass over it."""
+    if c.d.name == "spark":
+        pairs = ", ".join(f"'{n}', round({n}, 8)" for n in names)
+        c.add(name, f"select {keep}, {key}, x from {frm} lateral view stack({len(names)}, {pairs}) __s as {key}, x")
+    else:
+        c.add(name, " union all ".join(f"select {keep}, '{n}' as {key}, round({n}, 8) as x from {frm}" for n in names))
+    return name
 
-def feature_ic(c: Chain) -> str:
+
+def feature_ic(c: Chain, horizon: int = 5) -> str:
+    """Relation ``ficm``: every price feature's information coefficient, or why it has none."""
     price_features(c)
-    c.add("fl", " union all ".join(f"select '{n}' as feature, symbol, t_idx, round({n}, 8) as x from feats" for n in PRICE_FEATURES))
-    E.ic_series(c, "fl", "x", "fic", key="feature")
-    c.add("ficm", "select g as feature, avg(ic) as mean_ic, avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(count(*) / 5e0) as t_stat, count(*) as n from fic group by g")
+    long_features(c, "feats", PRICE_FEATURES, "symbol, t_idx", "feature", "fl")
+    E.ic_series(c, "fl", "x", "fic", h=horizon, key="feature")
+    c.add("fvar", "select feature, count(x) as seen, max(x) > min(x) as varies from fl group by feature")
+    c.add("fic_m", f"select g as feature, avg(ic) as mean_ic, avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(count(*) / {horizon}e0) as t_stat, count(*) as n from fic group by g")
+    c.add("ficm", f"select v.feature, coalesce(m.n, 0) as n, case when m.n >= {LEAST_IC_DAYS} then m.mean_ic end as mean_ic, case when m.n >= {LEAST_IC_DAYS} then m.t_stat end as t_stat, case when v.seen > 0 and not v.varies then 'constant' when coalesce(m.n, 0) < {LEAST_IC_DAYS} then 'too few sessions' else 'ok' end as reason from fvar v left join fic_m m on m.feature = v.feature")
     return "ficm"
 
 
 @query("feature_ic_table")
 def _feature_ic(c: Chain) -> str:
     feature_ic(c)
-    return c.select(f"select feature, n, {rounded('mean_ic', 't_stat')} from ficm")
+    return c.select(f"select feature, n, reason, {rounded('mean_ic', 't_stat')} from ficm")
 
 
 @query("family_ic_rollup")
 def _rollup(c: Chain) -> str:
     feature_ic(c)
     cases = " ".join(f"when '{n}' then '{family_of(n)}'" for n in PRICE_FEATURES)
-    c.add("o", f"select case feature {cases} end as family, avg(abs(mean_ic)) as avg_ic, max(abs(mean_ic)) as max_ic, count(*) as n from ficm group by 1")
-    return c.select(f"select family, n, {rounded('avg_ic', 'max_ic')} from o")
+    c.add("o", f"select case feature {cases} end as family, avg(abs(mean_ic)) as avg_ic, max(abs(mean_ic)) as max_ic, count(*) as n, count(mean_ic) as scored from ficm group by 1")
+    return c.select(f"select family, n, scored, {rounded('avg_ic', 'max_ic')} from o")
 
 
 def variants(c: Chain) -> str:
@@ -153,7 +198,7 @@ def variants(c: Chain) -> str:
     price_features(c)
     names = PRICE_FEATURES
     c.add("rl", f"select symbol, t_idx, {S.shift('coalesce(r1, 0)', -1)} as nxt, {', '.join(names)} from feats where tradable")
-    c.add("vl", " union all ".join(f"select '{n}' as strategy, symbol, t_idx, nxt, round({n}, 8) as x from rl" for n in names))
+    long_features(c, "rl", names, "symbol, t_idx, nxt", "strategy", "vl")
     c.add("vr", f"select *, {S.cs_rank_avg('x', 'strategy, t_idx')} as rk from vl")
     c.add("var", "select strategy, t_idx, avg(case when rk > 0.5 then nxt end) - avg(nxt) as x from vr where rk is not null and nxt is not null group by strategy, t_idx")
     return "var"
@@ -212,12 +257,12 @@ def _elites(c: Chain) -> str:
 
 @query("novelty_knn")
 def _novelty(c: Chain) -> str:
-    """Mean distance of each strategy to its three nearest in descriptor space."""
+    """Mean distance of each strategy to its eight nearest in descriptor space."""
     variants(c)
     c.add("ds", "select strategy, avg(x) * 1e4 as a, stddev_samp(x) * 1e3 as b from var group by strategy")
     c.add("pr", "select p.strategy, sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b)) as d, q.strategy as other from ds p join ds q on p.strategy <> q.strategy")
     c.add("rn", "select *, row_number() over (partition by strategy order by d, other) as k from pr")
-    c.add("o", "select strategy, avg(d) as novelty from rn where k <= 3 group by strategy")
+    c.add("o", "select strategy, avg(d) as novelty from rn where k <= 8 group by strategy")
     return c.select(f"select strategy, {rounded('novelty')} from o")
 
 
@@ -231,10 +276,10 @@ def _null(c: Chain) -> str:
 
 @query("shuffle_test")
 def _shuffle(c: Chain) -> str:
-    """The score moved round the calendar by several shifts, and its mean next return each time."""
+    """The score moved round the calendar by 24 shifts, and its mean next return each time."""
     E.score_momentum(c)
     c.add("n", "select max(t_idx) + 1 as n from score")
-    c.add("sft", " union all ".join(f"select {s} as s" for s in (0, 60, 90, 120, 150, 180, 210, 240, 270)))
+    c.add("sft", " union all ".join(f"select {s} as s" for s in (0, *(60 + 10 * k for k in range(24)))))
     c.add("mv", "select s.s, symbol, (t_idx + s.s) % n.n as t_idx, score from score, n, sft s where score is not null")
     c.add("nx", f"select symbol, t_idx, {S.shift('ret', -1)} as nxt from score")
     c.add("o", "select m.s, avg(case when score >= 0.8 then nxt end) - avg(nxt) as edge from mv m join nx on nx.symbol = m.symbol and nx.t_idx = m.t_idx group by m.s")
@@ -245,7 +290,7 @@ def _shuffle(c: Chain) -> str:
 def _bar(c: Chain) -> str:
     variants(c)
     c.add("t", "select strategy, avg(x) / nullif(stddev_samp(x), 0) * sqrt(count(*)) as t from var group by strategy")
-    c.add("b", "select sqrt(2 * ln(count(*))) as bar from t")
+    c.add("b", "select greatest(2e0, sqrt(2 * ln(count(*)))) as bar from t")
     return c.select(f"select strategy, {rounded('t')}, t > bar as clears from t, b")
 
 
@@ -299,32 +344,77 @@ def _select_test(c: Chain) -> str:
     return c.select(f"select part, n, {rounded('t')} from o")
 
 
+#: Constructions of the power study: names on the long and on the short side, sessions held.
+DESIGNS = (("top_25_long", 25, 0, 5), ("top_50_long", 50, 0, 5), ("top_100_long", 100, 0, 21), ("decile_long_short", 10, 10, 5), ("quarter_long_short", 25, 25, 21))
+
+
 @query("power_designs")
 def _power(c: Chain) -> str:
-    """Tracking error and least detectable excess of top-k books of several sizes, long only and long/short."""
+    """Tracking error and least detectable excess of several books: the best by score, or both ends, held for a block."""
     E.score_momentum(c)
-    c.add("nx", f"select symbol, t_idx, score, {S.shift('ret', -1)} as nxt from score")
-    c.add("rk2", "select *, row_number() over (partition by t_idx order by score desc, symbol) as up, row_number() over (partition by t_idx order by score, symbol desc) as dn from nx where score is not null and nxt is not null")
-    c.add("ks", " union all ".join(f"select {k} as k" for k in (2, 5, 25)))
-    c.add("bkk", "select k, t_idx, avg(case when up <= k then nxt end) - avg(nxt) as lo, avg(case when up <= k then nxt end) - avg(case when dn <= k then nxt end) as ls from rk2 cross join ks group by k, t_idx")
-    c.add("o", "select k, stddev_samp(lo) * sqrt(52e0) as te_long, stddev_samp(ls) * sqrt(52e0) as te_ls, count(*) / 52e0 as yrs from bkk group by k")
-    c.add("p", "select k, te_long, te_ls, 2 * te_long / sqrt(yrs) as mde_long from o")
-    return c.select(f"select k, {rounded('te_long', 'te_ls', 'mde_long')} from p")
+    c.add("ds", " union all ".join(f"select '{n}' as design, {a} as n_long, {z} as n_short, {h} as hold" for n, a, z, h in DESIGNS))
+    c.add("db", "select d.*, s.symbol, s.t_idx as t0, row_number() over (partition by d.design, s.t_idx order by s.score desc, s.symbol) as up, row_number() over (partition by d.design, s.t_idx order by s.score, s.symbol desc) as dn from score s cross join ds d where s.t_idx % d.hold = 0 and s.tradable and s.score is not null")
+    c.add("dp", "select design, hold, symbol, t0, case when up <= n_long then 1 else 0 end as l, case when dn <= n_short then 1 else 0 end as s from db where up <= n_long or dn <= n_short")
+    P.expand(c, "dp", "t0 + 1", "t0 + hold", "dx")
+    E.benchmark(c)
+    c.add("dr", "select x.design, x.t_idx, sum(l * r.ret) / nullif(sum(l), 0) - case when max(x.s) = 1 then sum(x.s * r.ret) / nullif(sum(x.s), 0) else max(b.bench) end as x from dx x join score r on r.symbol = x.symbol and r.t_idx = x.t_idx join bench b on b.t_idx = x.t_idx group by x.design, x.t_idx")
+    c.add("o", f"select design, count(*) as n, stddev_samp(x) * sqrt({S.YEAR}e0) as te, count(*) / {S.YEAR}e0 as yrs from dr group by design")
+    c.add("p", "select design, n, te, 2 * te / sqrt(yrs) as mde from o")
+    return c.select(f"select design, n, {rounded('te', 'mde')} from p")
 
 
 @query("disclosure_book")
 def _disclosure_book(c: Chain) -> str:
-    """Net disclosed buying as weights for 13 sessions, normalised, earning from the next session, with costs."""
+    """Net disclosed buying for 13 sessions as three books: both sides, buys alone, and a tilt of equal weights; costs, from the next session on."""
     P.disclosures(c)
     P.returns(c)
     P.at_session(c, "disclosures", "filing_date", "da", keep="")
     c.add("dn", "select symbol, side, amount_mid, t0, t0 + 12 as t1 from da")
     P.expand(c, "dn", "t0", "t1", "dx")
     c.add("dw", "select symbol, t_idx, sum((case when side = 'buy' then 1 else -1 end) * ln(1 + amount_mid / 1e4)) as raw from dx group by symbol, t_idx")
-    c.add("dg", "select r.symbol, r.t_idx, r.ret, coalesce(d.raw, 0) / nullif(sum(abs(coalesce(d.raw, 0))) over (partition by r.t_idx), 0) as w from rets r left join dw d on d.symbol = r.symbol and d.t_idx = r.t_idx")
-    c.add("dl", f"select t_idx, ret, coalesce(w, 0) as w, coalesce({S.shift('w', 1)}, 0) as w0 from dg")
-    c.add("o", "select t_idx, sum(w0 * ret) - sum(abs(w - w0)) * 5e-4 as ret, sum(abs(w - w0)) as turnover from dl group by t_idx")
-    return c.select(f"select t_idx, {rounded('ret', 'turnover', digits=8)} from o")
+    c.add("dj", "select r.symbol, r.t_idx, r.ret, case when r.tradable then 1e0 else 0e0 end as ok, coalesce(d.raw, 0) as raw from rets r left join dw d on d.symbol = r.symbol and d.t_idx = r.t_idx")
+    gross = "nullif(sum(abs({})) over (partition by t_idx), 0)"
+    long_only = "greatest(raw, 0)"
+    tilt = "ok * (1 + 0.5 * case when raw > 0 then 1 when raw < 0 then -1 else 0 end)"
+    weights = {"long_short": f"raw / {gross.format('raw')}", "long_only": f"{long_only} / {gross.format(long_only)}", "tilt": f"{tilt} / {gross.format(tilt)}"}
+    c.add("dg", " union all ".join(f"select '{n}' as design, symbol, t_idx, ret, coalesce({w}, 0) as w from dj" for n, w in weights.items()))
+    c.add("dl", "select design, t_idx, ret, w, coalesce(lag(w) over (partition by design, symbol order by t_idx), 0) as w0 from dg")
+    c.add("o", "select design, t_idx, sum(w0 * ret) - sum(abs(w - w0)) * 5e-4 as ret, sum(abs(w - w0)) as turnover from dl group by design, t_idx")
+    return c.select(f"select design, t_idx, {rounded('ret', 'turnover', digits=8)} from o")
+
+
+@query("behaviour_duplicates")
+def _duplicates(c: Chain) -> str:
+    """Strategies that move as one (correlation 0.999 or more) with another that is simpler by name length, then by name: those to drop."""
+    variants(c)
+    c.add("cc", f"select a.strategy as s1, b.strategy as s2, {S.corr('a.x', 'b.x')} as rho, count(*) as n from var a join var b on a.t_idx = b.t_idx and a.strategy <> b.strategy group by a.strategy, b.strategy")
+    c.add("dup", "select s1, min(s2) as twin, max(abs(rho)) as rho from cc where abs(rho) >= 0.999 and n >= 60 and (length(s2) < length(s1) or (length(s2) = length(s1) and s2 < s1)) group by s1")
+    return c.select(f"select s1 as strategy, twin, {rounded('rho')} from dup")
+
+
+@query("holdout_split")
+def _holdout(c: Chain) -> str:
+    """The flagship before and in the held-back last fifth, with an embargo between; the tail needs 60 sessions to count."""
+    daily(c)
+    c.add("hn", "select floor((max(t_idx) + 1) * 0.8) as cut_t from bt")
+    c.add("hs", "select b.*, case when b.t_idx >= h.cut_t then 1 else 0 end as part from bt b cross join hn h where b.t_idx < h.cut_t - 10 or b.t_idx >= h.cut_t")
+    E.stats(c, "hs", "part", "hv")
+    return c.select(f"select case when g = 1 then 'held' else 'train' end as part, n_days, n_days >= 60 as ok, {rounded('alpha_ann', 'alpha_tstat', 'sharpe', 'ir')} from hv")
+
+
+#: What a candidate must show, each against its limit: name, column, at least or at most, limit.
+GATES = (("cv_folds_positive", "frac_positive", ">=", 0.6), ("alpha_tstat", "alpha_tstat", ">=", 2.0), ("n_trades", "cast(n_trades as double)", ">=", 100), ("ann_turnover", "ann_turnover", "<=", 60.0), ("corr_bench", "abs(corr_bench)", "<=", 0.6), ("worst_fold", "worst_alpha", ">=", -0.5))
+
+
+@query("gate_checks")
+def _gates(c: Chain) -> str:
+    """The cheap checks of the flagship, one row each: value, limit, passed; and whether the dear ones are due."""
+    text = TEXTS["cv_folds_stats"]
+    text(c)
+    c.add("cvo", c.final)
+    rows = (f"select {i} as k, '{n}' as gate, {e} as value, '{op}' as op, {lim}e0 as threshold, coalesce({e} {op} {lim}, false) as passed from cvo" for i, (n, e, op, lim) in enumerate(GATES))
+    c.add("gt", " union all ".join(rows))
+    return c.select("select gate, round(value, 6) as value, op, threshold, passed, min(case when passed then 1 else 0 end) over () = 1 as dear_checks_due from gt")
 
 
 @query("book_overlap_by_design")

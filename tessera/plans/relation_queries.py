@@ -134,23 +134,38 @@ def _forward(c: Chain) -> str:
     return c.select("select event_id, t0 as t_idx from da")
 
 
+def known_quarters(c: Chain, frm: str, keys: tuple[str, ...], quarters: int, name: str) -> str:
+    """Relation ``name``: (keys, known_on, end_date, val, q), the last ``quarters`` periods known at every filing day.
+
+    A version counts from its own filing day to the next version's, and no
+    longer than until that many later periods are all known, so a version meets
+    a bounded number of days; periods beyond may be listed or not.
+    """
+    by = ", ".join(keys)
+
+    def on(a: str, b: str) -> str:
+        return " and ".join(f"{a}.{k} = {b}.{k}" for k in keys)
+
+    of = ", ".join(f"v.{k}" for k in keys)
+    c.add(f"{name}_days", f"select {by}, filed as known_on, cast(row_number() over (partition by {by} order by filed) as int) as k from (select distinct {by}, filed from {frm}) q")
+    c.add(f"{name}_first", f"select {by}, end_date, min(filed) as first_filed from {frm} group by {by}, end_date")
+    ahead = f"over (partition by {by} order by end_date rows between 1 following and {quarters} following)"
+    c.add(f"{name}_later", f"select {by}, end_date, case when count(*) {ahead} = {quarters} then max(first_filed) {ahead} end as gone from {name}_first")
+    c.add(f"{name}_one", f"select {by}, end_date, filed, val, row_number() over (partition by {by}, end_date, filed order by form desc) as v from {frm}")
+    c.add(f"{name}_next", f"select {by}, end_date, filed, val, lead(filed) over (partition by {by}, end_date order by filed) as next_filed from {name}_one where v = 1")
+    c.add(f"{name}_till", f"select {of}, v.end_date, v.val, v.filed, least(coalesce(v.next_filed, l.gone), coalesce(l.gone, v.next_filed)) as until from {name}_next v join {name}_later l on {on('l', 'v')} and l.end_date = v.end_date")
+    c.add(f"{name}_last", f"select {by}, max(k) as n from {name}_days group by {by}")
+    c.add(f"{name}_span", f"select {of}, v.end_date, v.val, a.k as k0, cast(coalesce(b.k - 1, n.n) as int) as k1 from {name}_till v join {name}_days a on {on('a', 'v')} and a.known_on = v.filed join {name}_last n on {on('n', 'v')} left join {name}_days b on {on('b', 'v')} and b.known_on = v.until")
+    P.expand(c, f"{name}_span", "k0", "k1", f"{name}_at")
+    part = ", ".join(f"v.{k}" for k in keys)
+    c.add(name, f"select {of}, d.known_on, v.end_date, v.val, row_number() over (partition by {part}, d.known_on order by v.end_date desc) as q from {name}_at v join {name}_days d on {on('d', 'v')} and d.k = v.t_idx")
+    return name
+
+
 def known(c: Chain) -> str:
     """What is known of the last quarters at every filing day of its symbol: the latest version filed by then."""
-    # A version counts from its own filing day to the next version's, and no longer than until
-    # ``QUARTERS`` later quarters are all known, so a version meets a bounded number of days.
     P.facts(c)
-    c.add("days_", "select symbol, filed as known_on, cast(row_number() over (partition by symbol order by filed) as int) as k from (select distinct symbol, filed from facts) q")
-    c.add("firsts", "select symbol, end_date, min(filed) as first_filed from facts group by symbol, end_date")
-    ahead = f"over (partition by symbol order by end_date rows between 1 following and {QUARTERS} following)"
-    c.add("later", f"select symbol, end_date, case when count(*) {ahead} = {QUARTERS} then max(first_filed) {ahead} end as gone from firsts")
-    c.add("ver0", "select symbol, end_date, filed, val, row_number() over (partition by symbol, end_date, filed order by form desc) as v from facts")
-    c.add("ver1", "select symbol, end_date, filed, val, lead(filed) over (partition by symbol, end_date order by filed) as next_filed from ver0 where v = 1")
-    c.add("ver2", "select v.symbol, v.end_date, v.val, v.filed, least(coalesce(v.next_filed, l.gone), coalesce(l.gone, v.next_filed)) as until from ver1 v join later l on l.symbol = v.symbol and l.end_date = v.end_date")
-    c.add("lastk", "select symbol, max(k) as n from days_ group by symbol")
-    c.add("ver3", "select v.symbol, v.end_date, v.val, a.k as k0, cast(coalesce(b.k - 1, n.n) as int) as k1 from ver2 v join days_ a on a.symbol = v.symbol and a.known_on = v.filed join lastk n on n.symbol = v.symbol left join days_ b on b.symbol = v.symbol and b.known_on = v.until")
-    P.expand(c, "ver3", "k0", "k1", "ver4")
-    c.add("known", "select v.symbol, d.known_on, v.end_date, v.val, row_number() over (partition by v.symbol, d.known_on order by v.end_date desc) as q from ver4 v join days_ d on d.symbol = v.symbol and d.k = v.t_idx")
-    return "known"
+    return known_quarters(c, "facts", ("symbol",), QUARTERS, "known")
 
 
 @query("bitemporal_known")
@@ -171,7 +186,7 @@ def _days_since(c: Chain) -> str:
     return c.select(f"select f.symbol, f.t_idx, least({c.d.days('s.date', 'f.filed')}, 50) as days from fs f join sessions s on s.t_idx = f.t_idx")
 
 
-@query("features_fundamental")
+@query("filing_run_rates")
 def _fundamental(c: Chain) -> str:
     known(c)
     c.add("ttm", "select symbol, known_on, sum(case when q <= 4 then val end) as ttm, count(case when q <= 4 then 1 end) as n, max(case when q = 1 then val end) as last_q, max(case when q = 5 then val end) as year_ago from known group by symbol, known_on")
@@ -374,8 +389,48 @@ def _stall(c: Chain) -> str:
 
 @query("business_days")
 def _business(c: Chain) -> str:
-    o = c.d.table("orders")
-    c.add("d", f"select distinct cast(o_orderdate as date) as d from {o}")
-    dow = "dayofweek({})" if c.d.name == "spark" else "dayofweek({}) + 1"
-    c.add("g", f"select a.d as d, {c.d.add_days('a.d', 'k.k')} as x from d a cross join (select distinct symbol as k from (select o_custkey % 10 as symbol from {o}) q) k")
-    return c.select(f"select d, count(case when {dow.format('x')} between 2 and 6 then 1 end) as n from g group by d")
+    """Business days after the order up to its first shipment, and back where that is earlier."""
+    o, li = c.d.table("orders"), c.d.table("lineitem")
+
+    def upto(d: str) -> str:  # business days since a Monday long ago
+        n = c.d.days(d, "date '1970-01-05'")
+        return f"(5 * floor({n} / 7e0) + least({n} - 7 * floor({n} / 7e0) + 1, 5))"
+
+    c.add("sh", f"select l_orderkey, cast(min(l_shipdate) as date) as b from {li} group by l_orderkey")
+    c.add("od", f"select o_orderkey, cast(o_orderdate as date) as a, b from {o} join sh on l_orderkey = o_orderkey")
+    return c.select(f"select o_orderkey, a, b, cast({upto('b')} - {upto('a')} as bigint) as n from od")
+
+
+@query("event_study_by_year")
+def _by_year(c: Chain) -> str:
+    event_returns(c)
+    c.add("ey", "select e.t0, e.x, date_part('year', s.date) as yr from er e join sessions s on s.t_idx = e.t0")
+    c.add("o", "select cast(yr as bigint) as yr, count(*) as n, count(distinct t0) as days, avg(x) as mean, avg(x) / nullif(stddev_samp(x) / sqrt(count(*)), 0) as t from ey group by yr")
+    return c.select(f"select yr, n, days, {rounded('mean', 't')} from o")
+
+
+@query("filing_cache_summary")
+def _cache(c: Chain) -> str:
+    P.facts(c)
+    return c.select("select symbol, count(*) as facts, min(filed) as earliest, count(distinct end_date) as quarters from facts group by symbol")
+
+
+@query("volatility_join")
+def _vol_join(c: Chain) -> str:
+    """Days that the market and the fast volatility have in common, with the slow one where it is there."""
+    P.returns(c)
+    c.add("ix", "select t_idx, avg(ret) as r from rets group by t_idx")
+    c.add("v1", "select t_idx, stddev_pop(r) over (order by t_idx rows between 20 preceding and current row) as v from ix where t_idx % 7 <> 3")
+    c.add("v3", "select t_idx, stddev_pop(r) over (order by t_idx rows between 62 preceding and current row) as v from ix where t_idx % 5 <> 2")
+    return c.select("select a.t_idx, round(a.v + 1.73e-10, 8) + 0e0 as fast, round(b.v + 1.73e-10, 8) + 0e0 as slow, b.v is not null and b.v > a.v as contango from ix i join v1 a on a.t_idx = i.t_idx left join v3 b on b.t_idx = a.t_idx")
+
+
+@query("basket_excess")
+def _basket(c: Chain) -> str:
+    """A thesis basket's annualised excess over the equal-weight market before and after its date, and the verdict."""
+    P.returns(c)
+    c.add("th", "select 'low' as thesis, 0 as r, 120 as since union all select 'mid', 1, 200 union all select 'late', 2, 340")
+    c.add("bx", "select t.thesis, t.since, r.t_idx, avg(case when r.symbol % 9 = t.r then r.ret end) - avg(r.ret) as x from rets r cross join th t group by t.thesis, t.since, r.t_idx")
+    c.add("sc", f"select thesis, count(case when t_idx > since then 1 end) as sessions, avg(case when t_idx <= since and t_idx > since - 126 then x end) * {S.YEAR} as trailing_x, avg(case when t_idx > since then x end) * {S.YEAR} as forward_x from bx group by thesis")
+    c.add("o", "select thesis, sessions, trailing_x, forward_x, abs(trailing_x) > 0.25 as already_moved, case when sessions < 20 then 'too early' when forward_x > 0.02 then 'holding' when forward_x < -0.02 then 'not holding' else 'flat' end as verdict from sc")
+    return c.select(f"select thesis, sessions, {rounded('trailing_x', 'forward_x')}, already_moved, verdict from o")

@@ -73,7 +73,7 @@ def _registry(c: Chain) -> str:
 def _unpivot(c: Chain) -> str:
     P.bars(c)
     fields = ("open", "high", "low", "close")
-    return c.select(" union all ".join(f"select symbol, date, '{f}' as field, {f} as value from bars" for f in fields))
+    return c.select(f"select symbol, date, field, value from bars unpivot include nulls (value for field in ({', '.join(fields)}))")
 
 
 @query("factor_wide_pivot")
@@ -102,18 +102,20 @@ def _history(c: Chain) -> str:
 
 @query("sanitised_return")
 def _sane(c: Chain) -> str:
+    """Moves beyond 60 % count as bad data, except in a market where they happen."""
     P.returns(c)
-    return c.select("select symbol, t_idx, round(case when abs(ret) > 0.6 then 0.0 else ret end, 6) + 0.0 as ret from rets")
+    P.market(c)
+    return c.select("select r.symbol, r.t_idx, round(case when abs(r.ret) > 0.6 and m.market <> 'ASIA' then 0.0 else r.ret end, 6) + 0.0 as ret from rets r join market m on m.symbol = r.symbol")
 
 
 @query("curve_downsample")
 def _curve(c: Chain) -> str:
     P.returns(c)
     c.add("mk", "select t_idx, avg(ret) as r, count(*) over () as n from rets group by t_idx")
-    k = 60
-    pick = "cast(floor(i.i * (m.n - 1) / 59.0) as int)"
-    c.add("i", "select distinct t_idx as i from rets where t_idx < " + str(k))
-    return c.select(f"select distinct m.t_idx, round(m.r, 6) + 0.0 as r from mk m join i on m.t_idx = {pick}")
+    k = 260
+    c.add("i", f"select i from (select count(*) as n from mk) q {c.d.explode(c.d.sequence('0', f'{k - 1}'), 'i')}")
+    c.add("picks", f"select distinct cast(floor(i * ((select count(*) from mk) - 1) / {k - 1}e0) as int) as t_idx from i")
+    return c.select("select m.t_idx, round(m.r, 6) + 0.0 as r from mk m join picks p on p.t_idx = m.t_idx")
 
 
 on_panel("shift_k", lag_1=S.shift("close", 1), lag_5=S.shift("close", 5), lead_3=S.shift("close", -3))
@@ -216,34 +218,10 @@ for _name in FAMILIES:
         TEXTS[f"features_{_name}"] = _family(_name)
 
 
-@query("features_peer")
-def _peer(c: Chain) -> str:
-    """Top correlated peers of each 63-session block, and what they say about a symbol."""
-    P.returns(c)
-    c.add("pm", f"select symbol, t_idx, ret, {S.pct_change('close', 21)} as mom, {S.roll_std('ret', 21)} as vol, cast(floor(t_idx / 63) as int) as blk from rets")
-    c.add("pairs", f"""select a.symbol, b.symbol as peer, a.blk, {S.corr('a.ret', 'b.ret')} as rho, count(*) as n from pm a join pm b
-        on a.blk = b.blk and a.t_idx = b.t_idx and a.symbol <> b.symbol group by a.symbol, b.symbol, a.blk""")
-    c.add("top", "select symbol, peer, blk + 1 as blk, rho, row_number() over (partition by symbol, blk order by round(coalesce(rho, 0), 9) desc, peer) as rn from pairs where n >= 20")
-    c.add("pf", """select p.symbol, p.t_idx, min(p.mom) - avg(q.mom) as rel_mom, min(p.vol) / nullif(avg(q.vol), 0) as rel_vol, stddev_pop(q.mom) as dispersion,
-        sum(case when q.mom < p.mom then 1e0 else 0e0 end) / count(*) as peer_rank, avg(t.rho) as peer_corr
-        from pm p join top t on p.symbol = t.symbol and p.blk = t.blk and t.rn <= 20 join pm q on q.symbol = t.peer and q.t_idx = p.t_idx group by p.symbol, p.t_idx""")
-    return c.select(f"select symbol, t_idx, {rounded('rel_mom', 'rel_vol', 'dispersion', 'peer_rank', 'peer_corr', digits=5)} from pf")
-
-
-@query("features_macro")
-def _macro(c: Chain) -> str:
-    P.macro(c)
-    z = {f"{n}_z": S.z_trailing(f"ln({n})", 52, 20) for n in ("m_vol", "m_px", "m_disp")}
-    c.add("one", "select 1 as symbol, * from macro")
-    c.add("o", "select t_idx, " + ", ".join(f"{e} as {n}" for n, e in z.items()) + f", {S.pct_change('m_px', 13)} as m_px_mom from one")
-    return c.select(f"select t_idx, {rounded(*z, 'm_px_mom', digits=5)} from o")
-
-
 @query("broadcast_macro")
 def _broadcast(c: Chain) -> str:
     P.macro(c)
-    hint = "/*+ broadcast(m) */ " if c.d.name == "spark" else ""
-    return c.select(f"select {hint}p.symbol, p.t_idx, p.close, round(m.m_px + 1.73e-7, 5) as m_px from panel p join macro m on p.t_idx = m.t_idx")
+    return c.select(f"select p.symbol, p.t_idx, p.close, round(m.m_px + 1.73e-7, 5) as m_px from panel p join macro m on p.t_idx = m.t_idx")
 
 
 @query("feature_families")

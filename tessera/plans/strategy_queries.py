@@ -13,7 +13,11 @@ from .sql import Chain, Text, rounded
 
 TEXTS: dict[str, Text] = {}
 COST_BPS = {"stocks": 2.6, "crypto": 10.0, "forex": 2.0, "options": 50.0}
-PERIODS = {"stocks": 252, "crypto": 365, "forex": 252, "options": 12}
+PERIODS = {"stocks": S.YEAR, "crypto": 365, "forex": S.YEAR, "options": 12}
+#: Names on each side. Stock books take as many as the test tables have room for.
+NAMES = {"stocks": 25, "crypto": 6, "forex": 10}
+#: Sessions an option position is held, and the windows of its volatility and of the median it is timed by.
+OPTION_HOLD, FAST, SLOW, MEDIAN = 21, 21, 63, 252
 
 
 @dataclass(frozen=True)
@@ -79,7 +83,7 @@ def book(c: Chain, signal: str, hold: int, n_long: int, n_short: int, bps: float
     c.add("sr", f"select a.t_idx, coalesce(g.g, 0) - coalesce(t.tno, 0) * {bps} / 1e4 as ret from cal a left join gr g on g.t_idx = a.t_idx left join tn t on t.t0 = a.t_idx")
 
 
-def ranked(id: str, title: str, market: str, caveat: str, stages: dict[str, str], signal: str, hold: int, n: int) -> None:
+def ranked(id: str, title: str, market: str, caveat: str, stages: dict[str, str], signal: str, hold: int, n: int | None = None) -> None:
     """A long/short strategy on the average-tie rank of a signal built in one stage."""
 
     def build(c: Chain) -> None:
@@ -87,7 +91,7 @@ def ranked(id: str, title: str, market: str, caveat: str, stages: dict[str, str]
         cols = ", ".join(f"{e} as {k}" for k, e in stages.items())
         c.add("sx0", f"select *, {cols} from pr")
         c.add("sx", f"select *, {S.cs_rank_avg(f'case when tradable then round({signal}, 9) end')} as rk from sx0")
-        book(c, "rk", hold, n, n, COST_BPS[market])
+        book(c, "rk", hold, n or NAMES[market], n or NAMES[market], COST_BPS[market])
 
     register(id, title, market, caveat)(build)
 
@@ -108,22 +112,23 @@ def _beta(w: int) -> str:
 _VOL = {"v": _past("stddev_pop", "ret", 63)}
 SURVIVORS = "listed survivors only; failed names are missing"
 THIN = "few instruments; one regime"
-ranked("stk_lowvol", "Low volatility", "stocks", SURVIVORS, _VOL, "-v", 21, 25)
-ranked("stk_mom121", "Momentum 12-1", "stocks", SURVIVORS, {"m": _mom(252, 21)}, "m", 21, 25)
-ranked("stk_strev", "Short-term reversal", "stocks", SURVIVORS, {"m": _mom(21)}, "-m", 21, 25)
-ranked("stk_ltrev", "Long-term reversal", "stocks", SURVIVORS, {"m": _mom(156, 21)}, "-m", 63, 25)
-ranked("stk_52whigh", "52-week high", "stocks", SURVIVORS, {"h": f"close / nullif({_past('max', 'close', 52)}, 0)"}, "h", 21, 25)
-ranked("stk_bab", "Betting against beta", "stocks", SURVIVORS, {"b": _beta(126)}, "-b", 21, 25)
-ranked("stk_ivol", "Idiosyncratic volatility", "stocks", SURVIVORS, {"i": _past("stddev_pop", "(ret - mk)", 126)}, "-i", 21, 25)
-ranked("stk_max", "Lottery demand", "stocks", SURVIVORS, {"x": _past("max", "ret", 21)}, "-x", 21, 25)
+ranked("stk_lowvol", "Low volatility", "stocks", SURVIVORS, _VOL, "-v", 21)
+ranked("stk_mom121", "Momentum 12-1", "stocks", SURVIVORS, {"m": _mom(252, 21)}, "m", 21)
+ranked("stk_strev", "Short-term reversal", "stocks", SURVIVORS, {"m": _mom(21)}, "-m", 21)
+ranked("stk_ltrev", "Long-term reversal", "stocks", SURVIVORS, {"m": _mom(756, 21)}, "-m", 63)
+ranked("stk_52whigh", "52-week high", "stocks", SURVIVORS, {"h": f"close / nullif({_past('max', 'close', 252)}, 0)"}, "h", 21)
+# The look-back windows below are refreshed every 21 sessions, which are the rebalance rows.
+ranked("stk_bab", "Betting against beta", "stocks", SURVIVORS, {"b": _beta(252)}, "-b", 21)
+ranked("stk_ivol", "Idiosyncratic volatility", "stocks", SURVIVORS, {"i": S.residual_std("ret", "mk", 126)}, "-i", 21)
+ranked("stk_max", "Lottery demand", "stocks", SURVIVORS, {"x": _past("max", "ret", 21)}, "-x", 21)
 ranked("stk_illiq", "Illiquidity", "stocks", SURVIVORS, {"a": _past("avg", "(abs(ret) / nullif(dv, 0)) * 1e6", 21)}, "a", 21, 20)
-ranked("stk_turnover", "Low turnover", "stocks", SURVIVORS, {"u": _past("avg", "volume", 21)}, "-u", 21, 25)
-ranked("stk_mom_intermediate", "Intermediate momentum", "stocks", SURVIVORS, {"m": _mom(252, 126)}, "m", 21, 25)
-ranked("cry_xmom", "Crypto cross-sectional momentum", "crypto", THIN, {"m": _mom(30)}, "m", 7, 3)
-ranked("cry_strev", "Crypto short-term reversal", "crypto", THIN, {"m": _mom(7)}, "-m", 7, 3)
-ranked("fx_trend", "Currency trend", "forex", THIN, {"m": _mom(60)}, "m", 21, 4)
-ranked("fx_reversal", "Currency reversal", "forex", THIN, {"m": _mom(5)}, "-m", 5, 4)
-ranked("fx_ppp", "Currency long reversal", "forex", THIN, {"m": _mom(156)}, "-m", 63, 4)
+ranked("stk_turnover", "Low turnover", "stocks", SURVIVORS, {"u": _past("avg", "volume", 21)}, "-u", 21)
+ranked("stk_mom_intermediate", "Intermediate momentum", "stocks", SURVIVORS, {"m": _mom(252, 126)}, "m", 21)
+ranked("cry_xmom", "Crypto cross-sectional momentum", "crypto", THIN, {"m": _mom(30)}, "m", 7)
+ranked("cry_strev", "Crypto short-term reversal", "crypto", THIN, {"m": _mom(7)}, "-m", 7)
+ranked("fx_trend", "Currency trend", "forex", THIN, {"m": _mom(60)}, "m", 21)
+ranked("fx_reversal", "Currency reversal", "forex", THIN, {"m": _mom(5)}, "-m", 5)
+ranked("fx_ppp", "Currency long reversal", "forex", THIN, {"m": _mom(756)}, "-m", 63)
 
 
 def _two(id: str, title: str, combine) -> None:
@@ -134,7 +139,7 @@ def _two(id: str, title: str, combine) -> None:
         mo = S.cs_rank_avg("case when tradable then round(m, 9) end")
         c.add("sx1", f"select *, {lv} as rv, {mo} as rm from sx0")
         c.add("sx", f"select *, {combine} as rk from sx1")
-        book(c, "rk", 21, 25, 25, COST_BPS["stocks"])
+        book(c, "rk", 21, NAMES["stocks"], NAMES["stocks"], COST_BPS["stocks"])
 
     register(id, title, "stocks", SURVIVORS)(build)
 
@@ -198,44 +203,62 @@ def _vol_target(c: Chain) -> None:
 
 
 @register("cry_btc_relative", "Crypto leaders against the first coin", "crypto", THIN)
-def _relative(c: Chain) -> None:
+def _relative(c: Chain, hold: int = 7, back: int = 30, n: int = NAMES["crypto"]) -> None:
+    """Long the coins that gained most on the first one, short that one; flat while there are too few."""
     prices(c)
-    c.add("lead0", "select min(symbol) as base from pr")
-    c.add("sx0", f"select p.*, {_mom(30)} as m from pr p")
-    c.add("sx", f"select x.*, case when x.symbol <> l.base then {S.cs_rank_avg('case when x.tradable and x.symbol <> l.base then round(x.m, 9) end', 'x.t_idx')} end as rk from sx0 x cross join lead0 l")
-    book(c, "rk", 7, 3, 0, COST_BPS["crypto"])
-    c.parts["sr0"] = c.parts.pop("sr")
-    c.add("base_r", "select p.t_idx, p.ret from pr p join lead0 l on p.symbol = l.base")
-    c.add("sr", "select s.t_idx, s.ret - case when g.t_idx is null then 0e0 else b.ret end as ret from sr0 s join base_r b on b.t_idx = s.t_idx left join gr g on g.t_idx = s.t_idx")
+    c.add("sg", f"select p.symbol, p.t_idx, p.tradable, p.ret, round({_mom(back)}, 9) as s, (select min(symbol) from pr) as base from pr p")
+    c.add("bm", "select t_idx from sg where symbol = base and s is not null")
+    c.add("el", f"select g.symbol, g.t_idx, g.base, count(*) over (partition by g.t_idx) as n, row_number() over (partition by g.t_idx order by g.s desc, g.symbol) as up from sg g join bm b on b.t_idx = g.t_idx where g.t_idx % {hold} = 0 and g.symbol <> g.base and g.tradable and g.s is not null")
+    c.add("pk", f"select * from el where n >= {n} and up <= {n}")
+    c.add("bk", f"select t_idx as t0, symbol, 1e0 / {n} as w from pk union all select t_idx, base, -1e0 from pk where up = 1")
+    c.add("gr", f"select r.t_idx, sum(b.w * r.ret) as g from sg r join bk b on b.symbol = r.symbol and b.t0 = cast(floor((r.t_idx - 1) / {hold}e0) as int) * {hold} where r.t_idx >= 1 group by r.t_idx")
+    c.add("chg", f"select t0, symbol, w from bk union all select t0 + {hold}, symbol, -w from bk")
+    c.add("tn", "select t0, sum(d) as tno from (select t0, symbol, abs(sum(w)) as d from chg group by t0, symbol) q group by t0")
+    c.add("cal", "select distinct t_idx from sg")
+    c.add("sr", f"select a.t_idx, coalesce(g.g, 0) - coalesce(t.tno, 0) * {COST_BPS['crypto']} / 1e4 as ret from cal a left join gr g on g.t_idx = a.t_idx left join tn t on t.t0 = a.t_idx")
 
 
 def _options(c: Chain) -> None:
-    """Monthly blocks of the market level with its trailing volatility: (blk, t_idx, sig, med, term, move)."""
+    """Blocks of the market level with its trailing volatilities: (t0, t_idx, sig, slow, med, move).
+
+    The market level and the volatility series have calendars of their own; a
+    block needs a day that both have, and the slow series where it is there.
+    """
     _market(c)
-    vol = "stddev_pop(coalesce(mk, 0)) over (order by t_idx rows between 21 preceding and 1 preceding) * sqrt(52e0)"
-    slow = "stddev_pop(coalesce(mk, 0)) over (order by t_idx rows between 63 preceding and 1 preceding) * sqrt(52e0)"
-    c.add("ov", f"select t_idx, lvl, case when t_idx >= 21 then round({vol}, 9) end as sig, case when t_idx >= 63 then round({slow}, 9) end as slow from ms")
-    c.add("om", f"select *, case when t_idx >= 63 then {c.d.percentile('sig', 0.5)} over (order by t_idx rows between 63 preceding and 1 preceding) end as med from ov")
-    c.add("ob", "select a.t_idx as t0, b.t_idx, a.sig, a.slow, a.med, b.lvl / a.lvl - 1 as move from om a join om b on b.t_idx = a.t_idx + 4 where a.t_idx % 4 = 0 and a.sig is not null")
+
+    def vol(w: int) -> str:
+        return f"case when t_idx >= {w} then round(stddev_pop(coalesce(mk, 0)) over (order by t_idx rows between {w} preceding and 1 preceding) * sqrt({S.YEAR}e0), 9) end"
+
+    c.add("spot", "select t_idx, lvl from ms")
+    c.add("iv_fast", f"select t_idx, sig from (select t_idx, {vol(FAST)} as sig from ms) q where sig is not null")
+    c.add("iv_slow", f"select t_idx, slow from (select t_idx, {vol(SLOW)} as slow from ms) q where slow is not null")
+    c.add("om", f"select s.t_idx, s.lvl, f.sig, w.slow, case when s.t_idx >= {MEDIAN} then {c.d.percentile('f.sig', 0.5)} over (order by s.t_idx rows between {MEDIAN} preceding and 1 preceding) end as med from spot s join iv_fast f on f.t_idx = s.t_idx left join iv_slow w on w.t_idx = s.t_idx")
+    c.add("ob", f"select a.t_idx as t0, b.t_idx, a.sig, a.slow, a.med, b.lvl / a.lvl - 1 as move, {OPTION_HOLD}e0 / {S.YEAR} as tau from om a join spot b on b.t_idx = a.t_idx + {OPTION_HOLD} where a.t_idx % {OPTION_HOLD} = 0")
 
 
-TAU = "sqrt(4 / 52e0)"
-THETA = f"(0.8 * sig * {TAU} - abs(move)) - 50 / 1e4"
+_FEE = f"{COST_BPS['options']} / 1e4"
+THETA = f"(0.8 * sig * sqrt(tau) - abs(move)) - {_FEE}"
+_WING = "0.5 * sig * sqrt(tau)"
 
 
-def _option(id: str, title: str, payoff: str) -> None:
+def _option(id: str, title: str, payoff: str, since: int = 0) -> None:
     def build(c: Chain) -> None:
         _options(c)
-        c.add("sr", f"select t_idx, {payoff} as ret from ob")
+        c.add("sr", f"select t_idx, {payoff} as ret from ob where t0 >= {since}")
 
     register(id, title, "options", "implied volatility stands in for traded prices")(build)
 
 
 _option("opt_theta", "Short straddle", THETA)
-_option("opt_condor", "Iron condor", f"case when abs(move) <= sig * {TAU} then 0.33 * 0.05 else greatest(0.33 * 0.05 - (abs(move) - sig * {TAU}), 0.33 * 0.05 - 0.05) end - 50 / 1e4")
-_option("opt_vrp_timed", "Straddle when volatility is high", f"case when sig > med then {THETA} else 0e0 end")
+_option("opt_condor", "Iron condor", f"0.33 * {_WING} - least(greatest(abs(move) - sig * sqrt(tau), 0), {_WING}) - {_FEE}")
+_option("opt_vrp_timed", "Straddle when volatility is high", f"case when sig > med then {THETA} else 0e0 end", MEDIAN)
 _option("opt_vix_carry", "Straddle in contango", f"case when slow > sig then {THETA} else 0e0 end")
-_option("opt_put_write", "Put write", f"0.4 * sig * {TAU} + least(move, 0) - 50 / 1e4")
+_option("opt_put_write", "Put write", f"0.4 * sig * sqrt(tau) + least(move, 0) - {_FEE}")
+
+#: The strategies as such; what follows are the same on windows that the test tables' 357 sessions can fill.
+SPECIFIED = tuple(REGISTRY)
+ranked("stk_ltrev_156", "Long-term reversal, three years of weeks", "stocks", SURVIVORS, {"m": _mom(156, 21)}, "-m", 63)
+ranked("fx_ppp_156", "Currency long reversal, three years of weeks", "forex", THIN, {"m": _mom(156)}, "-m", 63)
 
 
 def all_curves(c: Chain, ids: tuple[str, ...]) -> str:
@@ -260,16 +283,22 @@ def _rename(sql: str, name: str, to: str) -> str:
 
 
 def _table(c: Chain) -> str:
-    all_curves(c, tuple(REGISTRY))
-    c.add("sq", "select id, t_idx, ret, exp(sum(ln(1 + ret)) over (partition by id order by t_idx rows between unbounded preceding and current row)) as eq from curves")
-    c.add("sd", "select *, eq / max(eq) over (partition by id order by t_idx rows between unbounded preceding and current row) - 1 as dd from sq")
-    c.add("o", """select id, count(*) as n, exp(sum(ln(1 + ret))) - 1 as total, count(case when ret > 0 then 1 end) / nullif(cast(count(case when ret <> 0 then 1 end) as double), 0) as win_rate,
-        min(dd) as max_dd, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(52e0) as sharpe, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(count(*)) as t_stat from sd group by id""")
-    return c.select(f"select id, n, {rounded('total', 'win_rate', 'max_dd', 'sharpe', 't_stat')} from o")
+    """Every strategy's record, annualised by its market's periods, and its excess over the equal-weight benchmark."""
+    all_curves(c, SPECIFIED)
+    E.benchmark(c)
+    periods = " ".join(f"when '{s.id}' then {PERIODS[s.market]}e0" for s in REGISTRY.values())
+    up = "(partition by id order by t_idx rows between unbounded preceding and current row)"
+    c.add("sq", f"select v.id, v.t_idx, v.ret, v.ret - b.bench as excess, case v.id {periods} end as per, exp(sum(ln(1 + v.ret)) over {up.replace('id', 'v.id', 1).replace('order by t_idx', 'order by v.t_idx')}) as eq from curves v join bench b on b.t_idx = v.t_idx")
+    c.add("sd", f"select *, eq / greatest(max(eq) over {up}, 1) - 1 as dd from sq")
+    c.add("o", """select id, count(*) as n, exp(sum(ln(1 + ret))) - 1 as total, exp(sum(ln(1 + ret)) * max(per) / count(*)) - 1 as cagr,
+        count(case when ret > 0 then 1 end) / nullif(cast(count(case when ret <> 0 then 1 end) as double), 0) as win_rate,
+        min(dd) as max_dd, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(max(per)) as sharpe, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(count(*)) as t_stat,
+        avg(excess) / nullif(stddev_samp(excess), 0) * sqrt(count(*)) as excess_t from sd group by id""")
+    return c.select(f"select id, n, {rounded('total', 'cagr', 'win_rate', 'max_dd', 'sharpe', 't_stat', 'excess_t')} from o")
 
 
 def _tests(c: Chain) -> str:
-    all_curves(c, tuple(REGISTRY))
+    all_curves(c, SPECIFIED)
     c.add("ts_", "select id, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(count(*)) as t from curves group by id")
     c.add("bar_", "select greatest(2e0, sqrt(2 * ln(count(*)))) as bar from ts_")
     return c.select("select count(*) as n, round(max(bar), 6) as bar, count(case when abs(t) >= bar then 1 end) as clears from ts_, bar_")
@@ -281,6 +310,11 @@ TEXTS |= {"strategy_stats_table": _table, "multiple_testing_summary": _tests}
 # ---- trading ----------------------------------------------------------------
 
 
+#: Share of the usual daily volume that one order may take; commission a share and at least.
+MAX_ADV, PER_SHARE, LEAST_FEE = 0.1, 0.005, 1.0
+CAPITAL = 100_000
+
+
 def costs(c: Chain) -> None:
     P.panel(c)
     c.add("lv", f"select symbol, t_idx, close, lead(open) over (partition by symbol order by t_idx) as next_open, {c.d.percentile('dv', 0.5)} over {S.before(20)} as adv, stddev_samp(r1) over {S.before(20)} as vol from panel")
@@ -295,10 +329,12 @@ def _spread(c: Chain) -> str:
 
 
 def _fills(c: Chain) -> str:
-    """Buys of a fixed notional at the next open: capped at a tenth of the usual volume, at an adverse price."""
+    """Buys and sells of a fixed notional at the next open: capped at a tenth of the usual volume, at an adverse price, with the gap against the order and a commission."""
     costs(c)
-    c.add("sim", "select *, least(notional, 0.1 * adv) as done, next_open * (1 + (spread_bps + impact_bps) / 1e4) as price, (next_open / close - 1) * 1e4 as gap_bps from fill where next_open is not null")
-    return c.select(f"select symbol, t_idx, {rounded('done', 'price', 'gap_bps', digits=4)} from sim")
+    c.add("sides", "select * from fill cross join (select 'buy' as side, 1e0 as sgn union all select 'sell', -1e0) q where next_open is not null")
+    c.add("sim", f"select *, least(notional, {MAX_ADV} * adv) as done, next_open * (1 + sgn * (spread_bps + impact_bps) / 1e4) as price, sgn * (next_open / close - 1) * 1e4 as gap_bps from sides")
+    c.add("paid", f"select *, greatest(done / price * {PER_SHARE}, {LEAST_FEE}) as commission from sim")
+    return c.select(f"select symbol, t_idx, side, {rounded('done', 'price', 'gap_bps', 'commission', digits=4)} from paid")
 
 
 def _cost_summary(c: Chain) -> str:
@@ -320,30 +356,70 @@ def _orders(c: Chain) -> str:
 
 
 def _risk(c: Chain) -> str:
+    """Today's loss, the drawdown from the high-water mark, exposure and the largest position, each against its limit."""
     E.score_momentum(c)
     E.backtest(c)
     c.add("eq", "select t_idx, ret, exp(sum(ln(1 + ret)) over (order by t_idx rows between unbounded preceding and current row)) as eq from bt")
-    c.add("dd", "select t_idx, ret, eq / max(eq) over (order by t_idx rows between unbounded preceding and current row) - 1 as dd from eq")
-    c.add("lt", "select max(t_idx) as t1, min(dd) as worst, min(ret) as worst_day from dd")
-    rows = (("daily_loss", "-worst_day", 0.03), ("drawdown", "-worst", 0.15))
+    c.add("dd", "select t_idx, ret, 1 - eq / greatest(max(eq) over (order by t_idx rows between unbounded preceding and current row), 1) as dd, max(t_idx) over () as t1 from eq")
+    c.add("hd", "select sum(abs(w)) as gross, max(abs(w)) as top, count(*) as names from w where blk = (select max(blk) from w)")
+    c.add("lt", "select greatest(-ret, 0) as loss, dd, gross, top, names from dd cross join hd where t_idx = t1")
+    rows = (("daily_loss", "loss", 0.03), ("drawdown", "dd", 0.15), ("gross_exposure", "gross", 1.0), ("position", "top", 0.1), ("names", "cast(names as double)", 60))
     c.add("ck", " union all ".join(f"select '{n}' as name, {e} as value, {m}e0 as lim from lt" for n, e, m in rows))
-    return c.select(f"select name, {rounded('value')}, lim, value <= lim as ok from ck")
+    return c.select(f"select name, {rounded('value')}, lim, value <= lim + 1e-9 as ok from ck")
+
+
+def _order_checks(c: Chain) -> str:
+    """Orders in their sequence, the running total of what is pending, and which a limit on it lets through."""
+    _orders(c)
+    c.add("oq", c.final)
+    c.add("pd", "select *, sum(case when side = 'buy' then notional else -notional end) over (order by seq rows between unbounded preceding and current row) as pending from oq")
+    c.add("o", f"select seq, symbol, side, notional, pending, notional <= 0.2 * {CAPITAL} and pending <= 0.98 * {CAPITAL} as ok from pd")
+    return c.select(f"select seq, symbol, side, notional, {rounded('pending', digits=3)}, ok from o")
 
 
 def _book_value(c: Chain) -> str:
+    """The last book at the last close of every name: value, profit and its share, weight, gross exposure, total return."""
     E.score_momentum(c)
     E.top_k(c, 20, 21)
     c.add("lb", "select max(blk) as b, max(blk) * 21 as t0 from w")
-    c.add("bv", "select w.symbol, w.w * 95000 / p.close as qty, p.close as cost, last_close from w join lb on w.blk = lb.b join panel p on p.symbol = w.symbol and p.t_idx = lb.t0 join (select symbol, max(close) as last_close from panel pp join lb on pp.t_idx >= lb.t0 group by symbol) q on q.symbol = w.symbol")
-    return c.select("select symbol, round(qty * last_close, 4) as market_value, round(qty * (last_close - cost), 4) as pnl, round(qty * last_close / sum(qty * last_close) over (), 6) as weight from bv")
+    last = c.d.argmax("p.close", "p.t_idx")
+    c.add("lc", f"select p.symbol, {last} as last_close from panel p join w on w.symbol = p.symbol where w.blk = (select b from lb) and p.t_idx >= (select t0 from lb) and p.close is not null group by p.symbol")
+    c.add("bv", f"select w.symbol, w.w * 0.95 * {CAPITAL} / p.close as qty, p.close as cost, q.last_close from w join panel p on p.symbol = w.symbol join lc q on q.symbol = w.symbol where w.blk = (select b from lb) and p.t_idx = (select t0 from lb) and p.close is not null")
+    c.add("o", f"select symbol, qty * last_close as market_value, qty * (last_close - cost) as pnl, last_close / cost - 1 as pnl_pct, qty * last_close / sum(qty * last_close) over () as weight, sum(abs(qty * last_close)) over () / ({CAPITAL} + sum(qty * (last_close - cost)) over ()) as gross, sum(qty * (last_close - cost)) over () / {CAPITAL} as total_return from bv")
+    return c.select(f"select symbol, {rounded('market_value', 'pnl', digits=4)}, {rounded('pnl_pct', 'weight', 'gross', 'total_return')} from o")
 
 
-def _posterior(c: Chain) -> str:
-    """Normal-inverse-gamma posteriors of each arm after its rewards (no forgetting): closed form."""
+HALF_LIFE, STRETCH = 60, 1000
+
+
+def posteriors(c: Chain) -> str:
+    """Relation ``post``: each arm's normal-inverse-gamma posterior after its rewards, which halve in weight every HALF_LIFE rewards.
+
+    Folding rewards one by one is the same as decayed sums. They are summed in
+    stretches, inside which the weights stay far from overflow; of the stretches
+    before one the last four are carried in (older ones weigh less than 1e-19).
+    """
     e = c.d.table("events")
-    c.add("rw", f"select event_type as arm, round(value / 100 - 0.5, 6) as x from {e}")
-    c.add("o", "select arm, count(*) as n, sum(x) / (1 + count(*)) as mu, 1 + count(*) as kappa, 2 + count(*) / 2e0 as alpha from rw group by arm")
-    return c.select(f"select arm, n, {rounded('mu')}, kappa, {rounded('alpha')} from o")
+
+    def weight(k: str) -> str:
+        return f"pow(0.5, ({k}) / {HALF_LIFE}e0)"
+
+    kappa = f"({weight('{i}')} + (1 - {weight('{i}')}) / (1 - {weight('1')}))"
+    c.add("rw", f"select event_type as arm, round(value / 100 - 0.5, 6) as x, row_number() over (partition by event_type order by ts, event_id) as i, count(*) over (partition by event_type) as n from {e}")
+    c.add("rp", f"select *, cast(floor((i - 1) / {STRETCH}e0) as int) as part, (i - 1) % {STRETCH} as j from rw")
+    c.add("rs", f"select arm, part, sum(x * {weight(f'{STRETCH - 1} - j')}) as s from rp group by arm, part")
+    carried = " + ".join(f"coalesce(lag(s, {k}) over (partition by arm order by part), 0) * {weight(f'{STRETCH * (k - 1)}')}" for k in range(1, 5))
+    c.add("rc", f"select arm, part, {carried} as carry from rs")
+    c.add("ru", f"select p.*, c.carry, sum(p.x * {weight('-p.j')}) over (partition by p.arm, p.part order by p.j rows between unbounded preceding and current row) as u from rp p join rc c on c.arm = p.arm and c.part = p.part")
+    c.add("rx", f"select arm, i, n, x, u * {weight('j')} + carry * {weight('j + 1')} as s, {kappa.format(i='i - 1')} as k0 from ru")
+    c.add("ry", f"select *, {weight('1')} * k0 as kd, (s - x) / {weight('1')} / k0 as mu0 from rx")
+    c.add("post", f"select arm, max(n) as n, max(case when i = n then s end) / max({kappa.format(i='n')}) as mu, max({kappa.format(i='n')}) as kappa, 2 + 0.5 * max((1 - {weight('n')}) / (1 - {weight('1')})) as alpha, max({weight('n')}) + sum({weight('n - i')} * 0.5 * kd / (kd + 1) * (x - mu0) * (x - mu0)) as beta, sum(x) as cumulative from ry group by arm")
+    return "post"
+
+
+def _posterior(c: Chain) -> str:
+    posteriors(c)
+    return c.select(f"select arm, n, {rounded('mu', 'kappa', 'alpha', 'beta', 'cumulative')} from post order by cumulative desc, arm")
 
 
 TEXTS |= {
@@ -352,6 +428,7 @@ TEXTS |= {
     "fill_cost_summary": _cost_summary,
     "full_outer_book_diff": _orders,
     "risk_checks": _risk,
+    "order_checks": _order_checks,
     "book_valuation": _book_value,
     "arm_posteriors": _posterior,
 }
