@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 from tessera.operators import evaluation as E
 from tessera.operators import expression as X
 from tessera.operators.features import price_features
+from tessera.operators.governance import POLICIES
 from tessera.plans.sql import Chain, Dialect
 from tessera.session import cut
 
@@ -116,14 +117,7 @@ def replay(world: dict[str, list[float]], policy: str, budget: int, rng: np.rand
         open_ = [m for m in sorted(world) if at[m] < len(world[m])]
         if not open_:
             break
-        if policy == "round_robin":
-            m = open_[k % len(open_)]
-        elif policy == "greedy":
-            m = max(open_, key=lambda x: np.mean(sums[x]) if sums[x] else np.inf)
-        elif policy == "thompson":
-            m = max(open_, key=lambda x: rng.normal(np.mean(sums[x]) if sums[x] else 0.0, 1 / np.sqrt(len(sums[x]) + 1)))
-        else:
-            m = str(rng.choice(open_))
+        m = POLICIES[policy].choose(k, {m: sums[m] for m in open_}, rng)
         x = world[m][at[m]]
         at[m] += 1
         sums[m].append(x)

@@ -29,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {name: to_oracle(text) for name, text in texts().items()}
+    return {name: to_oracle(text) for name, text in texts().items()} | driver_queries.ORACLES

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import replace
 
 import numpy as np
@@ -10,8 +12,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import metrics
 from tessera.operators import evaluation as E
-from tessera.operators import search, trading
+from tessera.operators import desk, governance, search, trading
 from tessera.operators import expression as X
+from tessera.session import cut, scratch
+from tessera.sources import panel, stores, warehouse
 
 from . import evaluation_queries, sql, strategy_queries
 
@@ -151,7 +155,7 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Choice policies replayed over the recorded outcomes of every method, by policy and seed in parallel."""
     budget = 20
     world, top = recorded(spark, sf_dir, budget)
-    runs = [(p, s) for p in ("round_robin", "greedy", "thompson", "random") for s in range(5)]
+    runs = [(p, s) for p in governance.POLICIES for s in range(5)]
 
     def play(pdf):
         import pandas as pd
@@ -162,6 +166,68 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(runs, "policy string, seed int").groupBy("policy", "seed").applyInPandas(play, "seed int, policy string, best double, value double, regret double")
 
 
+def decorrelated_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strategies with the best t statistic that are not too much like a better one: pairs in Spark, the pick on the driver."""
+
+    def text(c: sql.Chain) -> str:
+        evaluation_queries.variants(c)
+        return c.select("select strategy, t_idx, x from var")
+
+    curves = cut(sql.to_spark(text)(spark, sf_dir))
+    t = {r["strategy"]: r["t"] or 0.0 for r in curves.groupBy("strategy").agg((F.avg("x") / F.nullif(F.stddev_samp("x"), F.lit(0.0)) * F.sqrt(F.count("x"))).alias("t")).collect()}
+    rho = {(r["a"], r["b"]): r["rho"] for r in governance.pair_correlations(curves).collect()}
+    alive = governance.distinct_behaviour({s: len(s) for s in t}, rho)
+    picked = governance.decorrelated(sorted(alive, key=lambda s: (-round(t[s], 9), s)), rho)
+    return spark.createDataFrame([(i, s, round(t[s], 6)) for i, s in enumerate(picked, 1)], "place int, strategy string, t double")
+
+
+def warehouse_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The warehouse built from the test tables, one market a region, and what each market then covers."""
+    with scratch(spark, "warehouse") as at:
+        w = warehouse.Warehouse(spark, at, f"wh_{uuid.uuid4().hex[:12]}")
+        try:
+
+            def text(c: sql.Chain) -> str:
+                panel.bars(c)
+                panel.market(c)
+                return c.select("select b.*, m.market from bars b join market m on m.symbol = b.symbol")
+
+            rows = cut(sql.to_spark(text)(spark, sf_dir))
+            for r in rows.select("market").distinct().orderBy("market").collect():
+                w.load_market(r["market"], rows.filter(F.col("market") == r["market"]).drop("market"), "lineitem", "weekly test bars")
+            return cut(w.query("select p.market, count(distinct p.symbol) as n_symbols, count(*) as n_rows, min(p.date) as starts, max(p.date) as ends, round(avg(p.close) + 1.73e-8, 6) + 0e0 as avg_close from prices p join markets m using (market) where m.sessions >= :least group by p.market", least=1))
+        finally:
+            w.drop()
+
+
+def _warehouse_sql() -> str:
+    c = sql.Chain(sql.Duck())
+    panel.bars(c)
+    panel.market(c)
+    return c.select("select market, count(distinct b.symbol) as n_symbols, count(*) as n_rows, min(date) as starts, max(date) as ends, round(avg(close) + 1.73e-8, 6) + 0e0 as avg_close from bars b join market m on m.symbol = b.symbol where close is not null group by market")
+
+
+_WAREHOUSE_SQL = _warehouse_sql()
+
+
+def wide_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The liquid names of all that is listed: directory, bars, usable ones, ranks at every refresh, and their churn."""
+    return desk.wide_universe(spark, sf_dir)
+
+
+def trade_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One session of the desk on the last two books: targets, risk, orders, fills."""
+    return desk.trade_session(spark, sf_dir)
+
+
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published document, one row for each of its sections as JSON."""
+    doc = desk.snapshot(spark, sf_dir)
+    return spark.createDataFrame([(k, json.dumps(stores.clean(v), sort_keys=True, default=str)) for k, v in sorted(doc.items())], "section string, body string")
+
+
+#: Their SQL, where they have one.
+ORACLES = {"warehouse_build": _WAREHOUSE_SQL}
 QUERIES = {
     "dsr": deflated,
     "factor_attribution": attribution,
@@ -171,4 +237,9 @@ QUERIES = {
     "thompson_weights": allocation,
     "paper_settle": settlement,
     "replay_policies": policies,
+    "decorrelated_pick": decorrelated_pick,
+    "warehouse_build": warehouse_build,
+    "wide_universe": wide_universe,
+    "trade_session": trade_session,
+    "snapshot": snapshot,
 }

@@ -53,20 +53,21 @@ def economic_series(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A two-column series with gaps, carried forward."""
     raw = spark.read.csv(path, header=True).toDF("date", "value")
     s = raw.select(F.to_date("date").alias("date"), F.col("value").try_cast("double").alias("value"))
-    filled = F.last("value", ignorenulls=True).over(W.orderBy("date").rowsBetween(W.unboundedPreceding, 0))
-    return s.select("date", F.lit(name).alias("symbol"), filled.alias("close"))
+    named = s.withColumn("symbol", F.lit(name))
+    filled = F.last("value", ignorenulls=True).over(W.partitionBy("symbol").orderBy("date").rowsBetween(W.unboundedPreceding, 0))
+    return named.select("date", "symbol", filled.alias("close"))
 
 
 def factor_text(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """A factor file with prose around one block of daily rows; percent and sentinels converted."""
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "value"))
     row = F.trim("value").rlike(r"^\d{8}\s*,")
-    run = F.sum(F.when(row, 0).otherwise(1)).over(W.orderBy("n"))
-    blocks = lines.withColumn("row", row).withColumn("run", run).filter("row")
-    first = blocks.agg(F.min("run")).first()[0]
+    order = W.partitionBy("file").orderBy("n")
+    blocks = whole.withColumn("row", row).withColumn("run", F.sum(F.when(row, 0).otherwise(1)).over(order)).filter("row")
     parts = F.split("value", r"\s*,\s*")
     cols = [F.trim(F.get(parts, F.lit(i))).try_cast("double").alias(c) for i, c in enumerate(names, 1)]
-    out = blocks.filter(F.col("run") == first).select(F.to_date(F.trim(F.get(parts, F.lit(0))), "yyyyMMdd").alias("date"), *cols)
+    first = blocks.withColumn("first", F.min("run").over(W.partitionBy("file"))).filter("run = first")
+    out = first.select(F.to_date(F.trim(F.get(parts, F.lit(0))), "yyyyMMdd").alias("date"), *cols)
     return out.select("date", *[F.when(~F.col(c).isin(*MISSING), F.col(c) / 100).alias(c) for c in names])
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+from tessera.sources.readers import keep_last
+
 HALF_LIFE = 60.0
 
 
@@ -55,3 +60,114 @@ def posteriors(rewards: DataFrame) -> DataFrame:
 
     schema = "arm string, mu double, kappa double, alpha double, beta double, n long"
     return rewards.groupBy("arm").applyInPandasWithState(update, schema, "mu double, kappa double, alpha double, beta double, n long", "update", "NoTimeout")
+
+
+def merge_tail(path: str, keys: list[str], part: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: rows added to the table at ``path`` or put in place of those with their keys.
+
+    Only the partitions ``part`` that a batch touches are written anew. A batch
+    that runs twice leaves what one run does.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        # Within a batch the last row of a key counts, by its own order of arrival.
+        order = W.partitionBy(*keys).orderBy(F.col("arrived").desc()) if "arrived" in batch.columns else W.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in batch.columns])
+        rows = cut(batch.withColumn("__k", F.row_number().over(order)).filter("__k = 1").drop("__k"))
+        if there:
+            old = spark.read.schema(batch.schema).parquet(path).join(rows.select(part).distinct(), part, "left_semi")
+            rows = cut(keep_last(old.select(*batch.columns), rows, keys))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+
+    return merge
+
+
+def freshness(seen: DataFrame, now, limits: dict[str, int]) -> DataFrame:
+    """(source, seen) -> its age in seconds and whether that is within the source's limit; one unknown source halts nothing."""
+    limit = F.coalesce(*[F.when(F.col("source") == k, F.lit(v)) for k, v in limits.items()], F.lit(None).cast("int"))
+    age = F.unix_timestamp(now) - F.unix_timestamp("seen")
+    return seen.select("source", age.alias("age_s"), limit.alias("limit_s"), F.coalesce(age <= limit, F.lit(True)).alias("fresh"))
+
+
+def last_seen(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    return events.withWatermark("ts", delay).groupBy("source").agg(F.max("ts").alias("seen"))
+
+
+def debounced(changes: DataFrame, hold_s: int = 20) -> DataFrame:
+    """source, ts, value (streaming) -> each value once it has been the source's last for ``hold_s`` seconds of event time.
+
+    A value that holds is given when a later event of its source shows that it
+    did, or when the watermark passes the end of its hold.
+    """
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        value, since, given = state.get if state.exists else (None, 0, None)
+        out = []
+        if state.hasTimedOut:
+            if value is not None and value != given:
+                out.append((key[0], since, value))
+                given = value
+        else:
+            rows = pd.concat(list(frames)).sort_values("ts")
+            for ts, v in zip(rows["ts"], rows["value"], strict=True):
+                at = int(ts.timestamp() * 1000)
+                if value is not None and value != given and at - since >= hold_s * 1000:
+                    out.append((key[0], since, value))
+                    given = value
+                if v != value:
+                    value, since = v, at
+        state.update((value, since, given))
+        if value is not None and value != given:
+            state.setTimeoutTimestamp(max(since + hold_s * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"source": [o[0] for o in out], "since": pd.to_datetime([o[1] for o in out], unit="ms"), "value": [o[2] for o in out]})
+
+    return changes.groupBy("source").applyInPandasWithState(update, "source string, since timestamp, value string", "value string, since long, given string", "append", "EventTimeTimeout")
+
+
+def resting_orders(lines: DataFrame) -> DataFrame:
+    """Orders and opens of symbols (streaming) -> fills: an order rests until the first open of a later bar than its own.
+
+    Columns symbol, bar, kind (order or open), side, amount (the notional of an
+    order, the price of an open). An order's cost is five basis points.
+    """
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        pending = json.loads(state.get[0]) if state.exists else []
+        out = []
+        rows = pd.concat(list(frames))
+        # An open of a bar comes before the orders placed in it.
+        rows = rows.sort_values(["bar", "kind"], key=lambda c: c if c.name == "bar" else c.map({"open": 0, "order": 1}))
+        for r in rows.itertuples(index=False):
+            if r.kind == "order":
+                pending.append([int(r.bar), r.side, float(r.amount)])
+                continue
+            for bar, side, notional in [p for p in pending if p[0] < r.bar]:
+                price = r.amount * (1 + 5e-4 if side == "buy" else 1 - 5e-4)
+                out.append((key[0], int(r.bar), side, notional / price, price))
+            pending = [p for p in pending if p[0] >= r.bar]
+        state.update((json.dumps(pending),))
+        yield pd.DataFrame(out, columns=["symbol", "bar", "side", "qty", "price"])
+
+    return lines.groupBy("symbol").applyInPandasWithState(update, "symbol string, bar long, side string, qty double, price double", "pending string", "append", "NoTimeout")
+
+
+def append_series(existing: DataFrame, rows: DataFrame, cap: int = 2000) -> DataFrame:
+    """An equity series (ts, value) with new rows behind it: a value equal to the one before is left out, the last ``cap`` stay."""
+    order = W.orderBy("ts")
+    both = existing.select("ts", "value").unionByName(rows.select("ts", "value"))
+    changed = both.withColumn("was", F.lag("value").over(order)).filter("was is null or was <> value").select("ts", "value")
+    return changed.orderBy(F.col("ts").desc()).limit(cap).orderBy("ts")
+
+
+def equity_sink(spark: SparkSession, path: str, cap: int = 2000) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: the capped series at ``path``, a few thousand rows, rewritten as one file."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        own = batch.sparkSession
+        at = own._jvm.org.apache.hadoop.fs.Path(path)
+        old = own.read.parquet(path) if at.getFileSystem(own._jsc.hadoopConfiguration()).exists(at) else own.createDataFrame([], batch.select("ts", "value").schema)
+        cut(append_series(old, batch, cap)).coalesce(1).write.mode("overwrite").parquet(path)
+
+    return write
