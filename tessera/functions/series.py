@@ -74,19 +74,18 @@ def z_trailing(x: str, w: int, least: int) -> str:
 
 
 def cs_rank(x: str, by: str = "t_idx", tie: str = "symbol") -> str:
-    """Ordinal rank in 0..1 of the present values of one session; ties by symbol."""
-    some = f"case when ({x}) is null then 1 else 0 end"
-    order = f"(row_number() over (partition by {by}, {some} order by {x}, {tie}) - 1)"
-    n = f"greatest(count({x}) over (partition by {by}) - 1, 1)"
-    return f"case when ({x}) is not null then cast({order} as double) / {n} end"
+    """Ordinal rank in 0..1 of the present values of one session; ties by symbol. One sort: missing values come last."""
+    w = f"partition by {by} order by {x} nulls last, {tie}"
+    n = f"greatest(count({x}) over ({w} rows between unbounded preceding and unbounded following) - 1, 1)"
+    return f"case when ({x}) is not null then cast(row_number() over ({w}) - 1 as double) / {n} end"
 
 
 def cs_rank_avg(x: str, by: str = "t_idx") -> str:
-    """Average-tie rank in (0, 1]."""
-    some = f"case when ({x}) is null then 1 else 0 end"
-    lo = f"rank() over (partition by {by}, {some} order by {x})"
-    ties = f"count({x}) over (partition by {by}, {x})"
-    return f"case when ({x}) is not null then ({lo} + ({ties} - 1) / 2.0) / count({x}) over (partition by {by}) end"
+    """Average-tie rank in (0, 1]: the mean of a tie's first and last place. One sort serves all three counts."""
+    w = f"partition by {by} order by {x} nulls last"
+    last = f"count({x}) over ({w} range between unbounded preceding and current row)"
+    n = f"count({x}) over ({w} rows between unbounded preceding and unbounded following)"
+    return f"case when ({x}) is not null then (rank() over ({w}) + {last}) / 2.0 / {n} end"
 
 
 def cs_zscore(x: str, by: str = "t_idx") -> str:

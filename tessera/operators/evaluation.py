@@ -18,7 +18,7 @@ def score_momentum(c: Chain) -> str:
     """Relation ``score``: cross-sectional rank of the 21-session momentum of tradable names."""
     P.returns(c)
     c.add("mom", f"select *, {S.pct_change('close', 21)} as mom_21 from rets")
-    c.add("score", f"select symbol, t_idx, tradable, ret, {S.cs_rank('case when tradable then round(mom_21, 9) end')} as score from mom")
+    c.add("score", f"select symbol, t_idx, tradable, ret, {S.cs_rank('case when tradable then round(mom_21, 9) end')} as score from mom", keep=True)
     return "score"
 
 
@@ -56,7 +56,7 @@ def backtest(c: Chain, k: int = 25, rb: int = 5, cost: float = SLIPPAGE, by_scor
     c.add("turn", "select m.blk, sum(dw) as tno, count(case when dw > 1e-6 then 1 end) as trades from moves m join ends e on m.blk = e.blk group by m.blk")
     c.add("bt", f"""select b.t_idx, coalesce(r.r, 0) - coalesce(x.tno * {cost}, 0) as ret, b.bench, coalesce(y.tno, 0) as turnover
         from bench b left join blk_ret r on r.t_idx = b.t_idx
-        left join turn x on b.t_idx = x.blk * {rb} + 1 left join turn y on b.t_idx = y.blk * {rb}""")
+        left join turn x on b.t_idx = x.blk * {rb} + 1 left join turn y on b.t_idx = y.blk * {rb}""", keep=True)
     return "bt"
 
 
@@ -80,7 +80,7 @@ def stats(c: Chain, frm: str = "bt", key: str = "1", name: str = "st") -> str:
     up = f"(partition by {key} order by t_idx rows between unbounded preceding and current row)"
     c.add(f"{name}_q", f"select {key} as g, t_idx, ret, bench, turnover, exp(sum(ln(1 + ret)) over {up}) as eq, exp(sum(ln(1 + bench)) over {up}) as beq from {frm}")
     top = "(partition by g order by t_idx rows between unbounded preceding and current row)"
-    c.add(f"{name}_d", f"select *, eq / max(eq) over {top} - 1 as dd, beq / max(beq) over {top} - 1 as bdd from {name}_q")
+    c.add(f"{name}_d", f"select *, eq / max(eq) over {top} - 1 as dd, beq / max(beq) over {top} - 1 as bdd from {name}_q", keep=True)
     y = f"(count(*) / {TRADING_DAYS}e0)"
     c.add(f"{name}_a", f"""select g, count(*) as n_days, exp(sum(ln(1 + ret)) / {y}) - 1 as cagr, exp(sum(ln(1 + bench)) / {y}) - 1 as bench_cagr,
         avg(ret) / greatest(stddev_samp(ret), 1e-12) * sqrt({TRADING_DAYS}e0) as sharpe, stddev_samp(ret) * sqrt({TRADING_DAYS}e0) as vol_ann,
@@ -102,5 +102,5 @@ def ic_series(c: Chain, frm: str, x: str, name: str, h: int = 5, least: int = 5,
     c.add("fwd_h", f"select symbol, t_idx, round({S.shift('close', -(h + 1))} / nullif({S.shift('close', -1)}, 0) - 1, 9) as fwd, tradable from panel")
     c.add(f"{name}_p", f"select {key} as g, a.t_idx, a.symbol, a.{x} as x, f.fwd from {frm} a join fwd_h f on f.symbol = a.symbol and f.t_idx = a.t_idx where f.tradable and f.fwd is not null and a.{x} is not null")
     c.add(f"{name}_r", f"select g, t_idx, {S.cs_rank_avg('x', 'g, t_idx')} as rx, {S.cs_rank_avg('fwd', 'g, t_idx')} as ry from {name}_p")
-    c.add(name, f"select g, t_idx, {S.corr('rx', 'ry')} as ic, count(*) as n from {name}_r group by g, t_idx having count(*) >= {least} and stddev_pop(rx) > 1e-9 and stddev_pop(ry) > 1e-9")
+    c.add(name, f"select g, t_idx, {S.corr('rx', 'ry')} as ic, count(*) as n from {name}_r group by g, t_idx having count(*) >= {least} and stddev_pop(rx) > 1e-9 and stddev_pop(ry) > 1e-9", keep=True)
     return name

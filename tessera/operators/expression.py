@@ -246,7 +246,9 @@ def compile_population(c: Chain, frm: str, trees: dict[str, Node], name: str = "
         c.add(f"{name}_l{at}", f"select {', '.join([*ready, *cols])} from {last}")
         ready += [col.rsplit(" as ", 1)[1] for col in cols]
         last = f"{name}_l{at}"
-    c.add(name, f"select symbol, t_idx, tradable, {', '.join(scores)} from {last}")
+    c.add(f"{name}_raw", f"select symbol, t_idx, tradable, {', '.join(scores)} from {last}")
+    # What is no finite number is missing, here as everywhere (both engines sort NaN above all).
+    c.add(name, f"select symbol, t_idx, tradable, {', '.join(f'case when abs({k}) <= 1e300 then {k} end as {k}' for k in trees)} from {name}_raw")
     return name
 
 

@@ -95,7 +95,7 @@ def block_folds(c: Chain, n_splits: int = 7, embargo: int = 2, least: int = 20)
     first session and no book crosses an edge. Folds below ``least`` sessions are left out.
     """
     E.score_momentum(c)
-    c.parts["score_all"] = c.parts.pop("score")
+    c.rename("score", "score_all")
     c.add("fold_n", "select max(t_idx) + 1 as n from score_all")
     lo, hi = fold_edges("n", "f", n_splits, embargo)
     c.add("fold_of", f"select t_idx, n, cast(floor(((t_idx + 1) * {n_splits} - 1) / cast(n as double)) as int) as f from (select distinct t_idx from score_all) q cross join fold_n")
@@ -104,10 +104,10 @@ def block_folds(c: Chain, n_splits: int = 7, embargo: int = 2, least: int = 20)
     # Nothing is bought on a fold's last session.
     c.add("score", "select s.symbol, k.t_new as t_idx, s.tradable and not k.is_last as tradable, s.ret, s.score, k.t_idx as t_src from score_all s join fold_ok k on k.t_idx = s.t_idx")
     E.benchmark(c)
-    c.parts["bench_all"] = c.parts.pop("bench")
+    c.rename("bench", "bench_all")
     c.add("bench", "select k.t_new as t_idx, b.bench from fold_ok k join bench_all b on b.t_idx = k.t_idx")
     E.backtest(c)
-    c.add("fold", f"select b.*, cast(floor(b.t_idx / {FOLD_STEP}e0) as int) as f from bt b")
+    c.add("fold", f"select b.*, cast(floor(b.t_idx / {FOLD_STEP}e0) as int) as f from bt b", keep=True)
     return "fold"
 
 
@@ -129,8 +129,8 @@ def _cv(c: Chain) -> str:
 @query("cost_stress")
 def _stress(c: Chain) -> str:
     daily(c, cost=0.0)
-    c.add("mult", " union all ".join(f"select {m} as mult" for m in (1, 2, 3)))
-    c.add("net", f"select m.mult, b.t_idx, b.ret - coalesce(lag(b.turnover) over (partition by m.mult order by b.t_idx), 0) * {E.SLIPPAGE} * m.mult as ret, b.bench, b.turnover from bt b cross join mult m")
+    c.values("mult", "mult", ((m,) for m in (1, 2, 3)))
+    c.add("net", f"select m.mult, b.t_idx, b.ret - coalesce(lag(b.turnover) over (partition by m.mult order by b.t_idx), 0) * {E.SLIPPAGE} * m.mult as ret, b.bench, b.turnover from bt b cross join mult m", keep=True)
     E.stats(c, "net", "mult", "cs")
     return c.select(f"select g as mult, {rounded('cagr', 'sharpe', 'alpha_tstat')} from cs")
 
@@ -197,10 +197,10 @@ def variants(c: Chain) -> str:
     """Long relation ``var``: (strategy, t_idx, x), the mean next return of the upper half by several features."""
     price_features(c)
     names = PRICE_FEATURES
-    c.add("rl", f"select symbol, t_idx, {S.shift('coalesce(r1, 0)', -1)} as nxt, {', '.join(names)} from feats where tradable")
+    c.add("rl", f"select symbol, t_idx, {S.shift('coalesce(r1, 0)', -1)} as nxt, {', '.join(names)} from feats where tradable", keep=True)
     long_features(c, "rl", names, "symbol, t_idx, nxt", "strategy", "vl")
     c.add("vr", f"select *, {S.cs_rank_avg('x', 'strategy, t_idx')} as rk from vl")
-    c.add("var", "select strategy, t_idx, avg(case when rk > 0.5 then nxt end) - avg(nxt) as x from vr where rk is not null and nxt is not null group by strategy, t_idx")
+    c.add("var", "select strategy, t_idx, avg(case when rk > 0.5 then nxt end) - avg(nxt) as x from vr where rk is not null and nxt is not null group by strategy, t_idx", keep=True)
     return "var"
 
 
@@ -235,7 +235,7 @@ def _pbo(c: Chain) -> str:
     c.add("nb", "select min(t_idx) as t0, max(t_idx) - min(t_idx) + 1 as n from var")
     c.add("bl", "select strategy, cast(floor((t_idx - t0) * 8 / n) as int) as b, count(x) as k, sum(x) as s, sum(x * x) as q from var, nb group by 1, 2")
     combos = [x for x in combinations(range(8), 4)]
-    c.add("co", " union all ".join(f"select {i} as combo, {b} as b" for i, x in enumerate(combos) for b in x))
+    c.values("co", "combo, b", ((i, b) for i, x in enumerate(combos) for b in x))
     c.add("ids", "select distinct combo from co")
     c.add("hv", "select i.combo, l.strategy, case when co.b is null then 0 else 1 end as ins, sum(k) as k, sum(s) as s, sum(q) as q from ids i cross join bl l left join co on co.combo = i.combo and co.b = l.b group by 1, 2, 3")
     c.add("sh", "select combo, strategy, ins, round(s / k / sqrt(greatest((q - s * s / k) / (k - 1), 1e-12)), 9) as sr from hv")
@@ -279,7 +279,7 @@ def _shuffle(c: Chain) -> str:
     """The score moved round the calendar by 24 shifts, and its mean next return each time."""
     E.score_momentum(c)
     c.add("n", "select max(t_idx) + 1 as n from score")
-    c.add("sft", " union all ".join(f"select {s} as s" for s in (0, *(60 + 10 * k for k in range(24)))))
+    c.values("sft", "s", ((s,) for s in (0, *(60 + 10 * k for k in range(24)))))
     c.add("mv", "select s.s, symbol, (t_idx + s.s) % n.n as t_idx, score from score, n, sft s where score is not null")
     c.add("nx", f"select symbol, t_idx, {S.shift('ret', -1)} as nxt from score")
     c.add("o", "select m.s, avg(case when score >= 0.8 then nxt end) - avg(nxt) as edge from mv m join nx on nx.symbol = m.symbol and nx.t_idx = m.t_idx group by m.s")
@@ -352,7 +352,7 @@ DESIGNS = (("top_25_long", 25, 0, 5), ("top_50_long", 50, 0, 5), ("top_100_long"
 def _power(c: Chain) -> str:
     """Tracking error and least detectable excess of several books: the best by score, or both ends, held for a block."""
     E.score_momentum(c)
-    c.add("ds", " union all ".join(f"select '{n}' as design, {a} as n_long, {z} as n_short, {h} as hold" for n, a, z, h in DESIGNS))
+    c.values("ds", "design, n_long, n_short, hold", DESIGNS)
     c.add("db", "select d.*, s.symbol, s.t_idx as t0, row_number() over (partition by d.design, s.t_idx order by s.score desc, s.symbol) as up, row_number() over (partition by d.design, s.t_idx order by s.score, s.symbol desc) as dn from score s cross join ds d where s.t_idx % d.hold = 0 and s.tradable and s.score is not null")
     c.add("dp", "select design, hold, symbol, t0, case when up <= n_long then 1 else 0 end as l, case when dn <= n_short then 1 else 0 end as s from db where up <= n_long or dn <= n_short")
     P.expand(c, "dp", "t0 + 1", "t0 + hold", "dx")

@@ -114,8 +114,7 @@ def concept_facts(c: Chain) -> str:
     """Relation ``cf``: filings of all concepts; every fifth symbol files its flows by the year alone."""
     P.facts(c)
     P.panel(c)
-    rows = " union all ".join(f"select '{n}' as concept, {a}e0 as a, {b}e0 as b, {int(n in FLOWS)} as flow" for n, (a, b) in SHARES.items())
-    c.add("concepts", rows)
+    c.values("concepts", "concept, a, b, flow", ((n, float(a), float(b), int(n in FLOWS)) for n, (a, b) in SHARES.items()))
     c.add("pf0", "select f.symbol, f.start_date, f.end_date, f.filed, f.form, f.val * (1 + 0.05 * (date_part('month', f.end_date) % 4)) as val from facts f where f.symbol in (select symbol from spans)")
     yearly = "symbol % 5 = 0 and flow = 1"
     c.add("cf", f"""select symbol, concept, flow, case when {yearly} then {c.d.add_days('end_date', '-364')} else start_date end as start_date, end_date, filed, form,

@@ -158,7 +158,7 @@ def known_quarters(c: Chain, frm: str, keys: tuple[str, ...], quarters: int, nam
     c.add(f"{name}_span", f"select {of}, v.end_date, v.val, a.k as k0, cast(coalesce(b.k - 1, n.n) as int) as k1 from {name}_till v join {name}_days a on {on('a', 'v')} and a.known_on = v.filed join {name}_last n on {on('n', 'v')} left join {name}_days b on {on('b', 'v')} and b.known_on = v.until")
     P.expand(c, f"{name}_span", "k0", "k1", f"{name}_at")
     part = ", ".join(f"v.{k}" for k in keys)
-    c.add(name, f"select {of}, d.known_on, v.end_date, v.val, row_number() over (partition by {part}, d.known_on order by v.end_date desc) as q from {name}_at v join {name}_days d on {on('d', 'v')} and d.k = v.t_idx")
+    c.add(name, f"select {of}, d.known_on, v.end_date, v.val, row_number() over (partition by {part}, d.known_on order by v.end_date desc) as q from {name}_at v join {name}_days d on {on('d', 'v')} and d.k = v.t_idx", keep=True)
     return name
 
 
@@ -220,7 +220,7 @@ def event_returns(c: Chain) -> str:
     P.at_session(c, "disclosures", "filing_date", "ev_at", keep="")
     c.add("f5", f"select symbol, t_idx, {S.shift('close', -6)} / nullif({S.shift('close', -1)}, 0) - 1 as fwd from panel")
     c.add("f5x", "select *, fwd - avg(fwd) over (partition by t_idx) as excess from f5")
-    c.add("er", "select a.event_id, a.member, a.t0, (case when a.side = 'buy' then 1 else -1 end) * f.excess as x from ev_at a join f5x f on f.symbol = a.symbol and f.t_idx = a.t0 where f.excess is not null")
+    c.add("er", "select a.event_id, a.member, a.t0, (case when a.side = 'buy' then 1 else -1 end) * f.excess as x from ev_at a join f5x f on f.symbol = a.symbol and f.t_idx = a.t0 where f.excess is not null", keep=True)
     return "er"
 
 
@@ -429,7 +429,7 @@ def _vol_join(c: Chain) -> str:
 def _basket(c: Chain) -> str:
     """A thesis basket's annualised excess over the equal-weight market before and after its date, and the verdict."""
     P.returns(c)
-    c.add("th", "select 'low' as thesis, 0 as r, 120 as since union all select 'mid', 1, 200 union all select 'late', 2, 340")
+    c.values("th", "thesis, r, since", (("low", 0, 120), ("mid", 1, 200), ("late", 2, 340)))
     c.add("bx", "select t.thesis, t.since, r.t_idx, avg(case when r.symbol % 9 = t.r then r.ret end) - avg(r.ret) as x from rets r cross join th t group by t.thesis, t.since, r.t_idx")
     c.add("sc", f"select thesis, count(case when t_idx > since then 1 end) as sessions, avg(case when t_idx <= since and t_idx > since - 126 then x end) * {S.YEAR} as trailing_x, avg(case when t_idx > since then x end) * {S.YEAR} as forward_x from bx group by thesis")
     c.add("o", "select thesis, sessions, trailing_x, forward_x, abs(trailing_x) > 0.25 as already_moved, case when sessions < 20 then 'too early' when forward_x > 0.02 then 'holding' when forward_x < -0.02 then 'not holding' else 'flat' end as verdict from sc")

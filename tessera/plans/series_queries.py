@@ -226,6 +226,6 @@ def _broadcast(c: Chain) -> str:
 
 @query("feature_families")
 def _families(c: Chain) -> str:
-    names = " union all ".join(f"select '{n}' as name" for n in PRICE_FEATURES)
+    c.values("names", "name", ((n,) for n in PRICE_FEATURES))
     cases = " ".join(f"when {' or '.join(f'''substr(name, 1, {len(p)}) = '{p}' ''' for p in ps)} then '{f}'" for f, ps in FAMILIES.items())
-    return c.select(f"select name, case {cases} else 'other' end as family from ({names}) q")
+    return c.select(f"select name, case {cases} else 'other' end as family from names")

@@ -9,16 +9,12 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.session import cut
 
-#: Relations worth writing once when a query reads them twice or more.
-KEPT = frozenset("panel rets feats rl score bt net fold var known er pr sg bk fic cs_d fs_d st_d curves".split())
-
-
 class Dialect:
     """Spelling of what differs between engines. This one is Spark's."""
 
@@ -33,6 +29,10 @@ class Dialect:
     def percentile(self, x: str, p: float) -> str:
         return f"percentile({x}, {p})"
 
+    def median(self, x: str, frame: str) -> str:
+        """Median over a window frame: the middle of its sorted values, which is lighter than a percentile's counts."""
+        return f"transform(array(sort_array(collect_list({x}) over {frame})), v -> (get(v, cast(floor((size(v) - 1) / 2) as int)) + get(v, cast(floor(size(v) / 2) as int))) / 2)[0]"
+
     def count_below(self, x: str, frame: str) -> str:
         """How many values of ``x`` in the frame lie strictly below the current one."""
         return f"size(filter(collect_list({x}) over {frame}, v -> v < {x}))"
@@ -97,6 +97,9 @@ class Duck(Dialect):
     def percentile(self, x: str, p: float) -> str:
         return f"quantile_cont({x}, {p})"
 
+    def median(self, x: str, frame: str) -> str:
+        return f"quantile_cont({x}, 0.5) over {frame}"
+
     def count_below(self, x: str, frame: str) -> str:
         return f"len(list_filter(list({x}) over {frame}, lambda v: v < {x}))"
 
@@ -144,17 +147,49 @@ class Duck(Dialect):
 
 
 class Chain:
-    """Named relations in order; ``select`` renders the whole text."""
+    """Named relations in order; ``select`` renders the whole text.
+
+    A relation added with ``keep`` is worth writing once where several others read it.
+    """
 
     def __init__(self, d: Dialect) -> None:
         self.d = d
         self.parts: dict[str, str] = {}
+        self.kept: set[str] = set()
         self.final = ""
 
-    def add(self, name: str, sql: str) -> Chain:
+    def add(self, name: str, sql: str, keep: bool = False) -> Chain:
         self.parts.setdefault(name, sql)
+        if keep:
+            self.kept.add(name)
         return self
 
+    def rename(self, name: str, to: str) -> None:
+        """Put a relation aside under another name, so that its own can be given anew."""
+        self.parts[to] = self.parts.pop(name)
+        if name in self.kept:
+            self.kept.add(to)
+
+    def values(self, name: str, columns: str, rows: Iterable[tuple]) -> Chain:
+        """A small relation of constants."""
+
+        def show(v) -> str:
+            return f"'{v}'" if isinstance(v, str) else f"{v!r}e0" if isinstance(v, float) else str(v)
+
+        body = ", ".join(f"({', '.join(map(show, r))})" for r in rows)
+        return self.add(name, f"select * from (values {body}) as v({columns})")
+
+    def reached(self, sql: str) -> dict[str, str]:
+        """The relations that ``sql`` reads, directly or through others, in order."""
+        found: set[str] = set()
+        todo = [sql]
+        while todo:
+            words = set(re.findall(r"\w+", todo.pop()))
+            fresh = (words & self.parts.keys()) - found
+            found |= fresh
+            todo += [self.parts[n] for n in fresh]
+        return {n: sql for n, sql in self.parts.items() if n in found}
+
     def uses(self, name: str) -> int:
         """How often later relations and the result read ``name``."""
         read = re.compile(rf"(?:from|join|,)\s+{name}\b")
@@ -162,9 +197,10 @@ class Chain:
 
     def select(self, sql: str) -> str:
         self.final = sql
-        if not self.parts:
+        parts = self.reached(sql)
+        if not parts:
             return sql
-        return "with " + ",\n".join(f"{n} as ({s})" for n, s in self.parts.items()) + "\n" + sql
+        return "with " + ",\n".join(f"{n} as ({s})" for n, s in parts.items()) + "\n" + sql
 
 
 Text = Callable[[Chain], str]
@@ -174,15 +210,17 @@ def to_spark(text: Text) -> Callable[[SparkSession, str], DataFrame]:
     """The query as a DataFrame.
 
     Spark inlines named relations, so one that is read several times would be
-    computed each time. Those of KEPT are written to the checkpoint folder
-    once, and the rest of the plan starts from there.
+    computed each time. Those that the chain keeps are written to the checkpoint
+    folder once, and the rest of the plan starts from there.
     """
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = Chain(Dialect(sf_dir))
         text(c)
-        final, parts = c.final, dict(c.parts)
-        for name in [n for n in parts if n in KEPT and c.uses(n) > 1]:
+        final, views = c.final, []
+        c.parts = c.reached(final)
+        parts = dict(c.parts)
+        for name in [n for n in parts if n in c.kept and c.uses(n) > 1]:
             before = Chain(c.d)
             for n, sql in parts.items():
                 before.add(n, sql)
@@ -190,12 +228,12 @@ def to_spark(text: Text) -> Callable[[SparkSession, str], DataFrame]:
                     break
             view = f"{name}_{uuid.uuid4().hex[:12]}"
             cut(spark.sql(before.select(f"select * from {name}"))).createOrReplaceTempView(view)
+            views.append(view)
             parts[name] = f"select * from {view}"
         c.parts = parts
         df = spark.sql(c.select(final))
-        for sql in parts.values():
-            if m := re.fullmatch(r"select \* from (\w+_[0-9a-f]{12})", sql):
-                spark.catalog.dropTempView(m[1])
+        for view in views:
+            spark.catalog.dropTempView(view)
         return df
 
     return run

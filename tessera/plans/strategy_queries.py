@@ -56,7 +56,7 @@ def prices(c: Chain) -> None:
     """Returns with the running quantities that strict-past windows read."""
     P.returns(c)
     c.add("mkr", "select t_idx, avg(case when tradable then ret end) as mk from rets group by t_idx")
-    c.add("pr", "select r.*, coalesce(m.mk, 0) as mk from rets r join mkr m on r.t_idx = m.t_idx")
+    c.add("pr", "select r.*, coalesce(m.mk, 0) as mk from rets r join mkr m on r.t_idx = m.t_idx", keep=True)
 
 
 def book(c: Chain, signal: str, hold: int, n_long: int, n_short: int, bps: float) -> None:
@@ -66,14 +66,14 @@ def book(c: Chain, signal: str, hold: int, n_long: int, n_short: int, bps: float
     takes the last valid rebalance at or before it. Weights of t earn at t + 1;
     turnover is charged when the book changes.
     """
-    c.add("sg", f"select symbol, t_idx, tradable, ret, round({signal}, 9) as s from sx")
+    c.add("sg", f"select symbol, t_idx, tradable, ret, round({signal}, 9) as s from sx", keep=True)
     need = max(4, n_long + n_short)
     c.add("el", f"""select symbol, t_idx, s, count(*) over (partition by t_idx) as n, row_number() over (partition by t_idx order by s desc, symbol) as up,
         row_number() over (partition by t_idx order by s, symbol desc) as dn from sg where t_idx % {hold} = 0 and tradable and s is not null""")
     half = "cast(floor(n / 2) as int)"
     c.add("bk", f"""select t_idx as t0, symbol, case when up <= least({n_long}, {half}) then 1e0 / least({n_long}, {half}) else 0e0 end
         - case when dn <= least({n_short}, {half}) then 1e0 / greatest(least({n_short}, {half}), 1) else 0e0 end as w from el
-        where n >= {need} and (up <= least({n_long}, {half}) or dn <= least({n_short}, {half}))""")
+        where n >= {need} and (up <= least({n_long}, {half}) or dn <= least({n_short}, {half}))""", keep=True)
     c.add("reb", "select t0, lead(t0) over (order by t0) as t1 from (select distinct t0 from bk) q")
     c.add("held", "select b.symbol, r.t_idx, b.t0, b.w from bk b join reb x on b.t0 = x.t0 join sg r on r.symbol = b.symbol and r.t_idx > b.t0 and (x.t1 is null or r.t_idx <= x.t1)")
     c.add("gr", "select h.t_idx, sum(h.w * r.ret) as g from held h join sg r on r.symbol = h.symbol and r.t_idx = h.t_idx group by h.t_idx")
@@ -206,11 +206,11 @@ def _vol_target(c: Chain) -> None:
 def _relative(c: Chain, hold: int = 7, back: int = 30, n: int = NAMES["crypto"]) -> None:
     """Long the coins that gained most on the first one, short that one; flat while there are too few."""
     prices(c)
-    c.add("sg", f"select p.symbol, p.t_idx, p.tradable, p.ret, round({_mom(back)}, 9) as s, (select min(symbol) from pr) as base from pr p")
+    c.add("sg", f"select p.symbol, p.t_idx, p.tradable, p.ret, round({_mom(back)}, 9) as s, (select min(symbol) from pr) as base from pr p", keep=True)
     c.add("bm", "select t_idx from sg where symbol = base and s is not null")
     c.add("el", f"select g.symbol, g.t_idx, g.base, count(*) over (partition by g.t_idx) as n, row_number() over (partition by g.t_idx order by g.s desc, g.symbol) as up from sg g join bm b on b.t_idx = g.t_idx where g.t_idx % {hold} = 0 and g.symbol <> g.base and g.tradable and g.s is not null")
     c.add("pk", f"select * from el where n >= {n} and up <= {n}")
-    c.add("bk", f"select t_idx as t0, symbol, 1e0 / {n} as w from pk union all select t_idx, base, -1e0 from pk where up = 1")
+    c.add("bk", f"select t_idx as t0, symbol, 1e0 / {n} as w from pk union all select t_idx, base, -1e0 from pk where up = 1", keep=True)
     c.add("gr", f"select r.t_idx, sum(b.w * r.ret) as g from sg r join bk b on b.symbol = r.symbol and b.t0 = cast(floor((r.t_idx - 1) / {hold}e0) as int) * {hold} where r.t_idx >= 1 group by r.t_idx")
     c.add("chg", f"select t0, symbol, w from bk union all select t0 + {hold}, symbol, -w from bk")
     c.add("tn", "select t0, sum(d) as tno from (select t0, symbol, abs(sum(w)) as d from chg group by t0, symbol) q group by t0")
@@ -272,9 +272,9 @@ def all_curves(c: Chain, ids: tuple[str, ...]) -> str:
         for n, sql in own.parts.items():
             for m in names:
                 sql = _rename(sql, m, f"{m}_{i}")
-            c.add(n if n in shared else f"{n}_{i}", sql)
+            c.add(n if n in shared else f"{n}_{i}", sql, keep=n in shared and n in own.kept)
         parts.append(f"select '{id}' as id, t_idx, ret from sr_{i}")
-    c.add("curves", " union all ".join(parts))
+    c.add("curves", " union all ".join(parts), keep=True)
     return "curves"
 
 
@@ -331,7 +331,8 @@ def _spread(c: Chain) -> str:
 def _fills(c: Chain) -> str:
     """Buys and sells of a fixed notional at the next open: capped at a tenth of the usual volume, at an adverse price, with the gap against the order and a commission."""
     costs(c)
-    c.add("sides", "select * from fill cross join (select 'buy' as side, 1e0 as sgn union all select 'sell', -1e0) q where next_open is not null")
+    c.values("side_of", "side, sgn", (("buy", 1.0), ("sell", -1.0)))
+    c.add("sides", "select * from fill cross join side_of where next_open is not null")
     c.add("sim", f"select *, least(notional, {MAX_ADV} * adv) as done, next_open * (1 + sgn * (spread_bps + impact_bps) / 1e4) as price, sgn * (next_open / close - 1) * 1e4 as gap_bps from sides")
     c.add("paid", f"select *, greatest(done / price * {PER_SHARE}, {LEAST_FEE}) as commission from sim")
     return c.select(f"select symbol, t_idx, side, {rounded('done', 'price', 'gap_bps', 'commission', digits=4)} from paid")

@@ -21,13 +21,13 @@ def bars(c: Chain) -> str:
     c.add("px", "select *, 100*exp(sum(0.6*(d-0.05)) over (partition by symbol order by date)) as c from wk")
     c.add("op", "select *, coalesce(lag(c) over (partition by symbol order by date)*(1+0.05*(x-0.04)), c) as o from px")
     c.add("bars", """select symbol, date, round(o, 6) as open, round(greatest(o,c)*(1+0.1*mx), 6) as high,
-        round(least(o,c)*(1-0.1*mx), 6) as low, round(c, 6) as close, v as volume from op""")
+        round(least(o,c)*(1-0.1*mx), 6) as low, round(c, 6) as close, v as volume from op""", keep=True)
     return "bars"
 
 
 def sessions(c: Chain) -> str:
     bars(c)
-    c.add("sessions", "select date, cast(row_number() over (order by date) - 1 as int) as t_idx from (select distinct date from bars) q")
+    c.add("sessions", "select date, cast(row_number() over (order by date) - 1 as int) as t_idx from (select distinct date from bars) q", keep=True)
     return "sessions"
 
 
@@ -65,17 +65,17 @@ def panel(c: Chain) -> str:
     c.add("dense", """select s.symbol, t.t_idx, t.date, b.open, b.high, b.low, b.close, b.volume,
         t.date >= s.first_date and t.date <= s.last_date as member
         from sessions t cross join spans s left join bars b on b.symbol = s.symbol and b.date = t.date""")
-    c.add("liq", f"""select *, {c.d.percentile('close*volume', 0.5)} over {trailing(20)} as dv_med, {pct_change('close', 1)} as r1 from dense""")
+    c.add("liq", f"""select *, {c.d.median('close*volume', trailing(20))} as dv_med, {pct_change('close', 1)} as r1 from dense""")
     c.add("panel", f"""select symbol, t_idx, date, open, high, low, close, volume, member, r1, close*volume as dv,
         member and close is not null and close > 0 and coalesce(dv_med >= {MIN_DOLLAR_VOLUME}, false)
-        and coalesce(close >= {MIN_PRICE}, false) as tradable from liq""")
+        and coalesce(close >= {MIN_PRICE}, false) as tradable from liq""", keep=True)
     return "panel"
 
 
 def returns(c: Chain) -> str:
     """The panel with ``ret``, the simple return that counts a missing price as no move."""
     panel(c)
-    c.add("rets", f"select *, coalesce((close - {shift('close', 1)}) / nullif({shift('close', 1)}, 0), 0.0) as ret from panel")
+    c.add("rets", f"select *, coalesce((close - {shift('close', 1)}) / nullif({shift('close', 1)}, 0), 0.0) as ret from panel", keep=True)
     return "rets"
 
 
