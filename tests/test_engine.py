@@ -304,7 +304,7 @@ def test_asof_joins_return_every_session(spark, tmp_path):
     def got(name, *cols):
         return sorted(tuple(r[x] for x in cols) for r in catalog.queries()[name](spark, str(tmp_path)).collect())
 
-    assert got("membership_asof", "symbol", "t_idx") == sorted((s, t) for s, n in last.items() for t in range(n + 1))
+    assert got("membership_asof", "symbol", "t_idx", "member") == sorted((s, t, t <= n) for s, n in last.items() for t in range(len(days)))
     q1, q2 = max(dt.date(2000, 1, 1) + dt.timedelta(91), ship[3], ship[11]), max(dt.date(2000, 4, 1) + dt.timedelta(91), ship[27])
     versions = [(7, q1, 214.0), (7, q1 + dt.timedelta(60), 235.4), (8, q2, 50.0)]
     backward, age = [], []
@@ -331,7 +331,7 @@ def test_replay_policies_know_every_event(spark, tmp_path):
     for *_, kind, value in rows:
         world.setdefault(kind, []).append(value / 100 - 0.5)
     got = {(r["policy"], r["seed"]): (r["best"], r["value"], r["regret"]) for r in driver_queries.policies(spark, str(tmp_path)).collect()}
-    assert len(got) == 20
+    assert len(got) == 25
     for (p, s), have in got.items():
         want = search.replay(world, p, 20, np.random.default_rng(s))
         assert have == pytest.approx((want["best"], want["value"], want["regret"]))
