@@ -14,6 +14,7 @@ from tessera.functions import metrics
 from tessera.operators import evaluation as E
 from tessera.operators import desk, governance, search, trading
 from tessera.operators import expression as X
+from tessera.operators.slabs import Slabs
 from tessera.session import cut, scratch
 from tessera.sources import panel, stores, warehouse
 
@@ -42,16 +43,23 @@ def deflated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship's returns against the spreads of features that it does not rank by."""
+    """The flagship's returns against the spreads of features that it does not rank by; book and spreads come from slabs."""
+    spreads = evaluation_queries.SPREADS
+
+    def backtest(c: sql.Chain) -> str:
+        E.backtest(c, k=25, rb=5)
+        return c.select("select * from bt")
 
     def text(c: sql.Chain) -> str:
-        evaluation_queries.variants(c)
-        cols = ", ".join(f"max(case when strategy = '{s}' then x end) as f_{s}" for s in evaluation_queries.SPREADS)
+        cols = ", ".join(f"max(case when strategy = '{s}' then x end) as f_{s}" for s in spreads)
         return c.select(f"select t_idx, {cols} from var group by t_idx")
 
-    factors = sql.to_spark(text)(spark, sf_dir)
-    names = [f"f_{s}" for s in evaluation_queries.SPREADS]
-    r = metrics.hac_ols(_daily(spark, sf_dir).join(factors, "t_idx"), "ret", names)
+    with scratch(spark, "slabs") as at:
+        slabs = Slabs(spark, sf_dir, at)
+        daily = sql.to_spark(backtest, **slabs.momentum_book(25, 5))(spark, sf_dir)
+        factors = sql.to_spark(text, var=cut(slabs.spreads(spreads)))(spark, sf_dir)
+    names = [f"f_{s}" for s in spreads]
+    r = metrics.hac_ols(cut(daily.join(factors, "t_idx")), "ret", names)
     rows = [(n, round(r["beta"][n], 6), round(r["t"][n], 4)) for n in r["beta"]] if r else []
     return spark.createDataFrame(rows, "factor string, beta double, t double")
 
