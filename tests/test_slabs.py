@@ -2,6 +2,7 @@
 
 import os
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -13,6 +14,7 @@ from tessera.plans import catalog, driver_queries, evaluation_queries
 from tessera.plans.sql import to_spark
 
 BIG = "/root/testdata/sf0.1"
+IC = ("feature_ic_table",)
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +44,13 @@ def same(a: pd.DataFrame, b: pd.DataFrame, by: list[str], atol: float = 2e-6) ->
     pd.testing.assert_frame_equal(a, b[list(a.columns)], check_dtype=False, rtol=0, atol=atol)
 
 
+@pytest.mark.parametrize("name", IC)
+def test_coefficients_from_slabs_are_those_of_the_sql(spark, odd, name):
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{odd}/lineitem.parquet'")
+    same(catalog.queries()[name](spark, odd).toPandas(), con.execute(catalog.oracles()[name]).df(), ["feature" if name == IC[0] else "family"])
+
+
 def test_features_of_slabs_are_those_of_the_relations(spark, odd, tmp_path):
     def text(c):
         price_features(c)
@@ -103,7 +112,7 @@ def written(spark) -> dict[int, int]:
     return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
 
 
-@pytest.mark.parametrize("name", ["factor_attribution"])
+@pytest.mark.parametrize("name", ["factor_attribution", "feature_ic_table"])
 def test_shuffles_stay_below_four_times_the_input(spark, name):
     before = written(spark)
     assert catalog.queries()[name](spark, BIG).count()
