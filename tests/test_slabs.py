@@ -14,7 +14,7 @@ from tessera.plans import catalog, driver_queries, evaluation_queries
 from tessera.plans.sql import to_spark
 
 BIG = "/root/testdata/sf0.1"
-IC = ("feature_ic_table",)
+IC = ("feature_ic_table", "family_ic_rollup")
 
 
 @pytest.fixture(scope="module")
@@ -112,7 +112,7 @@ def written(spark) -> dict[int, int]:
     return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
 
 
-@pytest.mark.parametrize("name", ["factor_attribution", "feature_ic_table"])
+@pytest.mark.parametrize("name", ["factor_attribution", "feature_ic_table", "family_ic_rollup"])
 def test_shuffles_stay_below_four_times_the_input(spark, name):
     before = written(spark)
     assert catalog.queries()[name](spark, BIG).count()
