@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from .html import op9_html
+from .importance import ORACLE_OP13, op13_importance
+from .jaccard import op12_jaccard
+from .merkle import ORACLE_OP11, op11_merkle
 from .mixing import ORACLE_OP5, op5_mixing
 from .neighbours import op3_neighbours
 from .packing import op6_packing
@@ -24,5 +27,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_html": op9_html,
     "op10_substrings": op10_substrings,
+    "op11_merkle": op11_merkle,
+    "op12_jaccard": op12_jaccard,
+    "op13_importance": op13_importance,
 }
-ORACLES = {"op2_quality": ORACLE_OP2, "op5_mixing": ORACLE_OP5}
+ORACLES = {"op2_quality": ORACLE_OP2, "op5_mixing": ORACLE_OP5, "op11_merkle": ORACLE_OP11, "op13_importance": ORACLE_OP13}
