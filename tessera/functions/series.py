@@ -97,6 +97,12 @@ def cs_demean(x: str, by: str = "t_idx") -> str:
     return f"(({x}) - avg({x}) over (partition by {by}))"
 
 
+def growth(r: str, over: str = "") -> str:
+    """Product of 1 + r; nothing is left from a return of -100 % or less on."""
+    o = f" over {over}" if over else ""
+    return f"case when min(1 + {r}){o} <= 0 then 0e0 else exp(sum(ln(case when 1 + {r} > 0 then 1 + {r} end)){o}) end"
+
+
 def residual_std(y: str, x: str, w: int) -> str:
     """Deviation of what a regression of ``y`` on ``x`` leaves, over the ``w`` sessions before this one."""
     f = before(w)

@@ -12,6 +12,8 @@ from tessera.sources import panel as P
 
 TRADING_DAYS = float(S.YEAR)
 SLIPPAGE = 5e-4
+#: Names that a session needs for a coefficient.
+LEAST_NAMES = 20
 
 
 def score_momentum(c: Chain) -> str:
@@ -46,7 +48,7 @@ def backtest(c: Chain, k: int = 25, rb: int = 5, cost: float = SLIPPAGE, by_scor
     top_k(c, k, rb, by_score)
     benchmark(c)
     c.add("days", f"select distinct t_idx, cast(floor((t_idx - 1) / {rb}) as int) as blk from score where t_idx >= 1")
-    c.add("hold", "select d.blk, d.t_idx, w.symbol, w.w * exp(sum(ln(1 + s.ret)) over (partition by w.symbol, d.blk order by d.t_idx rows between unbounded preceding and current row)) as v from w join days d on d.blk = w.blk join score s on s.symbol = w.symbol and s.t_idx = d.t_idx")
+    c.add("hold", f"select d.blk, d.t_idx, w.symbol, w.w * {S.growth('s.ret', '(partition by w.symbol, d.blk order by d.t_idx rows between unbounded preceding and current row)')} as v from w join days d on d.blk = w.blk join score s on s.symbol = w.symbol and s.t_idx = d.t_idx")
     c.add("pv", "select blk, t_idx, sum(v) as pv from hold group by blk, t_idx")
     c.add("blk_ret", "select blk, t_idx, pv / coalesce(lag(pv) over (partition by blk order by t_idx), 1e0) - 1 as r from pv")
     c.add("ends", "select blk, max(t_idx) as t_end from days group by blk")
@@ -63,13 +65,14 @@ def backtest(c: Chain, k: int = 25, rb: int = 5, cost: float = SLIPPAGE, by_scor
 def newey_west(c: Chain, frm: str, x: str, name: str, lags: str = "greatest(1, floor(4 * pow(n / 100e0, 2e0 / 9)))", key: str = "1") -> str:
     """Relation ``name``: (g, n, mean, t) of ``x`` per key, robust to autocorrelation.
 
-    Lagged products are joins of equal keys within the bandwidth, so each row
-    meets a fixed number of others. The variance is floored at 1e-12.
+    Every row is dealt once for each of its key's lags and meets the one row so
+    many before it, by equal keys. The variance is floored at 1e-12.
     """
     c.add(f"{name}_x", f"select {key} as g, t_idx, {x} as x, row_number() over (partition by {key} order by t_idx) as i from {frm} where {x} is not null")
     c.add(f"{name}_m", f"select g, count(*) as n, avg(x) as m from {name}_x group by g")
     c.add(f"{name}_e", f"select a.g, a.i, a.x - b.m as e, b.n, b.m, cast({lags.replace('n /', 'b.n /')} as int) as lags from {name}_x a join {name}_m b on a.g = b.g")
-    c.add(f"{name}_c", f"select a.g, sum(2 * (1 - (a.i - b.i) / (a.lags + 1e0)) * a.e * b.e / a.n) as s from {name}_e a join {name}_e b on a.g = b.g and b.i < a.i and b.i >= a.i - 12 and a.i - b.i <= a.lags group by a.g")
+    c.add(f"{name}_l", f"select g, i, e, n, lags, d from (select * from {name}_e where lags >= 1) q {c.d.explode(c.d.sequence('1', 'lags'), 'd')}")
+    c.add(f"{name}_c", f"select a.g, sum(2 * (1 - a.d / (a.lags + 1e0)) * a.e * b.e / a.n) as s from {name}_l a join {name}_e b on a.g = b.g and b.i = a.i - a.d group by a.g")
     c.add(f"{name}_v", f"select g, max(n) as n, max(m) as m, sum(e * e) / max(n) as v from {name}_e group by g")
     c.add(name, f"select v.g, v.n, v.m as mean, case when v.n < 20 then 0e0 else v.m / sqrt(greatest(v.v + coalesce(c.s, 0), 1e-12) / v.n) end as t from {name}_v v left join {name}_c c on v.g = c.g")
     return name
@@ -78,25 +81,25 @@ def newey_west(c: Chain, frm: str, x: str, name: str, lags: str = "greatest(1, f
 def stats(c: Chain, frm: str = "bt", key: str = "1", name: str = "st") -> str:
     """Relation ``name``: one row of statistics per key of ``frm`` (t_idx, ret, bench, turnover)."""
     up = f"(partition by {key} order by t_idx rows between unbounded preceding and current row)"
-    c.add(f"{name}_q", f"select {key} as g, t_idx, ret, bench, turnover, exp(sum(ln(1 + ret)) over {up}) as eq, exp(sum(ln(1 + bench)) over {up}) as beq from {frm}")
+    c.add(f"{name}_q", f"select {key} as g, t_idx, ret, bench, turnover, {S.growth('ret', up)} as eq, {S.growth('bench', up)} as beq from {frm}")
     top = "(partition by g order by t_idx rows between unbounded preceding and current row)"
-    c.add(f"{name}_d", f"select *, eq / max(eq) over {top} - 1 as dd, beq / max(beq) over {top} - 1 as bdd from {name}_q", keep=True)
+    c.add(f"{name}_d", f"select *, eq / nullif(max(eq) over {top}, 0) - 1 as dd, beq / nullif(max(beq) over {top}, 0) - 1 as bdd from {name}_q", keep=True)
     y = f"(count(*) / {TRADING_DAYS}e0)"
-    c.add(f"{name}_a", f"""select g, count(*) as n_days, exp(sum(ln(1 + ret)) / {y}) - 1 as cagr, exp(sum(ln(1 + bench)) / {y}) - 1 as bench_cagr,
-        avg(ret) / greatest(stddev_samp(ret), 1e-12) * sqrt({TRADING_DAYS}e0) as sharpe, stddev_samp(ret) * sqrt({TRADING_DAYS}e0) as vol_ann,
+    c.add(f"{name}_a", f"""select g, count(*) as n_days, pow({S.growth('ret')}, 1 / {y}) - 1 as cagr, pow({S.growth('bench')}, 1 / {y}) - 1 as bench_cagr,
+        avg(ret) / ({S.at_least('stddev_samp(ret)')}) * sqrt({TRADING_DAYS}e0) as sharpe, stddev_samp(ret) * sqrt({TRADING_DAYS}e0) as vol_ann,
         min(dd) as max_dd, min(bdd) as bench_max_dd, covar_samp(ret, bench) / nullif(var_samp(bench), 0) as beta, {S.corr('ret', 'bench')} as corr_bench,
-        avg(ret - bench) / greatest(stddev_samp(ret - bench), 1e-12) * sqrt({TRADING_DAYS}e0) as ir, avg(case when ret > bench then 1e0 else 0e0 end) as hit_rate,
+        avg(ret - bench) / ({S.at_least('stddev_samp(ret - bench)')}) * sqrt({TRADING_DAYS}e0) as ir, avg(case when ret > bench then 1e0 else 0e0 end) as hit_rate,
         sum(turnover) / {y} as ann_turnover from {name}_d group by g""")
     c.add(f"{name}_r", f"select d.g, d.t_idx, d.ret - a.beta * d.bench as resid from {name}_d d join {name}_a a on a.g = d.g")
     newey_west(c, f"{name}_r", "resid", f"{name}_nw", key="g")
-    c.add(name, f"select a.*, w.mean * {TRADING_DAYS}e0 as alpha_ann, w.t as alpha_tstat from {name}_a a join {name}_nw w on a.g = w.g")
+    c.add(name, f"select a.*, w.mean * {TRADING_DAYS}e0 as alpha_ann, w.t as alpha_tstat from {name}_a a left join {name}_nw w on a.g = w.g")
     return name
 
 
 STATS = ("cagr", "bench_cagr", "sharpe", "vol_ann", "max_dd", "bench_max_dd", "beta", "corr_bench", "ir", "hit_rate", "ann_turnover", "alpha_ann", "alpha_tstat")
 
 
-def ic_series(c: Chain, frm: str, x: str, name: str, h: int = 5, least: int = 5, key: str = "1") -> str:
+def ic_series(c: Chain, frm: str, x: str, name: str, h: int = 5, least: int = LEAST_NAMES, key: str = "1") -> str:
     """Relation ``name``: (g, t_idx, ic, n), the rank correlation of ``x`` with the forward return per session."""
     P.panel(c)
     c.add("fwd_h", f"select symbol, t_idx, round({S.shift('close', -(h + 1))} / nullif({S.shift('close', -1)}, 0) - 1, 9) as fwd, tradable from panel")

@@ -21,7 +21,7 @@ TEXTS: dict[str, Text] = {}
 #: Sessions with a coefficient that a feature needs to be scored.
 LEAST_IC_DAYS = 60
 #: Sessions ahead that the features' coefficients look, and names that one needs.
-IC_HORIZON, LEAST_IC_NAMES = 5, 5
+IC_HORIZON, LEAST_IC_NAMES = 5, E.LEAST_NAMES
 #: Features whose spreads stand in for published factors: none of them is a momentum.
 SPREADS = ("vol_63", "amihud_21", "clv", "vol_surge", "beta_126", "dollar_vol_21")
 
