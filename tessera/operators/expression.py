@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -186,7 +186,7 @@ def render(n: Node, c: Chain, args: list[str]) -> str:
             return S.roll_std(x, w)
         case "tsrank":
             n_ = f"count({x}) over {frame}"
-            return f"(case when {n_} > 1 then {c.d.count_below(x, frame)} / nullif({n_} - 1e0, 0) end)"
+            return f"(case when {n_} > 1 then {c.d.count_below(f'round({x}, 9)', frame)} / nullif({n_} - 1e0, 0) end)"
         case "add" | "sub":
             return f"(({x}) {'+' if n.op == 'add' else '-'} ({args[1]}))"
         case "mul":
@@ -272,10 +272,18 @@ class Grammar:
         self.features = tuple(features)
         self.max_depth = max_depth
         self.max_size = max_size
+        self.odds: np.ndarray | None = None
+
+    def weigh(self, weights: dict[str, float], family_of: Callable[[str], str]) -> None:
+        """From now on draw features by their family's weight; a family without one weighs 1, and none is ever ruled out."""
+        w = np.array([max(weights.get(family_of(f), 1.0), 1e-6) for f in self.features])
+        self.odds = w / w.sum()
 
     def terminal(self, rng: np.random.Generator) -> Node:
         if rng.integers(CONSTANTS) == 0:
             return const(round(float(rng.uniform(-3, 3)), 2))
+        if self.odds is not None:
+            return feat(self.features[rng.choice(len(self.features), p=self.odds)])
         return feat(self.features[rng.integers(len(self.features))])
 
     def tree(self, rng: np.random.Generator, depth: int = 0) -> Node:

@@ -42,6 +42,41 @@ class Bandit:
         self.good[option] = self.good.get(option, 0.0) + bool(success)
 
 
+@dataclass
+class FamilyBandit:
+    """Which families of features last: beliefs about surviving where the search could not look.
+
+    Credit comes from the held-back tail alone, never from fitness, so a family
+    that shines in sample and fades beyond it is drawn less often. Every family
+    keeps a least weight, and what was learnt fades.
+    """
+
+    families: tuple[str, ...]
+    floor: float = 0.15
+    decay: float = 0.997
+    lived: dict[str, float] = field(default_factory=dict)
+    died: dict[str, float] = field(default_factory=dict)
+
+    def learn(self, families: set[str], survived: bool) -> None:
+        side = self.lived if survived else self.died
+        for f in families & set(self.families):
+            side[f] = side.get(f, 0.0) + 1
+
+    def fade(self) -> None:
+        for side in (self.lived, self.died):
+            for f in side:
+                side[f] *= self.decay
+
+    def belief(self, family: str) -> float:
+        """Expected share of survivors among strategies built from the family."""
+        a, b = 1 + self.lived.get(family, 0.0), 1 + self.died.get(family, 0.0)
+        return a / (a + b)
+
+    def weights(self, rng: np.random.Generator) -> dict[str, float]:
+        """One draw of every belief, never below the floor; for ``Grammar.weigh``."""
+        return {f: self.floor + (1 - self.floor) * float(rng.beta(1 + self.lived.get(f, 0.0), 1 + self.died.get(f, 0.0))) for f in self.families}
+
+
 def score_population(spark: SparkSession, sf_dir: str, trees: dict[str, X.Node], horizon: int = 5) -> dict[str, float]:
     """Mean information coefficient of every tree, found in one plan for all of them."""
     c = Chain(Dialect(sf_dir))
