@@ -70,42 +70,36 @@ def buckets(piece: bytes, own: int, ngram: int = NGRAM, n_buckets: int = BUCKETS
 def hashed(texts: DataFrame, keys: str, size: int = CHUNK, ngram: int = NGRAM, n_buckets: int = BUCKETS) -> DataFrame:
     """Rows (the columns of ``keys``, a DDL, then text as binary) -> one row a chunk: keys, n_words, bucket ids (32-bit, packed)."""
     names = [k.split()[0] for k in keys.split(", ")]
-    n_keys = len(names)
+    out = [*names, "n_words", "ids"]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rest = b.select(range(n_keys))
-            for i, t in enumerate(b.column(n_keys)):
-                row = rest.slice(i, 1)
-                for k, (piece, own) in enumerate(chunks((t.as_py() or b"").translate(_UPPER), size, ngram - 1)):
-                    cols = [*row.columns, pa.array([k], pa.int64()), pa.array([piece], pa.binary()), pa.array([own], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(cols, names=[*names, "chunk", "piece", "own"])
+        for b in _slices(batches):
+            for i, t in enumerate(b.column("text").to_pylist()):
+                got = list(chunks(t.translate(_UPPER), size, ngram - 1))
+                row = b.select(names).take(pa.array([i] * len(got)))
+                cols = [pa.array(range(len(got)), pa.int64()), pa.array([p for p, _ in got], pa.binary()), pa.array([o for _, o in got], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*row.columns, *cols], names=[*names, "chunk", "piece", "own"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             got = [buckets(p, o, ngram, n_buckets) for p, o in zip(b.column("piece").to_pylist(), b.column("own").to_pylist(), strict=True)]
-            cols = [b.column(k) for k in names] + [pa.array([w for w, _ in got], pa.int64()), pa.array([x.tobytes() for _, x in got], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_words", "ids"])
-
-    long = F.octet_length("text") > size
-    whole = texts.filter(~F.coalesce(long, F.lit(False))).select(*names, F.coalesce("text", F.lit(b"")).alias("text"))
-    one = whole.mapInArrow(_single(names), f"{keys}, chunk long, piece binary, own long")
-    many = texts.filter(long).mapInArrow(split, f"{keys}, chunk long, piece binary, own long")
-    dealt = many.repartition(shuffle_partitions(texts.sparkSession), *names, "chunk")
-    schema = f"{keys}, n_words long, ids binary"
-    return one.mapInArrow(count, schema).union(dealt.mapInArrow(count, schema))
+            yield pa.RecordBatch.from_arrays([*b.select(names).columns, pa.array([w for w, _ in got], pa.int64()), pa.array([x.tobytes() for _, x in got], pa.binary())], names=out)
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            got = [buckets((t or b"").translate(_UPPER), size + 1, ngram, n_buckets) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.select(names).columns, pa.array([w for w, _ in got], pa.int64()), pa.array([x.tobytes() for _, x in got], pa.binary())], names=out)
 
-def _single(names: list[str]):
-    """Texts of one chunk, passed on as such."""
+    long, schema = F.octet_length("text") > size, f"{keys}, n_words long, ids binary"
+    dealt = texts.filter(long).mapInArrow(split, f"{keys}, chunk long, piece binary, own long").repartition(shuffle_partitions(texts.sparkSession), *names, "chunk")
+    return texts.filter(~F.coalesce(long, F.lit(False))).mapInArrow(whole, schema).union(dealt.mapInArrow(count, schema))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pieces = [t.translate(_UPPER) for t in b.column("text").to_pylist()]
-            cols = [b.column(k) for k in names] + [pa.array([0] * len(pieces), pa.int64()), pa.array(pieces, pa.binary()), pa.array(list(map(len, pieces)), pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "chunk", "piece", "own"])
 
-    return run
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that what Python makes of them stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def bucket_counts(parts: DataFrame, n_buckets: int = BUCKETS) -> DataFrame:
@@ -154,7 +148,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, seed: i
         gain = np.array(gains(bucket_counts(parts, n_buckets), bucket_counts(goal, n_buckets), n_buckets), np.int64)
 
         def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in _slices(batches):
                 ids = [np.frombuffer(x, np.uint32) for x in b.column("ids").to_pylist()]
                 cols = [b.column(k) for k in ("long", "nth", "doc_id", "n_words")]
                 cols += [pa.array([len(x) for x in ids], pa.int64()), pa.array([int(gain[x].sum()) for x in ids], pa.int64())]
