@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import driver_queries, evaluation_queries, feature_queries, population_queries, relation_queries, series_queries, strategy_queries
+from . import coefficient_queries, driver_queries, evaluation_queries, feature_queries, population_queries, relation_queries, series_queries, strategy_queries
 from .sql import Text, to_oracle, to_spark
 
 
 def texts() -> dict[str, Text]:
     out: dict[str, Text] = {}
-    for module in (series_queries, relation_queries, feature_queries, evaluation_queries, population_queries, strategy_queries):
+    for module in (series_queries, relation_queries, feature_queries, evaluation_queries, coefficient_queries, population_queries, strategy_queries):
         clash = out.keys() & module.TEXTS.keys()
         if clash:
             raise ValueError(f"defined twice: {sorted(clash)}")
@@ -25,7 +25,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: to_spark(text) for name, text in texts().items()} | feature_queries.QUERIES | evaluation_queries.QUERIES | driver_queries.QUERIES
+    return {name: to_spark(text) for name, text in texts().items()} | feature_queries.QUERIES | evaluation_queries.QUERIES | coefficient_queries.QUERIES | driver_queries.QUERIES
 
 
 def oracles() -> dict[str, str]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions import series as S
@@ -213,21 +211,21 @@ def peer_inputs(c: Chain) -> str:
 def peer_history(c: Chain) -> str:
     """Relation ``ph``: the returns before every block, ``LOOKBACK`` sessions of them."""
     c.add("blocks", "select distinct blk from pin where blk is not null")
-    c.add("ph", f"select b.blk, p.symbol, p.t_idx, p.r1 from blocks b join pin p on p.t_idx >= b.blk * {REFRESH} and p.t_idx < b.blk * {REFRESH} + {LOOKBACK}")
+    # A session is dealt to the blocks that look back on it, so that blocks meet by equal keys.
+    first = f"cast(greatest(floor((t_idx - {LOOKBACK}) / {REFRESH}e0) + 1, 0) as int)"
+    c.add("pin_b", f"select symbol, t_idx, r1, k from pin {c.d.explode(c.d.sequence(first, f'cast(floor(t_idx / {REFRESH}e0) as int)'), 'k')}")
+    c.add("ph", "select b.blk, p.symbol, p.t_idx, p.r1 from pin_b p join blocks b on b.blk = p.k")
     return "ph"
 
 
-def peers(c: Chain, top: str | None = None) -> str:
+def peers(c: Chain) -> str:
     """Relation ``ptop``: (blk, symbol, peer), the most correlated others before each block, each with a full set.
 
     Missing returns count as zero; names with too few have no correlation to
-    anything. ``top`` names a relation that has been worked out already.
+    anything.
     """
     peer_inputs(c)
     peer_history(c)
-    if top:
-        c.add("ptop", f"select * from {top}")
-        return "ptop"
     least = max(20, LOOKBACK // 4)
     c.add("pz", "select blk, symbol, t_idx, coalesce(r1, 0) as r, count(r1) over (partition by blk, symbol) as n from ph")
     c.add("pc", f"select a.blk, a.symbol, b.symbol as peer, case when max(a.n) >= {least} and max(b.n) >= {least} then coalesce({S.corr('a.r', 'b.r')}, 0) else 0 end as rho from pz a join pz b on b.blk = a.blk and b.t_idx = a.t_idx and b.symbol <> a.symbol group by a.blk, a.symbol, b.symbol")
@@ -239,9 +237,9 @@ def peers(c: Chain, top: str | None = None) -> str:
 PEER_FEATURES = ("peer_rel_mom_5", "peer_rel_mom_21", "peer_rel_mom_63", "peer_rel_vol", "peer_rank_mom_21", "peer_dispersion", "peer_beta", "peer_corr", "peer_rel_range")
 
 
-def _peer(c: Chain, top: str | None = None) -> str:
+def _peer(c: Chain) -> str:
     """A name against its peers of the block: momentum, volatility, range, rank, dispersion, and beta and correlation before the block."""
-    peers(c, top)
+    peers(c)
     c.add("pj", f"""select p.symbol, p.t_idx, p.blk, max(p.mom_5) - avg(q.mom_5) as peer_rel_mom_5, max(p.mom_21) - avg(q.mom_21) as peer_rel_mom_21,
         max(p.mom_63) - avg(q.mom_63) as peer_rel_mom_63, max(p.vol) / ({S.at_least('avg(q.vol)')}) - 1 as peer_rel_vol,
         avg(case when q.mom_21 < p.mom_21 then 1e0 else 0e0 end) as peer_rank_mom_21, stddev_pop(q.mom_21) as peer_dispersion, max(p.rng) - avg(q.rng) as peer_rel_range
@@ -253,18 +251,17 @@ def _peer(c: Chain, top: str | None = None) -> str:
     return c.select(f"select symbol, t_idx, {rounded(*PEER_FEATURES, digits=5)} from po")
 
 
-def features_peer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The peer features with the peers from tiles of correlation matrices; their SQL meets all pairs of names instead."""
+def peer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(blk, symbol, peer) from tiles of correlation matrices; the SQL of ``peers`` meets all pairs of names instead."""
     c = Chain(Dialect(sf_dir))
     peer_inputs(c)
     peer_history(c)
-    history = cut(spark.sql(c.select("select blk, symbol, t_idx, r1 from ph")))
-    view = f"peers_{uuid.uuid4().hex[:12]}"
-    top_peers(history, PEERS, max(20, LOOKBACK // 4)).createOrReplaceTempView(view)
-    try:
-        return to_spark(lambda chain: _peer(chain, view))(spark, sf_dir)
-    finally:
-        spark.catalog.dropTempView(view)
+    return cut(top_peers(cut(spark.sql(c.select("select blk, symbol, t_idx, r1 from ph"))), PEERS, max(20, LOOKBACK // 4)))
+
+
+def features_peer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The peer features with the peers from tiles."""
+    return to_spark(_peer, ptop=peer_table(spark, sf_dir))(spark, sf_dir)
 
 
 TEXTS |= {
