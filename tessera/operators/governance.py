@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import json
 import math
 from abc import ABC, abstractmethod
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -109,10 +111,6 @@ def revalidate(hall: dict[str, dict], evaluate: Callable[[str], dict], limits: l
 # ---- holdouts -----------------------------------------------------------------
 
 
-class SealBroken(RuntimeError):
-    """The holdout cannot give the test that was promised."""
-
-
 def digest(rows: DataFrame, key: str, columns: list[str]) -> str:
     """A fingerprint of rows whatever their order: a hash a key over its sorted rows, hashed together."""
     line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
@@ -121,96 +119,134 @@ def digest(rows: DataFrame, key: str, columns: list[str]) -> str:
     return hashlib.sha256(body.encode()).hexdigest()
 
 
-@dataclass
-class Holdout:
-    """A window that may be scored a set number of times. What happens to it is only ever appended to its ledger.
+class Refused(RuntimeError):
+    """A reserve does not allow what was asked; ``reasons`` has all of them."""
+
+    def __init__(self, reasons: list[str]) -> None:
+        super().__init__("; ".join(reasons))
+        self.reasons = reasons
+
+
+@dataclass(frozen=True)
+class Standing:
+    """What a reserve's events add up to."""
+
+    first: str = ""
+    last: str | None = None
+    after: str | None = None
+    data: str = ""
+    need: int = 0
+    tries: int = 0
+    named: frozenset[str] = frozenset()
+    spent: int = 0
+    leaks: tuple[str, ...] = ()
+
+    def fold(self, e: dict) -> Standing:
+        what = e["what"]
+        match e["kind"]:
+            case "kept":
+                return replace(self, **what)
+            case "named":
+                return replace(self, named=self.named | set(what["ids"]))
+            case "used":
+                return replace(self, spent=self.spent + 1)
+            case "leaked":
+                return replace(self, leaks=(*self.leaks, what["by"]))
+        return self
+
+    def usable(self, sessions: list[str]) -> list[str]:
+        """Those that lie in the window and, for one kept ahead of time, after the day it was promised."""
+        return [d for d in sessions if d >= self.first and (self.last is None or d <= self.last) and (self.after is None or d > self.after)]
 
-    A historical one is sealed by the digest of its data; a forward one by its
-    date: only sessions after the commitment may be scored, and enough of them.
+
+class Reserve:
+    """Sessions kept for a last test: a chain of events, and a fold over it that says what is still allowed.
+
+    A window of the past is known by the digest of its data. One of the future
+    begins after the day it was promised and needs some sessions first. Each
+    event carries the hash of all before it, so a changed history shows.
     """
 
-    start: str
-    end: str
-    kind: str = "historical"
-    digest: str = ""
-    committed: str = ""
-    min_sessions: int = 0
-    max_evaluations: int = 1
-    evaluations: int = 0
-    contaminated: bool = False
-    registered: list[str] = field(default_factory=list)
-    ledger: list[dict] = field(default_factory=list)
+    def __init__(self, events: list[dict] | None = None) -> None:
+        self.events = list(events or ())
 
     @classmethod
-    def historical(cls, start: str, end: str, dates: list[str], data_digest: str, least: int = 60, **how) -> Holdout:
-        n = sum(start <= d <= end for d in dates)
-        if n < least:
-            raise SealBroken(f"only {n} sessions from {start} to {end}")
-        return cls(start, end, digest=data_digest, **how)._note("sealed", sessions=n)
+    def past(cls, first: str, last: str, sessions: list[str], data: str, need: int = 60, tries: int = 1) -> Reserve:
+        new = cls()._add("kept", first=first, last=last, data=data, need=need, tries=tries)
+        short = new._short(sessions)
+        if short:
+            raise Refused(short)
+        return new
 
     @classmethod
-    def forward(cls, today: str, min_sessions: int = 250, replaces: Holdout | None = None, **how) -> Holdout:
-        new = cls(today, "2099-12-31", "forward", committed=today, min_sessions=min_sessions, **how)
-        return new._note("committed", replaces=f"{replaces.start}..{replaces.end}" if replaces else None)
+    def future(cls, today: str, need: int = 250, tries: int = 1) -> Reserve:
+        return cls()._add("kept", first=today, after=today, need=need, tries=tries)
+
+    def _link(self, n: int) -> str:
+        return hashlib.sha256(json.dumps(self.events[:n], sort_keys=True).encode()).hexdigest()
 
-    def _note(self, event: str, **what) -> Holdout:
-        self.ledger.append({"event": event, "n": len(self.ledger), **what})
+    def _add(self, kind: str, **what) -> Reserve:
+        self.events.append({"kind": kind, "what": what, "before": self._link(len(self.events))})
         return self
 
-    def assert_train_clean(self, last_date: str) -> None:
-        if last_date >= self.start:
-            raise SealBroken(f"training data reach {last_date}, into the holdout from {self.start}")
-
-    def register(self, fingerprints: list[str]) -> None:
-        """Name the candidates before the window is opened."""
-        if self.evaluations:
-            raise SealBroken("the window has been opened already")
-        self.registered += fingerprints
-        self._note("registered", fingerprints=list(fingerprints))
-
-    def ready(self, dates: list[str]) -> tuple[bool, int]:
-        """Whether enough sessions lie after the commitment, and how many do."""
-        if self.kind != "forward":
-            return True, 0
-        n = sum(d > max(self.start, self.committed) for d in dates)
-        return n >= self.min_sessions, n
-
-    def remaining(self) -> int:
-        return max(0, self.max_evaluations - self.evaluations)
-
-    def open(self, fingerprint: str, dates: list[str], data_digest: str = "") -> list[str]:
-        """Use up one evaluation; returns the sessions that may be scored."""
-        if not self.remaining():
-            raise SealBroken("no evaluation is left: this window is training data now")
-        if self.registered and fingerprint not in self.registered:
-            raise SealBroken(f"{fingerprint} was not registered before")
-        inside = [d for d in dates if self.start <= d <= self.end]
-        if self.kind == "forward":
-            ok, n = self.ready(dates)
-            if not ok:
-                raise SealBroken(f"{n} of {self.min_sessions} sessions since the commitment")
-            inside = [d for d in inside if d > self.committed]
-        elif data_digest != self.digest:
-            raise SealBroken("the data are not those that were sealed")
-        self.evaluations += 1
-        self._note("opened", fingerprint=fingerprint, evaluation=self.evaluations)
-        return inside
-
-    def expose(self, by: str, what: str) -> None:
-        """Note that the window was read outside an evaluation; nothing takes that back."""
-        self.contaminated = True
-        self._note("exposed", by=by, what=what)
-
-    def record(self, fingerprint: str, result: dict) -> None:
-        self._note("result", fingerprint=fingerprint, result=result)
+    def unbroken(self) -> bool:
+        return all(e["before"] == self._link(i) for i, e in enumerate(self.events))
+
+    def now(self) -> Standing:
+        return reduce(Standing.fold, self.events, Standing())
+
+    def left(self) -> int:
+        s = self.now()
+        return max(0, s.tries - s.spent)
+
+    def _short(self, sessions: list[str]) -> list[str]:
+        n, need = len(self.now().usable(sessions)), self.now().need
+        return [f"{n} usable sessions, {need} are needed"] if n < need else []
+
+    def objections(self, who: str, sessions: list[str], data: str = "") -> list[str]:
+        """Everything that stands against ``who`` being tested now."""
+        s, out = self.now(), self._short(sessions)
+        if not self.left():
+            out.append(f"used {s.spent} times, {s.tries} allowed")
+        if s.named and who not in s.named:
+            out.append(f"{who} is not among the candidates named beforehand")
+        if s.data and s.data != data:
+            out.append("these are other data than were kept")
+        if not self.unbroken():
+            out.append("its history was changed")
+        return out
+
+    def name(self, ids: list[str]) -> None:
+        """Say beforehand which candidates will be tested."""
+        if self.now().spent:
+            raise Refused(["candidates are named before the first use"])
+        self._add("named", ids=sorted(ids))
+
+    def use(self, who: str, sessions: list[str], data: str = "") -> list[str]:
+        """Spend one try; the sessions that ``who`` may be tested on."""
+        if reasons := self.objections(who, sessions, data):
+            raise Refused(reasons)
+        self._add("used", id=who)
+        return self.now().usable(sessions)
+
+    def leak(self, by: str, what: str) -> None:
+        """The window was read outside a test; that stays on record."""
+        self._add("leaked", by=by, what=what)
+
+    def outcome(self, who: str, values: dict) -> None:
+        self._add("outcome", id=who, values=values)
+
+    def training(self, rows: DataFrame, date: str = "date") -> DataFrame:
+        """The rows before the window: all that a search may read."""
+        return rows.filter(F.col(date) < F.lit(self.now().first))
 
     def save(self, path: str) -> None:
-        write_json(path, asdict(self))
+        write_json(path, {"events": self.events})
 
     @classmethod
-    def load(cls, path: str) -> Holdout | None:
+    def load(cls, path: str) -> Reserve | None:
         s = read_json(path)
-        return cls(**s) if s else None
+        return cls(s["events"]) if s else None
 
 
 # ---- choice policies ----------------------------------------------------------
@@ -229,17 +265,19 @@ class RoundRobin(Policy):
 
 
 class Greedy(Policy):
-    """The best mean; what has not been tried comes first."""
+    """Whatever gave the best single outcome; what has not been tried comes first."""
 
     def choose(self, step: int, given: dict[str, list[float]], rng: np.random.Generator) -> str:
-        return max(sorted(given), key=lambda m: np.mean(given[m]) if given[m] else np.inf)
+        return max(sorted(given), key=lambda m: max(given[m], default=math.inf))
 
 
 class Thompson(Policy):
-    """The best draw around every mean, the narrower the more there is."""
+    """The best draw of the beliefs about gaining anything at all."""
 
     def choose(self, step: int, given: dict[str, list[float]], rng: np.random.Generator) -> str:
-        return max(sorted(given), key=lambda m: rng.normal(np.mean(given[m]) if given[m] else 0.0, 1 / np.sqrt(len(given[m]) + 1)))
+        won = {m: sum(x > 0 for x in given[m]) for m in sorted(given)}
+        draws = {m: rng.beta(1 + w, 1 + len(given[m]) - w) for m, w in won.items()}
+        return max(draws, key=draws.get)
 
 
 class Uniform(Policy):

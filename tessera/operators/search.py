@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -163,41 +161,6 @@ def replay(world: dict[str, list[float]], policy: str, budget: int, rng: np.rand
     return {"policy": policy, "best": best, "value": best - price * len(seen), "regret": top - best}
 
 
-@dataclass
-class Seal:
-    """A holdout that may be opened once: an append-only list of events with the digest before each."""
-
-    start: str
-    end: str
-    events: list[dict] = field(default_factory=list)
-
-    def _append(self, kind: str, **what) -> dict:
-        before = hashlib.sha256(json.dumps(self.events, sort_keys=True).encode()).hexdigest()
-        self.events.append({"kind": kind, "n": len(self.events), "before": before, **what})
-        return self.events[-1]
-
-    def intact(self) -> bool:
-        return all(e["before"] == hashlib.sha256(json.dumps(self.events[:i], sort_keys=True).encode()).hexdigest() for i, e in enumerate(self.events))
-
-    def assert_train_clean(self, last_date: str) -> None:
-        if last_date >= self.start:
-            raise ValueError(f"training data reach {last_date}, into the holdout from {self.start}")
-
-    def register(self, fingerprint: str) -> None:
-        self._append("register", fingerprint=fingerprint)
-
-    def open(self, fingerprint: str) -> None:
-        known = {e["fingerprint"] for e in self.events if e["kind"] == "register"}
-        if fingerprint not in known:
-            raise ValueError("not registered before the holdout was opened")
-        if any(e["kind"] == "open" for e in self.events):
-            raise ValueError("the holdout has been opened before")
-        self._append("open", fingerprint=fingerprint)
-
-    def record(self, fingerprint: str, result: dict) -> None:
-        self._append("result", fingerprint=fingerprint, result=result)
-
-
 def thesis_verdict(sessions: int, forward: float, trailing: float) -> tuple[str, bool]:
     """(verdict, had it moved already) of a thesis from its excess returns before and since."""
     moved = trailing > 0.25

@@ -197,27 +197,31 @@ def test_likeness(spark):
 
 def test_holdout_life(spark, tmp_path):
     dates = [str(dt.date(2020, 1, 1) + dt.timedelta(days=i)) for i in range(400)]
-    with pytest.raises(G.SealBroken):
-        G.Holdout.historical("2020-01-01", "2020-01-05", dates, "d")
-    h = G.Holdout.historical("2020-06-01", "2020-12-31", dates, "d")
-    with pytest.raises(G.SealBroken):
-        h.assert_train_clean("2020-06-01")
-    h.register(["x"])
+    with pytest.raises(G.Refused, match="5 usable sessions, 60 are needed"):
+        G.Reserve.past("2020-01-01", "2020-01-05", dates, "d")
+    h = G.Reserve.past("2020-06-01", "2020-12-31", dates, "d")
+    days = spark.createDataFrame([(d,) for d in dates], "date string")
+    assert h.training(days).agg(F.max("date")).first()[0] == "2020-05-31"
+    h.name(["x"])
+    assert len(h.objections("y", dates[:200], "other")) == 3
     for bad in (("y", "d"), ("x", "other")):
-        with pytest.raises(G.SealBroken):
-            h.open(bad[0], dates, bad[1])
-    assert len(h.open("x", dates, "d")) == 214 and h.remaining() == 0
-    with pytest.raises(G.SealBroken):
-        h.open("x", dates, "d")
-    f = G.Holdout.forward("2020-03-01", min_sessions=30, replaces=h)
-    assert f.ready(dates[:70]) == (False, 9)
-    with pytest.raises(G.SealBroken):
-        f.open("x", dates[:70])
-    assert f.open("x", dates)[0] == "2020-03-02"
-    f.expose("a script", "all prices")
+        with pytest.raises(G.Refused):
+            h.use(bad[0], dates, bad[1])
+    assert h.left() == 1 and len(h.use("x", dates, "d")) == 214 and h.left() == 0
+    for again in (lambda: h.use("x", dates, "d"), lambda: h.name(["z"])):
+        with pytest.raises(G.Refused):
+            again()
+    f = G.Reserve.future("2020-03-01", need=30)
+    assert f.objections("x", dates[:70]) == ["9 usable sessions, 30 are needed"]
+    assert f.use("x", dates)[0] == "2020-03-02"
+    f.leak("a script", "all prices")
+    f.outcome("x", {"t": 1.5})
     f.save(str(tmp_path / "f"))
-    again = G.Holdout.load(str(tmp_path / "f"))
-    assert again == f and again.contaminated and [e["event"] for e in again.ledger] == ["committed", "opened", "exposed"]
+    again = G.Reserve.load(str(tmp_path / "f"))
+    assert again.events == f.events and again.now().leaks == ("a script",) and [e["kind"] for e in again.events] == ["kept", "used", "leaked", "outcome"]
+    assert again.unbroken() and G.Reserve.load(str(tmp_path / "none")) is None
+    again.events[0]["what"]["tries"] = 5
+    assert not again.unbroken() and again.objections("x", dates) == ["its history was changed"]
     a = spark.createDataFrame([(1, 2.0), (1, 3.0), (2, None)], "k int, v double")
     b = a.orderBy(F.col("v").desc())
     assert G.digest(a, "k", ["v"]) == G.digest(b, "k", ["v"]) != G.digest(a.filter("k = 1"), "k", ["v"])
@@ -228,6 +232,9 @@ def test_policies_and_methods():
     given = {"a": [0.1], "b": [0.5], "c": [-1.0]}
     assert [G.POLICIES["round_robin"].choose(k, given, rng) for k in range(4)] == ["a", "b", "c", "a"]
     assert G.POLICIES["greedy"].choose(0, given, rng) == "b" and G.POLICIES["greedy"].choose(0, given | {"d": []}, rng) == "d"
+    assert G.POLICIES["greedy"].choose(0, {"a": [0.9, -5.0], "b": [0.5, 0.5]}, rng) == "a"
+    luck = {"a": [0.001] * 40, "b": [9.0] + [-0.001] * 39}
+    assert sum(G.POLICIES["thompson"].choose(0, luck, rng) == "a" for _ in range(50)) == 50
     assert {G.POLICIES["random"].choose(0, given, rng) for _ in range(60)} == {"a", "b", "c"}
     base = {"search": {"population": 1, "generations": 1, "max_depth": 4}, "backtest": {"rebalance": 5, "names": 25}}
     assert G.configured(base, "wide")["search"] == {"population": 96, "generations": 2, "max_depth": 4} and base["search"]["population"] == 1
@@ -239,9 +246,10 @@ def test_policies_and_methods():
     assert out == [{"id": "t", "age_days": 60, "sessions": 30, "trailing": 0.3, "forward": 0.05, "verdict": "holding", "already_moved": True}]
 
 
-def test_verdicts_follow_their_table():
+def test_verdicts_follow_their_rules():
     v = metrics.verdict
-    assert [v(3, 3), v(3, 0), v(0, 3), v(0.1, 0.1), v(1, 1), v(-3, 0)] == ["survives", "hedged", "explained", "none", "inconclusive", "inconclusive"]
+    assert [v(3, 3), v(3, 0), v(0, 3), v(0.1, 0.1), v(1, 1), v(-3, 0)] == ["survives factors", "factor-hedged gain", "explained by factors", "no signal either way", "inconclusive", "inconclusive"]
+    assert v(3, -3) == "factor-hedged gain" and v(-3, 3) == "inconclusive"
     assert v(3, 3, ok=False) == v(math.nan, 3) == "unknown"
     assert metrics.explain(None).startswith("not enough")
     assert metrics.sharpe_haircut(1.0, 250, 1) <= 1.0 and metrics.sharpe_haircut(0.1, 250, 10_000) == 0.0
