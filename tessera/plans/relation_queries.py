@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.functions import series as S
+from tessera.operators import evaluation as E
 from tessera.sources import panel as P
 
 from .sql import Chain, Text, rounded
@@ -425,12 +426,44 @@ def _vol_join(c: Chain) -> str:
     return c.select("select a.t_idx, round(a.v + 1.73e-10, 8) + 0e0 as fast, round(b.v + 1.73e-10, 8) + 0e0 as slow, b.v is not null and b.v > a.v as contango from ix i join v1 a on a.t_idx = i.t_idx left join v3 b on b.t_idx = a.t_idx")
 
 
+#: Sessions before a thesis that its trailing figure looks at, those that a figure needs, and what counts as moved or holding.
+THESIS_BACK, THESIS_LEAST, MOVED, HOLDS = 252, 20, 0.25, 0.02
+
+
+def monthly_theses(c: Chain) -> str:
+    """Relation ``thesis``: (thesis, tickers, since), all names that members disclosed in a month to have bought, as of the month's last filing."""
+    P.disclosures(c)
+    c.add("thesis", "select cast(date_trunc('month', filing_date) as date) as thesis, array_agg(distinct symbol) as tickers, max(filing_date) as since from disclosures where side = 'buy' group by 1")
+    return "thesis"
+
+
+def thesis_scores(c: Chain) -> str:
+    """Relation ``ths``: every row of ``thesis`` with the annualised excess of its equal-weight basket before and since its day.
+
+    A basket holds the names that could be traded the session before; it starts
+    flat on a window's first session. Tickers that the panel lacks are passed
+    over; a window of too few sessions, or without a name, has no figure.
+    """
+    E.benchmark(c)
+    P.at_session(c, "thesis", "since", "th_at")
+    c.add("th_n", "select max(t_idx) + 1 as n_t from sessions")
+    c.add("th_c", "select thesis, tickers, coalesce(t0, n_t) as at_t, n_t from th_at cross join th_n")
+    c.add("th_w", f"select thesis, 'before' as part, greatest(at_t - {THESIS_BACK}, 0) as lo, at_t as hi from th_c union all select thesis, 'since', at_t, n_t from th_c")
+    c.add("th_s", f"select distinct thesis, symbol from (select thesis, symbol from thesis {c.d.explode('tickers', 'symbol')}) q")
+    c.add("th_p", f"select symbol, t_idx, ret, case when {S.shift('tradable', 1)} then 1 else 0 end as m from rets")
+    c.add("th_b", """select s.thesis, w.part, p.t_idx, sum(case when p.t_idx > w.lo then p.m * p.ret else 0 end) / greatest(sum(case when p.t_idx > w.lo then p.m else 0 end), 1) as r
+        from th_s s join th_w w on w.thesis = s.thesis join th_p p on p.symbol = s.symbol and p.t_idx >= w.lo and p.t_idx < w.hi group by s.thesis, w.part, p.t_idx""")
+    year = f"pow({{}}, {S.YEAR}e0 / count(*)) - 1"
+    c.add("th_x", f"select b.thesis, b.part, {year.format(S.growth('b.r'))} - ({year.format(S.growth('k.bench'))}) as x from th_b b join bench k on k.t_idx = b.t_idx group by b.thesis, b.part having count(*) >= {THESIS_LEAST}")
+    c.add("th_k", "select thesis, count(distinct symbol) as named from th_s group by thesis")
+    c.add("th_o", "select c.thesis, coalesce(k.named, 0) as named, c.n_t - c.at_t as sessions, max(case when x.part = 'before' then x.x end) as trailing_x, max(case when x.part = 'since' then x.x end) as forward_x from th_c c left join th_k k on k.thesis = c.thesis left join th_x x on x.thesis = c.thesis group by c.thesis, k.named, c.n_t, c.at_t")
+    c.add("ths", f"select *, coalesce(trailing_x > {MOVED}, false) as already_moved, case when forward_x is null or sessions < {THESIS_LEAST} then 'too early' when forward_x > {HOLDS} then 'holding' when forward_x < -{HOLDS} then 'not holding' else 'flat' end as verdict from th_o")
+    return "ths"
+
+
 @query("basket_excess")
 def _basket(c: Chain) -> str:
-    """A thesis basket's annualised excess over the equal-weight market before and after its date, and the verdict."""
-    P.returns(c)
-    c.values("th", "thesis, r, since", (("low", 0, 120), ("mid", 1, 200), ("late", 2, 340)))
-    c.add("bx", "select t.thesis, t.since, r.t_idx, avg(case when r.symbol % 9 = t.r then r.ret end) - avg(r.ret) as x from rets r cross join th t group by t.thesis, t.since, r.t_idx")
-    c.add("sc", f"select thesis, count(case when t_idx > since then 1 end) as sessions, avg(case when t_idx <= since and t_idx > since - 126 then x end) * {S.YEAR} as trailing_x, avg(case when t_idx > since then x end) * {S.YEAR} as forward_x from bx group by thesis")
-    c.add("o", "select thesis, sessions, trailing_x, forward_x, abs(trailing_x) > 0.25 as already_moved, case when sessions < 20 then 'too early' when forward_x > 0.02 then 'holding' when forward_x < -0.02 then 'not holding' else 'flat' end as verdict from sc")
-    return c.select(f"select thesis, sessions, {rounded('trailing_x', 'forward_x')}, already_moved, verdict from o")
+    """Every thesis's basket against the equal-weight market before and since its day, and the verdict."""
+    monthly_theses(c)
+    thesis_scores(c)
+    return c.select(f"select thesis, named, sessions, {rounded('trailing_x', 'forward_x')}, already_moved, verdict from ths")

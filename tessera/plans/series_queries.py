@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from tessera.functions import series as S
 from tessera.operators.features import FAMILIES, PRICE_FEATURES, ema, family_of, price_features
+from tessera.operators.rolling import roll_apply
 from tessera.sources import panel as P
 
-from .sql import Chain, Text, rounded
+from .sql import Chain, Text, rounded, to_spark
 
 TEXTS: dict[str, Text] = {}
 
@@ -229,3 +234,41 @@ def _families(c: Chain) -> str:
     c.values("names", "name", ((n,) for n in PRICE_FEATURES))
     cases = " ".join(f"when {' or '.join(f'''substr(name, 1, {len(p)}) = '{p}' ''' for p in ps)} then '{f}'" for f, ps in FAMILIES.items())
     return c.select(f"select name, case {cases} else 'other' end as family from names")
+
+
+#: Sessions of the rolling quantile range, and its quantiles.
+RANGE_WINDOW, RANGE_LOW, RANGE_HIGH = 21, 0.1, 0.9
+
+
+@query("roll_quantile_range")
+def _quantile_range(c: Chain) -> str:
+    """Spread between a high and a low quantile of the returns of the sessions before each one."""
+    P.panel(c)
+    f = S.before(RANGE_WINDOW)
+    c.add("o", f"select symbol, t_idx, case when t_idx >= {RANGE_WINDOW} then {c.d.percentile('r1', RANGE_HIGH)} over {f} - {c.d.percentile('r1', RANGE_LOW)} over {f} end as spread from panel")
+    return c.select(f"select symbol, t_idx, {rounded('spread')} from o")
+
+
+def quantile_range(x: np.ndarray, axis: int) -> np.ndarray:
+    """The spread of those that are there; a window of none has none."""
+    some = ~np.isnan(x).all(axis=axis)
+    out = np.full(x.shape[1 - axis], np.nan)
+    out[some] = np.nanquantile(x[some], RANGE_HIGH, axis=axis) - np.nanquantile(x[some], RANGE_LOW, axis=axis)
+    return out
+
+
+def roll_quantile_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a function of numpy over the engine's frames."""
+
+    def rows(c: Chain) -> str:
+        P.panel(c)
+        return c.select("select symbol, t_idx, r1 from panel")
+
+    def text(c: Chain) -> str:
+        return c.select(f"select symbol, t_idx, {rounded('spread')} from rolled")
+
+    rolled = roll_apply(to_spark(rows)(spark, sf_dir), F.col("r1"), quantile_range, RANGE_WINDOW, "spread", past=True)
+    return to_spark(text, rolled=rolled)(spark, sf_dir)
+
+
+QUERIES = {"roll_quantile_range": roll_quantile_range}

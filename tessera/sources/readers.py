@@ -120,3 +120,18 @@ def replace_market(spark: SparkSession, rows: DataFrame, path: str) -> None:
 def ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; broken lines are skipped."""
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
+
+
+def theses(spark: SparkSession, path: str) -> DataFrame:
+    """A store of theses: thesis, claim, statement, tickers (an array, empty without a proxy) and since, a row for each claim.
+
+    A thesis counts from the day it was captured, or else recorded; one without
+    claims has no row, and of theses with one id the last counts.
+    """
+    claim = "struct<id: string, statement: string, proxy: struct<tickers: array<string>>>"
+    doc = spark.read.schema(f"theses array<struct<id: string, captured: string, recorded: string, claims: array<{claim}>>>").json(path, multiLine=True)
+    each = doc.select(F.posexplode("theses").alias("nth", "t"))
+    last = each.groupBy("t.id").agg(F.max_by("t", "nth").alias("t"))
+    since = F.to_date(F.substring(F.coalesce("t.captured", "t.recorded"), 1, 10))
+    rows = last.select(F.col("id").alias("thesis"), since.alias("since"), F.explode("t.claims").alias("c"))
+    return rows.select("thesis", F.col("c.id").alias("claim"), "c.statement", F.coalesce("c.proxy.tickers", F.array().cast("array<string>")).alias("tickers"), "since")
