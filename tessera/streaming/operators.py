@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from tessera.session import cut
 from tessera.sources.readers import keep_last
@@ -171,3 +173,72 @@ def equity_sink(spark: SparkSession, path: str, cap: int = 2000) -> Callable[[Da
         cut(append_series(old, batch, cap)).coalesce(1).write.mode("overwrite").parquet(path)
 
     return write
+
+
+class PosteriorFold(StatefulProcessor):
+    """Keeps an arm's posterior and its last reward's time; an arm that is silent for ``quiet_s`` of event time is forgotten.
+
+    Rewards of a batch are folded in order of time. The posterior is a value
+    state, totals by source are a map state, and the timer is moved to the end
+    of the quiet period whenever the arm is heard of.
+    """
+
+    def __init__(self, half_life: float, quiet_s: int) -> None:
+        self.half_life, self.quiet_ms = half_life, quiet_s * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("posterior", "mu double, kappa double, alpha double, beta double, n long")
+        self.by_source = handle.getMapState("by_source", "source string", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        f = pd.concat(list(rows)).sort_values(["ts", "x"], kind="stable")
+        state = tuple(self.now.get()) if self.now.exists() else (0.0, 1.0, 2.0, 1.0, 0)
+        state = decayed_posterior(state, f["x"], self.half_life)
+        self.now.update((*map(float, state[:4]), int(state[4])))
+        for source, n in f["source"].value_counts().items():
+            seen = self.by_source.getValue((source,))[0] if self.by_source.containsKey((source,)) else 0
+            self.by_source.updateValue((source,), (int(seen + n),))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(max(int(f["ts"].max().timestamp() * 1000), timerValues.getCurrentWatermarkInMs()) + self.quiet_ms)
+        yield self._row(key, False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._row(key, True)
+        self.now.clear()
+        self.by_source.clear()
+
+    def _row(self, key: tuple, gone: bool) -> pd.DataFrame:
+        mu, kappa, alpha, beta, n = self.now.get()
+        sources = sum(1 for _ in self.by_source.keys())
+        return pd.DataFrame([(key[0], mu, kappa, alpha, beta, n, sources, gone)], columns=["arm", "mu", "kappa", "alpha", "beta", "n", "sources", "gone"])
+
+    def close(self) -> None:
+        pass
+
+
+def forgetting_posteriors(rewards: DataFrame, half_life: float = HALF_LIFE, quiet_s: int = 86_400, delay: str = "0 seconds") -> DataFrame:
+    """arm, source, ts, x (streaming) -> an arm's posterior after each batch that has it, and a last row (``gone``) once it has been silent.
+
+    The session needs RocksDB as its state store. Rewards older than the
+    watermark are dropped.
+    """
+    schema = "arm string, mu double, kappa double, alpha double, beta double, n long, sources long, gone boolean"
+    rows = rewards.withWatermark("ts", delay).groupBy("arm")
+    return rows.transformWithStateInPandas(PosteriorFold(half_life, quiet_s), schema, "Update", "EventTime")
+
+
+def experience_sink(rows: DataFrame, path: str, checkpoint: str, day: str = "ts") -> DataStreamWriter:
+    """Rows (streaming) appended to a table of daily partitions; a writer to be started with any trigger.
+
+    The sink's log makes a batch that runs again after a crash count once.
+    A later run may bring further columns; see ``experience``.
+    """
+    dated = rows.withColumn("day", F.to_date(day))
+    return dated.writeStream.format("parquet").outputMode("append").partitionBy("day").option("path", path).option("checkpointLocation", checkpoint)
+
+
+def experience(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of ``experience_sink`` in the columns that any of its files has; what a file lacks is missing in its rows."""
+    return spark.read.option("mergeSchema", "true").parquet(path)
