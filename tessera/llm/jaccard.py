@@ -8,9 +8,10 @@ no more than one of the k differences, and leaves it out with the part that it l
 sets share that signature. x first-level partitions more give x + 1 shared signatures, so that every
 set may leave out its x thinnest ones (by one order for all sets), which many strangers share.
 
-Sets that share a signature meet its smallest member first; what that settles is joined into
-components. Sets of one signature in different components then meet each other where size and
-histogram leave a chance. Every pair that may be linked is verified on the whole texts.
+Sets that share a signature meet its first few members; what that settles is joined into
+components, and a signature of few sets is done with. In one of many, sets of different components
+then meet each other where size and histogram leave a chance. Every pair that may be linked is
+verified on the whole texts.
 """
 
 from __future__ import annotations
@@ -34,10 +35,14 @@ SHINGLE = 4
 PERCENT = 85
 #: Growth of the bands of size, and from which k on a first-level partition has two parts in place of three.
 GROWTH, COARSE = 1.35, 33
+#: Texts of a signature that all its others meet first.
+LEADS = 4
+#: Rows that a task may hold to filter texts by; more of them are joined by a shuffle.
+HELD = 500_000
 #: Rows of one signature that are compared at once; more of them are compared block by block.
-BLOCK = 4096
-#: Buckets of a histogram for each member of a set, and bytes of the longest one.
-PER_BUCKET, MOST_BUCKETS = 8, 2048
+BLOCK = 1024
+#: Fewest and most buckets of a histogram, which has one for each two members up to that.
+BUCKETS = 32, 32_768
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -49,17 +54,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: bytes, n: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of all runs of ``n`` words (all words, where they are fewer)."""
+    """Sorted distinct 64-bit hashes of all runs of ``n`` words (of all words, where they are fewer), each mixed from its words' hashes in order."""
     words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    buf = b" ".join(words)
-    if len(words) <= n:
-        return np.array([xxhash.xxh64_intdigest(buf)], np.uint64)
-    end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = [0, *(end[: len(words) - n] + 1).tolist()]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(buf[a:z]) for a, z in zip(starts, end[n - 1 :].tolist(), strict=True)], np.uint64))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = min(n, len(h))
+    out = h[: len(h) - n + 1]
+    for i in range(1, n):
+        out = mixed(out) + h[i : len(h) - n + 1 + i]
+    return np.unique(mixed(out)) if n else h
 
 
 def most_apart(size: int, percent: int = PERCENT) -> int:
@@ -117,8 +119,8 @@ class Bands:
 
 def histogram(members: np.ndarray) -> np.ndarray:
     """Counts of the members by hash, to 255 each, in a power of two of buckets; half as many add up neighbours in halves."""
-    n = 32
-    while n < MOST_BUCKETS and n * PER_BUCKET < len(members):
+    n = BUCKETS[0]
+    while n < min(BUCKETS[1], len(members) // 2):
         n *= 2
     return np.minimum(np.bincount((members & np.uint64(n - 1)).astype(np.int64), minlength=n), 255).astype(np.uint8)
 
@@ -128,51 +130,41 @@ def text_id(text: Column) -> Column:
     return F.unhex(F.md5(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary")))
 
 
-def sizes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, key (of the row), sid (of the text) and n, the size of the text's set."""
+def filed(docs: DataFrame, shingle: int, bands: tuple) -> DataFrame:
+    """sid, n (size of its set) and sigs of every text; of the copies of a text that one task reads, the first alone is filed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        how, seen = Bands(*bands), set()
         for b in batches:
-            n = [len(shingles(t or b"", shingle)) for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64())], names=["doc_id", "key", "sid", "n"])
+            for i in range(0, b.num_rows, 512):
+                part, got = b.slice(i, 512), []
+                for sid, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if sid not in seen:
+                        seen.add(sid)
+                        members = shingles(t or b"", shingle)
+                        got.append((sid, len(members), how.signatures(members).view(np.int64)))
+                if got:
+                    ids, n, sigs = zip(*got, strict=True)
+                    edges = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(edges, np.concatenate(sigs))], names=["sid", "n", "sigs"])
 
-    slim = docs.select(F.col("doc_id").cast("long"), row_key(docs).alias("key"), text_id(F.col("text")).alias("sid"), F.col("text").cast("binary"))
-    return slim.mapInArrow(run, "doc_id long, key binary, sid binary, n long")
+    return docs.select(text_id(F.col("text")).alias("sid"), F.col("text").cast("binary")).mapInArrow(run, "sid binary, n long, sigs array<long>")
 
 
-def filed(docs: DataFrame, shingle: int, bands: tuple) -> DataFrame:
-    """(sig, sid) of every text; of the copies of a text that one task reads, the first alone is filed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        how, seen = Bands(*bands), set()
-        for b in batches:
-            sigs, owner, ids = [], [], []
-            for sid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if sid in seen:
-                    continue
-                seen.add(sid)
-                s = how.signatures(shingles(t or b"", shingle))
-                sigs.append(s)
-                owner.append(np.full(len(s), len(ids)))
-                ids.append(sid)
-            if sigs:
-                all_sigs, at = np.concatenate(sigs), np.concatenate(owner)
-                names = pa.array(ids, pa.binary()).take(pa.array(at, pa.int64()))
-                for i in range(0, len(at), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(all_sigs[i : i + 100_000].view(np.int64)), names.slice(i, 100_000)], names=["sig", "sid"])
-
-    return docs.select(text_id(F.col("text")).alias("sid"), F.col("text").cast("binary")).mapInArrow(run, "sig long, sid binary")
+def those_of(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """``df`` joined with ``ids``, which has every ``on`` once: held in each task while it is small, else by a shuffle."""
+    return df.join(F.broadcast(ids) if ids.count() <= HELD else ids, on)
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """(sig, sid) -> (sig, sid, lead): the rows of signatures that two or more texts have, each once, with the smallest text of the signature.
+    """(sig, sid) -> (sig, sid, place, leads): the rows of signatures that two or more texts have, each once, numbered from 0, with the first few texts before them.
 
     Rows come sorted by signature and text, and are passed on one by one, so a
     signature of any number of texts takes no memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, lead, sid, alone = None, None, None, True
+        sig, sid, place, leads = None, None, 0, []
         for b in batches:
             out: list = []
             # Nearly all rows are alone; a batch's ends may have company in the next one.
@@ -180,19 +172,22 @@ def shared(rows: DataFrame) -> DataFrame:
             some = b.filter(pa.array(np.concatenate([[True], same]) | np.concatenate([same, [True]]))) if b.num_rows else b
             for s, x in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
                 if s != sig:
-                    sig, lead, alone = s, x, True
+                    sig, place, leads = s, 0, [x]
                 elif x != sid:
-                    if alone:
-                        out.append((sig, lead, lead))
-                        alone = False
-                    out.append((sig, x, lead))
+                    if place == 0:
+                        out.append((sig, sid, 0, []))
+                    place += 1
+                    out.append((sig, x, place, list(leads)))
+                    if len(leads) < LEADS:
+                        leads.append(x)
                 sid = x
             if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["sig", "sid", "lead"])
+                cols = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["sig", "sid", "place", "leads"])
 
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.binary())]
     n = shuffle_partitions(rows.sparkSession)
-    return rows.repartition(n, "sig").sortWithinPartitions("sig", "sid").mapInArrow(run, "sig long, sid binary, lead binary")
+    return rows.repartition(n, "sig").sortWithinPartitions("sig", "sid").mapInArrow(run, "sig long, sid binary, place long, leads array<binary>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -222,7 +217,7 @@ def chances(rows: list[tuple], percent: int, split: int | None = None) -> Iterat
     root = np.array([code.setdefault(r[1], len(code)) for r in rows], np.int64)
     width = min(len(r[3]) for r in rows)
     # A histogram of more buckets folds into the shortest; full buckets tell nothing.
-    hist = np.stack([np.frombuffer(r[3], np.uint8).reshape(-1, width).sum(axis=0, dtype=np.int32) for r in rows])
+    hist = np.stack([np.frombuffer(r[3], np.uint8).reshape(-1, width).sum(axis=0, dtype=np.int16) for r in rows])
     full = hist >= 255
     every = np.arange(len(rows))
     for i in range(len(rows) if split is None else split):
@@ -285,15 +280,17 @@ def _pairs(got: set) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.binary()), pa.array([b for _, b in got], pa.binary())], names=["u", "v"])
 
 
-def _sketches(texts: DataFrame, shingle: int) -> DataFrame:
-    """sid, n and histogram of every text."""
+def sketched(texts: DataFrame, shingle: int) -> DataFrame:
+    """sid and text with n and the histogram of the text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t, shingle) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([histogram(s).tobytes() for s in sets], pa.binary())], names=["sid", "n", "hist"])
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                sets = [shingles(t, shingle) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array([histogram(s).tobytes() for s in sets], pa.binary())], names=["sid", "text", "n", "hist"])
 
-    return texts.select("sid", "text").mapInArrow(run, "sid binary, n long, hist binary")
+    return texts.select("sid", "text").mapInArrow(run, "sid binary, text binary, n long, hist binary")
 
 
 def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -314,31 +311,37 @@ def classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, gro
     """
     spark = docs.sparkSession
     with scratch(spark, "jaccard") as at:
-        sizes(docs, shingle).write.parquet(f"{at}/marks")
+        filed(docs, shingle, (percent, growth, coarse)).write.parquet(f"{at}/filed")
+        sets = spark.read.parquet(f"{at}/filed")
+        size = sets.groupBy("sid").agg(F.max("n").alias("n"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(docs).alias("key"), text_id(F.col("text")).alias("sid")).write.parquet(f"{at}/marks")
         marks = spark.read.parquet(f"{at}/marks")
         # One row speaks for all copies of a text.
         row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
-        marks.filter("n > 0").groupBy("sid").agg(F.min(row).alias("first")).write.parquet(f"{at}/firsts")
+        marks.groupBy("sid").agg(F.min(row).alias("first")).join(size, "sid").write.parquet(f"{at}/firsts")
         firsts = spark.read.parquet(f"{at}/firsts")
-        shared(filed(docs, shingle, (percent, growth, coarse))).write.parquet(f"{at}/shared")
+        shared(sets.select(F.explode("sigs").alias("sig"), "sid")).write.parquet(f"{at}/shared")
         rows = spark.read.parquet(f"{at}/shared")
-        wanted = firsts.join(rows.select("sid").distinct(), "sid", "left_semi").select("sid", F.col("first.key").alias("key"))
+        wanted = cut(firsts.join(rows.select("sid").distinct(), "sid", "left_semi").select("sid", F.col("first.key").alias("key")))
         keyed = docs.select(row_key(docs).alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-        keyed.join(wanted, "key").dropDuplicates(["key"]).select("sid", "text").write.parquet(f"{at}/texts")
+        sketched(those_of(keyed, wanted, "key").dropDuplicates(["key"]), shingle).write.parquet(f"{at}/texts")
         texts = spark.read.parquet(f"{at}/texts")
-        lead = rows.filter("sid <> lead").select(F.col("lead").alias("u"), F.col("sid").alias("v")).distinct()
+        lead = rows.select(F.col("sid").alias("v"), F.explode("leads").alias("u")).select("u", "v").distinct()
         links = cut(verified(lead, texts, shingle, percent))
-        # Only signatures that still have more than one component can hold another link.
-        rooted = cut(_rooted(rows.select("sig", "sid"), links))
+        # Signatures of few texts are done with; of the others, those that still have more than one component can hold another link.
+        many = rows.filter(F.col("place") == LEADS + 1).select("sig")
+        rooted = cut(_rooted(rows.select("sig", "sid").join(many, "sig", "left_semi"), links))
         mixed_sigs = rooted.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("sig")
-        left = rooted.join(mixed_sigs, "sig", "left_semi").join(_sketches(texts, shingle), "sid")
-        pairs = met(left.select("sig", "sid", "root", "n", "hist"), percent, block)
+        left = rooted.join(mixed_sigs, "sig", "left_semi")
+        pairs = met(left.join(texts.select("sid", "n", "hist"), "sid").select("sig", "sid", "root", "n", "hist"), percent, block)
         done = lead.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        more = verified(cut(pairs.join(done, ["u", "v"], "left_anti")), texts, shingle, percent)
+        pairs = cut(pairs.join(done, ["u", "v"], "left_anti"))
+        ends = cut(pairs.select(F.col("u").alias("sid")).union(pairs.select(F.col("v").alias("sid"))).distinct())
+        more = verified(pairs, those_of(texts.select("sid", "text"), ends, "sid"), shingle, percent)
         named = _rooted(firsts, links.union(cut(more)))
         best = named.groupBy("root").agg(F.min("first").alias("best"))
-        groups = cut(named.select("sid", "root").join(best, "root").select("sid", F.col("best.doc_id").alias("component_id")))
-        out = marks.select("doc_id", "sid", "n").join(groups, "sid", "left")
+        groups = cut(named.select("sid", "root", "n").join(best, "root").select("sid", "n", F.col("best.doc_id").alias("component_id")))
+        out = marks.select("doc_id", "sid").join(groups, "sid")
         return cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
