@@ -9,6 +9,7 @@ integers. Missing is NaN inside a slab. Arrays are sessions x names.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -325,6 +326,14 @@ class Slabs:
         """(strategy, t_idx, x), the mean next return of the upper half by each feature less that of all."""
         return self._by_session(names, _next_return, _spreads, False, "strategy string, t_idx int, x double")
 
+    def all_spreads(self, names: tuple[str, ...]) -> DataFrame:
+        """``spreads`` of many features, a few in each pass; the rows found are kept, a pass's files are not."""
+        passes = []
+        for i in range(0, len(names), PASS):
+            passes.append(cut(self.spreads(names[i : i + PASS])))
+            tidy(self.rows.sparkSession)
+        return reduce(DataFrame.unionByName, passes)
+
     def _by_session(self, names: tuple[str, ...], target: Callable, found: Callable, totals: bool, schema: str) -> DataFrame:
         blocks = [names[i : i + BLOCK] for i in range(0, len(names), BLOCK)]
         parts = self.rows.mapInArrow(_dealt(self.n_t, self.mkt, blocks, target, totals), "t_idx int, blk int, n int, y binary, x binary")

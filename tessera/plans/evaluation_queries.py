@@ -367,6 +367,18 @@ def _select_test(c: Chain) -> str:
     return c.select(f"select part, n, {rounded('t')} from o")
 
 
+def on_spreads(text: Text) -> Callable[[SparkSession, str], DataFrame]:
+    """A text on ``variants`` whose relation ``var`` comes from slabs: no dense panel is written, a row per feature and session is."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with scratch(spark, "slabs") as at:
+            return to_spark(text, var=Slabs(spark, sf_dir, at).all_spreads(PRICE_FEATURES))(spark, sf_dir)
+
+    return run
+
+
+ON_SPREADS = ("effective_trials", "correlation_pairs", "pbo_cscv", "archive_elites", "novelty_knn", "null_percentiles", "experiment_bar", "walk_forward", "ensemble_select_test", "behaviour_duplicates")
+
 #: Constructions of the power study: names on the long and on the short side, sessions held.
 DESIGNS = (("top_25_long", 25, 0, 5), ("top_50_long", 50, 0, 5), ("top_100_long", 100, 0, 21), ("decile_long_short", 10, 10, 5), ("quarter_long_short", 25, 25, 21))
 
@@ -446,3 +458,6 @@ def _overlap(c: Chain) -> str:
     E.score_momentum(c)
     E.top_k(c, 25, 21)
     return c.select("select a.blk, count(*) as n, count(b.symbol) as kept from w a left join w b on b.symbol = a.symbol and b.blk = a.blk - 1 group by a.blk")
+
+
+QUERIES |= {name: on_spreads(TEXTS[name]) for name in ON_SPREADS}
