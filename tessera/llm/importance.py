@@ -64,11 +64,16 @@ def buckets(piece: bytes, own: int, ngram: int = NGRAM, n_buckets: int = BUCKETS
         # The checksum of a run goes on from that of the run without its last word.
         crc = [zlib.crc32(w, c) for c, w in zip(crc, spaced[n:], strict=False)]
         out.append(np.array(crc[:mine], np.uint32))
-    return mine, (np.concatenate(out) % n_buckets).astype(np.uint32)
+    return mine, (np.concatenate(out) % n_buckets).astype(_ids(n_buckets))
+
+
+def _ids(n_buckets: int) -> type:
+    """The smallest type that holds a bucket's number."""
+    return np.uint16 if n_buckets <= 1 << 16 else np.uint32
 
 
 def hashed(texts: DataFrame, keys: str, size: int = CHUNK, ngram: int = NGRAM, n_buckets: int = BUCKETS) -> DataFrame:
-    """Rows (the columns of ``keys``, a DDL, then text as binary) -> one row a chunk: keys, n_words, bucket ids (32-bit, packed)."""
+    """Rows (the columns of ``keys``, a DDL, then text as binary) -> one row a chunk: keys, n_words, the packed ids of its buckets."""
     names = [k.split()[0] for k in keys.split(", ")]
     out = [*names, "n_words", "ids"]
 
@@ -107,9 +112,9 @@ def bucket_counts(parts: DataFrame, n_buckets: int = BUCKETS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_buckets, np.int64)
-        for b in batches:
+        for b in _slices(batches):
             for ids in b.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(ids, np.uint32), minlength=n_buckets)
+                total += np.bincount(np.frombuffer(ids, _ids(n_buckets)), minlength=n_buckets)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], names=["bucket", "c"])
 
@@ -149,7 +154,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, seed: i
 
         def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in _slices(batches):
-                ids = [np.frombuffer(x, np.uint32) for x in b.column("ids").to_pylist()]
+                ids = [np.frombuffer(x, _ids(n_buckets)) for x in b.column("ids").to_pylist()]
                 cols = [b.column(k) for k in ("long", "nth", "doc_id", "n_words")]
                 cols += [pa.array([len(x) for x in ids], pa.int64()), pa.array([int(gain[x].sum()) for x in ids], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["long", "nth", "doc_id", "n_words", "n_features", "gain"])
