@@ -76,7 +76,7 @@ class FamilyBandit:
 
 
 def score_population(spark: SparkSession, sf_dir: str, trees: dict[str, X.Node], horizon: int = 5) -> dict[str, float]:
-    """Mean information coefficient of every tree, found in one plan for all of them."""
+    """Mean information coefficient of every tree, found in one plan for all of them; 0 for one that has none in any session."""
     c = Chain(Dialect(sf_dir))
     price_features(c)
     X.compile_population(c, "feats", trees)
@@ -88,7 +88,8 @@ def score_population(spark: SparkSession, sf_dir: str, trees: dict[str, X.Node],
     E.ic_series(c, "long_scores", "x", "pic", h=horizon, key="id")
     got = spark.sql(c.select("select g, avg(ic) as ic from pic group by g")).collect()
     spark.catalog.dropTempView(view)
-    return {r["g"]: float(r["ic"]) if r["ic"] is not None else 0.0 for r in got}
+    found = {r["g"]: r["ic"] for r in got}
+    return {k: float(found.get(k) or 0.0) for k in trees}
 
 
 @dataclass

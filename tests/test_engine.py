@@ -218,8 +218,8 @@ def test_search_finds_a_planted_signal():
     assert again.history == ev.history
 
 
-def test_population_is_scored_in_one_plan(spark, small):
-    got = search.score_population(spark, small, {"s_a": X.feat("mom_5"), "s_b": X.un("neg", X.feat("mom_5"))})
+def test_population_is_scored_in_one_plan(spark):
+    got = search.score_population(spark, "/root/testdata/sf0.01", {"s_a": X.feat("mom_5"), "s_b": X.un("neg", X.feat("mom_5"))})
     assert got["s_a"] == pytest.approx(-got["s_b"], abs=1e-9)
 
 
@@ -395,12 +395,13 @@ def test_multiple_testing_counts_the_whole_registry(spark, small):
     assert t["cry_trend"] == pytest.approx(own.mean() / own.std() * len(own) ** 0.5, abs=1e-3)
 
 
-def test_every_price_feature_is_scored(spark, small):
+def test_every_price_feature_is_scored(spark):
+    big = "/root/testdata/sf0.01"
     from tessera.operators.features import PRICE_FEATURES, family_of
 
-    ic = catalog.queries()["feature_ic_table"](spark, small).toPandas().set_index("feature")["mean_ic"].abs()
+    ic = catalog.queries()["feature_ic_table"](spark, big).toPandas().set_index("feature")["mean_ic"].abs()
     assert len(PRICE_FEATURES) == 40 and set(ic.index) == set(PRICE_FEATURES)
-    got = {r["family"]: (r["n"], r["avg_ic"], r["max_ic"]) for r in catalog.queries()["family_ic_rollup"](spark, small).collect()}
+    got = {r["family"]: (r["n"], r["avg_ic"], r["max_ic"]) for r in catalog.queries()["family_ic_rollup"](spark, big).collect()}
     want = {f: (len(x), pytest.approx(x.mean(), abs=3e-6), pytest.approx(x.max(), abs=3e-6)) for f, x in ic.groupby(family_of)}
     assert got == want and {"oscillator", "market_relative"} <= set(got)
-    assert catalog.queries()["effective_trials"](spark, small).first()["m"] == pytest.approx(40, abs=1e-4)
+    assert catalog.queries()["effective_trials"](spark, big).first()["m"] == pytest.approx(40, abs=1e-4)
