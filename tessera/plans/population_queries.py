@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
 from tessera.functions import series as S
 from tessera.operators import evaluation as E
 from tessera.operators import expression as X
 from tessera.operators import population as N
+from tessera.operators import slab_scores
 from tessera.operators.features import FAMILIES, PRICE_FEATURES, family_of, price_features
 from tessera.operators.genome import Breeder, Genome, sample
+from tessera.operators.slabs import Slabs
+from tessera.session import scratch
 from tessera.sources import panel as P
 
-from .sql import Chain, Text, rounded
+from .sql import Chain, Dialect, Text, rounded, to_spark
 
 TEXTS: dict[str, Text] = {}
 #: Genomes of the population, of the null sample, and of each segment's search.
@@ -39,6 +47,10 @@ def population() -> list[Genome]:
     return sample(breeder(), POPULATION, seed=5)
 
 
+def yardstick() -> list[Genome]:
+    return sample(breeder(), NULLS, seed=101)
+
+
 @query("population_fitness")
 def _fitness(c: Chain) -> str:
     """Thirty genomes of mixed parameters over folds: their figures, and fitness by every mode and parsimony."""
@@ -51,7 +63,7 @@ def _fitness(c: Chain) -> str:
 @query("null_model")
 def _null(c: Chain) -> str:
     """Random genomes as the yardstick: for each candidate the share of them below it, and the yardstick's own high marks."""
-    nulls = sample(breeder(), NULLS, seed=101)
+    nulls = yardstick()
     price_features(c)
     N.evaluate(c, "feats", nulls + [g for g in population() if g.id not in {n.id for n in nulls}])
     N.fitness(c)
@@ -170,3 +182,40 @@ def _survival(c: Chain) -> str:
     c.add("fam_s", "select r.family, count(*) as seen, sum(case when s.mean_alpha > 1e-9 then 1 else 0 end) as survived from reads r join cvs s on s.strategy = r.strategy group by r.family")
     c.add("o", "select f.family, coalesce(s.seen, 0) as seen, cast(coalesce(s.survived, 0) as bigint) as survived, (1e0 + coalesce(s.survived, 0)) / (2e0 + coalesce(s.seen, 0)) as belief from fams f left join fam_s s on s.family = f.family")
     return c.select(f"select family, seen, survived, {rounded('belief')} from o")
+
+
+# ---- from slabs -------------------------------------------------------------------
+
+
+def rebalances(spark: SparkSession, sf_dir: str, text: Text, sessions: DataFrame) -> dict[str, dict[int, tuple[int, int]]]:
+    """For every tree of a text, session -> (names, sessions until the next rebalance row) at most; from the text's own ``reb``, which reads sessions alone."""
+    c, view = Chain(Dialect(sf_dir)), f"sessions_{uuid.uuid4().hex[:12]}"
+    sessions.createOrReplaceTempView(view)
+    c.add("sessions", f"select * from {view}")
+    text(c)
+    tree = "n.id" if "named" in c.parts else "r.strategy"
+    named = "join named n on n.strategy = r.strategy" if "named" in c.parts else ""
+    out: dict[str, dict[int, tuple[int, int]]] = {}
+    for r in spark.sql(c.select(f"select {tree} as id, r.t_src, max(r.k) as k, max(r.rb) as rb from reb r {named} group by 1, 2")).collect():
+        out.setdefault(r["id"], {})[r["t_src"]] = r["k"], r["rb"]
+    spark.catalog.dropTempView(view)
+    return out
+
+
+def from_slabs(text: Text, genomes: Callable[[], list[Genome]]) -> Callable[[SparkSession, str], DataFrame]:
+    """A text on a population whose scores come from slabs: no dense panel is written, the names that books can hold are."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with scratch(spark, "slabs") as at:
+            s = Slabs(spark, sf_dir, f"{at}/bars")
+            wanted = rebalances(spark, sf_dir, text, s.sessions)
+            trees = {g.id: g.tree for g in genomes() if g.id in wanted}
+            return to_spark(text, **slab_scores.books(s, at, trees, wanted))(spark, sf_dir)
+
+    return run
+
+
+GENOMES = {
+    "family_survival": population,
+}
+QUERIES = {name: from_slabs(TEXTS[name], genomes) for name, genomes in GENOMES.items()}
