@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.session import cut, tidy
+from tessera.session import cut, drop, tidy
 
 from . import expression as X
 from .slabs import BARS, BLOCK, Slab, Slabs, at_least, below, deviation, key, lag, mean, spread, squeezed, unsqueezed, coded
@@ -231,8 +231,10 @@ def _known(s: Slabs, rows: DataFrame, nodes: list[X.Node], moments: dict[str, tu
 def books(s: Slabs, at: str, trees: dict[str, X.Node], wanted: dict[str, dict[int, tuple[int, int]]]) -> dict[str, DataFrame]:
     """What a population's books and days read: ``lng`` and ``rets`` of the names that can be picked, ``bench``, ``sessions``.
 
-    ``wanted``: for every tree, session -> (names, sessions until the next rebalance row) at most. Files go under ``at``.
+    ``wanted``: for every tree, session -> (names, sessions until the next rebalance row) at most. Files go under ``at``;
+    slabs that were written again with their ranks go, those of ``s`` stay.
     """
+    last = None
     spark, trees = s.rows.sparkSession, {k: X.simplify(t) for k, t in trees.items()}
     rows = s.rows.withColumn("ranks", F.lit(None).cast(_RANKS))
     moments: dict[str, tuple] = {}
@@ -249,6 +251,9 @@ def books(s: Slabs, at: str, trees: dict[str, X.Node], wanted: dict[str, dict[in
             del pieces, back, on
             rows = spark.read.parquet(f"{at}/ranks{level}-{i}")
             tidy(spark)
+            if last:
+                drop(spark, last)
+            last = f"{at}/ranks{level}-{i}"
     found = rows.mapInArrow(_best(s.n_t, s.mkt, trees, moments, wanted), "strategy string, t_idx int, symbol long, y double, n long, r array<double>, ok array<boolean>")
     ranked = F.col("strategy").isin([k for k, t in trees.items() if t.op == "rank"])
     group = W.partitionBy("strategy", "t_idx")

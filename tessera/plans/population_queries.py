@@ -216,6 +216,7 @@ def from_slabs(text: Text, genomes: Callable[[], list[Genome]]) -> Callable[[Spa
 
 
 GENOMES = {
+    "population_fitness": population,
     "family_survival": population,
 }
 QUERIES = {name: from_slabs(TEXTS[name], genomes) for name, genomes in GENOMES.items()}
