@@ -125,7 +125,7 @@ def unpack(batches: Iterator[pa.RecordBatch], n_t: int, mkt: np.ndarray) -> Iter
 
 
 def _moments(n_t: int, mkt: np.ndarray, nodes: list[X.Node], known: dict[str, tuple]):
-    """Of every session and operator: number, mean and squared deviations of a slab's values."""
+    """Of every session and operator: number, mean, squared deviations, least and greatest of a slab's values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in unpack(batches, n_t, mkt):
@@ -135,7 +135,8 @@ def _moments(n_t: int, mkt: np.ndarray, nodes: list[X.Node], known: dict[str, tu
                 t = np.flatnonzero(has)
                 m = np.nansum(x[t], axis=1) / has[t]
                 d = np.nansum((x[t] - m[:, None]) ** 2, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array([n.canonical()] * len(t), pa.string()), pa.array(t.astype(np.int32)), pa.array(has[t]), pa.array(m), pa.array(d)], ["id", "t_idx", "n", "m", "d"])
+                lo, hi = np.fmin.reduce(x[t], axis=1), np.fmax.reduce(x[t], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([n.canonical()] * len(t), pa.string()), pa.array(t.astype(np.int32)), *map(pa.array, (has[t], m, d, lo, hi))], ["id", "t_idx", "n", "m", "d", "lo", "hi"])
 
     return run
 
@@ -218,23 +219,28 @@ def _best(n_t: int, mkt: np.ndarray, trees: dict[str, X.Node], moments: dict[str
 
 
 def _known(s: Slabs, rows: DataFrame, nodes: list[X.Node], moments: dict[str, tuple]) -> dict[str, tuple]:
-    """Mean and population deviation of every session for each of ``nodes``."""
-    part = cut(rows.mapInArrow(_moments(s.n_t, s.mkt, nodes, moments), "id string, t_idx int, n long, m double, d double"))
+    """Mean and population deviation of every session for each of ``nodes``.
+
+    Where all names are equal, what the mean's last bit leaves of them counts
+    as much as in the SQL, so it is the mean of values added one by one.
+    """
+    part = cut(rows.mapInArrow(_moments(s.n_t, s.mkt, nodes, moments), "id string, t_idx int, n long, m double, d double, lo double, hi double"))
     whole = part.groupBy("id", "t_idx").agg(F.sum("n").alias("all"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mu"))
-    dev = part.join(whole, ["id", "t_idx"]).groupBy("id", "t_idx").agg(F.first("mu").alias("mu"), F.sqrt(F.sum(F.col("d") + F.col("n") * (F.col("m") - F.col("mu")) ** 2) / F.first("all")).alias("sd"))
+    dev = part.join(whole, ["id", "t_idx"]).groupBy("id", "t_idx").agg(F.first("mu").alias("mu"), F.sqrt(F.sum(F.col("d") + F.col("n") * (F.col("m") - F.col("mu")) ** 2) / F.first("all")).alias("sd"), F.first("all").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     out = {n.canonical(): (np.full(s.n_t, np.nan), np.full(s.n_t, np.nan)) for n in nodes}
     for r in dev.collect():
-        out[r["id"]][0][r["t_idx"]], out[r["id"]][1][r["t_idx"]] = r["mu"], r["sd"]
+        even = r["lo"] == r["hi"]
+        out[r["id"]][0][r["t_idx"]] = np.cumsum(np.full(r["n"], r["lo"]))[-1] / r["n"] if even else r["mu"]
+        out[r["id"]][1][r["t_idx"]] = 0.0 if even else r["sd"]
     return out
 
 
-def books(s: Slabs, at: str, trees: dict[str, X.Node], wanted: dict[str, dict[int, tuple[int, int]]]) -> dict[str, DataFrame]:
+def books(s: Slabs, at: str, trees: dict[str, X.Node], wanted: dict[str, dict[int, tuple[int, int]]], last: str | None = None) -> dict[str, DataFrame]:
     """What a population's books and days read: ``lng`` and ``rets`` of the names that can be picked, ``bench``, ``sessions``.
 
     ``wanted``: for every tree, session -> (names, sessions until the next rebalance row) at most. Files go under ``at``;
-    slabs that were written again with their ranks go, those of ``s`` stay.
+    slabs that were written again with their ranks go, those of ``s`` only if ``last`` names their path.
     """
-    last = None
     spark, trees = s.rows.sparkSession, {k: X.simplify(t) for k, t in trees.items()}
     rows = s.rows.withColumn("ranks", F.lit(None).cast(_RANKS))
     moments: dict[str, tuple] = {}

@@ -210,13 +210,14 @@ def from_slabs(text: Text, genomes: Callable[[], list[Genome]]) -> Callable[[Spa
             s = Slabs(spark, sf_dir, f"{at}/bars")
             wanted = rebalances(spark, sf_dir, text, s.sessions)
             trees = {g.id: g.tree for g in genomes() if g.id in wanted}
-            return to_spark(text, **slab_scores.books(s, at, trees, wanted))(spark, sf_dir)
+            return to_spark(text, **slab_scores.books(s, at, trees, wanted, f"{at}/bars"))(spark, sf_dir)
 
     return run
 
 
 GENOMES = {
     "population_fitness": population,
+    "null_model": lambda: yardstick() + population(),
     "family_survival": population,
 }
 QUERIES = {name: from_slabs(TEXTS[name], genomes) for name, genomes in GENOMES.items()}

@@ -24,7 +24,7 @@ TREES = [
     X.ite(X.bi("sub", A, V), X.un("sigmoid", B), X.un("neg", X.un("demean", RANK))),
     X.bi("div", X.un("log1p", A), X.un("sqrt_abs", X.un("square", X.bi("mul", B, V)))),
     X.un("rank", X.const(1.0)),  # all tied
-    X.un("sign", X.un("abs", A)),
+    X.bi("div", X.un("zscore", X.bi("max", X.const(2.93), X.feat("rev_21"))), X.un("square", X.feat("pct_52w_range"))),  # nearly all equal
 ]
 GENOMES = [Genome(t, k, rb, how) for t, k, rb, how in zip(TREES, (10, 15, 20, 25, 10, 15, 20, 10, 50), (1, 2, 5, 10, 21, 5, 2, 5, 10), ("equal", "score") * 5, strict=False)]
 
