@@ -218,6 +218,7 @@ def from_slabs(text: Text, genomes: Callable[[], list[Genome]]) -> Callable[[Spa
 GENOMES = {
     "population_fitness": population,
     "null_model": lambda: yardstick() + population(),
+    "honest_walk_forward": lambda: [g for gs in searches().values() for g in gs],
     "family_survival": population,
 }
 QUERIES = {name: from_slabs(TEXTS[name], genomes) for name, genomes in GENOMES.items()}
