@@ -71,10 +71,12 @@ def _run(text: Text):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Price features from slabs, peers from tiles, the rest as joins of equal sessions."""
         with scratch(spark, "slabs") as at:
-            got = Slabs(spark, sf_dir, at).coefficients(V.IC_HORIZON, V.LEAST_IC_NAMES)
+            slabs = Slabs(spark, sf_dir, at)
+            got = slabs.coefficients(V.IC_HORIZON, V.LEAST_IC_NAMES)
+            po = X.peer_blocks(slabs).features()
         fic = got.filter("t_idx >= 0").selectExpr("feature as g", "t_idx", "ic", "n")
         fvar = got.filter("t_idx < 0").selectExpr("feature", "n as seen", "hi > lo as varies")
-        return to_spark(text, fic=fic, fvar=fvar, ptop=X.peer_table(spark, sf_dir))(spark, sf_dir)
+        return to_spark(text, fic=fic, fvar=fvar, po=po)(spark, sf_dir)
 
     return run
 
