@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from tessera.functions import series as S
 from tessera.operators.features import FAMILIES, PRICE_FEATURES, ema, family_of, price_features
 from tessera.operators.rolling import roll_apply
+from tessera.operators.slabs import kept_slabs
 from tessera.sources import panel as P
 
-from .sql import Chain, Text, rounded, to_spark
+from .sql import Chain, Text, rounded, rounded_each, to_spark
 
 TEXTS: dict[str, Text] = {}
 
@@ -218,9 +219,20 @@ def _family(family: str) -> Text:
     return text
 
 
+def from_slabs(names: tuple[str, ...], digits: int):
+    """The same columns unpacked from slabs; no dense panel is sorted, joined or written."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return kept_slabs(spark, sf_dir).columns(names).selectExpr("symbol", "t_idx", *rounded_each(*names, digits=digits))
+
+    return run
+
+
+QUERIES = {"ema_macd": from_slabs(("macd_hist",), 6)}
 for _name in FAMILIES:
-    if any(family_of(n) == _name for n in PRICE_FEATURES):
+    if _names := tuple(n for n in PRICE_FEATURES if family_of(n) == _name):
         TEXTS[f"features_{_name}"] = _family(_name)
+        QUERIES[f"features_{_name}"] = from_slabs(_names, 5)
 
 
 @query("broadcast_macro")
@@ -271,4 +283,4 @@ def roll_quantile_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_spark(text, rolled=rolled)(spark, sf_dir)
 
 
-QUERIES = {"roll_quantile_range": roll_quantile_range}
+QUERIES["roll_quantile_range"] = roll_quantile_range
