@@ -3,6 +3,7 @@
 import contextlib
 import io
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -32,3 +33,15 @@ def test_quantiles_of_many_windows_at_once(monkeypatch):
     want[1:] = np.nanquantile(x[1:], 0.9, axis=1) - np.nanquantile(x[1:], 0.1, axis=1)
     monkeypatch.setattr(np, "nanquantile", None)  # it takes windows one by one
     np.testing.assert_allclose(series_queries.quantile_range(x, 1), want, atol=1e-12)
+
+
+@pytest.mark.parametrize("name", ["features_reversal", "features_volume"])
+def test_lines_without_a_name(spark, small, tmp_path, name):
+    con = duckdb.connect()
+    con.execute(f"create table lineitem as select * replace (case when l_orderkey % 9 > 0 then l_suppkey end as l_suppkey) from '{small}/lineitem.parquet'")
+    con.execute(f"copy lineitem to '{tmp_path}/lineitem.parquet' (format parquet)")
+    ours = catalog.queries()[name](spark, str(tmp_path)).toPandas()
+    theirs = con.execute(catalog.oracles()[name]).df()[list(ours.columns)]
+    assert ours["symbol"].isna().any() and len(ours) == len(theirs)
+    a, b = (x.sort_values(["symbol", "t_idx"]).to_numpy(float) for x in (ours, theirs))
+    np.testing.assert_allclose(a, b, atol=1e-9)
