@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions import series as S
 from tessera.operators import evaluation as E
 from tessera.operators.features import FAMILIES, PRICE_FEATURES, family_of
 from tessera.operators.slabs import Slabs
-from tessera.session import scratch
+from tessera.session import cut, scratch, tidy
 
 from . import evaluation_queries as V
 from . import feature_queries as X
@@ -38,9 +40,10 @@ def others(c: Chain) -> str:
 def all_coefficients(c: Chain) -> str:
     """Relation ``ica``: every feature's mean coefficient and t, or why it has none: constant across names, or too few sessions."""
     V.feature_ic(c)
-    others(c)
-    V.long_features(c, "ofw", OTHERS, "symbol, t_idx, tradable", "feature", "ol")
-    E.ic_series(c, "ol", "x", "oic", h=V.IC_HORIZON, key="feature")
+    if "oic" not in c.parts:  # given with ``ospread`` from slabs, they read no panel, which must not be written then
+        others(c)
+        V.long_features(c, "ofw", OTHERS, "symbol, t_idx, tradable", "feature", "ol")
+        E.ic_series(c, "ol", "x", "oic", h=V.IC_HORIZON, key="feature")
     c.add("oic_m", f"select g as feature, avg(ic) as mean_ic, avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(count(*) / {V.IC_HORIZON}e0) as t_stat, count(*) as n from oic group by g")
     c.add("ospread", f"select feature, t_idx, case when stddev_pop(x) / ({S.at_least('avg(abs(x))')}) < {FLAT} then 1e0 else 0e0 end as flat from ol where tradable and x is not null group by feature, t_idx having count(*) >= 2")
     c.add("oflat", "select feature, avg(flat) as flat from ospread group by feature")
@@ -67,16 +70,43 @@ def _families(c: Chain) -> str:
 TEXTS |= {"feature_ic_all": _table, "family_ic_all": _families}
 
 
+def macro_from(slabs: Slabs):
+    """A text of the macro features' rows for ``ospread``; the raw series are the slabs' mean closes."""
+
+    def text(c: Chain) -> str:
+        c.add("mraw", f"select q.k, {c.d.add_days('s.date', '-(q.k % 3)')} as day, q.v from closes q join sessions s on s.t_idx = q.t_idx where (s.t_idx + q.k) % 5 <> 0")
+        X.macro_features(c)
+        pairs = ", ".join(f"'m_{n}', round(m_{n}, 8)" for n in X.MACRO_FEATURES)
+        c.add("ml", f"select t_idx, feature, x from mf lateral view stack({len(X.MACRO_FEATURES)}, {pairs}) __s as feature, x")
+        return c.select("select l.feature, l.t_idx, cast(null as double) as ic, cast(null as bigint) as n, 1e0 as flat from ml l join held h on h.t_idx = l.t_idx where l.x is not null and h.kn >= 2")
+
+    return to_spark(text, closes=cut(slabs.mean_closes(len(X.MACRO_SERIES))), sessions=slabs.sessions, held=slabs.sums)
+
+
+#: Features of filings and moving averages that travel to their sessions in one pass.
+OF_NAMES = ("macd_hist", *X.FUNDAMENTALS, "f_days_since_filing")
+AT_ONCE = 8
+
+
 def _run(text: Text):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """Price features from slabs, peers from tiles, the rest as joins of equal sessions."""
+        """All from slabs: filings travel to them as steps, peers' coefficients are formed in their pieces, macro series are sums over slabs."""
+        rules = (V.IC_HORIZON, V.LEAST_IC_NAMES)
         with scratch(spark, "slabs") as at:
             slabs = Slabs(spark, sf_dir, at)
-            got = slabs.coefficients(V.IC_HORIZON, V.LEAST_IC_NAMES)
-            po = X.peer_blocks(slabs).features()
+            got = slabs.coefficients(*rules)
+            parts = [cut(X.peer_blocks(slabs).judged(*rules, float(FLAT)))]
+            tidy(spark)
+            filed = X.filings(slabs, sf_dir)
+            for i in range(0, len(OF_NAMES), AT_ONCE):
+                parts.append(cut(filed.judged(OF_NAMES[i : i + AT_ONCE], *rules, float(FLAT))))
+                tidy(spark)
+            parts.append(cut(macro_from(slabs)(spark, sf_dir)))
+        others = reduce(DataFrame.unionByName, parts)
         fic = got.filter("t_idx >= 0").selectExpr("feature as g", "t_idx", "ic", "n")
         fvar = got.filter("t_idx < 0").selectExpr("feature", "n as seen", "hi > lo as varies")
-        return to_spark(text, fic=fic, fvar=fvar, po=po)(spark, sf_dir)
+        oic = others.filter("ic is not null").selectExpr("feature as g", "t_idx", "ic", "n")
+        return to_spark(text, fic=fic, fvar=fvar, oic=oic, ospread=others.select("feature", "t_idx", "flat"))(spark, sf_dir)
 
     return run
 
