@@ -14,6 +14,7 @@ from tessera.functions import metrics
 from tessera.operators import evaluation as E
 from tessera.operators import desk, governance, search, trading
 from tessera.operators import expression as X
+from tessera.operators.features import PRICE_FEATURES
 from tessera.operators.slabs import Slabs
 from tessera.session import cut, scratch
 from tessera.sources import panel, stores, warehouse
@@ -175,13 +176,9 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decorrelated_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The strategies with the best t statistic that are not too much like a better one: pairs in Spark, the pick on the driver."""
-
-    def text(c: sql.Chain) -> str:
-        evaluation_queries.variants(c)
-        return c.select("select strategy, t_idx, x from var")
-
-    curves = cut(sql.to_spark(text)(spark, sf_dir))
+    """The strategies with the best t statistic that are not too much like a better one: curves from slabs, pairs in Spark, the pick on the driver."""
+    with scratch(spark, "slabs") as at:
+        curves = Slabs(spark, sf_dir, at).all_spreads(PRICE_FEATURES)
     t = {r["strategy"]: r["t"] or 0.0 for r in curves.groupBy("strategy").agg((F.avg("x") / F.nullif(F.stddev_samp("x"), F.lit(0.0)) * F.sqrt(F.count("x"))).alias("t")).collect()}
     rho = {(r["a"], r["b"]): r["rho"] for r in governance.pair_correlations(curves).collect()}
     alive = governance.distinct_behaviour({s: len(s) for s in t}, rho)
