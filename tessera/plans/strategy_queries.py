@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame, SparkSession
+
 from tessera.functions import series as S
 from tessera.operators import evaluation as E
+from tessera.operators import slab_signals as G
+from tessera.operators.slabs import Slabs
+from tessera.session import cut, scratch, tidy
 from tessera.sources import panel as P
 
-from .sql import Chain, Text, rounded
+from .sql import Chain, Text, rounded, to_spark
 
 TEXTS: dict[str, Text] = {}
 COST_BPS = {"stocks": 2.6, "crypto": 10.0, "forex": 2.0, "options": 50.0}
@@ -307,6 +313,98 @@ def _tests(c: Chain) -> str:
 TEXTS |= {"strategy_stats_table": _table, "multiple_testing_summary": _tests}
 
 
+# ---- from slabs -------------------------------------------------------------
+
+#: Ranked strategies: sessions held, and the stages of the signal as forms over a slab.
+FORMS: dict[str, tuple[int, dict[str, G.Form]]] = {
+    "stk_lowvol": (21, {"v": G.volatility}),
+    "stk_mom121": (21, {"m": G.moved(252, 21)}),
+    "stk_strev": (21, {"m": G.moved(21)}),
+    "stk_ltrev": (63, {"m": G.moved(756, 21)}),
+    "stk_52whigh": (21, {"h": G.to_high}),
+    "stk_bab": (21, {"b": G.beta(252)}),
+    "stk_ivol": (21, {"i": G.residual(126)}),
+    "stk_max": (21, {"x": G.largest}),
+    "stk_illiq": (21, {"a": G.illiquidity}),
+    "stk_turnover": (21, {"u": G.turnover}),
+    "stk_mom_intermediate": (21, {"m": G.moved(252, 126)}),
+    "cry_xmom": (7, {"m": G.moved(30)}),
+    "cry_strev": (7, {"m": G.moved(7)}),
+    "cry_btc_relative": (7, {"m": G.moved(30)}),
+    "fx_trend": (21, {"m": G.moved(60)}),
+    "fx_reversal": (5, {"m": G.moved(5)}),
+    "fx_ppp": (63, {"m": G.moved(756)}),
+    "stk_lowvol_mom": (21, {"v": G.volatility, "m": G.moved(252, 21)}),
+    "stk_vol_scaled_mom": (21, {"v": G.volatility, "m": G.moved(252, 21)}),
+    "stk_ltrev_156": (63, {"m": G.moved(156, 21)}),
+    "fx_ppp_156": (63, {"m": G.moved(156)}),
+}
+RELATIVE, TRENDS = "cry_btc_relative", ("cry_trend", "cry_vol_target")
+
+
+def relations(s: Slabs, sf_dir: str, ids: tuple[str, ...]) -> dict[str, DataFrame]:
+    """What ``all_curves`` reads of the panel: books of the ranked strategies, returns of the names in them, the market, sessions.
+
+    Signals are formed in slabs; of them only rebalance rows travel, one pass for all strategies of a hold.
+    """
+    spark = s.rows.sparkSession
+    given = {"sessions": s.sessions, "mkr": G.market(s), "bench": s.benchmark()}
+    place = {id: i for i, id in enumerate(ids)}
+    ranks: dict[str, DataFrame] = {}
+    for hold in sorted({FORMS[id][0] for id in ids if id in FORMS}):
+        own = [id for id in ids if id in FORMS and FORMS[id][0] == hold]
+        rows = cut(G.signals(s, hold, {f"{n}_{place[id]}": f for id in own for n, f in FORMS[id][1].items()}))
+        for id in own:
+            i = place[id]
+            ranks[f"sx0_{i}"] = rows.selectExpr("symbol", "t_idx", "tradable", "ret", *[f"{n}_{i} as {n}" for n in FORMS[id][1]])
+    if RELATIVE in place:
+        i = place[RELATIVE]
+        least = s.names().agg({"symbol": "min"}).first()[0]
+        ranks[f"sg_{i}"] = ranks.pop(f"sx0_{i}").selectExpr("symbol", "t_idx", "tradable", "ret", "round(m, 9) as s", f"cast({'null' if least is None else least} as bigint) as base")
+        # The base counts where it has a signal, tradable or not.
+        base = G.signals(s, FORMS[RELATIVE][0], FORMS[RELATIVE][1], every=least).selectExpr("symbol", "t_idx", "false as tradable", "ret", "round(m, 9) as s", "symbol as base")
+        ranks[f"sg_{i}"] = ranks[f"sg_{i}"].filter("symbol <> base").unionByName(cut(base))
+    booked = [place[id] for id in ids if id in FORMS]
+    if booked:
+
+        def text(c: Chain) -> str:
+            all_curves(c, ids)
+            return c.select(" union all ".join(f"select {i} as i, t0, symbol, w from bk_{i}" for i in booked))
+
+        books = cut(to_spark(text, **ranks)(spark, sf_dir))
+        rets = cut(G.returns(s, books.select("symbol").distinct()))
+        tidy(spark)
+        for i in booked:
+            given |= {f"bk_{i}": books.filter(f"i = {i}").drop("i"), f"sg_{i}": rets, f"cal_{i}": s.sessions.select("t_idx")}
+    if any(id in place for id in TRENDS):
+        ts = cut(G.above_mean(s, 100, COST_BPS["crypto"]))
+        given |= {f"ts_{place[id]}": ts for id in TRENDS if id in place}
+    return given
+
+
+def from_slabs(text: Text, ids: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
+    """A text on the curves of ``ids`` from slabs: no dense panel is sorted, joined or written."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with scratch(spark, "slabs") as at:
+            given = {name: cut(df) if name in ("mkr", "bench") else df for name, df in relations(Slabs(spark, sf_dir, at), sf_dir, ids).items()}
+            return to_spark(text, **given)(spark, sf_dir)
+
+    return run
+
+
+def _one(id: str) -> Text:
+    def text(c: Chain) -> str:
+        all_curves(c, (id,))
+        return c.select(f"select t_idx, {rounded('ret', digits=8)} from sr_0")
+
+    return text
+
+
+QUERIES = {"strategy_stats_table": from_slabs(_table, SPECIFIED), "multiple_testing_summary": from_slabs(_tests, SPECIFIED)}
+QUERIES |= {id: from_slabs(_one(id), (id,)) for id in REGISTRY}
+
+
 # ---- trading ----------------------------------------------------------------
 
 
