@@ -7,13 +7,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from tessera.operators import evaluation as E
 from tessera.operators import expression as X
-from tessera.operators.features import price_features
+from tessera.operators import slab_scores
 from tessera.operators.governance import POLICIES
-from tessera.plans.sql import Chain, Dialect
-from tessera.session import cut
+from tessera.operators.slabs import Slabs
+from tessera.session import scratch
 
 
 @dataclass
@@ -75,20 +76,15 @@ class FamilyBandit:
         return {f: self.floor + (1 - self.floor) * float(rng.beta(1 + self.lived.get(f, 0.0), 1 + self.died.get(f, 0.0))) for f in self.families}
 
 
-def score_population(spark: SparkSession, sf_dir: str, trees: dict[str, X.Node], horizon: int = 5) -> dict[str, float]:
-    """Mean information coefficient of every tree, found in one plan for all of them; 0 for one that has none in any session."""
-    c = Chain(Dialect(sf_dir))
-    price_features(c)
-    X.compile_population(c, "feats", trees)
-    c.add("long_scores", " union all ".join(f"select '{k}' as id, symbol, t_idx, round({k}, 8) as x from scored" for k in trees))
-    scored = cut(spark.sql(c.select("select * from scored")))
-    view = "population_scores"
-    scored.createOrReplaceTempView(view)
-    c.parts["scored"] = f"select * from {view}"
-    E.ic_series(c, "long_scores", "x", "pic", h=horizon, key="id")
-    got = spark.sql(c.select("select g, avg(ic) as ic from pic group by g")).collect()
-    spark.catalog.dropTempView(view)
-    found = {r["g"]: r["ic"] for r in got}
+def score_population(spark: SparkSession, sf_dir: str, trees: dict[str, X.Node], horizon: int = 5, slabs: Slabs | None = None) -> dict[str, float]:
+    """Mean information coefficient of every tree, found in one plan for all of them; 0 for one that has none in any session.
+
+    Scores are formed in ``slabs`` (made here, if none are given), so no panel is written.
+    """
+    with scratch(spark, "scores") as at:
+        slabs = slabs or Slabs(spark, sf_dir, f"{at}/bars")
+        ics = slab_scores.coefficients(slabs, at, trees, horizon, E.LEAST_NAMES)
+        found = {r["id"]: r["ic"] for r in ics.groupBy("id").agg(F.avg("ic").alias("ic")).collect()}
     return {k: float(found.get(k) or 0.0) for k in trees}
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tessera.session import cut, drop, tidy
 
 from . import expression as X
-from .slabs import BARS, BLOCK, Slab, Slabs, at_least, below, deviation, key, lag, mean, spread, squeezed, unsqueezed, coded
+from .slabs import BARS, BLOCK, Slab, Slabs, at_least, below, coded, coefficients_of, deviation, forward, key, lag, mean, spread, squeezed, unsqueezed
 
 BIG = 1e12
 _RANKS = "array<struct<t:int,ids:array<string>,m:array<int>,x:binary>>"
@@ -187,12 +187,7 @@ def _best(n_t: int, mkt: np.ndarray, trees: dict[str, X.Node], moments: dict[str
         best: dict[str, dict[int, list]] = {name: {} for name in trees}
         for s in unpack(batches, n_t, mkt):
             for name, tree in trees.items():
-                ranked = tree.op == "rank"
-                if ranked:
-                    y = key(masked(tree, s, moments), 9)
-                else:
-                    x = np.where(s["tradable"], value(tree, s, moments), np.nan)
-                    y = key(np.where(np.abs(x) <= 1e300, x, np.nan), 8)
+                ranked, y = tree.op == "rank", score(tree, s, moments)
                 for t, (k, rb) in wanted[name].items():
                     i = np.flatnonzero(~np.isnan(y[t]))
                     if not len(i):
@@ -218,6 +213,55 @@ def _best(n_t: int, mkt: np.ndarray, trees: dict[str, X.Node], moments: dict[str
     return run
 
 
+def score(tree: X.Node, s: Slab, moments: dict[str, tuple]) -> np.ndarray:
+    """The rounded score of the tradable rows. A rank at the root is left to the session: here are the values that it ranks."""
+    if tree.op == "rank":
+        return key(masked(tree, s, moments), 9)
+    x = np.where(s["tradable"], value(tree, s, moments), np.nan)
+    return key(np.where(np.abs(x) <= 1e300, x, np.nan), 8)
+
+
+def _scored(n_t: int, mkt: np.ndarray, blocks: list[dict[str, X.Node]], moments: dict[str, tuple], target: Callable):
+    """Of every session and block of trees: the scores of a slab's usable rows, each tree's packed for itself, with symbols and the target."""
+    kinds = {"t_idx": pa.int32(), "blk": pa.int32(), "n": pa.int32(), "sym": pa.binary(), "y": pa.binary(), "x": pa.list_(pa.binary())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in unpack(batches, n_t, mkt):
+            with np.errstate(all="ignore"):
+                y, ok = target(s)
+            kind_y, code_y = coded(y)
+            cols = [(t, c) for t, c in enumerate(map(np.flatnonzero, ok)) if len(c)]
+            for k, trees in enumerate(blocks):
+                x = [coded(score(tree, s, moments)) for tree in trees.values()]
+                ranked = any(tree.op == "rank" for tree in trees.values())
+                rows = [(t, k, len(c), squeezed(2, s.symbols[c].view(np.uint64)) if ranked else b"", squeezed(kind_y, code_y[t, c]), [squeezed(kind, code[t, c]) for kind, code in x]) for t, c in cols]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+
+    return run
+
+
+def _correlated(blocks: list[dict[str, X.Node]], found: Callable):
+    """All pieces of a session and block to the coefficients of its trees; what is ranked at the root has places without ties."""
+    out = pa.schema([("id", pa.string()), ("t_idx", pa.int32()), ("ic", pa.float64()), ("n", pa.int64())])
+
+    def run(group: tuple, rows: pa.Table) -> pa.Table:
+        t, trees = group[0].as_py(), blocks[group[1].as_py()]
+        parts = rows.select(["n", "sym", "y", "x"]).to_pylist()
+        y = np.concatenate([spread(r["y"], (r["n"],)) for r in parts])
+        x = np.stack([np.concatenate([spread(r["x"][i], (r["n"],)) for r in parts]) for i in range(len(trees))])
+        ranked = [i for i, tree in enumerate(trees.values()) if tree.op == "rank"]
+        if ranked:
+            symbol = np.concatenate([unsqueezed(r["sym"], r["n"]).view(np.int64) for r in parts])
+        for i in ranked:
+            first = np.lexsort((symbol, x[i]))[: int((~np.isnan(x[i])).sum())]  # missing ones come last
+            x[i, first] = np.arange(len(first))
+        got = [{"id": r["feature"], "t_idx": t, "ic": r["ic"], "n": r["n"]} for r in found(tuple(trees), x, y)]
+        return pa.Table.from_pylist(got, schema=out)
+
+    return run
+
+
 def _known(s: Slabs, rows: DataFrame, nodes: list[X.Node], moments: dict[str, tuple]) -> dict[str, tuple]:
     """Mean and population deviation of every session for each of ``nodes``.
 
@@ -235,13 +279,9 @@ def _known(s: Slabs, rows: DataFrame, nodes: list[X.Node], moments: dict[str, tu
     return out
 
 
-def books(s: Slabs, at: str, trees: dict[str, X.Node], wanted: dict[str, dict[int, tuple[int, int]]], last: str | None = None) -> dict[str, DataFrame]:
-    """What a population's books and days read: ``lng`` and ``rets`` of the names that can be picked, ``bench``, ``sessions``.
-
-    ``wanted``: for every tree, session -> (names, sessions until the next rebalance row) at most. Files go under ``at``;
-    slabs that were written again with their ranks go, those of ``s`` only if ``last`` names their path.
-    """
-    spark, trees = s.rows.sparkSession, {k: X.simplify(t) for k, t in trees.items()}
+def _ranked(s: Slabs, at: str, trees: dict[str, X.Node], last: str | None = None) -> tuple[DataFrame, dict[str, tuple]]:
+    """The slabs with every rank that simplified ``trees`` read, and the moments of their other operators across names."""
+    spark = s.rows.sparkSession
     rows = s.rows.withColumn("ranks", F.lit(None).cast(_RANKS))
     moments: dict[str, tuple] = {}
     for level, nodes in enumerate(crossings(trees)):
@@ -260,6 +300,26 @@ def books(s: Slabs, at: str, trees: dict[str, X.Node], wanted: dict[str, dict[in
             if last:
                 drop(spark, last)
             last = f"{at}/ranks{level}-{i}"
+    return rows, moments
+
+
+def coefficients(s: Slabs, at: str, trees: dict[str, X.Node], horizon: int, least: int) -> DataFrame:
+    """(id, t_idx, ic, n) of every tree and session that has a coefficient; files go under ``at``."""
+    trees = {k: X.simplify(t) for k, t in trees.items()}
+    rows, moments = _ranked(s, at, trees)
+    blocks = [dict(list(trees.items())[i : i + BLOCK]) for i in range(0, len(trees), BLOCK)]
+    pieces = rows.mapInArrow(_scored(s.n_t, s.mkt, blocks, moments, forward(horizon)), "t_idx int, blk int, n int, sym binary, y binary, x array<binary>")
+    return pieces.groupBy("t_idx", "blk").applyInArrow(_correlated(blocks, coefficients_of(least)), "id string, t_idx int, ic double, n long")
+
+
+def books(s: Slabs, at: str, trees: dict[str, X.Node], wanted: dict[str, dict[int, tuple[int, int]]], last: str | None = None) -> dict[str, DataFrame]:
+    """What a population's books and days read: ``lng`` and ``rets`` of the names that can be picked, ``bench``, ``sessions``.
+
+    ``wanted``: for every tree, session -> (names, sessions until the next rebalance row) at most. Files go under ``at``;
+    slabs that were written again with their ranks go, those of ``s`` only if ``last`` names their path.
+    """
+    spark, trees = s.rows.sparkSession, {k: X.simplify(t) for k, t in trees.items()}
+    rows, moments = _ranked(s, at, trees, last)
     found = rows.mapInArrow(_best(s.n_t, s.mkt, trees, moments, wanted), "strategy string, t_idx int, symbol long, y double, n long, r array<double>, ok array<boolean>")
     ranked = F.col("strategy").isin([k for k, t in trees.items() if t.op == "rank"])
     group = W.partitionBy("strategy", "t_idx")

@@ -78,10 +78,12 @@ def population_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two seeded generations of search and the archive they leave."""
-    ev = search.Evolver(X.Grammar(FEATURES, 3), lambda trees: search.score_population(spark, sf_dir, trees), seed=3)
-    for _ in range(2):
-        ev.step(4)
+    """Two seeded generations of search and the archive they leave; both score their trees over the same slabs."""
+    with scratch(spark, "slabs") as at:
+        slabs = Slabs(spark, sf_dir, at)
+        ev = search.Evolver(X.Grammar(FEATURES, 3), lambda trees: search.score_population(spark, sf_dir, trees, slabs=slabs), seed=3)
+        for _ in range(2):
+            ev.step(4)
     rows = [(a, b, n.canonical(), round(f, 6)) for (a, b), (f, n) in sorted(ev.archive.items())]
     return spark.createDataFrame(rows, "size_bin int, n_features int, expression string, fitness double")
 
