@@ -25,7 +25,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: to_spark(text) for name, text in texts().items()} | series_queries.QUERIES | feature_queries.QUERIES | evaluation_queries.QUERIES | coefficient_queries.QUERIES | population_queries.QUERIES | strategy_queries.QUERIES | driver_queries.QUERIES
+    return {name: to_spark(text) for name, text in texts().items()} | series_queries.QUERIES | relation_queries.QUERIES | feature_queries.QUERIES | evaluation_queries.QUERIES | coefficient_queries.QUERIES | population_queries.QUERIES | strategy_queries.QUERIES | driver_queries.QUERIES
 
 
 def oracles() -> dict[str, str]:
