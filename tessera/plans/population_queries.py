@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from tessera.functions import series as S
 from tessera.operators import evaluation as E
@@ -23,8 +23,8 @@ from .sql import Chain, Dialect, Text, rounded, to_spark
 TEXTS: dict[str, Text] = {}
 #: Genomes of the population, of the null sample, and of each segment's search.
 POPULATION, NULLS, SEARCHED = 30, 40, 8
-#: Replicas of the shift test, and the part of the calendar that a shift keeps away from none.
-SHIFTS, KEEP_OFF = 24, 8
+#: Replicas of the shift test, the part of the calendar that a shift keeps away from none, and the names of their books.
+SHIFTS, KEEP_OFF, BOOK = 24, 8, 25
 #: Segments of the walk-forward, and of each search's folds their number and least length.
 SEGMENTS, SEARCH_FOLDS, SEARCH_LEAST = 7, 3, 12
 #: Number of the piece that no search may look at, and the part of all sessions held back.
@@ -93,12 +93,12 @@ def _shuffle(c: Chain) -> str:
     c.values("rep", "r", ((r,) for r in range(SHIFTS + 1)))
     c.add("rep_n", "select r, max(t_idx) + 1 as n from rep cross join sessions group by r")
     c.add("shifts", f"select 's' || cast(r as varchar(9)) as strategy, case when r = 0 then 0 else cast(floor(n / {KEEP_OFF}e0) + floor((r - 1) * (n - 2 * floor(n / {KEEP_OFF}e0)) / {SHIFTS}e0) as int) end as shift from rep_n")
-    c.add("gene", "select strategy, 'all' as win, 25 as k, 5 as rb, 0 as by_score, 1 as size, shift from shifts")
+    c.add("gene", f"select strategy, 'all' as win, {BOOK} as k, 5 as rb, 0 as by_score, 1 as size, shift from shifts")
     c.add("lng", "select g.strategy, s.symbol, s.t_idx as t_src, round(s.score, 9) as score from score s cross join gene g where s.score is not null")
     N.whole(c)
     N.pieces(c)
     N.candidates(c, "shift")
-    N.books(c, 25)
+    N.books(c, BOOK)
     N.trade(c)
     N.summary(c)
     c.add("o", f"select count(*) as replicas, avg(case when round(s.mean_ir, 9) < round(f.mean_ir, 9) then 1e0 else 0e0 end) as share_beaten, max(f.mean_ir) as real_ir, avg(s.mean_ir) as null_ir, {c.d.percentile('s.mean_ir', 0.95)} as null_p95 from cvs s join cvs f on f.strategy = 's0' and s.strategy <> 's0'")
@@ -187,18 +187,27 @@ def _survival(c: Chain) -> str:
 # ---- from slabs -------------------------------------------------------------------
 
 
-def rebalances(spark: SparkSession, sf_dir: str, text: Text, sessions: DataFrame) -> dict[str, dict[int, tuple[int, int]]]:
-    """For every tree of a text, session -> (names, sessions until the next rebalance row) at most; from the text's own ``reb``, which reads sessions alone."""
+def from_sessions(spark: SparkSession, sf_dir: str, text: Text, sessions: DataFrame, select: Callable[[Chain], str]) -> list[Row]:
+    """The rows that ``select`` takes from relations of a text that read sessions alone."""
     c, view = Chain(Dialect(sf_dir)), f"sessions_{uuid.uuid4().hex[:12]}"
     sessions.createOrReplaceTempView(view)
     c.add("sessions", f"select * from {view}")
     text(c)
-    tree = "n.id" if "named" in c.parts else "r.strategy"
-    named = "join named n on n.strategy = r.strategy" if "named" in c.parts else ""
+    rows = spark.sql(c.select(select(c))).collect()
+    spark.catalog.dropTempView(view)
+    return rows
+
+
+def rebalances(spark: SparkSession, sf_dir: str, text: Text, sessions: DataFrame) -> dict[str, dict[int, tuple[int, int]]]:
+    """For every tree of a text, session -> (names, sessions until the next rebalance row) at most; from the text's own ``reb``."""
+
+    def select(c: Chain) -> str:
+        tree, named = ("n.id", "join named n on n.strategy = r.strategy") if "named" in c.parts else ("r.strategy", "")
+        return f"select {tree} as id, r.t_src, max(r.k) as k, max(r.rb) as rb from reb r {named} group by 1, 2"
+
     out: dict[str, dict[int, tuple[int, int]]] = {}
-    for r in spark.sql(c.select(f"select {tree} as id, r.t_src, max(r.k) as k, max(r.rb) as rb from reb r {named} group by 1, 2")).collect():
+    for r in from_sessions(spark, sf_dir, text, sessions, select):
         out.setdefault(r["id"], {})[r["t_src"]] = r["k"], r["rb"]
-    spark.catalog.dropTempView(view)
     return out
 
 
@@ -215,10 +224,20 @@ def from_slabs(text: Text, genomes: Callable[[], list[Genome]]) -> Callable[[Spa
     return run
 
 
+def shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``shuffle_folds`` from slabs: the names that replicas can hold are all that leaves them."""
+    with scratch(spark, "slabs") as at:
+        s = Slabs(spark, sf_dir, at)
+        rows = from_sessions(spark, sf_dir, _shuffle, s.sessions, lambda c: "select strategy, t_src, t_idx, rb from reb")
+        given = s.shifted_books(BOOK, [tuple(r) for r in rows])
+        # A column has the name of the relation ``score``, which would else be formed.
+        return to_spark(_shuffle, score=given["lng"], **given)(spark, sf_dir)
+
+
 GENOMES = {
     "population_fitness": population,
     "null_model": lambda: yardstick() + population(),
     "honest_walk_forward": lambda: [g for gs in searches().values() for g in gs],
     "family_survival": population,
 }
-QUERIES = {name: from_slabs(TEXTS[name], genomes) for name, genomes in GENOMES.items()}
+QUERIES = {name: from_slabs(TEXTS[name], genomes) for name, genomes in GENOMES.items()} | {"shuffle_folds": shuffled}
