@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import cut, scratch
+from tessera.session import cut, drop, scratch, tidy
 
 from .common import row_key, shuffle_partitions, table
 from .components import components
@@ -37,6 +37,8 @@ PERCENT = 85
 GROWTH, COARSE = 1.35, 33
 #: Texts of a signature that all its others meet first.
 LEADS = 4
+#: Passes over the signatures, which bound what their shuffle holds on disk at once.
+PASSES = 3
 #: Rows that a task may hold to filter texts by; more of them are joined by a shuffle.
 HELD = 500_000
 #: Rows of one signature that are compared at once; more of them are compared block by block.
@@ -320,14 +322,22 @@ def classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, gro
         row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
         marks.groupBy("sid").agg(F.min(row).alias("first")).join(size, "sid").write.parquet(f"{at}/firsts")
         firsts = spark.read.parquet(f"{at}/firsts")
-        shared(sets.select(F.explode("sigs").alias("sig"), "sid")).write.parquet(f"{at}/shared")
+        for i in range(PASSES):
+            mine = F.expr(f"explode(filter(sigs, s -> pmod(s, {PASSES}) = {i}))")
+            shared(sets.select(mine.alias("sig"), "sid")).write.mode("append").parquet(f"{at}/shared")
+            tidy(spark)
+        del sets, size
+        drop(spark, f"{at}/filed")
         rows = spark.read.parquet(f"{at}/shared")
         wanted = cut(firsts.join(rows.select("sid").distinct(), "sid", "left_semi").select("sid", F.col("first.key").alias("key")))
         keyed = docs.select(row_key(docs).alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
         sketched(those_of(keyed, wanted, "key").dropDuplicates(["key"]), shingle).write.parquet(f"{at}/texts")
+        del wanted, keyed
+        tidy(spark)
         texts = spark.read.parquet(f"{at}/texts")
         lead = rows.select(F.col("sid").alias("v"), F.explode("leads").alias("u")).select("u", "v").distinct()
         links = cut(verified(lead, texts, shingle, percent))
+        tidy(spark)
         # Signatures of few texts are done with; of the others, those that still have more than one component can hold another link.
         many = rows.filter(F.col("place") == LEADS + 1).select("sig")
         rooted = cut(_rooted(rows.select("sig", "sid").join(many, "sig", "left_semi"), links))

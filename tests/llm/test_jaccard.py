@@ -97,3 +97,23 @@ def test_histograms_never_part_similar_sets():
 def test_schema(spark, small):
     got = jaccard.op12_jaccard(spark, small).schema
     assert [(f.name, f.dataType) for f in got] == [(c, T.LongType()) for c in ("doc_id", "n_shingles", "component_id")]
+
+
+def test_signatures_come_in_passes_and_go_once_they_are_shared(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i // 3) * 50 + j}" for j in range(40)) + (" x" if i % 3 == 2 else "")) for i in range(60)]
+    docs, dropped, dealt, whole = spark.createDataFrame(rows, "doc_id long, text string"), [], [], jaccard.shared
+    monkeypatch.setattr(jaccard, "drop", lambda _, at: dropped.append(at.rsplit("/", 1)[-1]))
+    monkeypatch.setattr(jaccard, "shared", lambda df: dealt.append(df) or whole(df))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.classes(docs).collect()}
+    assert got == {i: i // 3 * 3 for i, _ in rows}
+    assert len(dealt) == jaccard.PASSES and dropped == ["filed"]
+
+
+def test_passes_deal_every_signature_once(spark, small, monkeypatch):
+    dealt, whole = [], jaccard.shared
+    monkeypatch.setattr(jaccard, "shared", lambda df: dealt.extend(r["sig"] for r in df.collect()) or whole(df))
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(40)
+    jaccard.classes(docs).collect()
+    how = jaccard.Bands()
+    want = {int(s) for r in docs.collect() for s in how.signatures(jaccard.shingles((r["text"] or "").encode())).view(np.int64)}
+    assert set(dealt) == want
